@@ -1,0 +1,51 @@
+"""Running totals over a whole table in key order, without a single-task window.
+
+Rows are summed by blocks of 64 keys, blocks by blocks of 1,024, and so on up to
+one block over the range of keys; a window holds the children of one block only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Bits of a key within a block of the first level and of those above.
+FIRST_BITS, MORE_BITS = 6, 10
+
+
+def levels_over(df: DataFrame, key: str) -> tuple[int, int]:
+    """The smallest key and how many levels of blocks span all keys (null keys apart)."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return 0, 1
+    return low, 1 + -(-max(0, (high - low).bit_length() - FIRST_BITS) // MORE_BITS)
+
+
+def block(key: str, low: int):
+    """The key's block at the first level; null keys go to block -1."""
+    return F.coalesce(F.shiftright(F.col(key) - F.lit(low), FIRST_BITS), F.lit(-1).cast("long"))
+
+
+def above(block_no: str, top: bool):
+    """The block that holds a block; at the top there is one."""
+    return F.lit(0).cast("long") if top else F.shiftright(block_no, MORE_BITS)
+
+
+def with_exclusive_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows of smaller ``key`` (bigint; null is smallest); rows of one key come in order of value."""
+    low, levels = levels_over(df, key)
+    sums = [df.groupBy(block(key, low).alias("block")).agg(F.sum(value).alias("s"))]
+    for _ in range(levels - 1):
+        sums.append(sums[-1].groupBy(above("block", False).alias("block")).agg(F.sum("s").alias("s")))
+    base = None
+    for n in reversed(range(levels)):
+        up = above("block", n == levels - 1)
+        w = Window.partitionBy("up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        own = sums[n].withColumn("up", up).select("up", "block", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("own"))
+        if base is None:
+            base = own.select("block", F.col("own").alias("base"))
+        else:
+            base = own.join(base.withColumnRenamed("block", "up"), "up").select("block", (F.col("own") + F.col("base")).alias("base"))
+    w = Window.partitionBy("block").orderBy(F.col(key).asc_nulls_first(), value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("block", block(key, low)).withColumn("own", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return rows.join(base, "block").withColumn(out, F.col("own") + F.col("base")).drop("block", "own", "base")
