@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_store", "packing")
+MODULES = ("language", "quality", "chat", "urls", "toxicity", "packing", "simhash", "line_dedup", "decontaminate", "token_store")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

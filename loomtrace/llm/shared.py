@@ -1,44 +1,13 @@
-"""Places and helpers that several operators share."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.sources.storage import new_path, table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomtrace-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bucketed", "crc_remainder", "held_out", "new_path", "partitions", "table", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -52,3 +21,8 @@ def bucketed(n_rows: int, rows_each: int) -> int:
 def crc_remainder(doc_id):
     """crc32 of the id written as text, modulo 3."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
+
+
+def held_out(doc_id):
+    """Whether a row is kept from training; one without an id is not."""
+    return F.coalesce(crc_remainder(doc_id) == 1, F.lit(False))
