@@ -100,10 +100,10 @@ g AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us >= p THEN 1 ELSE 0 END) OVER
 s AS (SELECT session_id, kind, island, count(*) AS size, min(start_us) AS group_start, max(end_us) AS group_end, arg_min(id, (start_us, end_us, id)) AS first_id FROM g GROUP BY ALL HAVING count(*) > 1)
 SELECT session_id, kind, size, group_start, group_end, first_id, 'P' || row_number() OVER (PARTITION BY session_id ORDER BY group_start, first_id) AS label FROM s""",
     "concurrency_sweep": f"""{W}, x AS (SELECT * FROM trace_events WHERE end_us > start_us),
-e AS (SELECT session_id, kind, start_us AS at, 1 AS d FROM x UNION ALL SELECT session_id, kind, end_us, -1 FROM x),
-n AS (SELECT session_id, kind, at, sum(d) AS d FROM e GROUP BY ALL),
-s AS (SELECT session_id, kind, at, sum(d) OVER w AS active, lead(at) OVER w AS until FROM n WINDOW w AS (PARTITION BY session_id, kind ORDER BY at))
-SELECT session_id, kind, max(active)::BIGINT AS peak, sum(CASE WHEN active >= 2 THEN until - at ELSE 0 END)::DOUBLE / 1000.0 AS overlap_ms FROM s GROUP BY session_id, kind""",
+e AS (SELECT session_id, kind, start_us AS moment, 1 AS d FROM x UNION ALL SELECT session_id, kind, end_us, -1 FROM x),
+n AS (SELECT session_id, kind, moment, sum(d) AS d FROM e GROUP BY ALL),
+s AS (SELECT session_id, kind, moment, sum(d) OVER w AS active, lead(moment) OVER w AS until FROM n WINDOW w AS (PARTITION BY session_id, kind ORDER BY moment))
+SELECT session_id, kind, max(active)::BIGINT AS peak, sum(CASE WHEN active >= 2 THEN until - moment ELSE 0 END)::DOUBLE / 1000.0 AS overlap_ms FROM s GROUP BY session_id, kind""",
     "unified_kind_counts": f"{W} SELECT kind, source, count(*) AS n, count(end_us) AS n_closed FROM trace_events GROUP BY kind, source",
     "timeline_filter": f"{W} SELECT id, session_id, kind, start_us, end_us FROM trace_events WHERE kind IN ('click', 'view') OR end_us IS NOT NULL",
     "event_page_keyset": f"{W} SELECT id, session_id, kind FROM trace_events WHERE id > 100 ORDER BY id LIMIT 51",

@@ -2,12 +2,12 @@
 
 ``trace_events``: an event's interval runs ``value`` hours from its timestamp;
 purchases without a whole value stay open. ``usage_ledger``: a line item is a
-usage row of the session that its order is. ``turns``: conversation turns.
+usage row of the session that its order is; lines are numbered anew, since the table repeats numbers. ``turns``: conversation turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtrace.sources.storage import table
@@ -37,7 +37,8 @@ TRACE_EVENTS = """trace_events AS (
 
 def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, line_number, model, input_tokens, cached_tokens, output_tokens, used_at (day)."""
-    li = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.row_number().over(order))
     tokens = F.col("l_quantity").cast("long") * 100
     cached = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), None).otherwise((F.round(F.col("l_discount") * 100)).cast("long") * F.col("l_quantity").cast("long"))
     return li.select(
@@ -46,11 +47,12 @@ def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-USAGE_LEDGER = """usage_ledger AS (
+USAGE_LEDGER = """numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)::INT AS l_linenumber) FROM lineitem),
+usage_ledger AS (
   SELECT l_orderkey AS session_id, l_linenumber AS line_number, l_returnflag || l_linestatus AS model, l_quantity::BIGINT * 100 AS input_tokens,
          CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN NULL ELSE round(l_discount * 100)::BIGINT * l_quantity::BIGINT END AS cached_tokens,
          round(l_tax * 100)::BIGINT * 10 AS output_tokens, l_shipdate::DATE AS used_on, l_partkey AS part
-  FROM lineitem)"""
+  FROM numbered)"""
 
 #: model, input, cached, output price of a million tokens, long-context threshold, its input and output factors. RF has none: unpriced.
 RATES = [("AF", "1.250000", "0.125000", "10.000000", 3000, "2.00", "1.50"), ("NF", "2.500000", None, "15.000000", None, None, None), ("NO", "0.250000", "0.025000", "2.000000", None, None, None)]
