@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.shared import table
+from loomtrace.llm.shared import added, table, without
 from loomtrace.llm.text import slices
 
 ROLES = ("system", "user", "assistant")
@@ -177,17 +177,15 @@ def transcripts(conversations: DataFrame, unmarked: int = UNMARKED) -> DataFrame
 
 def formatted(texts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """The columns of ``texts`` (transcript among them), parsed_roles and chat, the canonical rendering."""
-    names = [c for c in texts.columns if c not in {"parsed_roles", "chat"}]
-    texts = texts.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    texts = without(texts, {"parsed_roles", "chat"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "transcript"):
             turns = [parse(model, t) for t in batch.column("transcript").to_pylist()]
             roles = pa.array([[r for r, _ in t] for t in turns], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), roles, pa.array([rendered(t) for t in turns], pa.string())], [*names, "parsed_roles", "chat"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, roles, pa.array([rendered(t) for t in turns], pa.string())], [*batch.schema.names, "parsed_roles", "chat"])
 
-    return texts.mapInArrow(run, f"{schema}, parsed_roles array<string>, chat string")
+    return texts.mapInArrow(run, added(texts, "parsed_roles array<string>, chat string"))
 
 
 def op3_hmm_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.shared import bucketed, table
+from loomtrace.llm.shared import added, bucketed, table, without
 from loomtrace.llm.text import ALNUM, Words, slices, spread
 
 WIDTH = 10
@@ -35,6 +35,7 @@ WIDTH = 10
 BLOCK_CHARS = 4_000_000
 #: Every so manieth suffix position is kept.
 SAMPLE = 8
+_FOUND = "n_words long, n_hit long, spans array<struct<begin: long, end: long>>, items array<long>"
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -228,19 +229,16 @@ def _search(phrases: Phrases, names: list[str], clean: bool):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_chars: int = BLOCK_CHARS, clean: bool = False) -> DataFrame:
     """The columns of ``docs``, n_words, n_hit, spans (word places, end exclusive), items (ids with occurring phrases) and, on request, clean_text."""
-    added = "n_words long, n_hit long, spans array<struct<begin: long, end: long>>, items array<long>"
-    reserved = {"n_words", "n_hit", "spans", "items", "clean_text"}
-    names = [c for c in docs.columns if c not in reserved]
+    out = without(docs, {"n_words", "n_hit", "spans", "items", "clean_text"})
+    names, plain = out.columns, out
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = bucketed(chars, block_chars)
-    out = docs.select(*names)
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         phrases = Phrases([tuple(r) for r in block.collect()], width)  # bounded by block_chars
         last = clean and k == blocks - 1
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-        out = out.mapInArrow(_search(phrases, names, last), f"{schema}, {'clean_text string, ' if last else ''}{added}")
+        out = out.mapInArrow(_search(phrases, names, last), added(plain, ("clean_text string, " if last else "") + _FOUND))
     return out
 
 

@@ -14,7 +14,8 @@ a match that goes on further has windows of its own there.
 Cases: null and empty texts, and lines without words, stay as they are; lines
 are compared with white space collapsed. Rows equal in doc_id and text are one
 document and stay; equal texts under different ids are repeats of the smallest
-(a null id sorts first). An empty table gives no rows. Other columns stay.
+(a null id sorts first). An empty table gives no rows. Other columns stay,
+but for ones named like an output or working column.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.shared import table, written
+from loomtrace.llm.shared import added, table, without, written
 from loomtrace.llm.text import slices
 
 LEAST_WORDS = 50
@@ -142,11 +143,10 @@ def _removal(names: list[str]):
 
 def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The columns of ``docs``, clean_text, n_lines (with words) and n_removed."""
-    names = [c for c in docs.columns if c not in {"clean_text", "n_lines", "n_removed", "id", "text_key", "runs"}]
-    docs = docs.select(*names)
+    docs = without(docs, {"clean_text", "n_lines", "n_removed", "id", "text_key", "runs"})
+    names = docs.columns
     runs = repeated_runs(docs, least_words)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed(docs).join(runs, ["id", "text_key"], "left").select(*names, "runs").mapInArrow(_removal(names), f"{schema}, clean_text string, n_lines long, n_removed long")
+    return keyed(docs).join(runs, ["id", "text_key"], "left").select(*[f"`{c}`" for c in names], "runs").mapInArrow(_removal(names), added(docs, "clean_text string, n_lines long, n_removed long"))
 
 
 def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtrace.sources.storage import new_path, table, written
 
-__all__ = ["bucketed", "crc_remainder", "held_out", "new_path", "partitions", "table", "written"]
+__all__ = ["added", "bucketed", "crc_remainder", "held_out", "new_path", "partitions", "table", "without", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -26,3 +27,13 @@ def crc_remainder(doc_id):
 def held_out(doc_id):
     """Whether a row is kept from training; one without an id is not."""
     return F.coalesce(crc_remainder(doc_id) == 1, F.lit(False))
+
+
+def without(df: DataFrame, names: set[str]) -> DataFrame:
+    """Less the columns that are named like one of ``names``, whatever the case of letters."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+
+
+def added(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` and further columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

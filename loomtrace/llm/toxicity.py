@@ -14,7 +14,8 @@ are more), a documented bound; the corpus is scored whole.
 
 Cases: a null, empty or white text scores by the bias alone. Rows without a
 label, or whose label isn't 0 or 1, aren't learned from. With no labelled rows
-every score is 0. Repeated rows score alike. Other columns pass through ``score``.
+every score is 0. Repeated rows score alike. Other columns pass through ``score``, but for one
+of its own name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.shared import bucketed, crc_remainder, held_out, table, written
+from loomtrace.llm.shared import added, bucketed, crc_remainder, held_out, table, without, written
 from loomtrace.llm.text import LOWER, Words, slices
 
 BUCKET_BITS = 20
@@ -140,10 +141,10 @@ def fit(sample: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
 def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
     """The columns of ``docs`` and ``score``."""
     buckets, weights = model["bucket"].to_numpy(np.int64), model["weight"].to_numpy()
+    docs = without(docs, {"score"})
     if not len(buckets):
         return docs.withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast((buckets, weights))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BUCKET_BITS)
@@ -154,10 +155,9 @@ def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
             key = np.unique((doc[some] << BUCKET_BITS) | bucket[some])
             w = np.bincount(key >> BUCKET_BITS, dense[key & ((1 << BUCKET_BITS) - 1)], batch.num_rows) + dense[BIAS]
             p = 1.0 / (1.0 + np.exp(-np.clip(w, -35, 35)))
-            names = [x for x in batch.schema.names if x != "score"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(p)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    return docs.drop("score").mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, added(docs, "score double"))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> pd.DataFrame:
