@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.shared import added, table, without, written
 from loomtrace.llm.text import slices
+from loomtrace.operators.graph import dealt_anew
 
 LEAST_WORDS = 50
 
@@ -96,13 +97,12 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """id, text_key, runs: the later runs of lines to delete (begin, end inclusive, among lines with words) of each document that has any."""
     rows = written(windows(docs, least_words), "line-windows")
     places = rows.where("picked").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    met = written(rows.join(places, "fingerprint", "left_semi"), "line-windows-met")
+    met = written(rows.join(dealt_anew(places, "fingerprint"), "fingerprint", "left_semi"), "line-windows-met")
     place = F.struct("id", "text_key", "start")
     first = met.groupBy("fingerprint", "window").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "window", "place")
-    whole = met.join(first, ["fingerprint", "window"])
-    whole = written(whole, "line-matches")
+    whole = written(met.join(dealt_anew(first, "fingerprint"), ["fingerprint", "window"]), "line-matches")
     origin = whole.where(F.col("place") == place).groupBy("fingerprint", "window").agg(F.first(F.struct("end", "left", "right")).alias("o"))
-    later = whole.where(place > F.col("place")).join(origin, ["fingerprint", "window"])
+    later = whole.where(place > F.col("place")).join(dealt_anew(origin, "fingerprint"), ["fingerprint", "window"])
     same = (F.col("id") == F.col("place.id")) & (F.col("text_key") == F.col("place.text_key"))
     begin = F.col("start") - _agreeing("left", "o.left")
     begin = F.when(same, F.greatest(begin, F.col("o.end") + 1)).otherwise(begin)

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.operators.graph import components
 from loomtrace.llm.shared import table, written
 from loomtrace.llm.text import LOWER, Words, slices
+from loomtrace.operators.graph import components, dealt_anew
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 
@@ -110,12 +110,12 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("fp", F.explode(F.transform(tables, lambda x: F.struct(x["t"].alias("t"), F.col("fp").bitwiseAND(x["mask"]).alias("key")))).alias("x")).select("fp", "x.t", "x.key")
     rows = written(rows, "buckets")
     shared = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    met = rows.join(shared, ["t", "key"])
+    met = rows.join(dealt_anew(shared, "key"), ["t", "key"])
     free = F.element_at(F.transform(tables, lambda x: x["free"]), F.col("t") + 1)
     flips = met.select("fp", F.explode(F.concat(F.array("fp"), F.transform(free, lambda b: F.col("fp").bitwiseXOR(b)))).alias("z")).distinct()
     flips = written(flips, "flips")
     hubs = flips.groupBy("z").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).where("hub != other").select("z", "hub")
-    return flips.join(hubs, "z").where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    return flips.join(dealt_anew(hubs, "z"), "z").where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
