@@ -18,6 +18,12 @@ from loomtrace.sources.storage import written
 MOST_ROUNDS = 100
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows. A join with an aggregate of its own left side would use the aggregate's partitioning, and a key with
+    very many rows would stay in one task; named anew, both sides are dealt for the join and adaptive execution splits such keys."""
+    return df.withColumns({k: F.least(k, k) for k in keys})
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -36,9 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(dealt_anew(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(dealt_anew(least, "u"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
         if (after := _signature(e)) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
