@@ -40,6 +40,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 #: Coordinates that a shard leaves nearer to zero than this share of L1 aren't sent.
 SENT = 0.25
 THRESHOLD = 0.7
+#: Text scored at once; a longer text is scored whole.
+SLICE_BYTES = 4 << 20
 STEM = 4
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -48,26 +50,25 @@ BIAS = 0  # the bucket that every text has
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return (x ^ (x >> np.uint64(27))) >> np.uint64(64 - BUCKET_BITS)
+    return ((x ^ (x >> np.uint64(27))) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Document and bucket of each feature occurrence in a slice (the bias apart)."""
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Document and bucket of each feature occurrence in a slice (the bias apart), a family at a time: words, stems, pairs, skips."""
     import xxhash
 
     words = Words(texts, LOWER)
     bare = [w.strip(_STRIP) for w in words.strings()]
+    codes, doc = words.codes, np.repeat(np.arange(len(words.counts), dtype=np.int32), words.counts)
     of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in bare), np.uint64, len(bare))
+    yield doc, _mixed(of_word)[codes]
     of_stem = np.fromiter((xxhash.xxh64_intdigest(w[:STEM], 1) if len(w) > STEM else 0 for w in bare), np.uint64, len(bare))
-    h, stem = of_word[words.codes], of_stem[words.codes]
-    doc = np.repeat(np.arange(len(words.counts)), words.counts)
-    longer = stem != 0
-    docs, hashes = [doc, doc[longer]], [h, stem[longer]]
+    longer = (of_stem != 0)[codes]
+    yield doc[longer], _mixed(of_stem)[codes[longer]]
     for gap, salt in ((1, _PAIR), (2, _SKIP)):
-        same = np.flatnonzero(doc[gap:] == doc[:-gap]) if len(h) > gap else np.zeros(0, np.int64)
-        docs.append(doc[same])
-        hashes.append(h[same] * salt + (h[same + gap] << np.uint64(1)) + np.uint64(gap))
-    return np.concatenate(docs), _mixed(np.concatenate(hashes)).astype(np.int64)
+        if len(codes) > gap:
+            same = np.flatnonzero(doc[gap:] == doc[:-gap])
+            yield doc[same], _mixed(of_word[codes[same]] * salt + (of_word[codes[same + gap]] << np.uint64(1)) + np.uint64(gap))
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -87,9 +88,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> No
 
 
 def _rows(texts: pa.Array, labels: list[int]) -> list[tuple[np.ndarray, int]]:
-    doc, bucket = features(texts)
-    key = np.unique((doc << BUCKET_BITS) | bucket)
-    doc, bucket = key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
+    key = np.unique(np.concatenate([(doc.astype(np.int64) << BUCKET_BITS) | bucket for doc, bucket in features(texts)]))
+    doc, bucket = key >> BUCKET_BITS, (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
     edges = np.searchsorted(doc, np.arange(len(labels) + 1))
     return [(np.union1d(bucket[edges[i] : edges[i + 1]], [BIAS]), y) for i, y in enumerate(labels)]
 
@@ -101,8 +101,8 @@ def _shard(state: list):
             z[state[0]], n[state[0]] = state[1], state[2]
         order = np.random.default_rng(len(part) + key[0]).permutation(len(part))
         texts, labels = part["text"].to_numpy()[order], part["label"].to_numpy()[order]
-        for at in range(0, len(part), 512):
-            ftrl(_rows(pa.array(texts[at : at + 512], pa.string(), from_pandas=True), labels[at : at + 512].tolist()), z, n)
+        for at in range(0, len(part), 128):
+            ftrl(_rows(pa.array(texts[at : at + 128], pa.string(), from_pandas=True), labels[at : at + 128].tolist()), z, n)
         at = np.flatnonzero(np.abs(z) > SENT * L1)
         return pd.DataFrame({"bucket": at, "z": z[at], "n": n[at]})
 
@@ -149,10 +149,13 @@ def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BUCKET_BITS)
         dense[shared.value[0]] = shared.value[1]
-        for batch in slices(batches):
-            doc, bucket = features(batch.column("text"))
-            some = np.flatnonzero(dense[bucket] != 0)
-            key = np.unique((doc[some] << BUCKET_BITS) | bucket[some])
+        weighs = dense != 0
+        for batch in slices(batches, most=SLICE_BYTES):
+            keys = []
+            for doc, bucket in features(batch.column("text")):
+                some = np.flatnonzero(weighs[bucket])
+                keys.append((doc[some].astype(np.int64) << BUCKET_BITS) | bucket[some])
+            key = np.unique(np.concatenate(keys))
             w = np.bincount(key >> BUCKET_BITS, dense[key & ((1 << BUCKET_BITS) - 1)], batch.num_rows) + dense[BIAS]
             p = 1.0 / (1.0 + np.exp(-np.clip(w, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
