@@ -73,11 +73,13 @@ def observed(lines: list[str]) -> tuple[np.ndarray, list[int]]:
     return np.array(rows, np.int64).reshape(-1, 4), places
 
 
-def log_model(shape_counts: dict[tuple[str, int, int], int], turn_counts: dict[tuple[str, str], int]) -> dict[str, np.ndarray]:
+def log_model(shape_counts: dict[tuple[str, int, int], int], turn_counts: dict[tuple[str, str], int], inner: tuple[int, int] = (0, 0)) -> dict[str, np.ndarray]:
     """Log start, transition and emission tables.
 
-    shape_counts: lines by (role, question, length class); turn_counts: neighbouring turns by (role, next role).
+    shape_counts: lines by (role, question, length class); turn_counts: neighbouring turns by (role, next role);
+    inner: lines inside turns, and those with a blank line before them.
     """
+    blank_inside = (inner[1] + 1) / (inner[0] + 10)
     shapes = np.ones((3, 2, 3))
     for (role, question, size), n in shape_counts.items():
         shapes[ROLES.index(role), question, size] += n
@@ -98,8 +100,9 @@ def log_model(shape_counts: dict[tuple[str, int, int], int], turn_counts: dict[t
         for k in range(4):
             has = none if k == 0 else own if k == 1 + role else other
             for blank in range(2):
-                # a blank line stands before most turns, and between some lines of a turn
-                emit[s, k, blank] = has * ((0.9, 0.1) if begins else (0.15, 0.85))[1 - blank] * shapes[role]
+                # a blank line stands before most turns
+                share = 0.9 if begins else blank_inside
+                emit[s, k, blank] = has * (share if blank else 1 - share) * shapes[role]
     start = np.array([0.2, 0.6, 0.2, 1e-9, 1e-9, 1e-9])
     with np.errstate(divide="ignore"):
         return {"start": np.log(start), "move": np.log(move), "emit": np.log(emit)}
@@ -151,14 +154,16 @@ def _role():
 
 
 def fit(conversations: DataFrame) -> dict[str, np.ndarray]:
-    """The model, from counts over all turns (at most 18 and 9 rows of counts come to the driver)."""
+    """The model, from counts over all turns (at most 18, 9 and 1 rows of counts come to the driver)."""
     turns = conversations.select("conv_id", "turn", _role().alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lines = turns.select("role", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) != ''")
     size = F.when(F.length("line") < 80, 0).when(F.length("line") < 400, 1).otherwise(2)
     shapes = lines.groupBy("role", F.rtrim("line").endswith("?").cast("int").alias("q"), size.alias("n")).count()
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
     pairs = turns.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "next").count()
-    return log_model({(r, q, n): c for r, q, n, c in shapes.collect()}, {(a, b): c for a, b, c in pairs.collect()})
+    parts = turns.select(F.split(F.trim("text"), "\n").alias("x")).select(F.posexplode("x").alias("i", "line"), "x").where("i > 0 AND trim(line) != ''")
+    inner = parts.agg(F.count("*"), F.count_if(F.trim(F.col("x")[F.col("i") - 1]) == "")).first()
+    return log_model({(r, q, n): c for r, q, n, c in shapes.collect()}, {(a, b): c for a, b, c in pairs.collect()}, tuple(inner))
 
 
 def transcripts(conversations: DataFrame, unmarked: int = UNMARKED) -> DataFrame:
