@@ -35,3 +35,25 @@ def attribute_traces(spans: DataFrame) -> DataFrame:
     basis = F.when(F.col("identity").isNotNull(), "direct").when(alone, "only identity in trace").otherwise("trace")
     owner = F.coalesce("identity", F.when(alone, F.col("low")), F.concat(F.lit("trace:"), F.col("trace_id").cast("string")))
     return j.select("id", owner.alias("owner"), basis.alias("basis"))
+
+
+def upsert_events(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored events with a delivery merged in (columns session_id, id, kind, start_us, end_us, text), as a full outer join.
+
+    New events are inserted. A stored one keeps its values but for: an open end that
+    the delivery closes; a tool that the delivery calls a user_wait; a text where the
+    stored one is empty. ``change`` says which came first in that order.
+    """
+    keys = ["session_id", "id"]
+    s = stored.select(*keys, *(F.col(c).alias(f"s_{c}") for c in ("kind", "start_us", "end_us", "text")), F.lit(True).alias("had"))
+    i = incoming.select(*keys, *(F.col(c).alias(f"i_{c}") for c in ("kind", "start_us", "end_us", "text")), F.lit(True).alias("came"))
+    j = s.join(i, keys, "full_outer")
+    both = F.col("had") & F.col("came")
+    closes = both & F.col("s_end_us").isNull() & F.col("i_end_us").isNotNull()
+    waits = both & (F.col("s_kind") == "tool") & (F.col("i_kind") == "user_wait")
+    fills = both & (F.coalesce("s_text", F.lit("")) == "") & (F.coalesce("i_text", F.lit("")) != "")
+    change = F.when(F.col("had").isNull(), "inserted").when(closes, "closed").when(waits, "corrected").when(fills, "filled").otherwise("kept")
+    return j.select(
+        *keys, F.when(waits, F.col("i_kind")).otherwise(F.coalesce("s_kind", "i_kind")).alias("kind"), F.coalesce("s_start_us", "i_start_us").alias("start_us"),
+        F.coalesce("s_end_us", "i_end_us").alias("end_us"), F.when(fills, F.col("i_text")).when(F.col("had"), F.col("s_text")).otherwise(F.col("i_text")).alias("text"), change.alias("change"),
+    )
