@@ -109,7 +109,7 @@ def _packed(round_no: int, final: bool, capacity: int):
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(lengths, capacity)
         part = part.drop(columns=["part"])
-        part["sequence_id"] = (np.int64(round_no) << 56) + (np.int64(key[0]) << 16) + bins
+        part["sequence_id"] = (np.int64(round_no) << 56) + (np.int64(key[0]) << 24) + bins
         part["offset"] = offsets
         part["part_bins"], part["part_bound"] = n, bound
         fill = np.bincount(bins, lengths, n)
