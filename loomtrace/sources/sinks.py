@@ -53,3 +53,16 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
         manifest = manifest.unionByName(p)
     manifest.write.parquet(f"{path}/manifest")
     return manifest.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """name, length and SHA-256 of every file under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_replace("path", f"^.*?{path.rstrip('/').split('/')[-1]}/", "").alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def altered(spark: SparkSession, path: str, sealed: DataFrame) -> DataFrame:
+    """Files that a sealed inventory and a folder don't agree on: added, missing or changed."""
+    now = inventory(spark, path).select("name", F.col("sha256").alias("now"))
+    j = sealed.select("name", F.col("sha256").alias("was")).join(now, "name", "full_outer").where("NOT was <=> now")
+    return j.select("name", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "missing").otherwise("changed").alias("state"))
