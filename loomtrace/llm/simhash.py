@@ -34,6 +34,8 @@ from loomtrace.llm.text import LOWER, Words, slices
 from loomtrace.operators.graph import components, dealt_anew
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Text whose shingles are hashed at once; a longer text is hashed whole.
+SLICE_BYTES = 4 << 20
 
 
 def vectors(radius: int = RADIUS) -> list[int]:
@@ -95,7 +97,7 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, most=SLICE_BYTES):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fingerprints_of(batch.column("text")).view(np.int64))], ["doc_id", "fp"])
 
 
