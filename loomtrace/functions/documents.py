@@ -84,3 +84,44 @@ def clean_tags(tags):
     """Trimmed, without blanks, commas or tags over 80 characters, each once, sorted, at most 50."""
     kept = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: (t != "") & ~F.contains(t, F.lit(",")) & (F.length(t) <= 80))
     return F.slice(F.array_sort(F.array_distinct(kept)), 1, 50)
+
+
+def _shell(commands: pd.Series) -> pd.Series:
+    import shlex
+
+    return commands.map(lambda c: "" if c is None else shlex.join(list(c)))
+
+
+def command_text(parts):
+    """A command line, quoted for a shell; empty for null."""
+    return F.pandas_udf(_shell, "string")(parts)
+
+
+def content_text(parts):
+    """The texts of an array of structs with ``text``, one after another."""
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), "")
+
+
+def rendered(template: str, **values):
+    """A template with {name} replaced by columns; every name must occur, and none may be left."""
+    out = F.lit(template)
+    for name, value in values.items():
+        if "{" + name + "}" not in template:
+            raise ValueError(f"the template has no {name}")
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+        template = template.replace("{" + name + "}", "")
+    if re.search(r"\{\w+\}", template):
+        raise ValueError("a name of the template has no value")
+    return out
+
+
+def softmax(scores):
+    """Probabilities of an array of scores, exponents taken from the largest."""
+    top = F.array_max(scores)
+    e = F.transform(scores, lambda s: F.exp(s - top))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def first_best(scores):
+    """Place of the largest score, from 0; the first of equals."""
+    return F.array_position(scores, F.array_max(scores)) - 1

@@ -57,3 +57,21 @@ def upsert_events(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         *keys, F.when(waits, F.col("i_kind")).otherwise(F.coalesce("s_kind", "i_kind")).alias("kind"), F.coalesce("s_start_us", "i_start_us").alias("start_us"),
         F.coalesce("s_end_us", "i_end_us").alias("end_us"), F.when(fills, F.col("i_text")).when(F.col("had"), F.col("s_text")).otherwise(F.col("i_text")).alias("text"), change.alias("change"),
     )
+
+
+def bind_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Field evidence of owners after a re-read (columns owner, field, origin): fields that match keep the old row, stale ones go, new ones come."""
+    o = old.select("owner", "field", F.col("origin").alias("was"))
+    n = new.select("owner", "field", F.col("origin").alias("now"))
+    j = o.join(n, ["owner", "field"], "full_outer")
+    change = F.when(F.col("now").isNull(), "deleted").when(F.col("was").isNull(), "added").when(F.col("was") == F.col("now"), "kept").otherwise("replaced")
+    return j.select("owner", "field", F.coalesce("now", "was").alias("origin"), change.alias("change"))
+
+
+def write_classes(sessions: DataFrame, results: DataFrame) -> DataFrame:
+    """Sessions with the results that may be written: none of a producer's own, none that is labelled already unless forced (columns session_id, producer, label; session_id, category, forced)."""
+    j = sessions.join(results, "session_id", "left")
+    own = F.col("producer").eqNullSafe("self")
+    taken = F.col("label").isNotNull() & ~F.coalesce("forced", F.lit(False))
+    outcome = F.when(F.col("category").isNull(), "none").when(own, "excluded").when(taken, "labelled").otherwise("written")
+    return j.select("session_id", F.when(outcome == "written", F.col("category")).otherwise(F.col("label")).alias("label"), outcome.alias("outcome"))

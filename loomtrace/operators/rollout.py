@@ -87,3 +87,18 @@ def events(records: DataFrame) -> DataFrame:
         made(what == "ended", lit("event"), F.col("payload.type"), at, none, lit("unknown"), F.when(F.col("payload.type") == "task_complete", "ok").otherwise("interrupted")),
     ))
     return rows.select("session_id", "line_number", "turn_id", F.explode(out).alias("e")).select("session_id", "line_number", "turn_id", "e.*")
+
+
+def without_mirrors(prompts: DataFrame) -> DataFrame:
+    """Prompts less the event copies of what a response item says (columns session_id, task, line_number, source, text).
+
+    Within a task, an event's text is a copy if the latest response item before it has
+    the same text, or if the next prompt is a response item with the same text.
+    """
+    w = Window.partitionBy("session_id", "task").orderBy("line_number")
+    item = F.when(F.col("source") == "response_item", F.col("text"))
+    seen = F.last(item, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.lead(F.struct("source", "text")).over(w)
+    rows = prompts.withColumns({"seen": seen, "following": following})
+    copy = (F.col("source") == "event_msg") & (F.col("text").eqNullSafe(F.col("seen")) | ((F.col("following.source") == "response_item") & F.col("text").eqNullSafe(F.col("following.text"))))
+    return rows.where(~F.coalesce(copy, F.lit(False))).drop("seen", "following")

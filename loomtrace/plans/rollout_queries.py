@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators import intervals, rollout
 from loomtrace.sources import rollout as source
+from loomtrace.sources.views import turns
 
 
 def _events(spark, sf_dir):
@@ -29,5 +30,14 @@ def raw_line_archive(spark, sf_dir):
     return f.select("file", F.sha2("value", 256).alias("sha256"), F.octet_length("value").alias("byte_count"), (F.length("value") - F.length(F.replace("value", F.lit("\n")))).alias("line_count"))
 
 
-QUERIES = {f.__name__: f for f in (rollout_events, rollout_stats, raw_line_archive)}
+def prompt_mirrors(spark, sf_dir):
+    """User turns said twice, as an event and as an item, every seventh event reworded: the copies go."""
+    t = turns(spark, sf_dir).where("role = 'user'").select("session_id", F.col("index").alias("task"), "text")
+    event = F.struct(F.pmod("task", F.lit(4)).alias("line_number"), F.lit("event_msg").alias("source"), F.when(F.hash("text") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    item = F.struct(F.lit(1).cast("long").alias("line_number"), F.lit("response_item").alias("source"), F.col("text"))
+    said = t.select("session_id", "task", F.inline(F.array(event, item)))
+    return rollout.without_mirrors(said).groupBy("session_id", "source").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (rollout_events, rollout_stats, raw_line_archive, prompt_mirrors)}
 SQL: dict[str, str] = {}

@@ -45,3 +45,12 @@ def test_sealed_folder(spark, tmp_path):
     (root / "b").unlink()
     (root / "d").write_text("new")
     assert {r.name: r.state for r in sinks.altered(spark, str(root), seal).collect()} == {"a": "changed", "b": "missing", "d": "added"}
+
+
+def test_commands_and_templates(spark):
+    df = spark.createDataFrame([(["ls", "a b"],), (None,)], "c array<string>")
+    assert [r.x for r in df.select(D.command_text(F.col("c")).alias("x")).collect()] == ["ls 'a b'", ""]
+    with pytest.raises(ValueError):
+        D.rendered("{a} {b}", a=F.lit("x"))
+    with pytest.raises(ValueError):
+        D.rendered("{a}", a=F.lit("x"), b=F.lit("y"))

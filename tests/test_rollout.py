@@ -33,3 +33,9 @@ def test_events_of_a_session(spark):
 def test_physical_lines_are_counted(spark):
     got = source.lines_of(spark.createDataFrame([("f", "a\r\n\nb"), ("g", "x\n")], "file string, value string")).collect()
     assert sorted((r.file, r.line_number, r.line) for r in got) == [("f", 1, "a"), ("f", 2, ""), ("f", 3, "b"), ("g", 1, "x")]
+
+
+def test_mirrored_prompts(spark):
+    rows = [(1, 1, "event_msg", "a"), (1, 2, "response_item", "a"), (1, 3, "event_msg", "a"), (1, 4, "event_msg", "b"), (1, 5, "response_item", "c"), (2, 6, "event_msg", "a"), (2, 7, "event_msg", "d"), (2, 8, "response_item", "d")]
+    df = spark.createDataFrame([("s", *r) for r in rows], "session_id string, task int, line_number int, source string, text string")
+    assert sorted(r.line_number for r in rollout.without_mirrors(df).collect()) == [2, 4, 5, 6, 8]
