@@ -125,3 +125,26 @@ def softmax(scores):
 def first_best(scores):
     """Place of the largest score, from 0; the first of equals."""
     return F.array_position(scores, F.array_max(scores)) - 1
+
+
+def decoded(data: bytes, encoding: str | None, limit: int) -> bytes | None:
+    """A body's bytes; null if it isn't identity or one whole gzip stream, or would exceed ``limit``."""
+    import zlib
+
+    if encoding in (None, "", "identity"):
+        return data if len(data) <= limit else None
+    if encoding != "gzip":
+        return None
+    reader = zlib.decompressobj(wbits=31)
+    try:
+        out = reader.decompress(data, limit + 1)
+    except zlib.error:
+        return None
+    return out if reader.eof and not reader.unused_data and len(out) <= limit else None
+
+
+def decoded_body(content, encoding, limit: int):
+    def run(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else decoded(bytes(b), e, limit) for b, e in zip(bodies, encodings)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(content, encoding)

@@ -129,11 +129,21 @@ def otlp_flatten(spark, sf_dir):
     return s.select(F.col("resource.id").cast("long").alias("session_id"), F.col("span.spanId").cast("long").alias("id"), F.col("span.startTimeUnixNano").cast("long").alias("start_ns"), attributes["kind"].alias("kind"), attributes["source"].alias("source"))
 
 
+def label_import(spark, sf_dir):
+    """Saved label results, a JSON document a source, opened to one row a turn and model; unknown categories count as invalid."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    said = F.create_map(F.lit("m1"), F.when(F.col("quality") == 1, "good").otherwise("poor"), F.lit("m2"), F.when(F.col("toxic") == 1, "odd").otherwise("good"))
+    saved = rows.groupBy("source").agg(F.to_json(F.struct(F.collect_list(F.struct("doc_id", said.alias("classifications"))).alias("turn_results"))).alias("body"))
+    rows = saved.select("source", F.explode(F.from_json("body", "turn_results ARRAY<STRUCT<doc_id: BIGINT, classifications: MAP<STRING, STRING>>>")["turn_results"]).alias("r"))
+    rows = rows.select("source", "r.doc_id", F.explode("r.classifications").alias("model", "category"))
+    return rows.select("doc_id", "model", "category", F.col("category").isin("good", "poor").alias("valid"))
+
+
 def stream_daily_counts(spark, sf_dir):
     return daily_counts(spark, f"{sf_dir}/events.parque[t]")  # as a pattern: a file stream takes one file so
 
 
-QUERIES = {f.__name__: f for f in (confusion_matrix, prediction_metrics, label_coverage, paired_subset, alignment, set_difference, not_exists_chain, snapshot_conflict_semi, session_list_page, unified_compose, trace_attribution, session_upsert_fold, unit_vectors, cosine_pairs, json_leaves, otlp_flatten, stream_daily_counts)}
+QUERIES = {f.__name__: f for f in (confusion_matrix, prediction_metrics, label_coverage, paired_subset, alignment, set_difference, not_exists_chain, snapshot_conflict_semi, session_list_page, unified_compose, trace_attribution, session_upsert_fold, unit_vectors, cosine_pairs, json_leaves, otlp_flatten, label_import, stream_daily_counts)}
 
 _PAIRS = "pairs AS (SELECT quality AS actual, (n_chars >= 500)::INT AS predicted FROM labels JOIN documents USING (doc_id)), grid AS (SELECT a AS actual, p AS predicted FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(p)), m AS (SELECT g.actual, g.predicted, count(pairs.actual) AS n FROM grid g LEFT JOIN pairs ON pairs.actual = g.actual AND pairs.predicted = g.predicted GROUP BY ALL)"
 _UNIT = "u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM u)"
@@ -157,5 +167,6 @@ SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS rec
     "cosine_pairs": f"WITH {_UNIT} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(least(1, greatest(-1, list_dot_product(a.v, b.v))), 6) AS score FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4",
     "json_leaves": "SELECT event_id, '/' || e.key AS pointer, e.value::VARCHAR AS value FROM events, json_each(props) e",
     "otlp_flatten": f"WITH {TRACE_EVENTS} SELECT session_id, id, start_us * 1000 AS start_ns, kind, source FROM trace_events",
+    "label_import": "WITH l AS (SELECT doc_id, quality, toxic FROM labels JOIN documents USING (doc_id)) SELECT doc_id, 'm1' AS model, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS category, true AS valid FROM l UNION ALL SELECT doc_id, 'm2', CASE WHEN toxic = 1 THEN 'odd' ELSE 'good' END, toxic IS DISTINCT FROM 1 FROM l",
     "stream_daily_counts": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

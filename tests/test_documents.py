@@ -54,3 +54,13 @@ def test_commands_and_templates(spark):
         D.rendered("{a} {b}", a=F.lit("x"))
     with pytest.raises(ValueError):
         D.rendered("{a}", a=F.lit("x"), b=F.lit("y"))
+
+
+def test_bounded_gzip(spark):
+    import gzip
+
+    body = b"x" * 1000
+    rows = [(1, body, None), (2, gzip.compress(body), "gzip"), (3, gzip.compress(body * 2), "gzip"), (4, gzip.compress(body) + b"more", "gzip"), (5, gzip.compress(body)[:-3], "gzip"), (6, body, "br"), (7, None, None)]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b), e) for i, b, e in rows], "i int, content binary, encoding string")
+    got = {r.i: r.b for r in df.select("i", D.decoded_body(F.col("content"), F.col("encoding"), 1500).alias("b")).collect()}
+    assert bytes(got[1]) == bytes(got[2]) == body and all(got[i] is None for i in range(3, 8))
