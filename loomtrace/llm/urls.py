@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.shared import table, written
-from loomtrace.operators.graph import components
+from loomtrace.operators.graph import components, dealt_anew
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: verdict, host, path: the rules of the registered query (fixed values).
@@ -57,7 +57,7 @@ def judged(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         listed = F.broadcast(listed)
     found = above.join(listed, "rule_host").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("size"), "rule", "ruled", "prefix")).alias("rules"))
     fit = F.array_max(F.filter("rules", lambda r: F.startswith("path", r["prefix"])))
-    return urls.join(found, "host", "left").withColumn("fit", fit).withColumns({"rule": F.col("fit.rule"), "ruled": F.col("fit.ruled")}).drop("rules", "fit")
+    return urls.join(dealt_anew(found, "host"), "host", "left").withColumn("fit", fit).withColumns({"rule": F.col("fit.rule"), "ruled": F.col("fit.ruled")}).drop("rules", "fit")
 
 
 def linked(pages: DataFrame) -> DataFrame:
