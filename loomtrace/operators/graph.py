@@ -50,3 +50,20 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+
+
+def dependencies(roots: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """root, node, depth: everything that each root depends on over edges (node, needs), the root itself at depth 0.
+
+    Semi-naive: each round follows the edges of what the last one found, and keeps
+    only what is new to its root, so cycles end.
+    """
+    found = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "dependencies")
+    new = found
+    for depth in range(1, most_rounds + 1):
+        step = new.join(edges, "node").select("root", F.col("needs").alias("node")).distinct()
+        new = written(step.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "dependencies")
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+    raise RuntimeError(f"dependencies go on after {most_rounds} rounds")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import text as X
 from loomtrace.operators import turns as T
-from loomtrace.operators.graph import components
+from loomtrace.operators.graph import components, dependencies
 from loomtrace.sources.storage import table
 from loomtrace.sources.views import micros, turns
 
@@ -144,7 +144,15 @@ def ancestor_identity(spark, sf_dir):
     return T.nearest_identity(nodes.distinct(), 2).where("id LIKE 'o%'")
 
 
-QUERIES = {f.__name__: f for f in (keyword_purpose, regex_extracts, input_attribution, canonical_timestamps, stable_ids, line_fingerprints, chunk_windows, span_replace, pseudonym_numbers, transcript_budget, first_prompt_title, turn_serialization, predecessor_join, previous_turn_check, role_transitions, duplicate_edges, connected_groups, chronological_split, nearest_rank_percentiles, capture_dedupe, ancestor_identity)}
+def dependency_closure(spark, sf_dir):
+    """What each supplier's row depends on: its nation and that nation's region."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.concat(F.lit("n"), "s_nationkey").alias("needs"))
+    edges = edges.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("needs")))
+    return dependencies(s.select(F.concat(F.lit("s"), "s_suppkey").alias("root")), edges)
+
+
+QUERIES = {f.__name__: f for f in (keyword_purpose, regex_extracts, input_attribution, canonical_timestamps, stable_ids, line_fingerprints, chunk_windows, span_replace, pseudonym_numbers, transcript_budget, first_prompt_title, turn_serialization, predecessor_join, previous_turn_check, role_transitions, duplicate_edges, connected_groups, chronological_split, nearest_rank_percentiles, capture_dedupe, ancestor_identity, dependency_closure)}
 
 _TURNS = "turns AS (SELECT conv_id AS session_id, turn AS index, role, text FROM conversations)"
 _EDGES = f"{_TURNS}, t AS (SELECT DISTINCT session_id, sha256(coalesce(text, '')) AS h FROM turns), f AS (SELECT h, min(session_id) AS first FROM t GROUP BY h HAVING count(*) > 1), edges AS (SELECT DISTINCT session_id AS u, first AS v FROM t JOIN f USING (h) WHERE session_id <> first)"
@@ -172,4 +180,5 @@ SQL = {
     "nearest_rank_percentiles": "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL) SELECT p AS percent, n_chars AS value FROM r, (VALUES (0), (50), (90), (95), (100)) v(p) WHERE k = round_even((n - 1) * p / 100.0, 0)::BIGINT + 1",
     "capture_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS payload_id, count(*) AS attempts, max(strlen(text))::INT AS byte_count FROM documents GROUP BY 1",
     "ancestor_identity": "SELECT DISTINCT 'o' || o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'o' || o_orderkey WHEN c_acctbal < 0 THEN 'c' || c_custkey WHEN n_nationkey % 5 = 0 THEN 'n' || n_nationkey ELSE 'r' || n_regionkey END AS identity FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
+    "dependency_closure": "WITH x AS (SELECT 's' || s_suppkey AS root, 'n' || s_nationkey AS n, 'r' || n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT DISTINCT root, unnest([root, n, r]) AS node, unnest([0, 1, 2]) AS depth FROM x",
 }

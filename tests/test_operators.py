@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomtrace.functions import text as X
-from loomtrace.operators import intervals, labels, merge, similarity, turns, usage
+from loomtrace.operators import graph, intervals, labels, merge, similarity, turns, usage
 
 SECOND = 1_000_000
 
@@ -99,3 +99,9 @@ def test_chunks_end_with_the_text(spark):
 def test_nine_digit_timestamps(spark):
     got = spark.range(1).select(X.nanos_string(F.lit(1_700_000_000_123_456)).alias("a")).first().a
     assert got == "2023-11-14T22:13:20.123456000Z"
+
+
+def test_dependencies_end_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "node string, needs string")
+    got = graph.dependencies(spark.createDataFrame([("a",), ("d",), ("z",)], "root string"), edges).collect()
+    assert sorted(map(tuple, got)) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("d", "a", 2), ("d", "b", 3), ("d", "c", 1), ("d", "d", 0), ("z", "z", 0)]
