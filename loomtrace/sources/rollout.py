@@ -58,7 +58,7 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lit = F.lit
     user = F.array(record(0, 0, "event_msg", type=lit("task_started"), turn_id=turn), record(1, 1, "response_item", type=lit("message"), role=lit("user"), text=F.col("text")))
-    plain = F.array(record(5, 20, "response_item", type=lit("message"), role=lit("assistant"), phase=lit("final_answer"), text=F.substring("text", 1, 200)), record(6, 21, "event_msg", type=lit("task_complete"), turn_id=turn))
+    plain = F.array(record(5, 20, "response_item", type=lit("message"), role=lit("assistant"), phase=lit("final_answer"), text=F.col("text")), record(6, 21, "event_msg", type=lit("task_complete"), turn_id=turn))
     tool = F.array(record(2, 2, "response_item", type=lit("function_call"), call_id=call, name=F.when(F.col("n") % 8 == 0, "request_user_input").otherwise("shell"), arguments=lit("{}")), record(3, 9, "response_item", type=lit("function_call_output"), call_id=F.when(F.col("n") % 6 != 0, call).otherwise("lost"), output=F.when(F.col("n") % 10 == 0, "Process exited with code 2").otherwise("Wall time: 5.5 seconds")))
     made = F.when(F.col("role") == "user", user).when(F.col("n") % 4 < 3, F.concat(tool, plain)).otherwise(plain)
     rows = t.select("conv_id", F.explode(made).alias("r"))
