@@ -113,15 +113,21 @@ def bootstrap_interval(spark, sf_dir):
     return one.agg(F.round(F.percentile("accuracy", 0.025), 6).alias("low"), F.round(F.percentile("accuracy", 0.975), 6).alias("high"), F.count("*").alias("replicates"))
 
 
+def tfidf_stages():
+    """TF-IDF of words and pairs, then logistic regression; columns text, label."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
+
+    terms = [RegexTokenizer(inputCol="text", outputCol="words", pattern="\\s+"), NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")]
+    return [*terms, HashingTF(inputCol="terms", outputCol="tf", numFeatures=1 << 20), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01)]
+
+
 def tfidf_logistic(spark, sf_dir):
     """Quality by TF-IDF of words and pairs and logistic regression, trained on ids not divisible by 5; agreement on the others."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("label"))
-    stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern="\\s+"), HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 14), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01)]
-    model = Pipeline(stages=stages).fit(d.where("doc_id % 5 != 0"))
+    model = Pipeline(stages=tfidf_stages()).fit(d.where("doc_id % 5 != 0"))
     return model.transform(d.where("doc_id % 5 = 0")).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
