@@ -2,9 +2,13 @@
 
 Pieces of documents are dealt into partitions at random and packed by best-fit
 decreasing. Dual-feasible functions bound from below how many sequences a
-partition needs; where that many suffice, the partition is certified. Those with
-a gap pool the documents of their least filled sequences, deal them anew and
-pack again, until all are certified or one partition is left.
+partition needs. Where that many suffice and the bound before rounding leaves next
+to no room, the partition is settled whole. Others settle the fullest sequences
+that are certified by themselves: next to full each, and together short of less
+than one. The documents of the rest are pooled, dealt anew and packed again, so
+that the last sequence of each partition is filled from others, until one
+partition is left or the last round is over. What those two settle may need fewer
+sequences: part_bins over part_bound says so.
 
 Cases: a null or empty text is the end id alone. Longer documents are cut at
 multiples of the capacity. Rows of one doc_id are packed separately. An empty
@@ -13,8 +17,10 @@ table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -29,8 +35,10 @@ from loomtrace.llm.tokens import encoder, tokenizer_path, with_end
 CAPACITY, END_ID = 4096, 1
 #: Pieces dealt to one partition; the number of partitions grows with the input.
 PIECES_EACH = 4096
-#: Later rounds hold the leftovers of each partition only, so they shrink by about this factor.
+#: Later rounds hold what uncertified partitions leave only; the last one settles the rest, certified or not.
 ROUNDS = 12
+#: What is settled before has room of one in so many at most: a sequence by itself, a partition over its bound.
+ROOM = 256
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -58,28 +66,33 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select("doc_id", "text").mapInArrow(run, PIECE)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Sequences needed at least: the largest bound of two families of dual-feasible functions.
+def unrounded_bound(lengths: np.ndarray, capacity: int) -> Fraction:
+    """Sequences needed at least, with a fraction: the largest bound of two families of dual-feasible functions.
 
     u_k(x) rounds (k + 1) x to a multiple of 1/k, up only where x is not exact;
     v_e(x) counts lengths over capacity - e as whole and leaves out those under e.
     """
     if not len(lengths):
-        return 0
+        return Fraction(0)
     x = np.asarray(lengths, np.int64)
-    best = -(-int(x.sum()) // capacity)
+    best = Fraction(int(x.sum()), capacity)
     for k in range(1, 21):
         scaled, exact = divmod((k + 1) * x, capacity)
         value = np.where(exact == 0, x * k, scaled * capacity)  # in units of 1 / (k * capacity)
-        best = max(best, -(-int(value.sum()) // (k * capacity)))
+        best = max(best, Fraction(int(value.sum()), k * capacity))
     ordered = np.sort(x)
     sums = np.concatenate([[0], np.cumsum(ordered)])
     for e in np.unique(ordered[ordered <= capacity // 2]).tolist():
         low, high = np.searchsorted(ordered, e, "left"), np.searchsorted(ordered, capacity - e, "right")
-        best = max(best, int(len(ordered) - high) + -(-int(sums[max(high, low)] - sums[low]) // capacity))
+        best = max(best, int(len(ordered) - high) + Fraction(int(sums[max(high, low)] - sums[low]), capacity))
     return best
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """Sequences needed at least."""
+    return math.ceil(unrounded_bound(lengths, capacity))
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of each length, and how many bins. Ties fill the oldest bin."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -107,25 +120,29 @@ def _packed(round_no: int, final: bool, capacity: int):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         lengths = part["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
-        bound = lower_bound(lengths, capacity)
+        least = unrounded_bound(lengths, capacity)
+        bound = math.ceil(least)
         part = part.drop(columns=["part"])
         part["sequence_id"] = (np.int64(round_no) << 56) + (np.int64(key[0]) << 24) + bins
         part["offset"] = offsets
         part["part_bins"], part["part_bound"] = n, bound
-        fill = np.bincount(bins, lengths, n)
-        # a gap: what lies in sequences that are not nearly full goes to the exchange
-        part["settled"] = np.full(len(part), True) if final else (fill >= capacity - capacity // 256)[bins]
+        part["settled"] = True
+        if not final and (n > bound or ROOM * (n - least) > n):
+            # the fullest stay that lack less than a sequence together: their tokens alone need as many
+            lack = capacity - np.bincount(bins, lengths, n)
+            fullest = np.argsort(lack, kind="stable")
+            stay = fullest[(np.cumsum(lack[fullest]) < capacity) & (ROOM * lack[fullest] <= capacity)]
+            part["settled"] = np.isin(bins, stay)
+            part["part_bins"] = part["part_bound"] = len(stay)
         return part
 
     return run
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH) -> DataFrame:
-    """Add sequence_id, offset and the bound of the partition that settled it (part_bins, part_bound) to rows with ``length`` of at most ``capacity``.
+    """Add sequence_id and offset to rows with ``length`` of at most ``capacity``, and how many sequences were settled with it (part_bins) and are needed at least for their pieces (part_bound).
 
-    A partition's unfilled sequences (two or three hundredths of a percent short of
-    full at most are let be) are what separates it from its bound; a certified
-    partition that holds all that is left is final.
+    The two are equal but for what the last round or the last partition leaves uncertified.
     """
     spark = items.sparkSession
     names = items.columns
