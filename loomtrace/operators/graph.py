@@ -5,7 +5,7 @@ its smaller neighbours to the least node it sees, until each component is a
 star around its least node. Minima are taken with map-side combining and joined
 back, so a node with very many neighbours stays spread over tasks; rounds grow
 with the logarithm of the longest chain. Each round is written to the shared
-folder.
+folder, and the one before removed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.sources.storage import written
+from loomtrace.sources.storage import Written, written
 
 MOST_ROUNDS = 100
 
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     (component: that least node). Raises if it doesn't settle in MOST_ROUNDS.
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(e, "edges")
+    rounds = Written(edges.sparkSession, "edges")
+    e = rounds.put(e)
     before = _signature(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -45,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(dealt_anew(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(dealt_anew(least, "u"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        e = rounds.put(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         if (after := _signature(e)) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
