@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.shared import bucketed, table, written
 from loomtrace.llm.text import slices
-from loomtrace.llm.tokens import encoder, tokenizer_path, with_end
+from loomtrace.llm.tokens import SLICE_BYTES, encoder, tokenizer_path, with_end
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces dealt to one partition; the number of partitions grows with the input.
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             ids, bounds = with_end(*coder.encode(batch.column("text")), end_id)
             data = memoryview(ids.astype("<u4").tobytes())
             size = np.diff(bounds)

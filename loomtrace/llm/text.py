@@ -33,6 +33,12 @@ LOWER = _table(True, b"")
 ALNUM = _table(True, bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
+#: Marks that may be split from the letter before them.
+MARKS = b".,!?;:"
+_LETTER = np.array([97 <= c <= 122 for c in range(256)])
+_MARK = np.array([c in MARKS for c in range(256)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
@@ -67,11 +73,18 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, bytes]:
 class Words:
     """Words of a batch: ``codes`` in order, ``bounds`` of documents in it, ``vocabulary`` by code (Arrow strings)."""
 
-    def __init__(self, texts: pa.Array, table: bytes = PLAIN):
+    def __init__(self, texts: pa.Array, table: bytes = PLAIN, split: bool = False):
+        """``split``: MARKS after a letter a-z begin a word of their own."""
         n = len(texts)
         offsets, data = _buffer(texts)
         if table is not PLAIN:
             data = data.translate(table)
+        if split:
+            x = np.frombuffer(data, np.uint8)
+            at = np.flatnonzero(_MARK[x[1:]] & _LETTER[x[:-1]]) + 1 if len(x) else np.zeros(0, np.int64)
+            data = np.insert(x, at, 32).tobytes()
+            # a text that begins with a mark leaves the space to the text before it
+            offsets = offsets + np.searchsorted(at, offsets, "right")
         plain = pa.StringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data))
         parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
         values = parts.flatten()

@@ -1,9 +1,10 @@
 """Token ids of whole texts, word by word.
 
-The tokenizer drops white space, so a text's ids are those of its words one
-after another. Each worker keeps the ids of words it has met and asks the
-tokenizers library only for new ones. Where a tokenizer fails the probe in
-``drops_space``, whole texts go to the library.
+A tokenizer that drops white space and case gives a text the ids of its words one
+after another, and marks after a letter are a word of their own. Each worker
+keeps the ids of words it has met and asks the tokenizers library only for new
+ones. Where a tokenizer fails the probe in ``_drops_space``, and for slices with
+what may be a special token, whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from loomtrace.llm.text import LOWER, Words, _buffer, spread
+from loomtrace.llm.text import LOWER, MARKS, Words, _buffer, spread
 
-#: Single pre-tokens whatever stands next to them.
+#: Words of these letters alone are one pre-token whatever stands next to them.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_ENDED = re.compile("((?:.*[a-zß-öø-ÿ])?)([.,!?;:]+)", re.DOTALL)
+_MARKED = re.compile(f"(?<=[a-z])(?=[{re.escape(MARKS.decode())}])")
 _JOINED = 400
 #: Words a worker remembers; beyond it it starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
+#: Text encoded at once, so that a worker's arrays stay small; a longer text is encoded whole.
+SLICE_BYTES = 6 << 20
 _READY: dict = {}
 
 
@@ -48,91 +51,81 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.by_word = self._drops_space()
+        self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         self.last = np.zeros(size, bool)
         for word, i in self.library.get_vocab().items():
             self.last[i] = word.endswith("</w>")
-        self._forget()
+        self._empty()
 
     def _plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _drops_space(self) -> bool:
-        probes = ("a b", "Ab,\tc. d", "x\n\ny ", " é́ 1 22\r\nz!", "it's ... ok")
-        return all(self._plain(p) == [i for w in p.encode().split() for i in self._plain(w.decode())] for p in probes)
+        """Whether ids of a text are those of its words in lower case, marks after a letter apart."""
+        probes = ("a b", "Ab,\tc. d", "x\n\ny ", " é́ 1 22\r\nz!", "it's ... ok", "QUITE Upper", "a.b?!c,9:d")
+        return all(self._plain(p) == [i for w in _MARKED.sub(" ", p.lower()).encode().split() for i in self._plain(w.decode())] for p in probes)
 
     def _forget(self) -> None:
+        """Forget all but the words met in most slices, less than half of REMEMBERED."""
+        hits = self.hits[: len(self.rows)]
+        stay = hits > (np.partition(hits, len(hits) - REMEMBERED // 2)[len(hits) - REMEMBERED // 2] if len(hits) > REMEMBERED // 2 else 0)
+        words, length = [w for w, k in zip(self.rows, stay.tolist()) if k], self.length[: len(self.rows)][stay]
+        ids = self.ids[spread(self.start[: len(self.rows)][stay], length)]
+        self._empty()
+        self._keep(words, ids, length)
+
+    def _empty(self) -> None:
         self.rows: dict[str, int] = {}
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
+        self.start, self.length, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.ids = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
-    def _keep(self, word: str, ids) -> int:
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember words by their ids, one word's after another's."""
         row, n = len(self.rows), len(ids)
-        if row == len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while row + len(words) > len(self.start):
+            self.start, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hits))
         while self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.start[row], self.length[row] = self.used, n
+        at = slice(row, row + len(words))
+        self.start[at], self.length[at] = self.used + np.cumsum(lengths) - lengths, lengths
         self.ids[self.used : self.used + n] = ids
         self.used += n
-        self.rows[word] = row
-        return row
-
-    def _ids(self, word: str) -> np.ndarray:
-        row = self.rows[word]
-        return self.ids[self.start[row] : self.start[row] + self.length[row]]
+        self.rows.update(zip(words, range(row, row + len(words))))
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: letters alone go to the library many in a string, split at ends of words."""
-        ended, letters, other = [], {}, []
+        letters, other = [], []
         for word in words:
-            if _LETTERS.fullmatch(word):
-                letters[word] = None
-            elif (m := _ENDED.fullmatch(word)) and m[1]:
-                ended.append((word, m[1], m[2]))
-                for part in (m[1], m[2]):
-                    if part not in self.rows:
-                        if _LETTERS.fullmatch(part):
-                            letters[part] = None
-                        elif part not in letters:
-                            other.append(part)
-            else:
-                other.append(word)
-        letters = list(letters)
-        for at in range(0, len(letters), _JOINED):
-            group = letters[at : at + _JOINED]
-            ids = np.array(self._plain(" ".join(group)), np.uint32)
+            (letters if _LETTERS.fullmatch(word) else other).append(word)
+        groups = [letters[at : at + _JOINED] for at in range(0, len(letters), _JOINED)]
+        for group, got in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group):
-                for word, a, b in zip(group, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-                    self._keep(word, ids[a:b])
+                self._keep(group, ids, np.diff(ends, prepend=0))
             else:
                 other += group
-        other = [w for w in dict.fromkeys(other) if w not in self.rows]
         for at in range(0, len(other), _JOINED):
             group = other[at : at + _JOINED]
-            for word, got in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False)):
-                self._keep(word, got.ids)
-        for word, head, tail in ended:
-            if word not in self.rows:
-                self._keep(word, np.concatenate([self._ids(head), self._ids(tail)]))
+            got = [x.ids for x in self.library.encode_batch_fast(group, add_special_tokens=False)]
+            self._keep(group, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (null: none), and where each text begins; one more bound at the end."""
-        if not self.by_word:
+        # a special token's string must keep its case
+        if not self.by_word or any(x in _buffer(texts)[1] for x in self.special):
             got = [x.ids for x in self.library.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
             return np.array([i for x in got for i in x], np.uint32), bounds
-        # A special token's string must keep its case.
-        special = b"<|" in _buffer(texts)[1]
-        words = Words(texts) if special else Words(texts, LOWER)
+        words = Words(texts, LOWER, split=True)
         strings = words.strings()
         if len(self.rows) > REMEMBERED:
             self._forget()
         if new := [w for w in strings if w not in self.rows]:
             self._learn(new)
         rows = np.fromiter(map(self.rows.__getitem__, strings), np.int64, len(strings))
+        self.hits[rows] += 1
         length = self.length[rows][words.codes]
         ids = self.ids[spread(self.start[rows][words.codes], length)]
         ends = np.concatenate([[0], np.cumsum(length)])

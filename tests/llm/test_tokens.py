@@ -1,16 +1,19 @@
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomtrace.llm import packing, token_store
-from loomtrace.llm.prefix import with_exclusive_sum
 from loomtrace.llm.tokens import encoder, tokenizer_path
 from tests.llm.conftest import ROWS
 
+SF = "/root/testdata/sf0.001"
+
 
 def ids_of(text):
     return encoder(tokenizer_path()).library.encode(text or "", add_special_tokens=False).ids + [1]
@@ -26,27 +29,53 @@ def test_words_give_the_ids_of_whole_texts(texts):
 
 def test_store_reads_back_what_was_written(spark, odd, tmp_path):
     path = token_store.write_store(odd, f"file://{tmp_path}/store")
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, r.verified) for r in token_store.read_digests(spark, path).collect())
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.read_digests(spark, path).collect())
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, len(ids_of(r[1]))))
     want, start = [], 0
     for i, text, *_ in rows:
         ids = ids_of(text)
-        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
+        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     # two equal rows come in either order but get one place each; the grouped digest joins them by start
     assert got == sorted(want)
-    assert token_store.manifest_holds(spark, path)
     back = {r.start: r.ids for r in token_store.read_ids(spark, path).collect()}
     assert all(back[s] == ids_of(next(t for j, t, *_ in rows if j == i)) for s, i, *_ in want)
 
 
-def test_changed_chunk_is_found(spark, odd, tmp_path):
-    path = token_store.write_store(odd.where("doc_id = 7"), f"file://{tmp_path}/a")
-    chunks = token_store._chunks(spark, path)
-    spoiled = chunks.selectExpr("1 AS kind", "address", "width", "unhex('0100') AS ids", "null AS doc_id", "null AS n_tokens", "null AS addresses", "null AS root")
-    spoiled.write.partitionBy("kind").parquet(f"{tmp_path}/b/incoming")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{tmp_path}/b/recipes")
-    assert [r.verified for r in token_store.read_digests(spark, f"file://{tmp_path}/b").collect()] == [False]
+@pytest.mark.parametrize("ids", [[-(2**62) - 5, 2**62 + 7, 0], [None] * 4 + [3] * 5])
+def test_ids_far_apart_and_repeated(spark, tmp_path, ids):
+    docs = spark.createDataFrame([(i, "word " * (k + 1)) for k, i in enumerate(ids)], "doc_id long, text string")
+    got = [tuple(r) for r in token_store.read_digests(spark, token_store.write_store(docs, f"file://{tmp_path}/s")).orderBy("start").collect()]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, k))
+    assert [r[0] for r in got] == [ids[k] for k in order] and [r[2] for r in got] == [k + 2 for k in order]
+    assert [r[1] for r in got] == [sum(k + 2 for k in order[:n]) for n in range(len(ids))]
+
+
+def test_what_was_changed_is_found(spark, odd, tmp_path):
+    path = token_store.write_store(odd.where("doc_id IN (7, 9)"), f"file://{tmp_path}/a")
+    names = {n: spark.read.parquet(f"{path}/{n}") for n in ("parts", "recipes", "manifest")}
+    spoiled = {
+        "parts": names["parts"].withColumn("ids", F.expr("unhex('0100')")),
+        "recipes": names["recipes"].withColumn("n_tokens", F.expr("n_tokens + 1")),
+        "manifest": names["manifest"].withColumn("root", F.lit("0")),
+    }
+    for name, rows in spoiled.items():
+        for n in names:
+            df = rows if n == name else names[n]
+            (df.write.partitionBy("kind") if n == "parts" else df.write).parquet(f"{tmp_path}/{name}/{n}")
+        with pytest.raises(ValueError, match="manifest" if name == "manifest" else "recipes"):
+            token_store.read_digests(spark, f"file://{tmp_path}/{name}")
+    assert not any(r.verified for r in token_store.digests(spark, f"file://{tmp_path}/parts").collect())
+
+
+def test_query(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+    want, start = [], 0
+    for i, text in rows:
+        ids = ids_of(text)
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_store.op10_token_store(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
 
 
 def test_equal_passages_are_stored_once(spark, tmp_path):
@@ -69,17 +98,6 @@ def test_crc_of_joined_strings():
     assert token_store.crc_joined(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
 
 
-@pytest.mark.parametrize("ids", [[5, 3, None, 70, 100_000, 2**40], [1], []])
-def test_exclusive_sum(spark, ids):
-    df = spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "k long, v long")
-    got = {r.k: r.out for r in with_exclusive_sum(df, "k", "v", "out").collect()}
-    order, total, want = sorted(range(len(ids)), key=lambda j: (ids[j] is not None, ids[j] or 0)), 0, {}
-    for j in order:
-        want[ids[j]] = total
-        total += j + 1
-    assert got == want
-
-
 def test_packing_places_every_piece(spark, odd):
     rows = packing.pack(packing.pieces(odd, capacity=64), capacity=64, pieces_each=40).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.length) for r in rows if r.piece == 0) == sorted((i is not None, i or 0, min(64, len(ids_of(t)))) for i, t, *_ in ROWS)
@@ -128,3 +146,15 @@ def test_bound_never_exceeds_the_optimum(lengths):
     assert packing.lower_bound(np.array(lengths, np.int64), 30) <= best
     bins, offsets, n = packing.best_fit_decreasing(np.array(lengths, np.int64), 30)
     assert best <= n and (not lengths or n == bins.max() + 1)
+
+
+def test_forgetting_changes_no_ids(monkeypatch):
+    from loomtrace.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    coder = tokens.WordEncoder(tokenizer_path())
+    for k in range(12):
+        texts = [f"common word{k * 7 + j} other{k}, again{j}." for j in range(7)]
+        ids, bounds = coder.encode(pa.array(texts))
+        assert [list(ids[a:b]) for a, b in zip(bounds, bounds[1:])] == [ids_of(t)[:-1] for t in texts]
+    assert len(coder.rows) < 80 and "common" in coder.rows
