@@ -65,37 +65,30 @@ class WordEncoder:
         probes = ("a b", "Ab,\tc. d", "x\n\ny ", " é́ 1 22\r\nz!", "it's ... ok", "QUITE Upper", "a.b?!c,9:d")
         return all(self._plain(p) == [i for w in _MARKED.sub(" ", p.lower()).encode().split() for i in self._plain(w.decode())] for p in probes)
 
+    def _empty(self) -> None:
+        self.words = pa.array([], pa.string())  # in Arrow, as so many Python strings would take several times the memory
+        self.start, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
+
     def _forget(self) -> None:
         """Forget all but the words met in most slices, less than half of REMEMBERED."""
-        hits = self.hits[: len(self.rows)]
-        stay = hits > (np.partition(hits, len(hits) - REMEMBERED // 2)[len(hits) - REMEMBERED // 2] if len(hits) > REMEMBERED // 2 else 0)
-        words, length = [w for w, k in zip(self.rows, stay.tolist()) if k], self.length[: len(self.rows)][stay]
-        ids = self.ids[spread(self.start[: len(self.rows)][stay], length)]
+        stay = self.hits > (np.partition(self.hits, -(REMEMBERED // 2))[-(REMEMBERED // 2)] if len(self.hits) > REMEMBERED // 2 else 0)
+        words, length = self.words.filter(pa.array(stay)), self.length[stay]
+        ids = self.ids[spread(self.start[stay], length)]
         self._empty()
         self._keep(words, ids, length)
 
-    def _empty(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.start, self.length, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.ids = np.zeros(1 << 14, np.uint32)
-        self.used = 0
-
-    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remember words by their ids, one word's after another's."""
-        row, n = len(self.rows), len(ids)
-        while row + len(words) > len(self.start):
-            self.start, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hits))
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        at = slice(row, row + len(words))
-        self.start[at], self.length[at] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.ids[self.used : self.used + n] = ids
-        self.used += n
-        self.rows.update(zip(words, range(row, row + len(words))))
+        self.words = pa.concat_arrays([self.words, words])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: letters alone go to the library many in a string, split at ends of words."""
-        letters, other = [], []
+        letters, other, kept, found, lengths = [], [], [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for word in words:
             (letters if _LETTERS.fullmatch(word) else other).append(word)
         groups = [letters[at : at + _JOINED] for at in range(0, len(letters), _JOINED)]
@@ -103,13 +96,18 @@ class WordEncoder:
             ids = np.array(got.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group):
-                self._keep(group, ids, np.diff(ends, prepend=0))
+                kept += group
+                found.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
             else:
                 other += group
         for at in range(0, len(other), _JOINED):
             group = other[at : at + _JOINED]
             got = [x.ids for x in self.library.encode_batch_fast(group, add_special_tokens=False)]
-            self._keep(group, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+            kept += group
+            found.append(np.array([i for x in got for i in x], np.uint32))
+            lengths.append(np.array([len(x) for x in got], np.int64))
+        self._keep(pa.array(kept, pa.string()), np.concatenate(found), np.concatenate(lengths))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (null: none), and where each text begins; one more bound at the end."""
@@ -119,12 +117,15 @@ class WordEncoder:
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
             return np.array([i for x in got for i in x], np.uint32), bounds
         words = Words(texts, LOWER, split=True)
-        strings = words.strings()
-        if len(self.rows) > REMEMBERED:
+        if len(self.words) > REMEMBERED:
             self._forget()
-        if new := [w for w in strings if w not in self.rows]:
-            self._learn(new)
-        rows = np.fromiter(map(self.rows.__getitem__, strings), np.int64, len(strings))
+        found = pc.index_in(words.vocabulary, self.words)
+        rows = pc.fill_null(found, -1).to_numpy()
+        if found.null_count:
+            new, known = words.vocabulary.filter(found.is_null()), len(self.words)
+            self._learn(new.to_pylist())
+            rows = rows.copy()
+            rows[rows < 0] = known + pc.index_in(new, self.words.slice(known)).to_numpy()
         self.hits[rows] += 1
         length = self.length[rows][words.codes]
         ids = self.ids[spread(self.start[rows][words.codes], length)]

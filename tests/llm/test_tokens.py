@@ -157,4 +157,4 @@ def test_forgetting_changes_no_ids(monkeypatch):
         texts = [f"common word{k * 7 + j} other{k}, again{j}." for j in range(7)]
         ids, bounds = coder.encode(pa.array(texts))
         assert [list(ids[a:b]) for a, b in zip(bounds, bounds[1:])] == [ids_of(t)[:-1] for t in texts]
-    assert len(coder.rows) < 80 and "common" in coder.rows
+    assert len(coder.words) < 80 and "common" in coder.words.to_pylist()
