@@ -3,12 +3,12 @@
 Pieces of documents are dealt into partitions at random and packed by best-fit
 decreasing. Dual-feasible functions bound from below how many sequences a
 partition needs. Where that many suffice and the bound before rounding leaves next
-to no room, the partition is settled whole. Others settle the fullest sequences
-that are certified by themselves: next to full each, and together short of less
-than one. The documents of the rest are pooled, dealt anew and packed again, so
-that the last sequence of each partition is filled from others, until one
-partition is left or the last round is over. What those two settle may need fewer
-sequences: part_bins over part_bound says so.
+to no room, the partition is certified and settled whole. Of a partition with a
+gap those sequences are settled that are certified by themselves: next to full
+each, and together short of less than one. The documents of the rest are exchanged:
+pooled, dealt anew and packed again, until all is certified, one partition is left,
+or a round has saved next to no sequence of those it packed anew. What is settled
+so may need fewer sequences: part_bins over part_bound says so.
 
 Cases: a null or empty text is the end id alone. Longer documents are cut at
 multiples of the capacity. Rows of one doc_id are packed separately. An empty
@@ -33,12 +33,12 @@ from loomtrace.llm.text import slices
 from loomtrace.llm.tokens import SLICE_BYTES, encoder, tokenizer_path, with_end
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces dealt to one partition; the number of partitions grows with the input.
-PIECES_EACH = 4096
-#: Later rounds hold what uncertified partitions leave only; the last one settles the rest, certified or not.
-ROUNDS = 12
-#: What is settled before has room of one in so many at most: a sequence by itself, a partition over its bound.
+#: Pieces dealt to one partition, of which a task holds the lengths; the number of partitions grows with the input.
+PIECES_EACH = 1 << 16
+#: What is settled before the end has room of one in so many at most: a sequence by itself, a partition over its bound.
 ROOM = 256
+#: Rounds go on while they save one in so many sequences.
+SAVED = 1000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -116,24 +116,30 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n
 
 
-def _packed(round_no: int, final: bool, capacity: int):
+def certified(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bins to settle: all, if as many are needed and there is next to no room, else the full ones that are needed for what they hold."""
+    n, least = int(bins.max()) + 1, unrounded_bound(lengths, capacity)
+    if n == math.ceil(least) and ROOM * (n - least) <= n:
+        return np.arange(n)
+    lack = capacity - np.bincount(bins, lengths, n)
+    fullest = np.argsort(lack, kind="stable")
+    # their tokens alone need as many, as they lack less than a sequence together
+    return fullest[(np.cumsum(lack[fullest]) < capacity) & (ROOM * lack[fullest] <= capacity)]
+
+
+def _packed(round_no: int, capacity: int):
+    """Places of a partition's pieces; ``settled`` are certified; bins and bound of these (part_) and of the partition (whole_)."""
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         lengths = part["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
-        least = unrounded_bound(lengths, capacity)
-        bound = math.ceil(least)
+        stay = certified(bins, lengths, capacity)
         part = part.drop(columns=["part"])
         part["sequence_id"] = (np.int64(round_no) << 56) + (np.int64(key[0]) << 24) + bins
         part["offset"] = offsets
-        part["part_bins"], part["part_bound"] = n, bound
-        part["settled"] = True
-        if not final and (n > bound or ROOM * (n - least) > n):
-            # the fullest stay that lack less than a sequence together: their tokens alone need as many
-            lack = capacity - np.bincount(bins, lengths, n)
-            fullest = np.argsort(lack, kind="stable")
-            stay = fullest[(np.cumsum(lack[fullest]) < capacity) & (ROOM * lack[fullest] <= capacity)]
-            part["settled"] = np.isin(bins, stay)
-            part["part_bins"] = part["part_bound"] = len(stay)
+        part["part_bins"] = part["part_bound"] = len(stay)
+        part["whole_bins"], part["whole_bound"] = n, lower_bound(lengths, capacity)
+        part["settled"] = np.isin(bins, stay)
         return part
 
     return run
@@ -142,26 +148,29 @@ def _packed(round_no: int, final: bool, capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH) -> DataFrame:
     """Add sequence_id and offset to rows with ``length`` of at most ``capacity``, and how many sequences were settled with it (part_bins) and are needed at least for their pieces (part_bound).
 
-    The two are equal but for what the last round or the last partition leaves uncertified.
+    The two are equal but for partitions that the last round leaves with a gap.
     """
-    spark = items.sparkSession
     names = items.columns
     schema = items.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, part_bins long, part_bound long, settled boolean"
-    left, settled = items, None
-    n = left.count()
-    for k in range(ROUNDS):
+    added = ["sequence_id", "offset", "part_bins", "part_bound"]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, part_bins long, part_bound long, whole_bins long, whole_bound long, settled boolean"
+    left, n, k, before, settled = items, items.count(), 0, None, None
+    while True:
         parts = bucketed(n, pieces_each)
-        final = parts == 1 or k == ROUNDS - 1
-        dealt = left.select(*names, F.pmod(F.xxhash64(*names, F.lit(k)), F.lit(parts)).alias("part"))
-        done = written(dealt.groupBy("part").applyInPandas(_packed(k, final, capacity), out), "packed")
-        this = done.where("settled").drop("settled")
+        # a number of its own for each row deals equal rows apart
+        dealt = left.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(parts)).alias("part"))
+        done = written(dealt.groupBy("part").applyInPandas(_packed(k, capacity), out), "packed")
+        unsettled = F.when(~F.col("settled"), F.col("sequence_id"))
+        bins, rest, n = done.agg(F.count_distinct("sequence_id"), F.count_distinct(unsettled), F.count(unsettled)).first()
+        last = parts == 1 or not n or (before is not None and SAVED * (before - bins) < before)
+        if last:
+            this = done.select(*names, "sequence_id", "offset", F.col("whole_bins").alias("part_bins"), F.col("whole_bound").alias("part_bound"))
+        else:
+            this = done.where("settled").select(*names, *added)
         settled = this if settled is None else settled.unionByName(this)
-        left = done.where("not settled").select(*names)
-        n = 0 if final else left.count()
-        if not n:
-            break
-    return settled
+        if last:
+            return settled
+        left, before, k = done.where("NOT settled").select(*names), rest, k + 1
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Each line is judged by itself: shouting, symbols, navigation, missing final
 punctuation and boilerplate remove it. What is left is the cleaned text; a
-document that loses more than half of its characters (boilerplate aside) or has
-too few words left is rejected, and so is one whose words mostly repeat.
+document that loses more than half of the characters of its words, for whatever
+reason, or has too few words left is rejected, and so is one that fails the base
+rule.
 
 Words are runs of anything but space and \\t \\n \\v \\f \\r. Cases: null and empty
 texts have no words and fail the base rule; very long lines and texts are judged
@@ -34,19 +35,19 @@ _NAVIGATION = re.compile(r"(?:^|\s)(?:\||»|«|›|‹|•|·|→|←|>>|<<|/|::
 _ENDED = re.compile(r"[.!?…。！？؟।:;][\"'”’»)\]}]*\s*$")
 #: Phrases of licence, cookie and site notices.
 _BOILERPLATE = re.compile(
-    r"all rights reserved|licensed under|creative commons|apache license|mit license|general public license|cc by|copyright|©|\(c\) \d{4}"
-    r"|terms of (?:use|service)|privacy policy|cookie|lorem ipsum|javascript|subscribe to|sign up for|click here|read more|share on|follow us|powered by",
+    r"all rights reserved|licensed under|creative commons|apache license|mit license|general public license|cc by(?:-\w+)*|copyright(?: ©| \(c\))?(?: \d{4})?|© ?\d{4}|\(c\) \d{4}"
+    r"|terms of (?:use|service)|privacy policy|cookie policy|(?:accept|use|uses) cookies|lorem ipsum|enable javascript|subscribe to|sign up for|click here|read more|share on|follow us|powered by",
     re.IGNORECASE,
 )
-#: A notice with this many words or fewer is boilerplate as a whole.
-_NOTICE_WORDS = 40
+#: A notice is a line of which its phrases are at least this share of words; a sentence that has one of them is none.
+_NOTICE_SHARE = 0.25
 
 _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_lines_removed long, lost double, reason string, clean_text string"
 
 
 def line_verdict(line: str, n_words: int) -> str | None:
     """Why a line with words goes: boilerplate, shouting, symbols, navigation or punctuation; null if it stays."""
-    if n_words <= _NOTICE_WORDS and _BOILERPLATE.search(line):
+    if sum(len(m[0].split()) for m in _BOILERPLATE.finditer(line)) >= _NOTICE_SHARE * n_words:
         return "boilerplate"
     if n_words >= 3:
         if len(_NAVIGATION.findall(line)) >= max(2, 0.2 * n_words):
@@ -92,7 +93,7 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, n_words, n_chars, n_repeat in zip(texts.to_numpy(zero_copy_only=False).tolist(), words.counts.tolist(), np.diff(chars).tolist(), repeats.tolist()):
             base_failed = n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words
-            seen, dup, n_lines, removed, lost, gone, left, keep = set(), 0, 0, 0, 0, 0, 0, []
+            seen, dup, n_lines, removed, lost, left, keep = set(), 0, 0, 0, 0, 0, []
             for line in text.split("\n"):
                 parts = line.encode().split()
                 if not parts:
@@ -107,12 +108,8 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left += len(parts)
                     continue
                 removed += 1
-                size = len("".join(line.split()))
-                if why == "boilerplate":
-                    gone += size
-                else:
-                    lost += size
-            share = min(1.0, lost / max(1, n_chars - gone))
+                lost += sum(map(len, map(bytes.decode, parts)))
+            share = lost / max(1, n_chars)
             reason = "base" if base_failed else "lost" if share > MOST_LOST else "short" if left < LEAST_WORDS // 2 else None
             rows.append((n_words, n_chars, len(_SYMBOLS.findall(text)), dup, n_repeat, base_failed, reason is None, n_lines, removed, share, reason, "\n".join(keep)))
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.float64(), pa.string(), pa.string()]

@@ -86,6 +86,55 @@ def test_quality_lines(spark):
     assert got[2].clean_text == prose and got[5].n_lines_removed == 12
 
 
+NOTICES = ("all rights reserved", "click here", "cookie policy", "licensed under", "mit license", "read more")
+
+
+def why(line):
+    """The line rules once more, by plain counting; words of ASCII only."""
+    words = line.split()
+    text = " " + " ".join(words) + " "
+    notice = sum(line.lower().count(p) * len(p.split()) for p in NOTICES)
+    if notice * 4 >= len(words):
+        return "boilerplate"
+    if len(words) >= 3:
+        if sum(text.count(f" {x} ") for x in ("|", "/", ">>", "<<", "::")) >= max(2, len(words) / 5):
+            return "navigation"
+        if sum(map(line.count, "#*$%&|<>{}[]~^=\\_@+")) + line.count("!!") + line.count("??") >= 0.3 * len(words):
+            return "symbols"
+        upper, letters = sum(c.isupper() for c in line), sum(c.isalpha() for c in line)
+        if upper > 8 and upper > 0.6 * letters:
+            return "shouting"
+    end = line.rstrip().rstrip("\"')]}")
+    if len(words) < 8 and end[-1:] not in tuple(".!?:;"):
+        return "punctuation"
+    return None
+
+
+def test_quality_verdict_against_brute_force(spark):
+    rng = random.Random(3)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    kinds = [lambda: plain(12) + ".", lambda: plain(4), lambda: plain(5) + ".", lambda: " | ".join(plain(1) for _ in range(6)), lambda: plain(9) + " " + rng.choice("#$%=") * rng.randrange(9), lambda: plain(10).upper() + " AND ABCDEFGHIJKLMNOP", lambda: rng.choice(NOTICES) + " " + plain(rng.randrange(9)), lambda: plain(20) + " (read more)", lambda: "", lambda: "  "]
+    texts = []
+    for k in range(300):
+        weights = [rng.random() ** 4 for _ in kinds]
+        texts.append("\n".join(rng.choices(kinds, weights)[0]() for _ in range(rng.randrange(1, 25))))
+    texts += ["\n".join(f"Click here, read more of w{k}, all rights reserved." for k in range(400)) + "\n" + plain(60) + ".", "\n".join(f"{plain(24)} cookie." for _ in range(400))]
+    got = {r.doc_id: r for r in quality.line_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    verdicts = Counter()
+    for i, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if x.split()]
+        left = [x for x in lines if why(x) is None]
+        chars = lambda rows: sum(len(w) for x in rows for w in x.split())
+        n, *_, again = base(t)
+        failed = n < 50 or 2 * again > n
+        keep = not failed and 2 * chars(left) >= chars(lines) and sum(len(x.split()) for x in left) >= 25
+        verdicts[keep] += 1
+        assert (got[i].base_failed, got[i].kept, got[i].n_lines_removed) == (failed, keep, len(lines) - len(left)), t
+        assert [x for x in got[i].clean_text.split("\n") if x.split()] == left
+    assert min(verdicts.values()) > 30
+    assert not got[300].kept and got[301].kept and got[301].n_lines_removed == 0
+
+
 def test_language(spark, odd, none):
     docs = [(i, " ".join(random.Random(i).choices(["haus", "straße", "nicht", "und"] if i % 2 else ["house", "street", "not", "and"], k=20)), "de" if i % 2 else "en") for i in range(120)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")

@@ -35,3 +35,20 @@ def test_a_certified_partition_is_settled_whole(spark):
     """No two fit together: nothing is to be gained by dealing them anew, though no sequence is full."""
     parts = settled(spark, [60] * 400, 100, 100)
     assert {k >> 32 for k in parts} == {0} and all(r.part_bins == r.part_bound for rows in parts.values() for r in rows)
+
+
+def test_partitions_with_a_gap_exchange(spark):
+    """Pieces of one length need dealing to fill up: no partition with more sequences than its bound is settled before the last round."""
+    random.seed(8)
+    parts = settled(spark, [random.choice((51, 34, 26, 17, 9)) for _ in range(3000)], 100, 150)
+    last = max(k >> 32 for k in parts)
+    assert last > 0
+    assert all(r.part_bins == r.part_bound for k, rows in parts.items() if k >> 32 < last for r in rows)
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    got = packing.pack(spark.range(2000).selectExpr("1L AS doc_id", "60L AS length"), 100, 500).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.sequence_id >> 24] += 1
+    assert len(sizes) == 4 and max(sizes.values()) < 700 and len({r.sequence_id for r in got}) == 2000
