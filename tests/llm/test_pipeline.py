@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from loomtrace.llm import packing, toxicity, urls
 from loomtrace.llm.shared import table, written
-from tests.llm.test_dedup import brute, fingerprint
+from tests.llm.test_dedup import brute
 from tests.llm.test_filters import ALNUM, LOW, leaks
+from tests.llm.test_near_copies import components, shingles
 from tests.llm.test_tokens import ids_of
 
 SF = "/root/testdata/sf0.001"
@@ -68,22 +69,35 @@ def test_line_dedup(stages):
 
 
 def test_simhash(stages):
+    """Shingles of five words, similarity of 0.8: the rule for near-duplicate stages on word shingles."""
     before, after = stages["simhash"]
     docs = rows(before)
-    prints = {r.doc_id: fingerprint(r.text) for r in docs}
-    stay, seen = [], set()
-    for r in docs:
-        if r.doc_id in seen:
-            continue
-        stay.append(r.doc_id)
-        todo = [r.doc_id]
-        seen.add(r.doc_id)
-        while todo:
-            a = prints[todo.pop()]
-            new = [i for i, b in prints.items() if i not in seen and bin(a ^ b).count("1") <= 2]
-            seen.update(new)
-            todo += new
-    assert [r.doc_id for r in rows(after)] == stay
+    roots = components([shingles(r.text) for r in docs])
+    assert [r.doc_id for r in rows(after)] == [docs[i].doc_id for i in sorted(set(roots))]
+
+
+def test_cases(spark, odd, none):
+    """Nulls, ties, repeated rows, clashing columns and empty tables, through every stage in turn."""
+    docs = {"odd": odd, "none": none}
+    for name, stage in P.STAGES:
+        before = docs
+        docs = {k: written(stage(spark, d, SF), name) for k, d in before.items()}
+        assert docs["none"].count() == 0
+        if name != "packing":
+            assert all(docs[k].columns == before[k].columns for k in docs)
+        if name == "line_dedup":
+            assert docs["odd"].where("doc_id IS NULL").count() == 1 and docs["odd"].where("doc_id = 5").count() == 2
+        if name == "simhash":
+            assert sorted(r.doc_id for r in docs["odd"].collect() if r.doc_id is not None) == [1, 2, 6, 7, 8, 9]
+            assert {(r.score, r.Spans, r.id == r.doc_id) for r in docs["odd"].where("doc_id IS NOT NULL").collect()} == {(1, "x", True)}
+    assert docs["odd"].select("doc_id").distinct().count() == 7
+
+
+def test_one_row_of_a_group_stays(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    data = [(1, words), (5, words), (5, words), (5, words + " and three more"), (9, words), (7, "t"), (7, "t"), (None, "t")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    assert sorted((r.doc_id, len(r.text)) for r in P.copies_out(spark, docs, SF).collect()) == [(1, len(words)), (7, 1)]
 
 
 def test_decontamination(spark, stages):
