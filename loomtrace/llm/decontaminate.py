@@ -1,15 +1,15 @@
 """Benchmark decontamination: an FM-index of each shard of training text.
 
-A shard is a slice of documents inside a task; nothing is shuffled. Its words
-are numbered by the test phrases' vocabulary. Words that no phrase has can't be
-in an occurrence, so runs of other words, at least as long as the shortest
-phrase, are what is indexed, each with an end of its own. Phrases are found by
-backward search through a wavelet matrix of the Burrows-Wheeler transform,
-occurrences located by sampled suffix positions, and the spans they cover merged.
+A shard is a slice of documents inside a task; nothing is shuffled. All its words
+are indexed, numbered by the shard's own vocabulary, each document with an end of
+its own. Test phrases are found by backward search through a wavelet matrix of the
+Burrows-Wheeler transform, occurrences located by sampled suffix positions, and the
+spans they cover merged. A phrase with a word that the shard lacks isn't in it.
 
 Phrases are windows of ``width`` consecutive words of an item; an item of fewer
 words, but not none, is one phrase. They go to the tasks in blocks of bounded
-size; with more blocks than one, each searches in turn and adds to the spans.
+size, ``STAGE_BLOCKS`` to a pass over the texts; a larger benchmark takes more
+passes, each adding to the spans.
 
 Cases: null and empty texts have no words and are clean. Items with null
 item_id are left out; items that share an item_id are one item. Empty tables:
@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ from loomtrace.llm.shared import added, bucketed, table, without
 from loomtrace.llm.text import ALNUM, Words, slices, spread
 
 WIDTH = 10
-#: Characters of test items in one block of phrases.
-BLOCK_CHARS = 4_000_000
+#: Characters of test items in one block of phrases, and blocks that a pass over the texts searches.
+BLOCK_CHARS, STAGE_BLOCKS = 4_000_000, 4
+#: Text of one shard; a longer text is a shard of its own.
+SHARD_BYTES = 4 << 20
 #: Every so manieth suffix position is kept.
 SAMPLE = 8
 _FOUND = "n_words long, n_hit long, spans array<struct<begin: long, end: long>>, items array<long>"
@@ -63,30 +67,38 @@ class WaveletMatrix:
         return at - begin
 
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in ascending order; each 0 is a symbol of its own, in order of place, below all others.
+
+    Suffixes sorted by their first k symbols are sorted by 2k of them through the
+    ranks k further on; those that are told apart are left alone.
+    """
+    n = len(text)
+    ends = text == 0
+    rank = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum()))
+    order = np.argsort(rank, kind="stable")
+    keys, slots, step = rank[order], np.arange(n), 1
+    rank = np.empty(n, np.int64)
+    at = order
+    while True:
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        slots = slots[~(new & np.append(new[1:], True))]
+        if not len(slots):
+            return order
+        at = order[slots]
+        keys = rank[at] * (n + 1) + np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        by = np.argsort(keys)
+        at, keys = at[by], keys[by]
+        order[slots] = at
+        step *= 2
+
+
 class FMIndex:
     """Over a sequence of symbols from 1 up in which each 0 ends a run; the last is 0."""
 
     def __init__(self, text: np.ndarray, n_symbols: int):
-        n = len(text)
-        ends = text == 0
-        # each end is a symbol of its own, so that no comparison passes it
-        rank = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum()))
-        order, step = np.argsort(rank, kind="stable"), 1
-        while True:
-            keys = rank[order]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            if step > 1:
-                after = second[order]
-                new[1:] |= after[1:] != after[:-1]
-            ranked = np.cumsum(new) - 1
-            rank = np.empty(n, np.int64)
-            rank[order] = ranked
-            if ranked[-1] == n - 1:
-                break
-            second = np.zeros(n, np.int64)
-            second[: n - step] = rank[step:] + 1
-            order = np.argsort(rank * (n + 1) + second, kind="stable")
-            step *= 2
+        order = suffix_order(text)
         self.before = np.where(order > 0, text[order - 1], 0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols + 1))])
         self.matrix = WaveletMatrix(self.before, max(1, int(n_symbols).bit_length()))
@@ -120,22 +132,22 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct phrases of a block of items, by length, with the items that have each."""
+    """Distinct phrases of a block of items, by length: their words' codes, and the items that have each (ids from begin to end)."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         code: dict[str, int] = {}
-        of: dict[tuple, set[int]] = {}
+        rows: dict[int, tuple[list, list]] = {}
         for item, text in items:
-            words = [code.setdefault(w, len(code) + 1) for w in words_of(text)]
-            for k in range(max(1, len(words) - width + 1) if words else 0):
-                of.setdefault(tuple(words[k : k + width]), set()).add(item)
-        self.code, self.lengths = code, {}
-        for phrase, owners in of.items():
-            rows = self.lengths.setdefault(len(phrase), ([], []))
-            rows[0].append(phrase)
-            rows[1].append(sorted(owners))
-        self.lengths = {n: (np.array(p, np.int64), o) for n, (p, o) in self.lengths.items()}
-        self.shortest = min(self.lengths, default=0)
+            words = np.array([code.setdefault(w, len(code)) for w in words_of(text)], np.int32)
+            if len(words):
+                phrases, owners = rows.setdefault(min(width, len(words)), ([], []))
+                phrases.append(np.lib.stride_tricks.sliding_window_view(words, min(width, len(words))))
+                owners.append(np.full(len(phrases[-1]), item, np.int64))
+        self.vocabulary, self.lengths = pa.array(list(code), pa.string()), {}
+        for n, (phrases, owners) in rows.items():
+            distinct, of = np.unique(np.concatenate(phrases), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([of.ravel(), np.concatenate(owners)], 1), axis=0)
+            self.lengths[n] = distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]
 
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -145,35 +157,39 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").translate(_UPPER))
 
 
-def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """Begin (a word's place in the slice), length, document and owning items of every occurrence in a slice."""
-    none = np.zeros(0, np.int64)
-    if not phrases.lengths or not len(words.codes):
-        return none, none, none, []
-    codes = np.fromiter((phrases.code.get(w, 0) for w in words.strings()), np.int64, len(words.vocabulary))[words.codes]
-    doc = np.repeat(np.arange(len(words.counts)), words.counts)
-    new = np.concatenate([[True], (codes[1:] == 0) | (codes[:-1] == 0) | (doc[1:] != doc[:-1])])
-    begins = np.flatnonzero(new)
-    length = np.diff(np.append(begins, len(codes)))
-    fit = (codes[begins] > 0) & (length >= phrases.shortest)
-    begins, length = begins[fit], length[fit]
-    if not len(begins):
-        return none, none, none, []
-    # place of each indexed symbol in the slice; every run is followed by an end
-    place = spread(begins, length + 1)
-    ends = np.cumsum(length + 1) - 1
-    text = codes[np.minimum(place, len(codes) - 1)]
-    text[ends] = 0
-    index = FMIndex(text, len(phrases.code))
-    at, size, owners = [], [], []
-    for n, (rows, of) in phrases.lengths.items():
-        low, high = index.search(rows)
-        got = index.locate(spread(low, high - low))
-        at.append(place[got])
-        size.append(np.full(len(got), n))
-        owners += [of[k] for k in np.repeat(np.arange(len(rows)), high - low).tolist()]
-    at = np.concatenate(at)
-    return at, np.concatenate(size), doc[at], owners
+class Shard:
+    """The index of a slice of documents, and where its symbols are."""
+
+    def __init__(self, words: Words):
+        self.vocabulary = words.vocabulary
+        n = len(words.counts)
+        # every document's words, then its end
+        ends = words.bounds[1:] + np.arange(n)
+        text = np.zeros(len(words.codes) + n, np.int64)
+        self.doc = np.repeat(np.arange(n), words.counts + 1)
+        inside = np.ones(len(text), bool)
+        inside[ends] = False
+        text[inside] = words.codes + 1
+        self.index = FMIndex(text, len(words.vocabulary))
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin (a word's place in the slice) and length of every occurrence, and (document, item) of those in pairs."""
+        symbol = pc.fill_null(pc.index_in(phrases.vocabulary, self.vocabulary), -1).to_numpy().astype(np.int64) + 1
+        at, size, docs, items = ([np.zeros(0, np.int64)] for _ in range(4))
+        for n, (rows, edges, owners) in phrases.lengths.items():
+            rows = symbol[rows]
+            here = np.flatnonzero((rows > 0).all(1))
+            low, high = self.index.search(rows[here])
+            place = self.index.locate(spread(low, high - low))
+            phrase = np.repeat(here, high - low)
+            doc = self.doc[place]
+            at.append(place - doc)  # less the ends before
+            size.append(np.full(len(place), n))
+            pairs = np.unique(np.stack([doc, phrase], 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
+            counts = edges[pairs[:, 1] + 1] - edges[pairs[:, 1]]
+            docs.append(np.repeat(pairs[:, 0], counts))
+            items.append(owners[spread(edges[pairs[:, 1]], counts)])
+        return np.concatenate(at), np.concatenate(size), np.concatenate(docs), np.concatenate(items)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -186,17 +202,19 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _search(phrases: Phrases, names: list[str], clean: bool):
+def _search(blocks: list[Broadcast], names: list[str], clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SHARD_BYTES):
             words = Words(batch.column("text"), ALNUM)
-            at, size, doc, owners = occurrences(words, phrases)
+            shard = Shard(words)
             edge = np.zeros(len(words.codes) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + size, -1)
             items: dict[int, set[int]] = {}
-            for d, own in zip(doc.tolist(), owners):
-                items.setdefault(d, set()).update(own)
+            for block in blocks:
+                at, size, docs, owners = shard.occurrences(block.value)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size, -1)
+                for d, item in zip(docs.tolist(), owners.tolist()):
+                    items.setdefault(d, set()).add(item)
             begins = words.bounds.tolist()
             if "spans" in batch.schema.names:
                 for d, (spans, before) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
@@ -234,11 +252,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bl
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = bucketed(chars, block_chars)
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        phrases = Phrases([tuple(r) for r in block.collect()], width)  # bounded by block_chars
-        last = clean and k == blocks - 1
-        out = out.mapInArrow(_search(phrases, names, last), added(plain, ("clean_text string, " if last else "") + _FOUND))
+    for first in range(0, blocks, STAGE_BLOCKS):
+        shared = []
+        for k in range(first, min(blocks, first + STAGE_BLOCKS)):
+            block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            phrases = Phrases([tuple(r) for r in block.collect()], width)  # bounded by block_chars
+            shared.append(docs.sparkSession.sparkContext.broadcast(phrases))
+        last = clean and first + STAGE_BLOCKS >= blocks
+        out = out.mapInArrow(_search(shared, names, last), added(plain, ("clean_text string, " if last else "") + _FOUND))
     return out
 
 
