@@ -1,15 +1,14 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-A text is read in segments: its words with a letter, lower-cased, without ASCII
-punctuation around them, cut at ``LONGEST`` bytes. Two gated recurrent networks
-read a segment's bytes from either side; at every byte their joint state gives
-log-probabilities of the languages. A document pools those of all its bytes: the
-mean, normalized. A segment's labels depend on its own bytes only, so a worker
-computes each distinct segment once and keeps the sums.
+A text's bytes, ASCII letters lower-cased, are read in segments of ``SEGMENT``
+bytes, across words and marks. Two gated recurrent networks read a segment from
+either side; at every byte their joint state gives log-probabilities of the
+languages. A document pools those of all its bytes: the mean, normalized.
 
 The weights are trained here in numpy by backpropagation through time, in one
-task, on at most about ``SAMPLE_ROWS`` labelled rows; that bound is a parameter,
-and the model's size doesn't depend on the input.
+task, on at most about ``SAMPLE_ROWS`` distinct labelled texts, of each at most
+``SAMPLE_BYTES`` in segments from all over it; these bounds are parameters, and the
+model's size doesn't depend on the input.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, as is every
 text when no row has a language to learn from. Rows with null text or lang
@@ -19,32 +18,31 @@ aren't learned from. Repeated rows get equal results. Other columns aren't read.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.shared import crc_remainder, held_out, table
-from loomtrace.llm.text import LOWER, Words, slices
+from loomtrace.llm.text import LOWER, buffer_of, slices
 
-HIDDEN, LONGEST = 16, 32
-SAMPLE_ROWS = 3000
-STEPS, BATCH, RATE = 1500, 384, 0.01
-REMEMBERED = 600_000
-_PUNCTUATION = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
+HIDDEN, SEGMENT = 16, 32
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16_384
+STEPS, BATCH, RATE = 450, 384, 0.02
+#: Segments read side by side, and text read at once (a longer text is read whole).
+ABREAST, SLICE_BYTES = 1024, 4 << 20
 
 
-def segments(word: str) -> list[bytes]:
-    """The byte segments of a word; none if it has no letter."""
-    if not any(map(str.isalpha, word)):
-        return []
-    data = word.strip(_PUNCTUATION).encode()
-    return [data[k : k + LONGEST] for k in range(0, len(data), LONGEST)]
+def segments(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, begin and length of each segment of texts between offsets."""
+    size = np.diff(offsets)
+    n = -(-size // SEGMENT)
+    doc = np.repeat(np.arange(len(size)), n)
+    begin = offsets[doc] + SEGMENT * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
+    return doc, begin, np.minimum(SEGMENT, offsets[doc + 1] - begin)
 
 
 def initial(n_out: int, rng) -> dict[str, np.ndarray]:
@@ -56,38 +54,43 @@ def initial(n_out: int, rng) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _squashed(x: np.ndarray) -> np.ndarray:
+    """Softsign: from -1 to 1 as tanh, at a third of its cost. Gates are (1 + softsign) / 2."""
+    return x / (1 + np.abs(x))
 
 
 def _read(x: np.ndarray, wx: np.ndarray, wu: np.ndarray, kept: list | None = None) -> np.ndarray:
-    """States after each byte of x (segments by length), in reading order."""
-    n, length = x.shape
-    h = np.zeros((n, HIDDEN), np.float32)
-    out = np.empty((length, n, HIDDEN), np.float32)
+    """States after each byte of x (places by segments), in reading order: (places, HIDDEN, segments)."""
+    length, n = x.shape
+    wx, wu, half = np.ascontiguousarray(wx.T), np.ascontiguousarray(wu.T), wx.dtype.type(0.5)
+    h = np.zeros((HIDDEN, n), wx.dtype)
+    out = np.empty((length, HIDDEN, n), wx.dtype)
     for t in range(length):
-        a = wx[x[:, t]]
-        s = h @ wu
-        zr = _sigmoid(a[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        new = np.tanh(a[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
+        a = wx.take(x[t], axis=1, mode="clip")
+        s = wu @ h
+        gates = _squashed(a[: 2 * HIDDEN] + s[: 2 * HIDDEN])
+        gates += 1
+        gates *= half
+        z, r, s = gates[:HIDDEN], gates[HIDDEN:], s[2 * HIDDEN :]
+        new = _squashed(a[2 * HIDDEN :] + r * s)
         if kept is not None:
-            kept.append((h, z, r, new, s[:, 2 * HIDDEN :]))
+            kept.append((h, z, r, new, s))
         h = new + z * (h - new)
         out[t] = h
     return out
 
 
 def log_probabilities(p: dict, x: np.ndarray, kept: dict | None = None) -> np.ndarray:
-    """(length, segments, languages): at every byte, the log-probability of each language."""
+    """(length, languages, segments) of x (segments by length): at every byte, the log-probability of each language."""
+    x = np.ascontiguousarray(x.T, np.intp)
     f = _read(x, p["fx"], p["fu"], None if kept is None else kept.setdefault("f", []))
-    b = _read(x[:, ::-1], p["bx"], p["bu"], None if kept is None else kept.setdefault("b", []))[::-1]
-    h = np.concatenate([f, b], 2)
-    y = h @ p["o"] + p["c"]
-    y -= y.max(2, keepdims=True)
-    y -= np.log(np.exp(y).sum(2, keepdims=True))
+    b = _read(x[::-1], p["bx"], p["bu"], None if kept is None else kept.setdefault("b", []))[::-1]
+    o = p["o"].T
+    y = o[:, :HIDDEN] @ f + o[:, HIDDEN:] @ b + p["c"][:, None]
+    y -= y.max(1, keepdims=True)
+    y -= np.log(np.exp(y).sum(1, keepdims=True))
     if kept is not None:
-        kept["h"] = h
+        kept["h"] = np.concatenate([f, b], 1)
     return y
 
 
@@ -95,61 +98,60 @@ def gradients(p: dict, x: np.ndarray, label: np.ndarray) -> tuple[dict, float]:
     """Of the mean cross-entropy over all bytes, by backpropagation through time."""
     kept: dict = {}
     y = log_probabilities(p, x, kept)
-    length, n, _ = y.shape
+    length, _, n = y.shape
     d = np.exp(y)
-    loss = -y[:, np.arange(n), label].mean()
-    d[:, np.arange(n), label] -= 1
+    loss = -y[:, label, np.arange(n)].mean()
+    d[:, label, np.arange(n)] -= 1
     d /= length * n
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["o"] = np.einsum("tnh,tnk->hk", kept["h"], d)
-    g["c"] = d.sum((0, 1))
-    dh = d @ p["o"].T
-    for name, part, order in (("f", dh[:, :, :HIDDEN], range(length)), ("b", dh[::-1, :, HIDDEN:], range(length - 1, -1, -1))):
-        wu, carry = p[name + "u"], np.zeros((n, HIDDEN), np.float32)
-        places = list(order)
+    g["o"] = np.einsum("thn,tkn->hk", kept["h"], d, optimize=True)
+    g["c"] = d.sum((0, 2))
+    dh = p["o"] @ d
+    for name, part, order in (("f", dh[:, :HIDDEN], range(length)), ("b", dh[::-1, HIDDEN:], range(length - 1, -1, -1))):
+        wu, carry = p[name + "u"], np.zeros((HIDDEN, n), d.dtype)
+        places, seen = list(order), []
         for t in reversed(range(length)):
             before, z, r, new, s = kept[name][t]
             out = part[t] + carry
-            dz = out * (before - new) * z * (1 - z)
-            dn = out * (1 - z) * (1 - new * new)
-            dr = dn * s * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn], 1)
-            np.add.at(g[name + "x"], x[:, places[t]], gates)
-            state = np.concatenate([dz, dr, dn * r], 1)
-            g[name + "u"] += before.T @ state
-            carry = out * z + state @ wu.T
+            slope = lambda gate: (1 - np.abs(2 * gate - 1)) ** 2 / 2
+            dz = out * (before - new) * slope(z)
+            dn = out * (1 - z) * (1 - np.abs(new)) ** 2
+            dr = dn * s * slope(r)
+            seen.append(np.concatenate([dz, dr, dn]))
+            state = np.concatenate([dz, dr, dn * r])
+            g[name + "u"] += before @ state.T
+            carry = out * z + wu @ state
+        byte = x.T[places[::-1]].ravel()
+        for k, row in enumerate(np.stack(seen, 1).reshape(3 * HIDDEN, -1)):
+            g[name + "x"][:, k] = np.bincount(byte, row, 256)
     return g, float(loss)
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> dict | None:
-    """The network for (text, language) rows; null without any."""
-    counts: Counter = Counter()
-    for text, lang in rows:
-        for word, n in Counter(text.lower().split()).items():
-            for s in segments(word):
-                counts[s, lang] += n
-    langs = sorted({lang for _, lang in counts})
-    if not langs:
-        return None
-    of = {x: i for i, x in enumerate(langs)}
-    groups: dict[int, list] = {}
-    for (s, lang), n in sorted(counts.items()):
-        groups.setdefault(len(s), []).append((s, of[lang], n))
-    total = np.zeros(len(langs))
-    for (_, lang), n in counts.items():
-        total[of[lang]] += n
-    share = (total.mean() / total) ** 0.5  # rarer languages are shown more often
-    ready = []
-    for n, items in sorted(groups.items()):
-        weight = np.array([w * share[k] for _, k, w in items])
-        ready.append((np.frombuffer(b"".join(s for s, _, _ in items), np.uint8).reshape(-1, n), np.array([k for _, k, _ in items]), np.cumsum(weight)))
-    mass = np.array([c[-1] * np.sqrt(x.shape[1]) for x, _, c in ready])
+    """The network for (text, language) rows; null without any. Languages are shown alike, as far as rows go."""
     rng = np.random.default_rng(seed)
+    parts: dict[str, list[np.ndarray]] = {}
+    for text, lang in sorted(rows):
+        data = np.frombuffer(text.encode().translate(LOWER), np.uint8)
+        _, begin, length = segments(np.array([0, len(data)]))
+        begin = begin[length == SEGMENT]
+        if len(begin) > SAMPLE_BYTES // SEGMENT:
+            begin = rng.choice(begin, SAMPLE_BYTES // SEGMENT, False)
+        if not len(begin) and any(map(str.isalpha, text)):
+            data, begin = np.resize(data, SEGMENT), np.zeros(1, np.int64)  # a short text, again and again
+        parts.setdefault(lang, []).append(data[begin[:, None] + np.arange(SEGMENT)])
+    known = {k: np.concatenate(v) for k, v in sorted(parts.items())}
+    known = {k: v for k, v in known.items() if len(v)}
+    if not known:
+        return None
+    langs, x = list(known), np.concatenate(list(known.values()))
+    counts = np.array([len(v) for v in known.values()])
+    label = np.repeat(np.arange(len(langs)), counts)
+    share = np.cumsum(np.repeat(counts**-0.5, counts))  # rarer languages are shown more often
     p = initial(len(langs), rng)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        x, label, weight = ready[rng.choice(len(ready), p=mass / mass.sum())]
-        at = np.searchsorted(weight, rng.random(BATCH) * weight[-1], "right").clip(0, len(label) - 1)
+        at = np.searchsorted(share, rng.random(BATCH) * share[-1], "right").clip(0, len(label) - 1)
         g, _ = gradients(p, x[at], label[at])
         rate = RATE * (1 - step / (steps + 1)) ** 0.5
         for k in p:
@@ -159,91 +161,66 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> di
     return {"langs": langs, "p": p}
 
 
-class Labeller:
-    """Sums of byte log-probabilities of words, computed once a distinct word."""
-
-    def __init__(self, model: dict):
-        self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.sums = np.zeros((1 << 12, len(self.model["langs"]) + 1))  # the last: bytes
-
-    def _learn(self, words: list[str]) -> None:
-        base = len(self.rows)
-        need = base + len(words)
-        while need > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        by_length: dict[int, tuple[list, list]] = {}
-        for i, word in enumerate(words):
-            self.rows[word] = base + i
-            for s in segments(word):
-                of, parts = by_length.setdefault(len(s), ([], []))
-                of.append(base + i)
-                parts.append(s)
-        self.sums[base:need] = 0
-        for n, (of, parts) in by_length.items():
-            for at in range(0, len(of), 2048):
-                x = np.frombuffer(b"".join(parts[at : at + 2048]), np.uint8).reshape(-1, n)
-                y = log_probabilities(self.model["p"], x).sum(0)
-                np.add.at(self.sums, of[at : at + 2048], np.concatenate([y, np.full((len(x), 1), n)], 1))
-
-    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        words = Words(texts, LOWER)
-        strings = words.strings()
-        if len(self.rows) > REMEMBERED:
-            self._forget()
-        if new := [w for w in strings if w not in self.rows]:
-            self._learn(new)
-        rows = np.fromiter(map(self.rows.__getitem__, strings), np.int64, len(strings))
-        total = np.zeros((len(words.counts), self.sums.shape[1]))
-        full = np.flatnonzero(words.counts)
-        if len(full):
-            total[full] = np.add.reduceat(self.sums[rows][words.codes], words.bounds[full], axis=0)
-        size = total[:, -1:]
-        mean = total[:, :-1] / np.maximum(size, 1)
-        p = np.exp(mean - mean.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        known = size[:, 0] > 0
-        return [self.model["langs"][b] if k else "und" for b, k in zip(best.tolist(), known.tolist())], np.where(known, p.max(1), 0.0)
-
-
-_READY: dict[bytes, Labeller | None] = {}
-
-
-def labeller_of(model: bytes) -> Labeller | None:
-    """This worker's labeller for a pickled model."""
-    if model not in _READY:
-        trained = pickle.loads(model)
-        _READY.clear()
-        _READY[model] = Labeller(trained) if trained else None
-    return _READY[model]
+def byte_sums(p: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each text between offsets, the sums over its bytes of the log-probability of each language."""
+    doc, begin, length = segments(offsets)
+    out = np.zeros((len(offsets) - 1, len(p["c"])))
+    for size in np.unique(length).tolist():
+        of = np.flatnonzero(length == size)
+        for at in range(0, len(of), ABREAST):
+            some = of[at : at + ABREAST]
+            y = log_probabilities(p, data[begin[some][:, None] + np.arange(size)]).sum(0)
+            np.add.at(out, doc[some], y.T)
+    return out
+
+
+def labelled(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; und and 0 without a letter."""
+    offsets, data = buffer_of(texts)
+    data, offsets = np.frombuffer(data.translate(LOWER), np.uint8), offsets.astype(np.int64)
+    total = byte_sums(model["p"], data, offsets)
+    mean = total / np.maximum(np.diff(offsets), 1)[:, None]
+    p = np.exp(mean - mean.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+    lettered = letters[offsets[1:]] > letters[offsets[:-1]]
+    for i in np.flatnonzero(~lettered).tolist():  # no ASCII letter: another one?
+        lettered[i] = any(map(str.isalpha, texts[i].as_py() or ""))
+    return [model["langs"][b] if k else "und" for b, k in zip(p.argmax(1).tolist(), lettered.tolist())], np.where(lettered, p.max(1), 0.0)
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_ROWS, steps: int = STEPS) -> bytes:
-    """The pickled model (of fixed size) from at most about ``most`` of the rows with text and lang whose id's crc32 mod 3 isn't 1."""
-    ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(F.coalesce(crc_remainder("doc_id"), F.lit(0)) != 1)
-    n = docs.select("lang").where("lang IS NOT NULL").count()
+    """The pickled model (of fixed size) from at most about ``most`` distinct texts with a lang whose id's crc32 mod 3 isn't 1."""
+    texts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(F.coalesce(crc_remainder("doc_id"), F.lit(0)) != 1)
+    key = F.xxhash64("text", "lang", F.lit(3))
+    n = texts.select(key.alias("key")).agg(F.approx_count_distinct("key", 0.02)).first()[0]
     if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * most / n))
+        texts = texts.where(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * most / n))
+    # equal rows are one before they meet; of a long text, as much as is learned from, in pieces from all over it
+    texts = texts.select("text", "lang").distinct().select(_excerpt("text").alias("text"), "lang")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [pickle.dumps(train(list(zip(part["text"], part["lang"])), steps))]})
 
-    rows = ids.select("text", "lang", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, "model binary").collect()
+    rows = texts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").collect()
     return bytes(rows[0][0]) if rows else pickle.dumps(None)
 
 
+def _excerpt(column: str):
+    """The text, or 64 stretches of it that have SAMPLE_BYTES characters in all."""
+    each, pieces = SAMPLE_BYTES // 64, F.sequence(F.lit(0), F.lit(63))
+    step = F.floor(F.length(column) / 64)
+    parts = F.transform(pieces, lambda k: F.substring(column, (k * step + 1).cast("int"), F.lit(each)))
+    return F.when(F.length(column) <= SAMPLE_BYTES, F.col(column)).otherwise(F.array_join(parts, ""))
+
+
 def identified(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, lang_pred, score of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = labeller_of(model)
-        for batch in slices(batches):
-            texts = pc.fill_null(batch.column("text"), "")
-            langs, score = labeller(texts) if labeller else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
+        trained = pickle.loads(model)
+        for batch in slices(batches, most=SLICE_BYTES):
+            langs, score = labelled(trained, batch.column("text")) if trained else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -57,7 +57,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(at)
 
 
-def _buffer(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+def buffer_of(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where each text begins (one more bound at the end) in the bytes of all; null is empty."""
     texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type)
     kind = np.int64 if wide else np.int32
@@ -76,7 +77,7 @@ class Words:
     def __init__(self, texts: pa.Array, table: bytes = PLAIN, split: bool = False):
         """``split``: MARKS after a letter a-z begin a word of their own."""
         n = len(texts)
-        offsets, data = _buffer(texts)
+        offsets, data = buffer_of(texts)
         if table is not PLAIN:
             data = data.translate(table)
         if split:

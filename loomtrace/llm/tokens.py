@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from loomtrace.llm.text import LOWER, MARKS, Words, _buffer, spread
+from loomtrace.llm.text import LOWER, MARKS, Words, buffer_of, spread
 
 #: Words of these letters alone are one pre-token whatever stands next to them.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -112,7 +112,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (null: none), and where each text begins; one more bound at the end."""
         # a special token's string must keep its case
-        if not self.by_word or any(x in _buffer(texts)[1] for x in self.special):
+        if not self.by_word or any(x in buffer_of(texts)[1] for x in self.special):
             got = [x.ids for x in self.library.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
             return np.array([i for x in got for i in x], np.uint32), bounds

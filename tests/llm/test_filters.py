@@ -156,7 +156,7 @@ def test_network_gradients():
 
     def loss():
         y = language.log_probabilities(p, x)
-        return -y[:, np.arange(5), label].mean()
+        return -y[:, label, np.arange(5)].mean()
 
     for k in p:
         for at in list(np.ndindex(p[k].shape))[:: max(1, p[k].size // 7)] + ([(98, 5)] if k.endswith("x") else []):
