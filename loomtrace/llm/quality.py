@@ -37,24 +37,39 @@ _ENDED = re.compile(r"[.!?…。！？؟।:;][\"'”’»)\]}]*\s*$")
 _BOILERPLATE = re.compile(
     r"all rights reserved|licensed under|creative commons|apache license|mit license|general public license|cc by(?:-\w+)*|copyright(?: ©| \(c\))?(?: \d{4})?|© ?\d{4}|\(c\) \d{4}"
     r"|terms of (?:use|service)|privacy policy|cookie policy|(?:accept|use|uses) cookies|lorem ipsum|enable javascript|subscribe to|sign up for|click here|read more|share on|follow us|powered by",
-    re.IGNORECASE,
+    re.IGNORECASE | re.ASCII,
 )
+#: What a text has in lower case if it has a phrase (fixed values).
+_HINTS = (
+    "all rights reserved", "licensed under", "creative commons", "apache license", "mit license", "general public license", "cc by", "copyright", "©", "(c) ", "terms of ", "privacy policy",
+    "cookie policy", " cookies", "lorem ipsum", "enable javascript", "subscribe to", "sign up for", "click here", "read more", "share on", "follow us", "powered by",
+)
+_UPPER, _LETTERS, _BEYOND = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), re.compile("[^\x00-\x7f]+")
 #: A notice is a line of which its phrases are at least this share of words; a sentence that has one of them is none.
 _NOTICE_SHARE = 0.25
 
 _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_lines_removed long, lost double, reason string, clean_text string"
 
 
-def line_verdict(line: str, n_words: int) -> str | None:
-    """Why a line with words goes: boilerplate, shouting, symbols, navigation or punctuation; null if it stays."""
-    if sum(len(m[0].split()) for m in _BOILERPLATE.finditer(line)) >= _NOTICE_SHARE * n_words:
+def _shouts(line: str) -> bool:
+    data, beyond = line.encode("ascii", "ignore"), "".join(_BEYOND.findall(line))
+    upper = len(data) - len(data.translate(None, _UPPER)) + sum(map(str.isupper, beyond))
+    return upper > 8 and upper > 0.6 * (len(data) - len(data.translate(None, _LETTERS)) + sum(map(str.isalpha, beyond)))
+
+
+def line_verdict(line: str, n_words: int, noticed: bool = True) -> str | None:
+    """Why a line with words goes: boilerplate, shouting, symbols, navigation or punctuation; null if it stays.
+
+    ``noticed``: whether its text has a phrase of notices at all.
+    """
+    if noticed and sum(len(m[0].split()) for m in _BOILERPLATE.finditer(line)) >= _NOTICE_SHARE * n_words:
         return "boilerplate"
     if n_words >= 3:
         if len(_NAVIGATION.findall(line)) >= max(2, 0.2 * n_words):
             return "navigation"
         if len(_MARKS.findall(line)) >= 0.3 * n_words:
             return "symbols"
-        if (upper := sum(map(str.isupper, line))) > 0.6 * sum(map(str.isalpha, line)) and upper > 8:
+        if _shouts(line):
             return "shouting"
     if not _ENDED.search(line) and n_words < 8:
         return "punctuation"
@@ -94,6 +109,8 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, n_words, n_chars, n_repeat in zip(texts.to_numpy(zero_copy_only=False).tolist(), words.counts.tolist(), np.diff(chars).tolist(), repeats.tolist()):
             base_failed = n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words
             seen, dup, n_lines, removed, lost, left, keep = set(), 0, 0, 0, 0, 0, []
+            low = text.lower()
+            noticed = any(x in low for x in _HINTS)
             for line in text.split("\n"):
                 parts = line.encode().split()
                 if not parts:
@@ -102,7 +119,7 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_lines += 1
                 dup += line in seen
                 seen.add(line)
-                why = line_verdict(line, len(parts))
+                why = line_verdict(line, len(parts), noticed)
                 if why is None:
                     keep.append(line)
                     left += len(parts)
