@@ -35,10 +35,15 @@ TRACE_EVENTS = """trace_events AS (
   FROM events)"""
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, numbered from 1 in each order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    return table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.row_number().over(order))
+
+
 def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, line_number, model, input_tokens, cached_tokens, output_tokens, used_at (day)."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    li = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.row_number().over(order))
+    li = numbered_lines(spark, sf_dir)
     tokens = F.col("l_quantity").cast("long") * 100
     cached = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), None).otherwise((F.round(F.col("l_discount") * 100)).cast("long") * F.col("l_quantity").cast("long"))
     return li.select(
@@ -47,7 +52,8 @@ def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-USAGE_LEDGER = """numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)::INT AS l_linenumber) FROM lineitem),
+NUMBERED = "numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)::INT AS l_linenumber) FROM lineitem)"
+USAGE_LEDGER = f"""{NUMBERED},
 usage_ledger AS (
   SELECT l_orderkey AS session_id, l_linenumber AS line_number, l_returnflag || l_linestatus AS model, l_quantity::BIGINT * 100 AS input_tokens,
          CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN NULL ELSE round(l_discount * 100)::BIGINT * l_quantity::BIGINT END AS cached_tokens,
