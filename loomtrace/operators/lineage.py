@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.sources.storage import Written, written
 
-def leaves(rows: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
-    """key, pointer, value (JSON text) of every leaf, down to ``depth`` levels of objects and arrays; empty containers and nulls are leaves.
 
-    One pass a level: containers are opened, the rest is kept.
+def leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, pointer, type, value (JSON text) of every leaf, however deep; empty containers and nulls are leaves.
+
+    One pass a level: containers are opened, the rest is kept, until none is left.
     """
     spark = rows.sparkSession
     at = rows.select(F.col(key).alias("owner"), F.lit("").alias("pointer"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
-    out = None
-    for level in range(depth + 1):
+    out, opened = None, Written(spark, "open-containers")
+    while True:
         kind = F.schema_of_variant("v")
         opens = (kind.startswith("OBJECT<") & (F.to_json("v") != "{}")) | (kind.startswith("ARRAY<") & (F.to_json("v") != "[]"))
-        done = at.where(~opens) if level < depth else at
-        done = done.select("owner", "pointer", F.to_json("v").alias("value"))
+        level = written(at.select("owner", "pointer", kind.alias("type"), F.to_json("v").alias("value"), opens.alias("opens")), "leaves")
+        done = level.where("NOT opens").select("owner", "pointer", F.lower(F.regexp_extract("type", "^[A-Z]+", 0)).alias("type"), "value")
         out = done if out is None else out.unionByName(done)
-        if level == depth:
-            break
-        view = f"lineage_level_{level}"
-        at.where(opens).createOrReplaceTempView(view)
-        at = spark.sql(f"SELECT owner, concat(pointer, '/', coalesce(replace(replace(key, '~', '~0'), '/', '~1'), CAST(pos AS STRING))) AS pointer, value AS v FROM {view}, LATERAL variant_explode(v)")
-    return out.withColumnRenamed("owner", key)
+        rest = level.where("opens")
+        if rest.isEmpty():
+            return out.withColumnRenamed("owner", key)
+        rest = opened.put(rest.select("owner", "pointer", "value")).withColumn("v", F.parse_json("value"))
+        inner = rest.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "x"))
+        step = F.coalesce(F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
+        at = inner.select("owner", F.concat("pointer", F.lit("/"), step).alias("pointer"), F.col("x").alias("v"))
 
 
 def described(found: DataFrame, key: str, descriptions: DataFrame) -> DataFrame:

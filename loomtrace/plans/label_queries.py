@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.operators import labels as L
+from loomtrace.operators import lineage
 from loomtrace.operators import merge as M
 from loomtrace.operators import similarity as S
 from loomtrace.sources.storage import table
@@ -12,6 +13,10 @@ from loomtrace.sources.views import TRACE_EVENTS, trace_events
 from loomtrace.streaming.daily import daily_counts
 
 
+#: Rows that one JSON document holds at most.
+BATCH = 1000
+
+
 def _pairs(spark, sf_dir):
     """Quality as the truth, a length rule as the prediction."""
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 500).cast("int").alias("predicted"))
@@ -32,7 +37,7 @@ def label_coverage(spark, sf_dir):
 
 def paired_subset(spark, sf_dir):
     """Two rules compared on the documents that both can judge."""
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("doc_id % 7 != 0 AND doc_id % 5 != 0")
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("n_chars IS NOT NULL AND lang IS NOT NULL AND quality IN (0, 1)")
     a, b = (F.col("n_chars") >= 500).cast("int"), (F.col("lang") == "en").cast("int")
     return rows.agg(F.count("*").alias("n"), F.count_if(a == F.col("quality")).alias("first_right"), F.count_if(b == F.col("quality")).alias("second_right"), F.count_if(a == b).alias("agree"))
 
@@ -108,9 +113,7 @@ def cosine_pairs(spark, sf_dir):
 
 def json_leaves(spark, sf_dir):
     """Pointer, type and value of every leaf of the events' properties."""
-    e = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v")).where("v IS NOT NULL")
-    e.createOrReplaceTempView("event_props")
-    return spark.sql("SELECT event_id, concat('/', key) AS pointer, to_json(value) AS value FROM event_props, LATERAL variant_explode(v)")
+    return lineage.leaves(table(spark, sf_dir, "events"), "event_id", "props")
 
 
 def otlp_flatten(spark, sf_dir):
@@ -118,8 +121,9 @@ def otlp_flatten(spark, sf_dir):
     e = trace_events(spark, sf_dir)
     attribute = F.array(F.struct(F.lit("kind").alias("key"), F.struct(F.col("kind").alias("stringValue")).alias("value")), F.struct(F.lit("source").alias("key"), F.struct(F.col("source").alias("stringValue")).alias("value")))
     span = F.struct(F.col("id").cast("string").alias("spanId"), (F.col("start_us") * 1000).cast("string").alias("startTimeUnixNano"), attribute.alias("attributes"))
-    users = e.groupBy("session_id", "source").agg(F.collect_list(span).alias("spans"))
-    scopes = users.groupBy("session_id").agg(F.collect_list(F.struct("spans")).alias("scopeSpans"))
+    # a batch has a bounded number of spans, as an exporter sends them
+    users = e.withColumn("batch", F.floor(F.monotonically_increasing_id() / BATCH)).groupBy("session_id", "batch", "source").agg(F.collect_list(span).alias("spans"))
+    scopes = users.groupBy("session_id", "batch").agg(F.collect_list(F.struct("spans")).alias("scopeSpans"))
     body = scopes.select(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("session_id").cast("string").alias("id")).alias("resource"), "scopeSpans")).alias("resourceSpans"))).alias("body"))
     kv = "ARRAY<STRUCT<key: STRING, value: STRUCT<stringValue: STRING>>>"
     schema = f"resourceSpans ARRAY<STRUCT<resource: STRUCT<id: STRING>, scopeSpans: ARRAY<STRUCT<spans: ARRAY<STRUCT<spanId: STRING, startTimeUnixNano: STRING, attributes: {kv}>>>>>>"
@@ -130,10 +134,10 @@ def otlp_flatten(spark, sf_dir):
 
 
 def label_import(spark, sf_dir):
-    """Saved label results, a JSON document a source, opened to one row a turn and model; unknown categories count as invalid."""
+    """Saved label results, a JSON document a source, in parts of bounded size, opened to one row a turn and model; unknown categories count as invalid."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     said = F.create_map(F.lit("m1"), F.when(F.col("quality") == 1, "good").otherwise("poor"), F.lit("m2"), F.when(F.col("toxic") == 1, "odd").otherwise("good"))
-    saved = rows.groupBy("source").agg(F.to_json(F.struct(F.collect_list(F.struct("doc_id", said.alias("classifications"))).alias("turn_results"))).alias("body"))
+    saved = rows.groupBy("source", F.floor(F.monotonically_increasing_id() / BATCH).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("doc_id", said.alias("classifications"))).alias("turn_results"))).alias("body"))
     rows = saved.select("source", F.explode(F.from_json("body", "turn_results ARRAY<STRUCT<doc_id: BIGINT, classifications: MAP<STRING, STRING>>>")["turn_results"]).alias("r"))
     rows = rows.select("source", "r.doc_id", F.explode("r.classifications").alias("model", "category"))
     return rows.select("doc_id", "model", "category", F.col("category").isin("good", "poor").alias("valid"))
@@ -154,7 +158,7 @@ SQL = {
 f AS (SELECT class, support, hits, CASE WHEN guessed > 0 THEN hits / guessed::DOUBLE ELSE 0 END AS precision, CASE WHEN support > 0 THEN hits / support::DOUBLE ELSE 0 END AS recall, CASE WHEN support + guessed > 0 THEN 2.0::DOUBLE * hits / (support + guessed) ELSE 0 END AS f1 FROM c)
 SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round((sum(hits) OVER ())::DOUBLE / (sum(support) OVER ()), 9) AS accuracy, round(avg(f1) OVER (), 9) AS macro_f1, round(sum(f1 * support) OVER () / (sum(support) OVER ()), 9) AS weighted_f1 FROM f""",
     "label_coverage": "WITH j AS (SELECT d.doc_id, l.doc_id AS there, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)), x AS (SELECT 'quality' AS configuration, there, quality AS v FROM j UNION ALL SELECT 'toxic', there, toxic FROM j) SELECT configuration, count(*) FILTER (v IN (0, 1)) AS available, count(*) FILTER (v NOT IN (0, 1)) AS invalid, count(*) FILTER (v IS NULL) AS missing FROM x GROUP BY configuration",
-    "paired_subset": "SELECT count(*) AS n, count(*) FILTER ((n_chars >= 500)::INT = quality) AS first_right, count(*) FILTER ((lang = 'en')::INT = quality) AS second_right, count(*) FILTER ((n_chars >= 500) = (lang = 'en')) AS agree FROM labels JOIN documents USING (doc_id) WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0",
+    "paired_subset": "SELECT count(*) AS n, count(*) FILTER ((n_chars >= 500)::INT = quality) AS first_right, count(*) FILTER ((lang = 'en')::INT = quality) AS second_right, count(*) FILTER ((n_chars >= 500) = (lang = 'en')) AS agree FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND lang IS NOT NULL AND quality IN (0, 1)",
     "alignment": "SELECT CASE WHEN NOT (quality IN (0, 1) AND toxic IN (0, 1)) OR quality IS NULL OR toxic IS NULL THEN 'insufficient' WHEN quality = toxic THEN 'agreement' ELSE 'disagreement' END AS state, count(*) AS n FROM labels GROUP BY 1",
     "set_difference": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "not_exists_chain": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < -500)",
@@ -165,7 +169,7 @@ SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS rec
     "session_upsert_fold": "SELECT o_custkey AS session_id, coalesce(arg_max(o_orderpriority, o_orderkey) FILTER (o_orderkey % 3 = 0), o_custkey::VARCHAR) AS title, min(o_orderdate::DATE)::VARCHAR AS started_at, CASE WHEN bool_or(o_orderkey % 10 = 0) THEN 'session' ELSE 'trace' END AS identity_kind, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS producer, count(*) AS deliveries FROM orders GROUP BY o_custkey",
     "unit_vectors": f"WITH {_UNIT} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first FROM n",
     "cosine_pairs": f"WITH {_UNIT} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(least(1, greatest(-1, list_dot_product(a.v, b.v))), 6) AS score FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4",
-    "json_leaves": "SELECT event_id, '/' || e.key AS pointer, e.value::VARCHAR AS value FROM events, json_each(props) e",
+    "json_leaves": "SELECT event_id, '/' || e.key AS pointer, CASE WHEN e.type IN ('UBIGINT', 'BIGINT') THEN 'bigint' ELSE lower(e.type) END AS type, e.value::VARCHAR AS value FROM events, json_each(props) e",
     "otlp_flatten": f"WITH {TRACE_EVENTS} SELECT session_id, id, start_us * 1000 AS start_ns, kind, source FROM trace_events",
     "label_import": "WITH l AS (SELECT doc_id, quality, toxic FROM labels JOIN documents USING (doc_id)) SELECT doc_id, 'm1' AS model, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS category, true AS valid FROM l UNION ALL SELECT doc_id, 'm2', CASE WHEN toxic = 1 THEN 'odd' ELSE 'good' END, toxic IS DISTINCT FROM 1 FROM l",
     "stream_daily_counts": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -19,7 +19,8 @@ def event_upsert(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    inner = F.struct(F.col("o_orderpriority").alias("agent"), F.struct(F.col("o_custkey").alias("id")).alias("user"), F.array(F.col("o_orderstatus"), F.lit("x")).alias("tags"))
+    deep = F.struct(F.struct(F.struct(F.struct(F.col("o_custkey").alias("f")).alias("e")).alias("d/c")).alias("b"))
+    inner = F.struct(F.col("o_orderpriority").alias("agent"), F.struct(F.col("o_custkey").alias("id")).alias("user"), deep.alias("deep"), F.array(F.col("o_orderstatus"), F.lit("x")).alias("tags"))
     return o.select("o_orderkey", F.to_json(F.struct(inner.alias("meta"), F.col("o_orderkey").alias("key"))).alias("doc"))
 
 
@@ -30,7 +31,7 @@ def field_lineage(spark, sf_dir):
 
 
 def split_search(spark, sf_dir):
-    """Documents' sources as groups, dealt by the best of 64 seeds."""
+    """Documents' sources as groups, dealt by the best of 512 seeds."""
     g = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("group_id")).agg(F.count("*").alias("n"))
     return splits.best_deal(g)
 
@@ -46,9 +47,9 @@ SELECT coalesce(s.session_id, i.session_id) AS session_id, coalesce(s.id, i.id)
   CASE WHEN s.id IS NULL THEN i.text WHEN s.text = '' AND i.text <> '' THEN i.text ELSE s.text END AS text,
   CASE WHEN s.id IS NULL THEN 'inserted' WHEN i.id IS NULL THEN 'kept' WHEN s.end_us IS NULL THEN 'closed' WHEN s.kind = 'tool' AND i.kind = 'user_wait' THEN 'corrected' WHEN s.text = '' AND i.text <> '' THEN 'filled' ELSE 'kept' END AS change
 FROM s FULL OUTER JOIN i ON s.id = i.id AND s.session_id = i.session_id""",
-    "field_lineage": """WITH l AS (SELECT o_orderkey, unnest([{'p': '/meta/agent', 'v': '"' || o_orderpriority || '"', 'o': 'calculated'}, {'p': '/meta/user/id', 'v': o_custkey::VARCHAR, 'o': 'inferred'}, {'p': '/meta/tags/0', 'v': '"' || o_orderstatus || '"', 'o': 'unknown'}, {'p': '/meta/tags/1', 'v': '"x"', 'o': 'unknown'}, {'p': '/key', 'v': o_orderkey::VARCHAR, 'o': 'normalized'}]) AS x FROM orders)
+    "field_lineage": """WITH l AS (SELECT o_orderkey, unnest([{'p': '/meta/agent', 'v': '"' || o_orderpriority || '"', 'o': 'calculated'}, {'p': '/meta/user/id', 'v': o_custkey::VARCHAR, 'o': 'inferred'}, {'p': '/meta/tags/0', 'v': '"' || o_orderstatus || '"', 'o': 'unknown'}, {'p': '/meta/tags/1', 'v': '"x"', 'o': 'unknown'}, {'p': '/meta/deep/b/d~1c/e/f', 'v': o_custkey::VARCHAR, 'o': 'calculated'}, {'p': '/key', 'v': o_orderkey::VARCHAR, 'o': 'normalized'}]) AS x FROM orders)
 SELECT DISTINCT o_orderkey, x.p AS pointer, x.v AS value, x.o AS origin FROM l""",
-    "split_search": f"""WITH g AS (SELECT source AS group_id, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT group_id, n, seed, ('0x' || substr(md5(seed || ':' || group_id), 1, 8))::BIGINT % 100 AS h FROM g, range(64) r(seed)), d AS (SELECT *, {_DEAL} AS split FROM t),
+    "split_search": f"""WITH g AS (SELECT source AS group_id, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT group_id, n, seed, ('0x' || substr(md5(seed || ':' || group_id), 1, 8))::BIGINT % 100 AS h FROM g, range(512) r(seed)), d AS (SELECT *, {_DEAL} AS split FROM t),
 c AS (SELECT seed, sum(n) AS total, coalesce(sum(n) FILTER (split = 'train'), 0) AS a, coalesce(sum(n) FILTER (split = 'validation'), 0) AS b, coalesce(sum(n) FILTER (split = 'test'), 0) AS e FROM d GROUP BY seed),
-best AS (SELECT seed FROM c ORDER BY abs(a * 100 - total * 70) + abs(b * 100 - total * 15) + abs(e * 100 - total * 15), seed LIMIT 1) SELECT group_id, n, seed::INT AS seed, split FROM d JOIN best USING (seed)""",
+best AS (SELECT seed FROM c ORDER BY least(a, b, e) = 0, abs(a * 100 - total * 70) + abs(b * 100 - total * 15) + abs(e * 100 - total * 15), seed LIMIT 1) SELECT group_id, n, seed::INT AS seed, split FROM d JOIN best USING (seed)""",
 }

@@ -1,4 +1,4 @@
-"""Queries over rollouts derived from conversations: no SQL; tests hold them against known sessions."""
+"""Queries over rollouts derived from conversations. Events have no SQL; tests hold them against known sessions."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from loomtrace.sources.views import turns
 
 
 def _events(spark, sf_dir):
-    return rollout.events(source.records(source.lines_of(source.derived_files(spark, sf_dir))))
+    return rollout.events(source.records(source.derived_lines(spark, sf_dir)))
 
 
 def rollout_events(spark, sf_dir):
@@ -25,19 +25,52 @@ def rollout_stats(spark, sf_dir):
 
 
 def raw_line_archive(spark, sf_dir):
-    """Each rollout's lines, bytes and content hash; equal files are one version."""
-    f = source.derived_files(spark, sf_dir)
-    return f.select("file", F.sha2("value", 256).alias("sha256"), F.octet_length("value").alias("byte_count"), (F.length("value") - F.length(F.replace("value", F.lit("\n")))).alias("line_count"))
+    """Each rollout's lines, bytes and content digest."""
+    return source.archived(source.derived_lines(spark, sf_dir))
+
+
+def raw_line_versions(spark, sf_dir):
+    """Archives of rollouts delivered when they had half their lines, whole, and whole again: equal content under one mapping is one version."""
+    lines = source.derived_lines(spark, sf_dir)
+    n = lines.groupBy("file").agg(F.max("line_number").alias("n"))
+    half = lines.join(n, "file").where("line_number * 2 <= n").drop("n")
+    whole = source.archived(lines)
+    sent = [source.archived(half).withColumn("delivery", F.lit(1)), whole.withColumn("delivery", F.lit(2)), whole.withColumn("delivery", F.lit(3))]
+    sent = sent[0].unionByName(sent[1]).unionByName(sent[2]).withColumnRenamed("file", "session_id").withColumn("mapping", F.when(F.col("line_count") % 5 == 0, F.col("delivery").cast("string")).otherwise("1"))
+    return source.versions(sent).select("session_id", "sha256", "mapping", "delivery", "deliveries", "version")
 
 
 def prompt_mirrors(spark, sf_dir):
-    """User turns said twice, as an event and as an item, every seventh event reworded: the copies go."""
+    """User turns said twice, as an event and as an item, one event in seven reworded: the copies go."""
     t = turns(spark, sf_dir).where("role = 'user'").select("session_id", F.col("index").alias("task"), "text")
-    event = F.struct(F.pmod("task", F.lit(4)).alias("line_number"), F.lit("event_msg").alias("source"), F.when(F.hash("text") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    event = F.struct(F.pmod("task", F.lit(4)).alias("line_number"), F.lit("event_msg").alias("source"), F.when(F.length("text") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     item = F.struct(F.lit(1).cast("long").alias("line_number"), F.lit("response_item").alias("source"), F.col("text"))
     said = t.select("session_id", "task", F.inline(F.array(event, item)))
     return rollout.without_mirrors(said).groupBy("session_id", "source").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rollout_events, rollout_stats, raw_line_archive, prompt_mirrors)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (rollout_events, rollout_stats, raw_line_archive, raw_line_versions, prompt_mirrors)}
+_LINES = """turns AS (SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text, turn FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM turns),
+p AS (SELECT conv_id, n, unnest(CASE WHEN role = 'system' THEN [{'k': 0, 's': 0, 'y': 'response_item', 'j': '{"type":"message","role":"system","text":' || to_json(text)::VARCHAR || '}'}]
+  WHEN role = 'user' THEN [{'k': 0, 's': 0, 'y': 'event_msg', 'j': '{"type":"task_started","turn_id":"t' || ((n + 1) // 2) || '"}'}, {'k': 1, 's': 1, 'y': 'response_item', 'j': '{"type":"message","role":"user","text":' || to_json(text)::VARCHAR || '}'}]
+  ELSE CASE WHEN n % 4 < 3 THEN [{'k': 2, 's': 2, 'y': 'response_item', 'j': '{"type":"function_call","call_id":"c' || n || '","name":"' || CASE WHEN n % 8 = 0 THEN 'request_user_input' ELSE 'shell' END || '","arguments":"{}"}'},
+      {'k': 3, 's': 9, 'y': 'response_item', 'j': '{"type":"function_call_output","call_id":"' || CASE WHEN n % 6 <> 0 THEN 'c' || n ELSE 'lost' END || '","output":"' || CASE WHEN n % 10 = 0 THEN 'Process exited with code 2' ELSE 'Wall time: 5.5 seconds' END || '"}'}] ELSE [] END
+    || [{'k': 5, 's': 20, 'y': 'response_item', 'j': '{"type":"message","role":"assistant","phase":"final_answer","text":' || to_json(text)::VARCHAR || '}'}, {'k': 6, 's': 21, 'y': 'event_msg', 'j': '{"type":"task_complete","turn_id":"t' || ((n + 1) // 2) || '"}'}] END) AS r FROM t),
+lines AS (SELECT 'conv-' || conv_id AS file, 2 + row_number() OVER (PARTITION BY conv_id ORDER BY n, r.k) AS line_number,
+    '{"timestamp":"' || strftime(make_timestamp(1700000000000000 + conv_id * 86400000000 + n * 60000000 + r.s * 1000000), '%Y-%m-%dT%H:%M:%S.%fZ') || '","type":"' || r.y || '","payload":' || r.j || '}' AS line FROM p
+  UNION ALL SELECT DISTINCT 'conv-' || conv_id, 1, '{"timestamp":"2023-11-14T00:00:00Z","type":"session_meta","payload":{"id":"' || conv_id || '"}}' FROM conversations UNION ALL SELECT DISTINCT 'conv-' || conv_id, 2, '' FROM conversations)"""
+
+
+def _archive(lines: str) -> str:
+    return f"""SELECT file, sum(n)::BIGINT AS line_count, (sum(size) + sum(n))::BIGINT AS byte_count, sha256(string_agg(h, '' ORDER BY block)) AS sha256 FROM (
+  SELECT file, (line_number - 1) // 1000 AS block, count(*) AS n, sum(strlen(line)) AS size, sha256(string_agg(sha256(line), '' ORDER BY line_number)) AS h FROM {lines} GROUP BY ALL) GROUP BY file"""
+
+
+SQL = {
+    "raw_line_archive": f"WITH {_LINES} {_archive('lines')}",
+    "raw_line_versions": f"""WITH {_LINES}, halves AS (SELECT file, line_number, line FROM (SELECT *, max(line_number) OVER (PARTITION BY file) AS n FROM lines) WHERE line_number * 2 <= n), w AS ({_archive('lines')}),
+sent AS (SELECT *, 1 AS delivery FROM ({_archive('halves')}) UNION ALL SELECT *, 2 FROM w UNION ALL SELECT *, 3 FROM w), m AS (SELECT *, CASE WHEN line_count % 5 = 0 THEN delivery::VARCHAR ELSE '1' END AS mapping FROM sent),
+f AS (SELECT file AS session_id, sha256, mapping, min(delivery)::INT AS delivery, count(*) AS deliveries FROM m GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY delivery, mapping, sha256)::INT AS version FROM f""",
+    "prompt_mirrors": "SELECT conv_id AS session_id, source, count(*) AS n FROM (SELECT conv_id, unnest(CASE WHEN length(text) % 7 = 0 THEN ['event_msg', 'response_item'] ELSE ['response_item'] END) AS source FROM conversations WHERE role = 'user') GROUP BY ALL",
+}

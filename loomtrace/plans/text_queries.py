@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import text as X
 from loomtrace.operators import turns as T
-from loomtrace.operators.graph import components, dependencies
+from loomtrace.operators.graph import components, dealt_anew, dependencies
 from loomtrace.sources.storage import table
 from loomtrace.sources.views import micros, turns
 
@@ -73,16 +73,13 @@ def first_prompt_title(spark, sf_dir):
 def turn_serialization(spark, sf_dir):
     """Each assistant turn with the user turn before it, under section marks."""
     t = turns(spark, sf_dir)
-    before = t.select("session_id", (F.col("index") + 1).alias("index"), F.col("text").alias("previous"))
-    rows = t.where("role = 'assistant'").join(before, ["session_id", "index"], "left")
+    rows = T.previous(t, "text", "previous").where("role = 'assistant'")
     text = F.concat(F.lit("[TARGET TURN]\n"), "text", F.lit("\n[PRECEDING TURN CONTEXT]\n"), F.coalesce("previous", F.lit("[EMPTY]")))
     return rows.select("session_id", "index", F.sha2(text, 256).alias("sha256"), F.length(text).alias("size"))
 
 
 def predecessor_join(spark, sf_dir):
-    t = turns(spark, sf_dir)
-    before = t.select("session_id", (F.col("index") + 1).alias("index"), F.col("role").alias("previous_role"))
-    return t.join(before, ["session_id", "index"], "left").select("session_id", "index", "role", "previous_role")
+    return T.previous(turns(spark, sf_dir), "role", "previous_role").select("session_id", "index", "role", "previous_role")
 
 
 def previous_turn_check(spark, sf_dir):
@@ -102,7 +99,7 @@ def _edges(spark, sf_dir):
     """Sessions that share a turn's text, each with the smallest of them: as many edges as sharers, whatever their number."""
     t = turns(spark, sf_dir).select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).distinct()
     first = t.groupBy("sha256").agg(F.min("session_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return t.join(first, "sha256").where("session_id != first").select(F.col("session_id").alias("u"), F.col("first").alias("v"))
+    return t.join(dealt_anew(first, "sha256"), "sha256").where("session_id != first").select(F.col("session_id").alias("u"), F.col("first").alias("v"))
 
 
 def duplicate_edges(spark, sf_dir):
@@ -122,6 +119,23 @@ def chronological_split(spark, sf_dir):
     return T.chronological_split(groups).select("group_id", F.col("latest").cast("string").alias("latest"), "split")
 
 
+def split_time_overlap(spark, sf_dir):
+    """Whether a split of the customers' orders in time begins before the one before it has ended."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), F.to_date("o_orderdate").alias("at"))
+    groups = o.groupBy("group_id").agg(F.max("at").alias("latest"))
+    found = T.split_overlaps(T.chronological_split(groups), o)
+    return found.select("split", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "n", "overlaps")
+
+
+def endless_chains(spark, sf_dir):
+    """Parts whose chain of successors never ends: each leads to the part of its size times its key, past the last none."""
+    p = table(spark, sf_dir, "part")
+    n = p.agg(F.max("p_partkey").alias("n"))
+    to = F.col("p_partkey") + F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(-F.col("p_size"))
+    nodes = p.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("id"), F.when((to >= 1) & (to <= F.col("n")), to).alias("parent"))  # one row
+    return T.without_end(nodes)
+
+
 def nearest_rank_percentiles(spark, sf_dir):
     return T.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", [0, 50, 90, 95, 100])
 
@@ -141,7 +155,7 @@ def ancestor_identity(spark, sf_dir):
     nodes = nodes.unionByName(c.select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent"), flag(F.col("c_acctbal") < 0, "c", "c_custkey").alias("identity")))
     nodes = nodes.unionByName(n.select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent"), flag(F.col("n_nationkey") % 5 == 0, "n", "n_nationkey").alias("identity")))
     nodes = nodes.unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), name("r", "r_regionkey").alias("identity")))
-    return T.nearest_identity(nodes.distinct(), 2).where("id LIKE 'o%'")
+    return T.nearest_identity(nodes.distinct()).where("id LIKE 'o%'")
 
 
 def dependency_closure(spark, sf_dir):
@@ -152,7 +166,7 @@ def dependency_closure(spark, sf_dir):
     return dependencies(s.select(F.concat(F.lit("s"), "s_suppkey").alias("root")), edges)
 
 
-QUERIES = {f.__name__: f for f in (keyword_purpose, regex_extracts, input_attribution, canonical_timestamps, stable_ids, line_fingerprints, chunk_windows, span_replace, pseudonym_numbers, transcript_budget, first_prompt_title, turn_serialization, predecessor_join, previous_turn_check, role_transitions, duplicate_edges, connected_groups, chronological_split, nearest_rank_percentiles, capture_dedupe, ancestor_identity, dependency_closure)}
+QUERIES = {f.__name__: f for f in (keyword_purpose, regex_extracts, input_attribution, canonical_timestamps, stable_ids, line_fingerprints, chunk_windows, span_replace, pseudonym_numbers, transcript_budget, first_prompt_title, turn_serialization, predecessor_join, previous_turn_check, role_transitions, duplicate_edges, connected_groups, chronological_split, split_time_overlap, endless_chains, nearest_rank_percentiles, capture_dedupe, ancestor_identity, dependency_closure)}
 
 _TURNS = "turns AS (SELECT conv_id AS session_id, turn AS index, role, text FROM conversations)"
 _EDGES = f"{_TURNS}, t AS (SELECT DISTINCT session_id, sha256(coalesce(text, '')) AS h FROM turns), f AS (SELECT h, min(session_id) AS first FROM t GROUP BY h HAVING count(*) > 1), edges AS (SELECT DISTINCT session_id AS u, first AS v FROM t JOIN f USING (h) WHERE session_id <> first)"
@@ -178,7 +192,12 @@ SQL = {
     "connected_groups": f"WITH RECURSIVE {_EDGES}, e AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r AS (SELECT DISTINCT session_id AS a, session_id AS b FROM turns UNION SELECT a, v FROM r JOIN e ON u = b) SELECT a AS session_id, min(b) AS group_id FROM r GROUP BY a",
     "chronological_split": "WITH g AS (SELECT o_custkey AS group_id, max(o_orderdate::DATE) AS latest FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY latest, group_id) AS at, count(*) OVER () AS total FROM g), h AS (SELECT *, greatest(1, round_even(total * 0.15, 0)::BIGINT) AS hold FROM r) SELECT group_id, latest::VARCHAR AS latest, CASE WHEN at > total - hold THEN 'test' WHEN at > total - 2 * hold THEN 'validation' ELSE 'train' END AS split FROM h".replace(" AS at,", " AS place,").replace("WHEN at >", "WHEN place >"),
     "nearest_rank_percentiles": "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL) SELECT p AS percent, n_chars AS value FROM r, (VALUES (0), (50), (90), (95), (100)) v(p) WHERE k = round_even((n - 1) * p / 100.0, 0)::BIGINT + 1",
+    "endless_chains": "WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey + CASE WHEN p_size % 2 = 0 THEN p_size ELSE -p_size END AS t FROM part), e AS (SELECT id, t FROM p WHERE t BETWEEN 1 AND (SELECT max(id) FROM p)), s(id) AS (SELECT id FROM p WHERE id NOT IN (SELECT id FROM e) UNION SELECT e.id FROM e JOIN s ON e.t = s.id) SELECT id FROM p WHERE id NOT IN (SELECT id FROM s)",
     "capture_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS payload_id, count(*) AS attempts, max(strlen(text))::INT AS byte_count FROM documents GROUP BY 1",
     "ancestor_identity": "SELECT DISTINCT 'o' || o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'o' || o_orderkey WHEN c_acctbal < 0 THEN 'c' || c_custkey WHEN n_nationkey % 5 = 0 THEN 'n' || n_nationkey ELSE 'r' || n_regionkey END AS identity FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
     "dependency_closure": "WITH x AS (SELECT 's' || s_suppkey AS root, 'n' || s_nationkey AS n, 'r' || n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT DISTINCT root, unnest([root, n, r]) AS node, unnest([0, 1, 2]) AS depth FROM x",
 }
+SQL["split_time_overlap"] = (
+    "WITH s AS (" + SQL["chronological_split"] + "), x AS (SELECT split, min(o_orderdate::DATE) AS first, max(o_orderdate::DATE) AS last, count(*) AS n FROM orders JOIN s ON s.group_id = o_custkey GROUP BY split) "
+    "SELECT split, first::VARCHAR AS first, last::VARCHAR AS last, n, coalesce(first < lag(last) OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END), false) AS overlaps FROM x"
+)

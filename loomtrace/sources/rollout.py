@@ -40,13 +40,33 @@ def records(lines: DataFrame) -> DataFrame:
     return parsed.join(bad, "file", "left_anti").select("file", "line_number", "at_us", F.col("r.type").alias("type"), F.col("r.payload").alias("payload"))
 
 
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations and their users' events written as rollouts: file, value.
+def archived(lines: DataFrame, block: int = 1000) -> DataFrame:
+    """file, line_count, byte_count, sha256 of each file of lines.
+
+    The digest is of the digests of blocks of lines, in order, each of the digests of
+    its lines; so no group holds more than a block, or a line of each block.
+    """
+    own = lines.select("file", F.floor((F.col("line_number") - 1) / block).alias("block"), F.struct("line_number", F.sha2("line", 256).alias("h")).alias("x"), F.octet_length("line").alias("size"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["h"]), ""), 256)
+    blocks = own.groupBy("file", "block").agg(joined("x").alias("h"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    return blocks.groupBy("file").agg(F.sum("n").alias("line_count"), (F.sum("size") + F.sum("n")).alias("byte_count"), joined(F.struct("block", "h")).alias("sha256"))
+
+
+def versions(deliveries: DataFrame) -> DataFrame:
+    """The archives that deliveries add (columns session_id, sha256, mapping, delivery): the first of equal ones, numbered from 1 in each session."""
+    first = deliveries.groupBy("session_id", "sha256", "mapping").agg(F.min("delivery").alias("delivery"), F.count("*").alias("deliveries"))
+    return first.withColumn("version", F.row_number().over(Window.partitionBy("session_id").orderBy("delivery", "mapping", "sha256")))
+
+
+def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations written as rollouts, one row a line: file, line_number, line.
 
     A conversation is a session; each of its turns starts a task that a message, a
     tool call for every second answer and its output, and a final answer make up.
+    System turns are instructions; a null role is the user's.
     """
-    t = table(spark, sf_dir, "conversations").where("role != 'system'").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")))
+    t = table(spark, sf_dir, "conversations").withColumn("role", F.coalesce("role", F.lit("user"))).withColumn("text", F.coalesce("text", F.lit("")))
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
     base = 1_700_000_000_000_000 + F.col("conv_id") * 86_400_000_000 + F.col("n") * 60_000_000
     stamp = lambda s: F.date_format(F.timestamp_micros(base + s * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     turn = F.concat(F.lit("t"), F.ceil(F.col("n") / 2).cast("string"))
@@ -54,14 +74,17 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def record(order: int, second: int, kind: str, **payload):
         body = F.struct(*[v.alias(k) for k, v in payload.items()])
-        return F.struct(F.col("n"), F.lit(order).alias("k"), F.to_json(F.struct(stamp(second).alias("timestamp"), F.lit(kind).alias("type"), body.alias("payload"))).alias("json"))
+        return F.struct(F.lit(order).alias("k"), F.to_json(F.struct(stamp(second).alias("timestamp"), F.lit(kind).alias("type"), body.alias("payload"))).alias("json"))
 
     lit = F.lit
+    system = F.array(record(0, 0, "response_item", type=lit("message"), role=lit("system"), text=F.col("text")))
     user = F.array(record(0, 0, "event_msg", type=lit("task_started"), turn_id=turn), record(1, 1, "response_item", type=lit("message"), role=lit("user"), text=F.col("text")))
     plain = F.array(record(5, 20, "response_item", type=lit("message"), role=lit("assistant"), phase=lit("final_answer"), text=F.col("text")), record(6, 21, "event_msg", type=lit("task_complete"), turn_id=turn))
     tool = F.array(record(2, 2, "response_item", type=lit("function_call"), call_id=call, name=F.when(F.col("n") % 8 == 0, "request_user_input").otherwise("shell"), arguments=lit("{}")), record(3, 9, "response_item", type=lit("function_call_output"), call_id=F.when(F.col("n") % 6 != 0, call).otherwise("lost"), output=F.when(F.col("n") % 10 == 0, "Process exited with code 2").otherwise("Wall time: 5.5 seconds")))
-    made = F.when(F.col("role") == "user", user).when(F.col("n") % 4 < 3, F.concat(tool, plain)).otherwise(plain)
-    rows = t.select("conv_id", F.explode(made).alias("r"))
+    made = F.when(F.col("role") == "system", system).when(F.col("role") == "user", user).when(F.col("n") % 4 < 3, F.concat(tool, plain)).otherwise(plain)
+    rows = t.select("conv_id", "n", F.explode(made).alias("r"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("n", "r.k")) + 2
+    body = rows.select("conv_id", place.alias("line_number"), F.col("r.json").alias("line"))
     head = F.concat(lit('{"timestamp":"2023-11-14T00:00:00Z","type":"session_meta","payload":{"id":"'), F.col("conv_id").cast("string"), lit('"}}'))
-    body = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["json"]), "\n").alias("body"))
-    return body.select(F.concat(lit("conv-"), F.col("conv_id").cast("string")).alias("file"), F.concat(head, lit("\n\n"), "body", lit("\n")).alias("value"))
+    heads = t.select("conv_id").distinct().select("conv_id", F.inline(F.array(F.struct(lit(1).alias("line_number"), head.alias("line")), F.struct(lit(2).alias("line_number"), lit("").alias("line")))))
+    return heads.unionByName(body).select(F.concat(lit("conv-"), F.col("conv_id").cast("string")).alias("file"), "line_number", "line")

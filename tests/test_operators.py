@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomtrace.functions import text as X
-from loomtrace.operators import graph, intervals, labels, merge, similarity, turns, usage
+from loomtrace.operators import graph, intervals, labels, lineage, merge, similarity, splits, turns, usage
 
 SECOND = 1_000_000
 
@@ -79,7 +79,7 @@ def test_attribution_bases(spark):
 
 def test_nearest_identity_over_a_cycle(spark):
     rows = [(1, None, "root"), (2, 1, None), (3, 2, None), (4, 3, "own"), (5, 4, None), (6, 7, None), (7, 6, None)]
-    got = {r.id: r.identity for r in turns.nearest_identity(spark.createDataFrame(rows, "id int, parent int, identity string"), 3).collect()}
+    got = {r.id: r.identity for r in turns.nearest_identity(spark.createDataFrame(rows, "id int, parent int, identity string")).collect()}
     assert got == {1: "root", 2: "root", 3: "root", 4: "own", 5: "own", 6: None, 7: None}
 
 
@@ -105,3 +105,31 @@ def test_dependencies_end_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "node string, needs string")
     got = graph.dependencies(spark.createDataFrame([("a",), ("d",), ("z",)], "root string"), edges).collect()
     assert sorted(map(tuple, got)) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("d", "a", 2), ("d", "b", 3), ("d", "c", 1), ("d", "d", 0), ("z", "z", 0)]
+
+
+def test_identity_at_the_top_of_a_long_chain(spark):
+    rows = [(i, i + 1 if i < 40 else None, "top" if i == 40 else None) for i in range(41)]
+    got = turns.nearest_identity(spark.createDataFrame(rows, "id int, parent int, identity string")).collect()
+    assert {r.identity for r in got} == {"top"} and len(got) == 41
+
+
+def test_chains_without_end(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 5), (5, 6), (6, 4), (7, 4), (8, 7), (9, 9)] + [(i, i + 1) for i in range(20, 60)] + [(60, None)]
+    assert sorted(r.id for r in turns.without_end(spark.createDataFrame(rows, "id int, parent int")).collect()) == [4, 5, 6, 7, 8, 9]
+
+
+def test_leaves_of_any_depth(spark):
+    doc = '{"a":{"b":{"c":{"d":{"e":{"f":[{"g":1},[]]}}}}},"x/y":{"~":null},"z":{}}'
+    got = {r.pointer: (r.type, r.value) for r in lineage.leaves(spark.createDataFrame([(1, doc), (2, None), (3, "5")], "id int, doc string"), "id", "doc").where("id = 1").collect()}
+    assert got == {"/a/b/c/d/e/f/0/g": ("bigint", "1"), "/a/b/c/d/e/f/1": ("array", "[]"), "/x~1y/~0": ("void", "null"), "/z": ("object", "{}")}
+
+
+def test_few_groups_still_fill_every_split(spark):
+    got = {r.group_id: r.split for r in splits.best_deal(spark.createDataFrame([("a", 5), ("b", 9), ("c", 1)], "group_id string, n long"), 1).collect()}
+    assert sorted(got.values()) == ["test", "train", "validation"]
+
+
+def test_previous_turn_of_repeats(spark):
+    rows = [(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (1, 3, "d")]
+    got = sorted((r["index"], r.role, r.before) for r in turns.previous(spark.createDataFrame(rows, "session_id int, index int, role string"), "role", "before").collect())
+    assert got == [(0, "a", None), (0, "b", None), (1, "c", "b"), (3, "d", None)]
