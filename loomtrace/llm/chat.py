@@ -9,18 +9,21 @@ joined, without their markers, and rendered in the canonical form
     text
     <|end|>
 
-Probabilities come from counts over all labelled turns, taken by Spark and
-smoothed; the model is a few dozen numbers.
+All probabilities come from counts over lines of labelled transcripts, smoothed by
+one; the model is some hundred numbers.
 
 ``transcripts`` writes a conversations table as plain transcripts: markers in
 one of several styles, dropped from some turns (``unmarked`` in 100, by a hash),
-blank lines between turns. A conversation is written and parsed in parts of
-``PART`` turns, so a very long one is spread over tasks.
+blank lines between turns. Parts of ``PART`` turns spread a very long conversation
+over tasks. The chain goes on over them: each part gives the best score from every
+state before it to every state at its end, a conversation's parts are folded in
+order, and each is then parsed from and to the states that the best path has there.
 
 Cases: null roles count as user; roles are lower-cased, and ones other than user,
 assistant and system are read as user. Null and empty texts are empty turns and
-aren't rendered. A null or empty transcript has no turns. Repeated turns stay, in
-order of text. An empty table gives no rows. Other columns are not read.
+aren't rendered. A null turn comes first. A null or empty transcript has no turns.
+Repeated turns stay, in order of text. An empty table gives no rows. Other columns
+of conversations are not read; those of given transcripts pass through.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.shared import added, table, without
+from loomtrace.llm.shared import added, crc_remainder, held_out, table, without, written
 from loomtrace.llm.text import slices
+from loomtrace.operators.ordering import row_numbers
 
 ROLES = ("system", "user", "assistant")
 #: Speaker names of each role, as transcripts have them (fixed values).
@@ -49,8 +54,10 @@ _MARKER = re.compile(rf"\s*(?:\*\*{_ANY}:\*\*|\[{_ANY}\]|#{{1,4}}\s*{_ANY}\s*:?\
 SHAPE = (4, 2, 2, 3)
 #: Turn-beginning lines are states 0 to 2, lines inside a turn 3 to 5.
 N_STATES = 6
-#: How often a turn's first line, and a line inside a turn, has a marker of its own role, of another, or none.
-_MARKED = {True: (0.80, 0.005, 0.19), False: (0.002, 0.001, 0.996)}
+#: Where a chain comes from before its first line.
+START = N_STATES
+#: What is counted, by state: markers, blank lines before, shapes, the state after; and first states.
+_COUNTED = {"marker": (N_STATES, 4), "blank": (N_STATES, 2), "shape": (N_STATES, 2, 3), "move": (N_STATES, N_STATES), "start": (N_STATES,)}
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -73,62 +80,90 @@ def observed(lines: list[str]) -> tuple[np.ndarray, list[int]]:
     return np.array(rows, np.int64).reshape(-1, 4), places
 
 
-def log_model(shape_counts: dict[tuple[str, int, int], int], turn_counts: dict[tuple[str, str], int], inner: tuple[int, int] = (0, 0)) -> dict[str, np.ndarray]:
-    """Log start, transition and emission tables.
-
-    shape_counts: lines by (role, question, length class); turn_counts: neighbouring turns by (role, next role);
-    inner: lines inside turns, and those with a blank line before them.
-    """
-    blank_inside = (inner[1] + 1) / (inner[0] + 10)
-    shapes = np.ones((3, 2, 3))
-    for (role, question, size), n in shape_counts.items():
-        shapes[ROLES.index(role), question, size] += n
-    lines = shapes.sum((1, 2))
-    turns = np.ones((3, 3))
-    for (a, b), n in turn_counts.items():
-        turns[ROLES.index(a), ROLES.index(b)] += n
-    stop = np.clip(turns.sum(1) / lines, 0.05, 0.95)  # turns end so often a line
-    shapes /= shapes.sum((1, 2), keepdims=True)
-    turns /= turns.sum(1, keepdims=True)
-    move = np.zeros((N_STATES, N_STATES))
-    emit = np.zeros((N_STATES, *SHAPE))
-    for s in range(N_STATES):
-        role, begins = s % 3, s < 3
-        move[s, :3] = stop[role] * turns[role]
-        move[s, 3 + role] = 1 - stop[role]
-        own, other, none = _MARKED[begins]
-        for k in range(4):
-            has = none if k == 0 else own if k == 1 + role else other
-            for blank in range(2):
-                # a blank line stands before most turns
-                share = 0.9 if begins else blank_inside
-                emit[s, k, blank] = has * (share if blank else 1 - share) * shapes[role]
-    start = np.array([0.2, 0.6, 0.2, 1e-9, 1e-9, 1e-9])
+def line_states(turns: list[tuple[str, str]]) -> list[int]:
+    """The states of the lines of (role, text) turns that aren't blank."""
+    return [ROLES.index(role) + 3 * (k > 0) for role, text in turns for k in range(sum(1 for x in text.split("\n") if x.strip()))]
+
+
+def counts_of(turns: list[tuple[str, str]], first: bool) -> dict[str, np.ndarray]:
+    """Counts over one transcript of labelled turns; ``first``: whether a conversation begins with it."""
+    out = {k: np.zeros(v) for k, v in _COUNTED.items()}
+    rows, _ = observed("\n\n".join(text for _, text in turns).split("\n"))
+    states = np.array(line_states(turns), np.int64)
+    if len(states):
+        np.add.at(out["marker"], (states, rows[:, 0]), 1)
+        np.add.at(out["blank"], (states, rows[:, 1]), 1)
+        np.add.at(out["shape"], (states, rows[:, 2], rows[:, 3]), 1)
+        np.add.at(out["move"], (states[:-1], states[1:]), 1)
+        out["start"][states[0]] += first
+    return out
+
+
+def log_model(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Log start, move and emission tables from counts; what has none is as likely as one in so many."""
+    share = lambda x, n: (x + 1) / (x + 1).reshape(len(x), -1).sum(1).reshape(-1, *[1] * n)
+    emit = share(counts["marker"], 1)[:, :, None, None, None] * share(counts["blank"], 1)[:, None, :, None, None] * share(counts["shape"], 2)[:, None, None]
+    # a line inside a turn follows a line of its role; a conversation begins with a turn
+    can = np.ones((N_STATES, N_STATES), bool)
+    can[:, 3:] = np.arange(N_STATES)[:, None] % 3 == np.arange(3)
+    move = np.where(can, counts["move"] + 1, 0)
+    start = np.where(np.arange(N_STATES) < 3, counts["start"] + 1, 0)
     with np.errstate(divide="ignore"):
-        return {"start": np.log(start), "move": np.log(move), "emit": np.log(emit)}
+        return {"start": np.log(start / start.sum()), "move": np.log(move / move.sum(1, keepdims=True)), "emit": np.log(emit)}
+
 
+def _emitted(model: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    return model["emit"][:, rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3]].T
 
-def viterbi(model: dict[str, np.ndarray], rows: np.ndarray) -> list[int]:
-    """The likeliest states; ties go to the lower state."""
+
+def viterbi(model: dict[str, np.ndarray], rows: np.ndarray, entry: int = START, exit: int | None = None) -> list[int]:
+    """The likeliest states from the state before the rows to that of the last one, where it is given; ties go to the lower state."""
     if not len(rows):
         return []
-    emitted = model["emit"][:, rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3]].T
-    best, back = model["start"] + emitted[0], []
+    emitted = _emitted(model, rows)
+    best, back = (model["start"] if entry == START else model["move"][entry]) + emitted[0], []
     for e in emitted[1:]:
         ways = best[:, None] + model["move"]
         back.append(ways.argmax(0))
         best = ways.max(0) + e
-    states = [int(best.argmax())]
+    states = [int(best.argmax()) if exit is None else exit]
     for b in reversed(back):
         states.append(int(b[states[-1]]))
     return states[::-1]
 
 
-def parse(model: dict[str, np.ndarray], transcript: str | None) -> list[tuple[str, str]]:
-    """Turns (role, text) of a transcript."""
+def transfer(model: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray | None:
+    """Best scores from each state before the rows (START too) to each at their end; null without rows."""
+    if not len(rows):
+        return None
+    emitted = _emitted(model, rows)
+    best = np.concatenate([model["move"], model["start"][None]]) + emitted[0]
+    for e in emitted[1:]:
+        best = (best[:, :, None] + model["move"]).max(1) + e
+    return best
+
+
+def boundaries(transfers: list[np.ndarray | None]) -> list[tuple[int, int]]:
+    """The states before and at the end of each part on the best path over all of them."""
+    scores = np.append(np.full(N_STATES, -np.inf), 0.0)
+    forward = []
+    for m in transfers:
+        forward.append(scores)
+        if m is not None:
+            scores = np.append((scores[:, None] + m).max(0), -np.inf)
+    state, out = int(scores.argmax()), []
+    for m, before in zip(reversed(transfers), reversed(forward)):
+        entry = state if m is None else int((before + m[:, state]).argmax())
+        out.append((entry, state))
+        state = entry
+    return out[::-1]
+
+
+def parse(model: dict[str, np.ndarray], transcript: str | None, entry: int = START, exit: int | None = None) -> list[tuple[str, str]]:
+    """Turns (role, text) of a transcript, or of a part that the best path enters and leaves in these states."""
     lines = (transcript or "").split("\n")
     rows, places = observed(lines)
-    states = viterbi(model, rows)
+    states = viterbi(model, rows, entry, exit)
     starts = [i for i, s in enumerate(states) if s < 3] or [0]
     if starts[0] != 0:
         starts.insert(0, 0)
@@ -153,50 +188,90 @@ def _role():
     return F.when(role.isin(*ROLES), role).otherwise("user")
 
 
-def fit(conversations: DataFrame) -> dict[str, np.ndarray]:
-    """The model, from counts over all turns (at most 18, 9 and 1 rows of counts come to the driver)."""
-    turns = conversations.select("conv_id", "turn", _role().alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = turns.select("role", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) != ''")
-    size = F.when(F.length("line") < 80, 0).when(F.length("line") < 400, 1).otherwise(2)
-    shapes = lines.groupBy("role", F.rtrim("line").endswith("?").cast("int").alias("q"), size.alias("n")).count()
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    pairs = turns.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "next").count()
-    parts = turns.select(F.split(F.trim("text"), "\n").alias("x")).select(F.posexplode("x").alias("i", "line"), "x").where("i > 0 AND trim(line) != ''")
-    inner = parts.agg(F.count("*"), F.count_if(F.trim(F.col("x")[F.col("i") - 1]) == "")).first()
-    return log_model({(r, q, n): c for r, q, n, c in shapes.collect()}, {(a, b): c for a, b, c in pairs.collect()}, tuple(inner))
-
-
 def transcripts(conversations: DataFrame, unmarked: int = UNMARKED) -> DataFrame:
-    """conv_id, part, transcript, roles (of the turns with text)."""
+    """conv_id, part (from 0), transcript, and turns: role and text as written of those with text."""
     names = F.create_map(*[x for r in ROLES for x in (F.lit(r), F.array(*map(F.lit, (NAMES[r] * 2)[:2])))])
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
     name = F.element_at(names[F.col("role")], F.pmod(F.xxhash64("conv_id", F.lit(1)), F.lit(2)).cast("int") + 1)
     mark = F.coalesce(*[F.when(style == k, F.concat(F.lit(s.split("{name}")[0]), F.initcap(name), F.lit(s.split("{name}")[1]))) for k, s in enumerate(STYLES)])
-    turns = conversations.select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), _role().alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) != ''")
-    bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) < unmarked) & (F.pmod("turn", F.lit(PART)) > 0)
+    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), _role().alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) != ''")
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) < unmarked
     turns = turns.withColumn("line", F.concat(F.when(bare, "").otherwise(mark), "text"))
-    part = F.expr(f"turn div {PART}").alias("part")
-    rows = turns.groupBy("conv_id", part).agg(F.sort_array(F.collect_list(F.struct("turn", "line", "role"))).alias("turns"))
-    return rows.select("conv_id", "part", F.array_join(F.transform("turns", lambda x: x["line"]), "\n\n").alias("transcript"), F.transform("turns", lambda x: x["role"]).alias("roles"))
+    # a part is a stretch of the table's order, so it is bounded however many turns tie
+    placed = row_numbers(turns, [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "line", "role")], "place")
+    rows = placed.groupBy("conv_id", F.expr(f"place div {PART}").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("place", "role", "line"))).alias("turns"))
+    low = rows.groupBy("conv_id").agg(F.min("stretch").alias("low")).toDF("of_conv", "low")
+    rows = rows.join(low, F.col("conv_id").eqNullSafe(F.col("of_conv")))
+    turns = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["line"].alias("text")))
+    return rows.select("conv_id", (F.col("stretch") - F.col("low")).alias("part"), F.array_join(F.transform("turns", lambda x: x["line"]), "\n\n").alias("transcript"), turns.alias("turns"))
+
 
+def fit(parts: DataFrame) -> dict[str, np.ndarray]:
+    """The model from labelled transcripts (part, turns: role and text as written); as many counts come to the driver as the model has."""
 
-def formatted(texts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """The columns of ``texts`` (transcript among them), parsed_roles and chat, the canonical rendering."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = {k: np.zeros(v) for k, v in _COUNTED.items()}
+            for part, turns in zip(batch.column("part").to_pylist(), batch.column("turns").to_pylist()):
+                for k, v in counts_of([(x["role"], x["text"]) for x in turns or []], part == 0).items():
+                    total[k] += v
+            flat = np.concatenate([v.ravel() for v in total.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "n"])
+
+    found = dict(map(tuple, parts.select("part", "turns").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n")).collect()))
+    counts, at = {}, 0
+    for k, shape in _COUNTED.items():
+        size = int(np.prod(shape))
+        counts[k] = np.array([found.get(i, 0.0) for i in range(at, at + size)]).reshape(shape)
+        at += size
+    return log_model(counts)
+
+
+def formatted(texts: DataFrame, model: dict[str, np.ndarray], states: bool = False) -> DataFrame:
+    """The columns of ``texts`` (transcript among them), parsed_roles and chat, the canonical rendering.
+
+    ``states``: its columns entry and exit say where the best path enters and leaves a part.
+    """
     texts = without(texts, {"parsed_roles", "chat"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "transcript"):
-            turns = [parse(model, t) for t in batch.column("transcript").to_pylist()]
+            given = zip(batch.column("entry").to_pylist(), batch.column("exit").to_pylist()) if states else [(START, None)] * batch.num_rows
+            turns = [parse(model, t, *ends) for t, ends in zip(batch.column("transcript").to_pylist(), given)]
             roles = pa.array([[r for r, _ in t] for t in turns], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, roles, pa.array([rendered(t) for t in turns], pa.string())], [*batch.schema.names, "parsed_roles", "chat"])
 
     return texts.mapInArrow(run, added(texts, "parsed_roles array<string>, chat string"))
 
 
+def formatted_parts(parts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """``formatted`` for parts of conversations (conv_id, part, transcript), as if each conversation were parsed whole."""
+
+    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "transcript"):
+            found = [transfer(model, observed((t or "").split("\n"))[0]) for t in batch.column("transcript").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array([None if m is None else m.ravel().tolist() for m in found], pa.list_(pa.float64()))], ["conv_id", "part", "scores"])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        ends = boundaries([None if m is None else np.asarray(m, float).reshape(N_STATES + 1, N_STATES) for m in rows["scores"]])
+        return pd.DataFrame({"conv_id": rows["conv_id"], "part": rows["part"], "entry": [a for a, _ in ends], "exit": [b for _, b in ends]})
+
+    kind = parts.schema["conv_id"].dataType.simpleString()
+    # one short row for PART turns, whatever their texts
+    scores = parts.select("conv_id", "part", "transcript").mapInArrow(transfers, f"conv_id {kind}, part long, scores array<double>")
+    ends = scores.groupBy("conv_id").applyInPandas(fold, f"conv_id {kind}, part long, entry int, exit int").toDF("of_conv", "of_part", "entry", "exit")
+    met = parts.join(ends, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("part") == F.col("of_part"))).drop("of_conv", "of_part")
+    return formatted(met, model, states=True).drop("entry", "exit")
+
+
 def op3_hmm_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    found = formatted(transcripts(turns), fit(turns))
-    return found.select("conv_id", "part", F.size("roles").alias("n_turns"), F.size("parsed_roles").alias("n_parsed"), F.array_join("parsed_roles", ",").alias("roles"), (F.col("roles") == F.col("parsed_roles")).alias("recovered"), "chat")
+    """Transcripts of all conversations; the model learns from those that aren't held out."""
+    parts = written(transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    model = fit(parts.where(F.coalesce(crc_remainder("conv_id"), F.lit(0)) != 1))
+    found = formatted_parts(parts, model)
+    roles = F.transform("turns", lambda x: x["role"])
+    return found.select("conv_id", "part", held_out("conv_id").alias("held_out"), F.size("turns").alias("n_turns"), F.size("parsed_roles").alias("n_parsed"), F.array_join("parsed_roles", ",").alias("roles"), (roles == F.col("parsed_roles")).alias("recovered"), "chat")
 
 
 QUERIES = {"op3_hmm_chat": op3_hmm_chat}

@@ -214,7 +214,18 @@ def test_urls(spark):
     assert urls.verdicts(spark.createDataFrame([], "page_id long, url string, html string"), urls.RULES).count() == 0
 
 
-MODEL = chat.log_model({("user", 1, 0): 50, ("user", 0, 0): 50, ("assistant", 0, 1): 100, ("system", 0, 0): 9}, {("user", "assistant"): 50, ("assistant", "user"): 40, ("system", "user"): 9})
+def some_model():
+    rng = random.Random(2)
+    total = None
+    for _ in range(60):
+        turns = [("user", rng.choice(["User: ", "[User] ", "### Human\n", ""]) + "hi there?"), ("assistant", rng.choice(["Assistant: ", "**AI:** ", ""]) + "Well, " + "this is it. " * rng.randrange(9) + "\nmore of it")] * 2
+        turns = ([("system", "System: rules")] if rng.random() < 0.2 else []) + turns
+        counts = chat.counts_of(turns, True)
+        total = counts if total is None else {k: total[k] + v for k, v in counts.items()}
+    return chat.log_model(total)
+
+
+MODEL = some_model()
 
 
 def test_transcripts():
@@ -237,10 +248,44 @@ def test_viterbi_finds_the_likeliest_path():
 def test_chat_over_a_table(spark):
     turns = [(1, 0, "user", "What is it?"), (1, 1, "assistant", "A thing.\nWith lines."), (1, 1, "assistant", "A thing.\nWith lines."), (2, None, None, "x"), (3, 0, "BOSS", None), (4, 100, "System", "Be kind.")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = chat.formatted(chat.transcripts(df, unmarked=0), chat.fit(df)).collect()
-    assert {(r.conv_id, r.part): r.parsed_roles for r in got} == {(1, 0): ["user", "assistant", "assistant"], (2, 0): ["user"], (4, 1): ["system"]}
-    assert all(r.roles == r.parsed_roles for r in got)
-    assert chat.formatted(chat.transcripts(df.where("false")), chat.fit(df.where("false"))).count() == 0
+    parts = chat.transcripts(df.selectExpr("*", "1 AS place", "2 AS part"), unmarked=0)
+    got = chat.formatted_parts(parts, chat.fit(parts)).collect()
+    assert {(r.conv_id, r.part): r.parsed_roles for r in got} == {(1, 0): ["user", "assistant", "assistant"], (2, 0): ["user"], (4, 0): ["system"]}
+    assert all([x.role for x in r.turns] == r.parsed_roles for r in got)
+    none = chat.transcripts(df.where("false"))
+    assert chat.formatted_parts(none, chat.fit(none)).count() == 0
+
+
+def test_parts_are_parsed_as_one_chain(spark):
+    rng = random.Random(5)
+    lines = [rng.choice(["User: what?", "plain text", "[Assistant] well", "", "x" * 100, "is it?", "### System"]) for _ in range(400)]
+    whole = chat.viterbi(MODEL, chat.observed(lines)[0])
+    cuts, parts, at = [37, 120, 121, 260, 400], [], 0
+    for c in cuts:
+        parts.append(lines[at:c])
+        at = c
+    rows = [chat.observed(p)[0] for p in parts]
+    for k, r in enumerate(rows[1:], 1):  # what a part can't see: whether a blank line came before it
+        if len(r):
+            last = next(x for x in reversed(lines[: cuts[k - 1]]) if True)
+            r[0, 1] = int(not last.strip())
+            r[0, 1] |= int(not parts[k][0].strip())
+    ends = chat.boundaries([chat.transfer(MODEL, r) for r in rows])
+    states = [s for r, (a, b) in zip(rows, ends) for s in chat.viterbi(MODEL, r, a, b)]
+    score = lambda path: MODEL["start"][path[0]] + sum(MODEL["move"][a, b] for a, b in zip(path, path[1:]))
+    assert len(states) == len(whole) and all(b == c for (_, b), (c, _) in zip(ends, ends[1:]))
+    emitted = chat._emitted(MODEL, chat.observed(lines)[0])
+    total = lambda path: score(path) + sum(e[s] for e, s in zip(emitted, path))
+    assert abs(total(states) - total(whole)) < 1e-9
+
+
+def test_a_long_conversation(spark):
+    rng = random.Random(6)
+    turns = [(7, i, ("user", "assistant")[i % 2], " ".join(rng.choices(["how", "is", "it", "then"], k=5)) + ("?" if i % 2 == 0 else ".\nAnd so on, with more words.")) for i in range(300)] + [(8, None, "user", f"null turn {i}") for i in range(100)]
+    parts = chat.transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = chat.formatted_parts(parts, chat.fit(parts)).collect()
+    assert max(len(r.turns) for r in got) <= chat.PART and sum(len(r.turns) for r in got) == 400
+    assert sum([x.role for x in r.turns] == r.parsed_roles for r in got if r.conv_id == 7) >= 3
 
 
 def test_hash_of_no_items():
