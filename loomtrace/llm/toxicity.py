@@ -6,11 +6,13 @@ so that an inflected form not met in training still counts. Every coordinate has
 term leaves most weights at zero, so the model is a short list of (bucket, weight).
 
 Training is by rounds of parameter mixing: each of a few shards runs FTRL over
-its rows from the mixed state, and the states' means are the next round's. The
-state has as many coordinates as buckets, whatever the input's size.
+its rows from the mixed state and sends how the coordinates changed that it met;
+the state moves by the mean of the changes. It has as many coordinates as buckets,
+whatever the input's size.
 
 Labelled rows: at most about ``SAMPLE_ROWS`` (a share of ids by hash once there
-are more), a documented bound; the corpus is scored whole.
+are more, and of distinct rows where ids repeat), a documented bound; the corpus is
+scored whole.
 
 Cases: a null, empty or white text scores by the bias alone. Rows without a
 label, or whose label isn't 0 or 1, aren't learned from. With no labelled rows
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +40,6 @@ SAMPLE_ROWS = 40_000
 SHARD_ROWS, SHARDS, ROUNDS = 8000, 8, 5
 #: FTRL's alpha, beta and the strengths of L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
-#: Coordinates that a shard leaves nearer to zero than this share of L1 aren't sent.
-SENT = 0.25
 THRESHOLD = 0.7
 #: Text scored at once; a longer text is scored whole.
 SLICE_BYTES = 4 << 20
@@ -94,23 +95,22 @@ def _rows(texts: pa.Array, labels: list[int]) -> list[tuple[np.ndarray, int]]:
     return [(np.union1d(bucket[edges[i] : edges[i + 1]], [BIAS]), y) for i, y in enumerate(labels)]
 
 
-def _shard(state: list):
+def _shard(state: Broadcast):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        z, n = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-        if len(state[0]):
-            z[state[0]], n[state[0]] = state[1], state[2]
+        z, n = (x.copy() for x in state.value)
         order = np.random.default_rng(len(part) + key[0]).permutation(len(part))
         texts, labels = part["text"].to_numpy()[order], part["label"].to_numpy()[order]
         for at in range(0, len(part), 128):
             ftrl(_rows(pa.array(texts[at : at + 128], pa.string(), from_pandas=True), labels[at : at + 128].tolist()), z, n)
-        at = np.flatnonzero(np.abs(z) > SENT * L1)
-        return pd.DataFrame({"bucket": at, "z": z[at], "n": n[at]})
+        dz, dn = z - state.value[0], n - state.value[1]
+        at = np.flatnonzero(dn)
+        return pd.DataFrame({"bucket": at, "z": dz[at], "n": dn[at]})
 
     return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """text, label, shard of at most about ``most`` labelled rows, chosen by a hash of the id.
+    """text, label, shard of at most about ``most`` distinct labelled rows, chosen by a hash of the id, and of id and text where ids repeat.
 
     Only the chosen ids, bounded by ``most``, meet the texts.
     """
@@ -119,23 +119,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
     n = labels.count()
     if n > most:
         labels = labels.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    docs = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+    n = rows.count()
+    if n > most:
+        key = F.xxhash64("doc_id", "text", F.lit(7))
+        n = rows.select(F.approx_count_distinct(key, 0.02)).first()[0]
+        rows = rows.where(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / n))).distinct()
     shards = min(SHARDS, bucketed(min(n, most), SHARD_ROWS))
-    return docs.select("text", "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(shards)).cast("int").alias("shard"))
+    return rows.select("text", "label", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(shards)).cast("int").alias("shard"))
 
 
 def fit(sample: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
     """The model: bucket, weight of every nonzero weight (at most 2 ** BUCKET_BITS rows)."""
     sample = written(sample.repartition("shard"), "toxicity-sample")
     shards = sample.agg(F.count_distinct("shard")).first()[0]
-    state: list = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-    for k in range(rounds if shards else 0):
+    z, n = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    for _ in range(rounds if shards else 0):
+        state = sample.sparkSession.sparkContext.broadcast((z, n))  # of the model's fixed size
         got = sample.groupBy("shard").applyInPandas(_shard(state), "bucket int, z double, n double")
-        mixed = got.groupBy("bucket").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
-        mixed = mixed.where(F.abs("z") > (SENT / 4 * L1 if k < rounds - 1 else L1))
-        mixed = mixed.toPandas().sort_values("bucket")  # bounded by the number of buckets
-        state = [mixed["bucket"].to_numpy(), mixed["z"].to_numpy(), mixed["n"].to_numpy()]
-    return pd.DataFrame({"bucket": state[0], "weight": _weights(state[1], state[2])})
+        moved = got.groupBy("bucket").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()  # at most as many rows as buckets
+        at = moved["bucket"].to_numpy(np.int64)
+        z, n = z.copy(), n.copy()
+        z[at] += moved["z"].to_numpy()
+        n[at] += moved["n"].to_numpy()
+        state.unpersist()
+    at = np.flatnonzero(np.abs(z) > L1)
+    return pd.DataFrame({"bucket": at, "weight": _weights(z[at], n[at])})
 
 
 def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
