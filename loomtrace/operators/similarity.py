@@ -22,8 +22,16 @@ def unit(column: str):
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
+def checked_threshold(threshold: float) -> float:
+    """A similarity threshold between 0.1 and 1; raises otherwise."""
+    if isinstance(threshold, bool) or not 0.1 <= threshold <= 1:
+        raise ValueError("a similarity threshold is between 0.1 and 1")
+    return float(threshold)
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """left_id < right_id with cosine of at least ``threshold`` (columns id, vector: unit length); scores to 6 decimals."""
+    threshold = checked_threshold(threshold)
     n = max(1, -(-vectors.count() // block_rows))
     rows = vectors.where("vector IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(F.least("block", b).alias("a"), F.greatest("block", b).alias("b"))))

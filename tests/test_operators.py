@@ -133,3 +133,22 @@ def test_previous_turn_of_repeats(spark):
     rows = [(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (1, 3, "d")]
     got = sorted((r["index"], r.role, r.before) for r in turns.previous(spark.createDataFrame(rows, "session_id int, index int, role string"), "role", "before").collect())
     assert got == [(0, "a", None), (0, "b", None), (1, "c", "b"), (3, "d", None)]
+
+
+def test_thresholds_out_of_range_are_refused():
+    import pytest
+
+    for wrong in (0.05, 1.01, float("nan"), True):
+        with pytest.raises(ValueError):
+            similarity.checked_threshold(wrong)
+    assert similarity.checked_threshold(1) == 1.0
+
+
+def test_decisions_see_the_revision_they_name(spark):
+    from loomtrace.operators import curation
+
+    said = [(0, 0, "remove_left", "p1", "a", "b"), (1, 0, "verify", "a", None, None), (2, 1, "remove_left", "p2", "b", "c"), (3, 1, "remove_left", "p1", "a", "b"), (4, 1, "remove_right", "p3", "x", "a"), (5, 1, "restore", "a", None, None), (6, 2, "what", "a", None, None), (7, 2, "verify", "b", None, None)]
+    rows = [("w", s, r, action, t, a, b, "me" if s != 7 else " ", "so") for s, r, action, t, a, b in said]
+    log = spark.createDataFrame(rows, "workspace string, sequence long, revision long, action string, target string, `left` string, `right` string, reviewer string, reason string")
+    got = {r.sequence: (r.accepted, r.why, r.after) for r in curation.decided(log).collect()}
+    assert got == {0: (True, None, 1), 1: (False, "stale revision", 1), 2: (False, "others were removed for it", 1), 3: (False, "pair is decided", 1), 4: (False, "pair is not active", 1), 5: (True, None, 2), 6: (False, "unknown action", 2), 7: (False, "no reviewer or reason", 2)}
