@@ -3,13 +3,15 @@
 Lines with words are hashed. The window of a line is the shortest run of lines
 from it that has at least ``least_words`` words; its least line hash is its
 fingerprint, so a passage shared by two texts, that long or longer, shares a
-fingerprint. Fingerprints found at one place only drop out. The windows of the
-others are joined on fingerprint and content with the first place of each in
-(doc_id, line) order, each match is extended line by line both ways, and the
-later run is deleted. A passage that a text repeats at once keeps its first copy.
+fingerprint. A line is sent once for all windows in a row that pick it, with the
+lines of these windows and around them up to ``least_words`` words. Lines picked at
+one place only drop out; of the others the windows are told apart again and joined
+on fingerprint and content with the first place of each in (doc_id, line) order,
+each match is extended line by line both ways, and the later run is deleted. A
+passage that a text repeats at once keeps its first copy.
 
-A window carries the hashes of the lines around it up to ``least_words`` words:
-a match that goes on further has windows of its own there.
+A match that goes on further than the lines around a window has windows of its own
+there.
 
 Cases: null and empty texts, and lines without words, stay as they are; lines
 are compared with white space collapsed. Rows equal in doc_id and text are one
@@ -34,8 +36,17 @@ from loomtrace.operators.graph import dealt_anew
 
 LEAST_WORDS = 50
 
-_WINDOW = "id long, text_key long, start int, end int, picked boolean, fingerprint long, window binary, `left` array<long>, `right` array<long>"
-_ARROW = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("picked", pa.bool_()), ("fingerprint", pa.int64()), ("window", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+#: A picked line: the first and last window that picks it, the first line sent, and of those the digests (16 bytes each) and words.
+_PICK = "id long, text_key long, fingerprint long, first_window int, last_window int, first_line int, digests binary, words array<int>"
+_WINDOW = "id long, text_key long, start int, end int, fingerprint long, window binary, `left` array<long>, `right` array<long>"
+
+
+def _schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:
+    return pa.schema([("id", pa.int64()), ("text_key", pa.int64()), *fields])
+
+
+_PICK_ARROW = _schema(("fingerprint", pa.int64()), ("first_window", pa.int32()), ("last_window", pa.int32()), ("first_line", pa.int32()), ("digests", pa.binary()), ("words", pa.list_(pa.int32())))
+_WINDOW_ARROW = _schema(("start", pa.int32()), ("end", pa.int32()), ("fingerprint", pa.int64()), ("window", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())))
 
 
 def _lines(text: str) -> list[tuple[int, list[bytes]]]:
@@ -43,42 +54,84 @@ def _lines(text: str) -> list[tuple[int, list[bytes]]]:
     return [(i, parts) for i, line in enumerate(text.split("\n")) if (parts := line.encode().split())]
 
 
-def windows_of(text: str, least_words: int) -> list[tuple]:
-    """start, end, picked, fingerprint, window, left, right of each window; lines are counted among those with words."""
+def _hash(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def picks_of(text: str, least_words: int) -> list[tuple]:
+    """The picked lines of a text (the columns of ``_PICK``); lines are counted among those with words."""
     import xxhash
 
     lines = _lines(text)
     digests = [xxhash.xxh3_128_digest(b" ".join(parts)) for _, parts in lines]
-    total = np.concatenate([[0], np.cumsum([len(parts) for _, parts in lines])])
+    words = [len(parts) for _, parts in lines]
+    total = np.concatenate([[0], np.cumsum(words)])
     n = len(lines)
-    ends = np.searchsorted(total, total[:-1] + least_words) - 1  # last line of the window; n or more: none
-    hashes = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-    before = np.searchsorted(total, total[:-1] - least_words, "right")  # first line of the left context
-    out, last = [], -1
+    ends = (np.searchsorted(total, total[:-1] + least_words) - 1).tolist()  # last line of the window; n or more: none
+    hashes = list(map(_hash, digests))
+    runs: list[list[int]] = []  # picked line, first and last window that picks it
     for i in range(n):
-        e = int(ends[i])
-        if e >= n:
+        if ends[i] >= n:
             break
-        at = min(range(i, e + 1), key=hashes.__getitem__)
-        after = int(np.searchsorted(total, total[e + 1] + least_words, "left"))
-        out.append((i, e, at != last, hashes[at], xxhash.xxh3_128_digest(b"".join(digests[i : e + 1])), hashes[max(0, int(before[i])) : i][::-1], hashes[e + 1 : min(n, after)]))
-        last = at
+        at = min(range(i, ends[i] + 1), key=hashes.__getitem__)
+        if runs and runs[-1][0] == at:
+            runs[-1][2] = i
+        else:
+            runs.append([at, i, i])
+    out = []
+    for at, a, b in runs:
+        low = int(np.searchsorted(total, total[a] - least_words, "right"))
+        high = min(n, int(np.searchsorted(total, total[ends[b] + 1] + least_words, "left")))
+        out.append((hashes[at], a, b, low, b"".join(digests[low:high]), words[low:high]))
     return out
 
 
-def windows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row a window: the document's key, its lines, fingerprint, content hash and the line hashes on either side."""
+def windows_of(first_window: int, last_window: int, first_line: int, digests: bytes, words: list[int], least_words: int) -> list[tuple]:
+    """start, end, window, left, right of each window that picks a line: content hash, and the line hashes on either side."""
+    import xxhash
+
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    hashes = [_hash(digests[16 * k :]) for k in range(n)]
+    out = []
+    for i in range(first_window - first_line, last_window - first_line + 1):
+        e = int(np.searchsorted(total, total[i] + least_words)) - 1
+        before = int(np.searchsorted(total, total[i] - least_words, "right"))  # first line of the left context
+        after = min(n, int(np.searchsorted(total, total[e + 1] + least_words, "left")))
+        out.append((i + first_line, e + first_line, xxhash.xxh3_128_digest(digests[16 * i : 16 * e + 16]), hashes[before:i][::-1], hashes[e + 1 : after]))
+    return out
+
+
+def picks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row a picked line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = pc.fill_null(batch.column("text"), "").to_numpy(zero_copy_only=False).tolist()
-            found = [windows_of(t, least_words) for t in texts]
+            found = [picks_of(t, least_words) for t in texts]
             n = np.array([len(x) for x in found])
             of = pa.array(np.repeat(np.arange(len(n)), n))
-            columns = list(zip(*(x for rows in found for x in rows))) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("text_key").take(of), *(pa.array(list(c), f.type) for c, f in zip(columns, list(_ARROW)[2:]))], schema=_ARROW)
+            columns = list(zip(*(x for rows in found for x in rows))) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("text_key").take(of), *(pa.array(list(c), f.type) for c, f in zip(columns, list(_PICK_ARROW)[2:]))], schema=_PICK_ARROW)
+
+    return keyed(docs).select("id", "text_key", "text").mapInArrow(run, _PICK)
+
+
+def windows(found: DataFrame, least_words: int) -> DataFrame:
+    """One row a window of picked lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ("first_window", "last_window", "first_line", "digests", "words")
+            rows = [windows_of(*x, least_words) for x in zip(*(batch.column(n).to_pylist() for n in names))]
+            n = np.array([len(x) for x in rows], np.int64)
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            start, end, window, left, right = list(zip(*(x for part in rows for x in part))) or [()] * 5
+            columns = {"start": start, "end": end, "window": window, "left": left, "right": right}
+            kept = {c: batch.column(c).take(of) for c in ("id", "text_key", "fingerprint")}
+            yield pa.RecordBatch.from_arrays([kept[f.name] if f.name in kept else pa.array(list(columns[f.name]), f.type) for f in _WINDOW_ARROW], schema=_WINDOW_ARROW)
 
-    return keyed(docs).select("id", "text_key", "text").mapInArrow(run, _WINDOW)
+    return found.mapInArrow(run, _WINDOW)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -95,9 +148,10 @@ def _agreeing(a: str, b: str):
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """id, text_key, runs: the later runs of lines to delete (begin, end inclusive, among lines with words) of each document that has any."""
-    rows = written(windows(docs, least_words), "line-windows")
-    places = rows.where("picked").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    met = written(rows.join(dealt_anew(places, "fingerprint"), "fingerprint", "left_semi"), "line-windows-met")
+    rows = written(picks(docs, least_words), "line-picks")
+    places = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    met = rows.join(dealt_anew(places, "fingerprint"), "fingerprint", "left_semi")
+    met = written(windows(met, least_words), "line-windows")
     place = F.struct("id", "text_key", "start")
     first = met.groupBy("fingerprint", "window").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "window", "place")
     whole = written(met.join(dealt_anew(first, "fingerprint"), ["fingerprint", "window"]), "line-matches")

@@ -129,8 +129,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     labelled = written(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp")
+    # a component may hold most fingerprints, and a fingerprint most rows
+    of = labelled.join(dealt_anew(least, "root"), "root").select("fp", "component_id")
+    return rows.join(dealt_anew(of, "fp"), "fp")
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
