@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("interval_queries", "usage_queries", "text_queries", "label_queries", "rollout_queries", "review_queries", "merge_queries", "document_queries", "session_queries", "curation_queries", "trace_queries")
+MODULES: tuple[str, ...] = ("interval_queries", "usage_queries", "text_queries", "label_queries", "rollout_queries", "review_queries", "merge_queries", "document_queries", "session_queries", "curation_queries", "trace_queries", "capture_queries")
 
 
 def queries() -> dict:

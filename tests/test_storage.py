@@ -49,3 +49,36 @@ def test_captured_files(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(data)
     ingest.capture_files(spark, str(tmp_path / "in"), f"{tmp_path}/c", f"{tmp_path}/state", 1)
     assert sinks.payloads(spark, f"{tmp_path}/c").count() == 2
+
+
+def test_a_repeated_batch_is_captured_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", bytearray(b"one")), ("a", bytearray(b"two"))], "source string, content binary")
+    path = f"file://{tmp_path}/c"
+    for batch in (0, 0, 1, 1):
+        assert sinks.capture(rows, path, batch) == batch
+    assert sinks.payloads(spark, path).count() == 2 and sinks.attempts(spark, path).count() == 4
+    assert {r.status for r in sinks.captures(spark, path).collect()} == {"pending"}
+    ids = sorted(r.capture_id for r in sinks.attempts(spark, path).collect())
+    assert len(set(ids)) == 4
+    sinks.finish(spark.createDataFrame([(ids[0], "3", None), (ids[1], None, "bad")], "capture_id long, result string, error string"), path)
+    sinks.finish(spark.createDataFrame([(ids[1], "5", None)], "capture_id long, result string, error string"), path)
+    assert {r.capture_id: r.status for r in sinks.captures(spark, path).collect()} == {ids[0]: "normalized", ids[1]: "normalized", ids[2]: "pending", ids[3]: "pending"}
+
+
+def test_replaced_and_pinned_files(spark, tmp_path):
+    import hashlib
+
+    import pytest
+
+    path = f"file://{tmp_path}/r"
+    for n in (3, 5):
+        sinks.replaced(spark.range(n), path)
+        assert spark.read.json(path).count() == n
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["r"]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a").write_bytes(b"x")
+    good = hashlib.sha256(b"x").hexdigest()
+    assert sinks.pinned(spark, f"file://{tmp_path}/f", {"a": good}).count() == 1
+    for pins in ({"a": "0"}, {"a": good, "b": good}):
+        with pytest.raises(ValueError):
+            sinks.pinned(spark, f"file://{tmp_path}/f", pins)
