@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.operators.graph import dealt_anew
+
 
 def fold_sessions(deliveries: DataFrame) -> DataFrame:
     """One row a session: the last title that isn't the default, the earliest start, ``session`` identity once seen, the first producer.
@@ -21,7 +23,8 @@ def unique_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     """Left rows with match (matched, ambiguous or unmatched) and the right row's id where a key is unique on both sides."""
     mine = left.groupBy(*keys).agg(F.count("*").alias("left_n"))
     theirs = right.groupBy(*keys).agg(F.count("*").alias("right_n"), F.min("right_id").alias("right_id"))
-    j = left.join(mine, keys, "left").join(theirs, keys, "left")
+    # a key may hold very many rows
+    j = left.join(dealt_anew(mine, *keys), keys, "left").join(dealt_anew(theirs, *keys), keys, "left")
     one = (F.col("left_n") == 1) & (F.col("right_n") == 1)
     status = F.when(F.col("right_n").isNull(), "unmatched").when(one, "matched").otherwise("ambiguous")
     return j.withColumn("match", status).withColumn("right_id", F.when(F.col("match") == "matched", F.col("right_id"))).drop("left_n", "right_n")
@@ -30,7 +33,7 @@ def unique_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 def attribute_traces(spans: DataFrame) -> DataFrame:
     """owner and basis of each span (columns id, trace_id, identity): its own identity, the only one in its trace, or the trace itself."""
     only = spans.where("identity IS NOT NULL").groupBy("trace_id").agg(F.min("identity").alias("low"), F.max("identity").alias("high"))
-    j = spans.join(only, "trace_id", "left")
+    j = spans.join(dealt_anew(only, "trace_id"), "trace_id", "left")
     alone = F.col("low") == F.col("high")
     basis = F.when(F.col("identity").isNotNull(), "direct").when(alone, "only identity in trace").otherwise("trace")
     owner = F.coalesce("identity", F.when(alone, F.col("low")), F.concat(F.lit("trace:"), F.col("trace_id").cast("string")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.operators.graph import dealt_anew
 from loomtrace.operators.turns import nearest_identity
 
 #: Keys that name a conversation, in order, and those that do if they hold a UUID (fixed values).
@@ -129,7 +130,7 @@ def composed(calls: DataFrame, items: DataFrame) -> DataFrame:
     of = calls.where(named).groupBy(*keys).agg(F.count("*").alias("calls"), F.min(F.struct("id", "kind", "text")).alias("call"))
     parents = of.where("calls = 1").select("session_id", "turn_id", F.col("call_id").alias("parent_call_id"), F.col("call.id").alias("parent"))
     same = items.withColumn("same", F.count("*").over(Window.partitionBy(*keys)))
-    j = same.join(of, keys, "left").join(parents, ["session_id", "turn_id", "parent_call_id"], "left")
+    j = same.join(dealt_anew(of, *keys), keys, "left").join(parents, ["session_id", "turn_id", "parent_call_id"], "left")
     match = (F.col("calls") == 1) & (F.col("same") == 1) & (F.col("call.kind") == F.col("kind")) & F.col("end_us").isNotNull()
     status = F.when(F.col("parent").isNotNull(), "child").when(match, "matched").when(F.col("calls") > 0, "ambiguous").otherwise("unmatched")
     j = j.withColumn("status", status)

@@ -8,6 +8,7 @@ from loomtrace.operators import labels as L
 from loomtrace.operators import lineage
 from loomtrace.operators import merge as M
 from loomtrace.operators import similarity as S
+from loomtrace.operators.graph import dealt_anew
 from loomtrace.sources.storage import table
 from loomtrace.sources.views import TRACE_EVENTS, trace_events
 from loomtrace.streaming.daily import daily_counts
@@ -65,7 +66,7 @@ def snapshot_conflict_semi(spark, sf_dir):
     """Orders that a customer has on a day on which it has another of a different price: key equal, price not."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
     spread = o.groupBy("o_custkey", "day").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high")).where("low != high")
-    return o.join(spread, ["o_custkey", "day"], "left_semi").select("o_orderkey")
+    return o.join(dealt_anew(spread, "o_custkey"), ["o_custkey", "day"], "left_semi").select("o_orderkey")
 
 
 def session_list_page(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.operators import privacy as P
+from loomtrace.operators.graph import dealt_anew
 from loomtrace.operators import similarity as S
 from loomtrace.operators import splits
 from loomtrace.sources.storage import table
@@ -54,7 +55,7 @@ def capture_attempts(spark, sf_dir):
     """Each delivery with the payload that holds its bytes."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     payloads = d.groupBy("sha256").agg(F.min("doc_id").alias("payload_id"))
-    return d.join(payloads, "sha256").select("doc_id", "payload_id", (F.col("doc_id") == F.col("payload_id")).alias("stored"))
+    return d.join(dealt_anew(payloads, "sha256"), "sha256").select("doc_id", "payload_id", (F.col("doc_id") == F.col("payload_id")).alias("stored"))
 
 
 def preferred_source(spark, sf_dir):
@@ -62,7 +63,7 @@ def preferred_source(spark, sf_dir):
     e = trace_events(spark, sf_dir)
     rank = F.struct(F.when(F.col("source") == "s2", 0).when(F.col("source") == "s0", 1).otherwise(2), F.col("source"))
     best = e.groupBy("session_id").agg(F.min_by("source", rank).alias("source"))
-    return e.join(best, ["session_id", "source"], "left_semi").groupBy("session_id", "source").agg(F.count("*").alias("n"))
+    return e.join(dealt_anew(best, "session_id"), ["session_id", "source"], "left_semi").groupBy("session_id", "source").agg(F.count("*").alias("n"))
 
 
 def message_selection(spark, sf_dir):

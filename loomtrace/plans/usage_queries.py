@@ -37,6 +37,10 @@ def _with_counter(spark, sf_dir):
     return rows.select("session_id", "line_number", F.sum(F.when(F.col("line_number") % 3 == 0, 0).otherwise(F.col("input_tokens"))).over(w).alias("counter"))
 
 
+def _money_sum():
+    return F.sum("cost").cast("decimal(38,14)").cast("string").alias("cost")
+
+
 def usage_counter_delta(spark, sf_dir):
     return usage.counter_deltas(_with_counter(spark, sf_dir), "counter")
 
@@ -71,9 +75,8 @@ def null_poison_totals(spark, sf_dir):
 def dashboard_grouping_sets(spark, sf_dir):
     """The same measures by model, by month and in total, from one scan."""
     rows = _priced(spark, sf_dir).withColumn("month", F.date_format("used_on", "yyyy-MM"))
-    rows.createOrReplaceTempView("priced_usage")
-    return spark.sql("""SELECT model, month, grouping_id(model, month) AS grain, count(*) AS records, sum(input_tokens) AS input_tokens, count(cost) AS priced,
-      CAST(CAST(sum(cost) AS DECIMAL(38,14)) AS STRING) AS cost FROM priced_usage GROUP BY GROUPING SETS ((model), (month), ())""")
+    sets = rows.groupingSets([["model"], ["month"], []], "model", "month")
+    return sets.agg(F.grouping_id().cast("long").alias("grain"), F.count("*").alias("records"), F.sum("input_tokens").alias("input_tokens"), F.count("cost").alias("priced"), _money_sum())
 
 
 def dashboard_daily(spark, sf_dir):
