@@ -52,7 +52,7 @@ def session_stats(events: DataFrame) -> DataFrame:
     """Per session: events, kinds, sources, extent and elapsed_ms, and how many rows a timeline shows."""
     last = F.max(F.coalesce("end_us", "start_us"))
     return events.groupBy("session_id").agg(
-        F.count("*").alias("n_events"), F.count_distinct("kind").alias("n_kinds"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("start_us").alias("first_us"),
+        F.count("*").alias("n_events"), F.size(F.collect_set("kind")).cast("long").alias("n_kinds"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("start_us").alias("first_us"),
         last.alias("last_us"), ((last - F.min("start_us")) / 1000.0).alias("elapsed_ms"), F.count_if(on_timeline()).alias("timeline_count"),
     )
 
