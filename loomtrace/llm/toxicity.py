@@ -6,9 +6,9 @@ so that an inflected form not met in training still counts. Every coordinate has
 term leaves most weights at zero, so the model is a short list of (bucket, weight).
 
 Training is by rounds of parameter mixing: each of a few shards runs FTRL over
-its rows from the mixed state and sends how the coordinates changed that it met;
-the state moves by the mean of the changes. It has as many coordinates as buckets,
-whatever the input's size.
+its rows from the mixed state and sends how its coordinates changed, two arrays of
+4 MB; the state moves by the mean of the changes. It has as many coordinates as
+buckets, whatever the input's size.
 
 Labelled rows: at most about ``SAMPLE_ROWS`` (a share of ids by hash once there
 are more, and of distinct rows where ids repeat), a documented bound; the corpus is
@@ -97,14 +97,12 @@ def _rows(texts: pa.Array, labels: list[int]) -> list[tuple[np.ndarray, int]]:
 
 def _shard(state: Broadcast):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        z, n = (x.copy() for x in state.value)
+        z, n = (x.astype(np.float64) for x in state.value)
         order = np.random.default_rng(len(part) + key[0]).permutation(len(part))
         texts, labels = part["text"].to_numpy()[order], part["label"].to_numpy()[order]
         for at in range(0, len(part), 128):
             ftrl(_rows(pa.array(texts[at : at + 128], pa.string(), from_pandas=True), labels[at : at + 128].tolist()), z, n)
-        dz, dn = z - state.value[0], n - state.value[1]
-        at = np.flatnonzero(dn)
-        return pd.DataFrame({"bucket": at, "z": dz[at], "n": dn[at]})
+        return pd.DataFrame({"z": [(z - state.value[0]).astype("<f4").tobytes()], "n": [(n - state.value[1]).astype("<f4").tobytes()]})
 
     return run
 
@@ -133,16 +131,17 @@ def fit(sample: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
     """The model: bucket, weight of every nonzero weight (at most 2 ** BUCKET_BITS rows)."""
     sample = written(sample.repartition("shard"), "toxicity-sample")
     shards = sample.agg(F.count_distinct("shard")).first()[0]
-    z, n = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    z, n = np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(1 << BUCKET_BITS, np.float32)
     for _ in range(rounds if shards else 0):
         state = sample.sparkSession.sparkContext.broadcast((z, n))  # of the model's fixed size
-        got = sample.groupBy("shard").applyInPandas(_shard(state), "bucket int, z double, n double")
-        moved = got.groupBy("bucket").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()  # at most as many rows as buckets
-        at = moved["bucket"].to_numpy(np.int64)
+        # SHARDS rows at most come to the driver
+        moved = sample.groupBy("shard").applyInPandas(_shard(state), "z binary, n binary").collect()
         z, n = z.copy(), n.copy()
-        z[at] += moved["z"].to_numpy()
-        n[at] += moved["n"].to_numpy()
+        for dz, dn in moved:
+            z += np.frombuffer(dz, "<f4") / np.float32(shards)
+            n += np.frombuffer(dn, "<f4") / np.float32(shards)
         state.unpersist()
+    z, n = z.astype(np.float64), n.astype(np.float64)
     at = np.flatnonzero(np.abs(z) > L1)
     return pd.DataFrame({"bucket": at, "weight": _weights(z[at], n[at])})
 
