@@ -258,10 +258,13 @@ def formatted_parts(parts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame
         return pd.DataFrame({"conv_id": rows["conv_id"], "part": rows["part"], "entry": [a for a, _ in ends], "exit": [b for _, b in ends]})
 
     kind = parts.schema["conv_id"].dataType.simpleString()
-    # one short row for PART turns, whatever their texts
-    scores = parts.select("conv_id", "part", "transcript").mapInArrow(transfers, f"conv_id {kind}, part long, scores array<double>")
+    # one short row for PART turns, whatever their texts; a conversation of one part needs none
+    several = parts.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("of_conv"))
+    rows = parts.join(several, F.col("conv_id").eqNullSafe(F.col("of_conv")), "left_semi")
+    scores = rows.select("conv_id", "part", "transcript").mapInArrow(transfers, f"conv_id {kind}, part long, scores array<double>")
     ends = scores.groupBy("conv_id").applyInPandas(fold, f"conv_id {kind}, part long, entry int, exit int").toDF("of_conv", "of_part", "entry", "exit")
-    met = parts.join(ends, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("part") == F.col("of_part"))).drop("of_conv", "of_part")
+    met = parts.join(ends, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("part") == F.col("of_part")), "left").drop("of_conv", "of_part")
+    met = met.withColumn("entry", F.coalesce("entry", F.lit(START)))
     return formatted(met, model, states=True).drop("entry", "exit")
 
 
