@@ -18,19 +18,21 @@ def shared_folder(spark: SparkSession) -> str:
     Only where the session has none and runs on one machine (tests) a temporary
     folder is made and set; on a cluster each executor would write to its own disk.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
+    found = spark.conf.get("spark.checkpoint.dir", None) or _set_folder(spark)
     if not found:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomtrace-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomtrace-"))
+        found = _set_folder(spark)
     return found.rstrip("/")
 
 
+def _set_folder(spark: SparkSession) -> str | None:
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.operators.ordering import row_numbers, with_exclusive_sum
-from loomtrace.sources.storage import Written, shared_folder
+from loomtrace.sources.storage import Written
 
 
 @pytest.mark.parametrize("ids", [[5, 3, None, 70, 100_000, -(2**62) - 5, 2**62 + 7], [1], [], [None] * 3 + [4] * 500])
@@ -22,10 +22,11 @@ def test_rows_are_numbered(spark):
 
 
 def test_only_the_last_version_stays(spark):
-    import glob
-
-    rounds = Written(spark, "versions")
+    rounds, paths = Written(spark, "versions"), []
     for n in (3, 4, 5):
         last = rounds.put(spark.range(n))
+        paths.append(rounds.path)
     assert last.count() == 5
-    assert len(glob.glob(shared_folder(spark).removeprefix("file:") .replace("//", "/") + "/versions-*")) == 1
+    there = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert [p.getFileSystem(conf).exists(p) for p in there] == [False, False, True]
