@@ -6,8 +6,8 @@ so that an inflected form not met in training still counts. Every coordinate has
 term leaves most weights at zero, so the model is a short list of (bucket, weight).
 
 Training is by rounds of parameter mixing: each of a few shards runs FTRL over
-its rows from the mixed state and sends how its coordinates changed, two arrays of
-4 MB; the state moves by the mean of the changes. It has as many coordinates as
+its rows from the mixed state and sends how its coordinates changed, in blocks; the
+blocks' sums, 8 MB in all, come to the driver, and the state moves by the mean. It has as many coordinates as
 buckets, whatever the input's size.
 
 Labelled rows: at most about ``SAMPLE_ROWS`` (a share of ids by hash once there
@@ -35,6 +35,8 @@ from loomtrace.llm.shared import added, bucketed, crc_remainder, held_out, table
 from loomtrace.llm.text import LOWER, Words, slices
 
 BUCKET_BITS = 20
+#: Blocks that a state is sent in.
+BLOCKS = 64
 SAMPLE_ROWS = 40_000
 #: Rows of a shard (at most SHARDS of them) and rounds.
 SHARD_ROWS, SHARDS, ROUNDS = 8000, 8, 5
@@ -102,11 +104,17 @@ def _shard(state: Broadcast):
         texts, labels = part["text"].to_numpy()[order], part["label"].to_numpy()[order]
         for at in range(0, len(part), 128):
             ftrl(_rows(pa.array(texts[at : at + 128], pa.string(), from_pandas=True), labels[at : at + 128].tolist()), z, n)
-        return pd.DataFrame({"z": [(z - state.value[0]).astype("<f4").tobytes()], "n": [(n - state.value[1]).astype("<f4").tobytes()]})
+        moved = np.stack([z - state.value[0], n - state.value[1]], 1).astype("<f4").reshape(BLOCKS, -1)
+        return pd.DataFrame({"block": np.arange(BLOCKS), "moved": [x.tobytes() for x in moved]})
 
     return run
 
 
+def _added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a block's changes, one row a shard."""
+    return pd.DataFrame({"block": [key[0]], "moved": [np.sum([np.frombuffer(x, "<f4") for x in part["moved"]], 0, np.float32).tobytes()]})
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """text, label, shard of at most about ``most`` distinct labelled rows, chosen by a hash of the id, and of id and text where ids repeat.
 
@@ -134,12 +142,10 @@ def fit(sample: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
     z, n = np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(1 << BUCKET_BITS, np.float32)
     for _ in range(rounds if shards else 0):
         state = sample.sparkSession.sparkContext.broadcast((z, n))  # of the model's fixed size
-        # SHARDS rows at most come to the driver
-        moved = sample.groupBy("shard").applyInPandas(_shard(state), "z binary, n binary").collect()
-        z, n = z.copy(), n.copy()
-        for dz, dn in moved:
-            z += np.frombuffer(dz, "<f4") / np.float32(shards)
-            n += np.frombuffer(dn, "<f4") / np.float32(shards)
+        moved = sample.groupBy("shard").applyInPandas(_shard(state), "block int, moved binary")
+        moved = moved.groupBy("block").applyInPandas(_added, "block int, moved binary").collect()  # of the model's fixed size
+        change = np.frombuffer(b"".join(bytes(r.moved) for r in sorted(moved, key=lambda r: r.block)), "<f4").reshape(-1, 2) / np.float32(shards)
+        z, n = z + change[:, 0], n + change[:, 1]
         state.unpersist()
     z, n = z.astype(np.float64), n.astype(np.float64)
     at = np.flatnonzero(np.abs(z) > L1)
