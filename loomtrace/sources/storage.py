@@ -60,3 +60,24 @@ class Written:
         if before:
             removed(self.spark, before)
         return self.spark.read.schema(df.schema).parquet(self.path)
+
+
+class Scratch:
+    """What a job puts aside on its way: ``with Scratch(spark) as aside`` removes all of it at the end but what is kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``, until the end."""
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
