@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrace.sources.storage import new_path, table, written
+from loomtrace.sources.storage import Scratch, new_path, table, written
 
-__all__ = ["added", "bucketed", "crc_remainder", "held_out", "new_path", "partitions", "table", "without", "written"]
+__all__ = ["Scratch", "added", "bucketed", "crc_remainder", "held_out", "new_path", "partitions", "table", "without", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
