@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("language", "quality", "chat", "urls", "toxicity", "packing", "simhash", "line_dedup", "decontaminate", "token_store", "filter_audit", "sentence_pieces")
+MODULES = ("language", "quality", "chat", "urls", "toxicity", "packing", "simhash", "line_dedup", "decontaminate", "token_store", "filter_audit", "sentence_pieces", "collocations")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
