@@ -12,10 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomtrace.sources.storage import Written, written
-
-MOST_ROUNDS = 100
+from loomtrace.sources.storage import Written, new_path
 
 
 def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
@@ -32,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges``: columns u, v of one orderable type; nulls are ignored.
 
     Returns node, component for every node that isn't the least of its component
-    (component: that least node). Raises if it doesn't settle in MOST_ROUNDS.
+    (component: that least node). It ends when a round changes nothing.
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     rounds = Written(edges.sparkSession, "edges")
@@ -40,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(dealt_anew(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -50,21 +49,24 @@ def components(edges: DataFrame) -> DataFrame:
         if (after := _signature(e)) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
-def dependencies(roots: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def dependencies(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """root, node, depth: everything that each root depends on over edges (node, needs), the root itself at depth 0.
 
     Semi-naive: each round follows the edges of what the last one found, and keeps
-    only what is new to its root, so cycles end.
+    only what is new to its root, so cycles end, and chains of any depth are followed.
     """
-    found = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "dependencies")
-    new = found
-    for depth in range(1, most_rounds + 1):
-        step = new.join(edges, "node").select("root", F.col("needs").alias("node")).distinct()
-        new = written(step.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "dependencies")
+    spark = roots.sparkSession
+    path = new_path(spark, "dependencies")
+    new, depth = roots.select("root", F.col("root").alias("node")).distinct(), 0
+    schema = T.StructType([*new.schema.fields, T.StructField("depth", T.IntegerType())])
+    while True:
+        # one folder a round: what is found so far is one scan, however many rounds there were
+        new.write.parquet(f"{path}/depth={depth}")
+        new = spark.read.schema(new.schema).parquet(f"{path}/depth={depth}")
+        found = spark.read.schema(schema).parquet(path)
         if new.isEmpty():
             return found
-        found = found.unionByName(new)
-    raise RuntimeError(f"dependencies go on after {most_rounds} rounds")
+        step = new.join(edges, "node").select("root", F.col("needs").alias("node")).distinct()
+        new, depth = step.join(found, ["root", "node"], "left_anti"), depth + 1

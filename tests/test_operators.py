@@ -101,6 +101,12 @@ def test_nine_digit_timestamps(spark):
     assert got == "2023-11-14T22:13:20.123456000Z"
 
 
+def test_dependencies_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "node int, needs int")
+    got = graph.dependencies(spark.createDataFrame([(0,)], "root int"), chain).collect()
+    assert sorted((r.node, r.depth) for r in got) == [(i, i) for i in range(71)]
+
+
 def test_dependencies_end_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "node string, needs string")
     got = graph.dependencies(spark.createDataFrame([("a",), ("d",), ("z",)], "root string"), edges).collect()
