@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.hat_trie import HatTrie
 from loomtrace.llm.shared import Scratch, table, written
 from loomtrace.llm.text import buffer_of, slices
 from loomtrace.operators.graph import dealt_anew
+from loomtrace.operators.ordering import row_numbers
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if so many in a hundred of its occurrences are in one longer candidate.
@@ -45,8 +46,6 @@ FILTER_BITS = 26
 #: Keys of a task's trie before subtrees are spilled; half of them stay.
 TRIE_KEYS = 2_000_000
 DEALS = 8
-#: Parts in which a language's best phrases are chosen first.
-CHOICES = 64
 SLICE_BYTES = 4 << 20
 
 _BLANK, _BREAK = 32, 10
@@ -288,11 +287,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
         found, totals = counted(docs, aside, longest, least, trie_keys)
         candidates = aside.written(scored(found), "candidates")
         rows = without_contained(candidates)
-        order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-        # the best of each part first, so the last choice has top * CHOICES rows of a language at most
-        part = F.pmod(F.xxhash64("phrase"), F.lit(CHOICES))
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+        # places in the order of all languages, ranged over tasks, less those of the languages before
+        rows = aside.written(row_numbers(rows, [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "place"), "placed")
+        first = dealt_anew(rows.groupBy("lang").agg(F.min("place").alias("first")), "lang")
+        rows = rows.join(first, "lang").withColumn("rank", F.col("place") - F.col("first") + 1).where(F.col("rank") <= top)
         return written(rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
 
 
