@@ -20,8 +20,9 @@ state before it to every state at its end, a conversation's parts are folded in
 order, and each is then parsed from and to the states that the best path has there.
 
 Cases: null roles count as user; roles are lower-cased, and ones other than user,
-assistant and system are read as user. Null and empty texts are empty turns and
-aren't rendered. A null turn comes first. A null or empty transcript has no turns.
+assistant and system are read as user. Null and blank texts are empty turns and
+aren't rendered; a conversation of nothing else has one row with no turns, or one a
+part. A null turn comes first. A very long text is a turn like any other. A null or empty transcript has no turns.
 Repeated turns stay, in order of text. An empty table gives no rows. Other columns
 of conversations are not read; those of given transcripts pass through.
 """
@@ -194,16 +195,18 @@ def transcripts(conversations: DataFrame, unmarked: int = UNMARKED) -> DataFrame
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
     name = F.element_at(names[F.col("role")], F.pmod(F.xxhash64("conv_id", F.lit(1)), F.lit(2)).cast("int") + 1)
     mark = F.coalesce(*[F.when(style == k, F.concat(F.lit(s.split("{name}")[0]), F.initcap(name), F.lit(s.split("{name}")[1]))) for k, s in enumerate(STYLES)])
-    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), _role().alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) != ''")
+    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), _role().alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) < unmarked
-    turns = turns.withColumn("line", F.concat(F.when(bare, "").otherwise(mark), "text"))
-    # a part is a stretch of the table's order, so it is bounded however many turns tie
-    placed = row_numbers(turns, [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "line", "role")], "place")
+    turns = turns.withColumn("line", F.when(F.trim("text") != "", F.concat(F.when(bare, "").otherwise(mark), "text")))
+    # a part is a stretch of the table's order, so it is bounded however many turns tie; a number tells equal rows apart
+    turns = turns.withColumn("row", F.monotonically_increasing_id())
+    placed = row_numbers(turns, [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "line", "role", "row")], "place")
     rows = placed.groupBy("conv_id", F.expr(f"place div {PART}").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("place", "role", "line"))).alias("turns"))
     low = rows.groupBy("conv_id").agg(F.min("stretch").alias("low")).toDF("of_conv", "low")
     rows = rows.join(low, F.col("conv_id").eqNullSafe(F.col("of_conv")))
-    turns = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["line"].alias("text")))
-    return rows.select("conv_id", (F.col("stretch") - F.col("low")).alias("part"), F.array_join(F.transform("turns", lambda x: x["line"]), "\n\n").alias("transcript"), turns.alias("turns"))
+    told = F.filter("turns", lambda x: x["line"].isNotNull())
+    turns = F.transform(told, lambda x: F.struct(x["role"].alias("role"), x["line"].alias("text")))
+    return rows.select("conv_id", (F.col("stretch") - F.col("low")).alias("part"), F.array_join(F.transform(told, lambda x: x["line"]), "\n\n").alias("transcript"), turns.alias("turns"))
 
 
 def fit(parts: DataFrame) -> dict[str, np.ndarray]:
