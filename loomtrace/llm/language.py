@@ -6,9 +6,9 @@ either side; at every byte their joint state gives log-probabilities of the
 languages. A document pools those of all its bytes: the mean, normalized.
 
 The weights are trained here in numpy by backpropagation through time, in one
-task, on at most about ``SAMPLE_ROWS`` distinct labelled texts, of each at most
-``SAMPLE_BYTES`` in segments from all over it; these bounds are parameters, and the
-model's size doesn't depend on the input.
+task, on at most about ``SAMPLE_ROWS`` distinct labelled texts, whole ones; the bound
+is a parameter, and the model's size doesn't depend on the input. The last bytes of
+a text are learned as the end of a full segment.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, as is every
 text when no row has a language to learn from. Rows with null text or lang
@@ -30,7 +30,7 @@ from loomtrace.llm.shared import crc_remainder, held_out, table
 from loomtrace.llm.text import LOWER, buffer_of, slices
 
 HIDDEN, SEGMENT = 16, 32
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16_384
+SAMPLE_ROWS = 3000
 STEPS, BATCH, RATE = 450, 384, 0.02
 #: Segments read side by side, and text read at once (a longer text is read whole).
 ABREAST, SLICE_BYTES = 1024, 4 << 20
@@ -133,12 +133,10 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> di
     parts: dict[str, list[np.ndarray]] = {}
     for text, lang in sorted(rows):
         data = np.frombuffer(text.encode().translate(LOWER), np.uint8)
-        _, begin, length = segments(np.array([0, len(data)]))
-        begin = begin[length == SEGMENT]
-        if len(begin) > SAMPLE_BYTES // SEGMENT:
-            begin = rng.choice(begin, SAMPLE_BYTES // SEGMENT, False)
-        if not len(begin) and any(map(str.isalpha, text)):
-            data, begin = np.resize(data, SEGMENT), np.zeros(1, np.int64)  # a short text, again and again
+        if len(data) < SEGMENT:
+            data = np.resize(data, SEGMENT if any(map(str.isalpha, text)) else 0)  # a short text, again and again
+        _, begin, _ = segments(np.array([0, len(data)]))
+        begin = np.minimum(begin, len(data) - SEGMENT)
         parts.setdefault(lang, []).append(data[begin[:, None] + np.arange(SEGMENT)])
     known = {k: np.concatenate(v) for k, v in sorted(parts.items())}
     known = {k: v for k, v in known.items() if len(v)}
@@ -196,8 +194,7 @@ def fit(docs: DataFrame, most: int = SAMPLE_ROWS, steps: int = STEPS) -> bytes:
     n = texts.select(key.alias("key")).agg(F.approx_count_distinct("key", 0.02)).first()[0]
     if n > most:
         texts = texts.where(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * most / n))
-    # equal rows are one before they meet; of a long text, as much as is learned from, in pieces from all over it
-    texts = texts.select("text", "lang").distinct().select(_excerpt("text").alias("text"), "lang")
+    texts = texts.select("text", "lang").distinct()  # equal rows are one before they meet
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [pickle.dumps(train(list(zip(part["text"], part["lang"])), steps))]})
@@ -206,14 +203,6 @@ def fit(docs: DataFrame, most: int = SAMPLE_ROWS, steps: int = STEPS) -> bytes:
     return bytes(rows[0][0]) if rows else pickle.dumps(None)
 
 
-def _excerpt(column: str):
-    """The text, or 64 stretches of it that have SAMPLE_BYTES characters in all."""
-    each, pieces = SAMPLE_BYTES // 64, F.sequence(F.lit(0), F.lit(63))
-    step = F.floor(F.length(column) / 64)
-    parts = F.transform(pieces, lambda k: F.substring(column, (k * step + 1).cast("int"), F.lit(each)))
-    return F.when(F.length(column) <= SAMPLE_BYTES, F.col(column)).otherwise(F.array_join(parts, ""))
-
-
 def identified(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, lang_pred, score of each whole text."""
 
