@@ -9,12 +9,14 @@ spans they cover merged. A phrase with a word that the shard lacks isn't in it.
 Phrases are windows of ``width`` consecutive words of an item; an item of fewer
 words, but not none, is one phrase. They go to the tasks in blocks of bounded
 size, ``STAGE_BLOCKS`` to a pass over the texts; a larger benchmark takes more
-passes, each adding to the spans.
-
-Cases: null and empty texts have no words and are clean. Items with null
-item_id are left out; items that share an item_id are one item. Empty tables:
-no rows, or no hits. Repeated rows stay. Other columns pass through; ones named
-like an output column are not kept.
+passes, each adding to the spans. Repeated items count once, and long ones are cut
+into parts that share the words of all but one window, so no block is large.
+
+Cases: null and empty texts have no words and are clean. Windows of items with null
+item_id are hit like any other, but there is no id to list or count; items that
+share an item_id are one item. A very long text is a shard of its own, indexed
+whole. Empty tables: no rows, or no hits. Repeated rows stay. Other columns pass
+through; ones named like an output column are not kept.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.shared import added, bucketed, table, without
+from loomtrace.llm.shared import added, bucketed, table, without, written
 from loomtrace.llm.text import ALNUM, Words, slices, spread
 
 WIDTH = 10
 #: Characters of test items in one block of phrases, and blocks that a pass over the texts searches.
 BLOCK_CHARS, STAGE_BLOCKS = 4_000_000, 4
+#: Windows of one part of an item.
+PART_WORDS = 50_000
 #: Text of one shard; a longer text is a shard of its own.
 SHARD_BYTES = 4 << 20
 #: Every so manieth suffix position is kept.
@@ -134,19 +138,20 @@ class FMIndex:
 class Phrases:
     """Distinct phrases of a block of items, by length: their words' codes, and the items that have each (ids from begin to end)."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[int | None, str]], width: int):
         code: dict[str, int] = {}
-        rows: dict[int, tuple[list, list]] = {}
+        rows: dict[int, tuple[list, list, list]] = {}
         for item, text in items:
             words = np.array([code.setdefault(w, len(code)) for w in words_of(text)], np.int32)
             if len(words):
-                phrases, owners = rows.setdefault(min(width, len(words)), ([], []))
+                phrases, owners, named = rows.setdefault(min(width, len(words)), ([], [], []))
                 phrases.append(np.lib.stride_tricks.sliding_window_view(words, min(width, len(words))))
-                owners.append(np.full(len(phrases[-1]), item, np.int64))
+                owners.append(np.full(len(phrases[-1]), item or 0, np.int64))
+                named.append(np.full(len(phrases[-1]), item is not None))
         self.vocabulary, self.lengths = pa.array(list(code), pa.string()), {}
-        for n, (phrases, owners) in rows.items():
+        for n, (phrases, owners, named) in rows.items():
             distinct, of = np.unique(np.concatenate(phrases), axis=0, return_inverse=True)
-            pairs = np.unique(np.stack([of.ravel(), np.concatenate(owners)], 1), axis=0)
+            pairs = np.unique(np.stack([of.ravel(), np.concatenate(owners)], 1)[np.concatenate(named)], axis=0)
             self.lengths[n] = distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]
 
 
@@ -245,11 +250,29 @@ def _search(blocks: list[Broadcast], names: list[str], clean: bool):
     return run
 
 
+def _parts(width: int):
+    """Items cut into parts of at most PART_WORDS words, each with the ``width`` - 1 words before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=SHARD_BYTES):
+            ids, texts = [], []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                for at in range(0, max(1, len(words) - width + 1), PART_WORDS):
+                    ids.append(item)
+                    texts.append(" ".join(words[at : at + PART_WORDS + width - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    return run
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_chars: int = BLOCK_CHARS, clean: bool = False) -> DataFrame:
     """The columns of ``docs``, n_words, n_hit, spans (word places, end exclusive), items (ids with occurring phrases) and, on request, clean_text."""
     out = without(docs, {"n_words", "n_hit", "spans", "items", "clean_text"})
     names, plain = out.columns, out
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    # repeats are one, and no part is large beside a block
+    items = written(items.mapInArrow(_parts(width), "item_id long, text string").where("text != ''").distinct(), "items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = bucketed(chars, block_chars)
     for first in range(0, blocks, STAGE_BLOCKS):
