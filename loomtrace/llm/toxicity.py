@@ -2,13 +2,16 @@
 
 Features of a text are the hashed words, adjacent pairs and pairs with one word
 between them that it has, and the stems (first ``STEM`` letters) of longer words,
-so that an inflected form not met in training still counts. Every coordinate has its own learning rate; the L1
-term leaves most weights at zero, so the model is a short list of (bucket, weight).
+so that an inflected form not met in training still counts. Every coordinate has its
+own learning rate; the L1 term leaves most weights at zero, so the model is a short
+list of (bucket, weight).
 
-Training is by rounds of parameter mixing: each of a few shards runs FTRL over
-its rows from the mixed state and sends how its coordinates changed, in blocks; the
-blocks' sums, 8 MB in all, come to the driver, and the state moves by the mean. It has as many coordinates as
-buckets, whatever the input's size.
+Features of the labelled rows are found once and written. Training is by rounds of
+parameter mixing: each of a few shards runs FTRL over its rows from the mixed state
+and sends how its coordinates changed, in blocks. Each coordinate moves by the mean
+of the shards that met it, so one known to a single shard learns as fast as with one
+shard in all. The blocks' means, 8 MB in all, come to the driver; the state has as
+many coordinates as buckets, whatever the input's size.
 
 Labelled rows: at most about ``SAMPLE_ROWS`` (a share of ids by hash once there
 are more, and of distinct rows where ids repeat), a documented bound; the corpus is
@@ -16,8 +19,8 @@ scored whole.
 
 Cases: a null, empty or white text scores by the bias alone. Rows without a
 label, or whose label isn't 0 or 1, aren't learned from. With no labelled rows
-every score is 0. Repeated rows score alike. Other columns pass through ``score``, but for one
-of its own name.
+every score is 0. Repeated rows score alike. A very long text is scored whole and
+learned whole. Other columns pass through ``score``, but for one of its own name.
 """
 
 from __future__ import annotations
@@ -97,22 +100,37 @@ def _rows(texts: pa.Array, labels: list[int]) -> list[tuple[np.ndarray, int]]:
     return [(np.union1d(bucket[edges[i] : edges[i + 1]], [BIAS]), y) for i, y in enumerate(labels)]
 
 
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What training needs of texts, found once: their buckets."""
+    for batch in slices(batches, most=SLICE_BYTES):
+        rows = [at for at, _ in _rows(batch.column("text"), batch.column("label").to_pylist())]
+        buckets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
+        yield pa.RecordBatch.from_arrays([buckets, batch.column("label").cast(pa.int32()), batch.column("shard")], ["buckets", "label", "shard"])
+
+
 def _shard(state: Broadcast):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        import xxhash
+
         z, n = (x.astype(np.float64) for x in state.value)
+        # by what they are, as rows come in any order
+        part = part.iloc[np.lexsort(([xxhash.xxh64_intdigest(x.tobytes()) for x in part["buckets"]], part["label"]))]
         order = np.random.default_rng(len(part) + key[0]).permutation(len(part))
-        texts, labels = part["text"].to_numpy()[order], part["label"].to_numpy()[order]
-        for at in range(0, len(part), 128):
-            ftrl(_rows(pa.array(texts[at : at + 128], pa.string(), from_pandas=True), labels[at : at + 128].tolist()), z, n)
+        buckets, labels = part["buckets"].to_numpy()[order], part["label"].to_numpy()[order]
+        ftrl(list(zip(buckets, labels.tolist())), z, n)
         moved = np.stack([z - state.value[0], n - state.value[1]], 1).astype("<f4").reshape(BLOCKS, -1)
         return pd.DataFrame({"block": np.arange(BLOCKS), "moved": [x.tobytes() for x in moved]})
 
     return run
 
 
-def _added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """The sum of a block's changes, one row a shard."""
-    return pd.DataFrame({"block": [key[0]], "moved": [np.sum([np.frombuffer(x, "<f4") for x in part["moved"]], 0, np.float32).tobytes()]})
+def _averaged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """A block's changes: of each coordinate the mean over the shards that met it, one row a shard."""
+    total, met = 0.0, 0
+    for x in part["moved"]:
+        change = np.frombuffer(x, "<f4").reshape(-1, 2)
+        total, met = total + change, met + (change[:, 1:] != 0)
+    return pd.DataFrame({"block": [key[0]], "moved": [(total / np.maximum(met, 1)).astype("<f4").tobytes()]})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
@@ -137,14 +155,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
 
 def fit(sample: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
     """The model: bucket, weight of every nonzero weight (at most 2 ** BUCKET_BITS rows)."""
-    sample = written(sample.repartition("shard"), "toxicity-sample")
+    sample = written(sample.mapInArrow(_bucketed, "buckets array<int>, label int, shard int").repartition("shard"), "toxicity-sample")
     shards = sample.agg(F.count_distinct("shard")).first()[0]
     z, n = np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(1 << BUCKET_BITS, np.float32)
     for _ in range(rounds if shards else 0):
         state = sample.sparkSession.sparkContext.broadcast((z, n))  # of the model's fixed size
         moved = sample.groupBy("shard").applyInPandas(_shard(state), "block int, moved binary")
-        moved = moved.groupBy("block").applyInPandas(_added, "block int, moved binary").collect()  # of the model's fixed size
-        change = np.frombuffer(b"".join(bytes(r.moved) for r in sorted(moved, key=lambda r: r.block)), "<f4").reshape(-1, 2) / np.float32(shards)
+        moved = moved.groupBy("block").applyInPandas(_averaged, "block int, moved binary").collect()  # of the model's fixed size
+        change = np.frombuffer(b"".join(bytes(r.moved) for r in sorted(moved, key=lambda r: r.block)), "<f4").reshape(-1, 2)
         z, n = z + change[:, 0], n + change[:, 1]
         state.unpersist()
     z, n = z.astype(np.float64), n.astype(np.float64)

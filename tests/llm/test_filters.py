@@ -27,21 +27,22 @@ def leaks(text, items, width):
             if x := windows.get(tuple(words[k : k + n])):
                 found |= x
                 hit[k : k + n] = [1] * n
-    return len(words), sum(hit), sorted(found)
+    return len(words), sum(hit), sorted(found - {None})  # an item without an id hits, but has none to list
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     random.seed(5)
     word = lambda: random.choice(["ab", "b", "Cé", "d9", "e", "zz"])
     texts = [" ".join(word() + random.choice(["", ".", ",", "-"]) for _ in range(random.randint(0, 60))) for _ in range(50)] + [None, "", " ab " * 400]
     items = [(k, " ".join(word() for _ in range(random.choice([0, 2, 3, 5, 9])))) for k in range(25)] + [(3, "ab b e zz"), (90, None), (None, "ab b")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, Spans int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = [x for x in items if x[0] is not None]
+    bench = bench.unionByName(bench)  # repeats are one
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 3)
     for block_chars in (10**6, 60):  # one block of phrases, and several
         got = {r.doc_id: r for r in decontaminate.decontaminated(docs, bench, 4, block_chars, clean=True).collect()}
         for i, t in enumerate(texts):
-            assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == leaks(t, whole, 4)
+            assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == leaks(t, items, 4)
             left = len(ALNUM.findall((got[i].clean_text or "").translate(LOW)))
             assert left == got[i].n_words - got[i].n_hit
     assert decontaminate.decontaminated(docs.where("false"), bench).count() == 0
@@ -250,7 +251,7 @@ def test_chat_over_a_table(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     parts = chat.transcripts(df.selectExpr("*", "1 AS place", "2 AS part"), unmarked=0)
     got = chat.formatted_parts(parts, chat.fit(parts)).collect()
-    assert {(r.conv_id, r.part): r.parsed_roles for r in got} == {(1, 0): ["user", "assistant", "assistant"], (2, 0): ["user"], (4, 0): ["system"]}
+    assert {(r.conv_id, r.part): r.parsed_roles for r in got} == {(1, 0): ["user", "assistant", "assistant"], (2, 0): ["user"], (3, 0): [], (4, 0): ["system"]}
     assert all([x.role for x in r.turns] == r.parsed_roles for r in got)
     none = chat.transcripts(df.where("false"))
     assert chat.formatted_parts(none, chat.fit(none)).count() == 0
@@ -290,3 +291,57 @@ def test_a_long_conversation(spark):
 
 def test_hash_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_ftrl_training_against_a_plain_version(spark, monkeypatch):
+    """Shards, rounds and the mean over the shards that met a coordinate, one coordinate at a time in plain floats."""
+    import math
+
+    random.seed(8)
+    rows = [(i, " ".join(random.choice(["kind", "vile", "sun", "rot", "sky"]) for _ in range(6)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 16)
+    sample = toxicity.labelled_sample(docs, labels).cache()
+    assert sample.select("shard").distinct().count() > 1
+    got = toxicity.fit(sample, rounds=3)
+
+    def buckets(text):
+        return np.unique([toxicity.BIAS, *(b for _, bs in toxicity.features(pa.array([text])) for b in bs.tolist())]).astype(np.int32)
+
+    import xxhash
+
+    shards = {}
+    for r in sample.collect():
+        shards.setdefault(r.shard, []).append((r.label, xxhash.xxh64_intdigest(buckets(r.text).tobytes()), buckets(r.text).tolist()))
+    z, n = Counter(), Counter()
+    weight = lambda zi, ni: 0.0 if abs(zi) <= toxicity.L1 else -(zi - math.copysign(toxicity.L1, zi)) / ((toxicity.BETA + math.sqrt(ni)) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(3):
+        moved = {}
+        for k, part in shards.items():
+            part, zs, ns = sorted(part), dict(z), dict(n)
+            for at in np.random.default_rng(len(part) + k).permutation(len(part)):
+                y, _, bs = part[at]
+                w = {b: weight(zs.get(b, 0.0), ns.get(b, 0.0)) for b in bs}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - y
+                for b in bs:
+                    before = ns.get(b, 0.0)
+                    ns[b] = before + g * g
+                    zs[b] = zs.get(b, 0.0) + g - (math.sqrt(ns[b]) - math.sqrt(before)) / toxicity.ALPHA * w[b]
+            for b in ns:
+                if ns[b] != n[b]:
+                    moved.setdefault(b, []).append((zs[b] - z[b], ns[b] - n[b]))
+        for b, changes in moved.items():
+            z[b] += sum(c for c, _ in changes) / len(changes)
+            n[b] += sum(c for _, c in changes) / len(changes)
+    want = {b: weight(z[b], n[b]) for b in z if abs(z[b]) > toxicity.L1 * (1 + 1e-4)}
+    found = dict(zip(got["bucket"].tolist(), got["weight"].tolist()))
+    assert want and all(abs(found[b] - w) < 1e-3 for b, w in want.items()) and len(found) <= len(want) + 2
+
+
+def test_a_conversation_of_blank_turns_has_a_row(spark):
+    rows = [("a", 1, "user", " "), ("a", 2, "assistant", None), ("b", 1, "user", "hi there"), ("b", 2, "user", ""), ("b", 2, "user", "")]
+    parts = chat.transcripts(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    got = {r.conv_id: r for r in chat.formatted_parts(parts, chat.fit(parts)).collect()}
+    assert got["a"].transcript == "" and got["a"].turns == [] == got["a"].parsed_roles and got["a"].chat == ""
+    assert [x.role for x in got["b"].turns] == got["b"].parsed_roles == ["user"]
