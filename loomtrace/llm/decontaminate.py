@@ -250,17 +250,17 @@ def _search(blocks: list[Broadcast], names: list[str], clean: bool):
     return run
 
 
-def _parts(width: int):
-    """Items cut into parts of at most PART_WORDS words, each with the ``width`` - 1 words before it."""
+def _parts(width: int, windows: int):
+    """Items cut into parts of at most so many windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SHARD_BYTES):
             ids, texts = [], []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
-                for at in range(0, max(1, len(words) - width + 1), PART_WORDS):
+                for at in range(0, max(1, len(words) - width + 1), windows):
                     ids.append(item)
-                    texts.append(" ".join(words[at : at + PART_WORDS + width - 1]))
+                    texts.append(" ".join(words[at : at + windows + width - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "text"])
 
     return run
@@ -272,7 +272,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bl
     names, plain = out.columns, out
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     # repeats are one, and no part is large beside a block
-    items = written(items.mapInArrow(_parts(width), "item_id long, text string").where("text != ''").distinct(), "items")
+    items = written(items.mapInArrow(_parts(width, PART_WORDS), "item_id long, text string").where("text != ''").distinct(), "items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = bucketed(chars, block_chars)
     for first in range(0, blocks, STAGE_BLOCKS):

@@ -298,10 +298,11 @@ def test_ftrl_training_against_a_plain_version(spark, monkeypatch):
     import math
 
     random.seed(8)
-    rows = [(i, " ".join(random.choice(["kind", "vile", "sun", "rot", "sky"]) for _ in range(6)), i % 2) for i in range(60)]
+    words = [["kind", "sun", "sky", "calm"], ["vile", "rot", "sky", "mud"]]
+    rows = [(i, " ".join(random.choice(words[i % 2]) for _ in range(6)), i % 2) for i in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    monkeypatch.setattr(toxicity, "SHARD_ROWS", 16)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 80)
     sample = toxicity.labelled_sample(docs, labels).cache()
     assert sample.select("shard").distinct().count() > 1
     got = toxicity.fit(sample, rounds=3)
