@@ -25,7 +25,7 @@ learned whole. Other columns pass through ``score``, but for one of its own name
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,7 +81,7 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+def ftrl(rows: Iterable[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
     """One pass over (buckets, label) rows; changes z and n."""
     for at, label in rows:
         za, na = z[at], n[at]
@@ -100,11 +100,24 @@ def _rows(texts: pa.Array, labels: list[int]) -> list[tuple[np.ndarray, int]]:
     return [(np.union1d(bucket[edges[i] : edges[i + 1]], [BIAS]), y) for i, y in enumerate(labels)]
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending buckets as steps of 16 bits; a step of 65,535 is only part of the next."""
+    step = np.diff(buckets, prepend=0)
+    ends = np.cumsum(step // 65535 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 65535, "<u2")
+    out[ends - 1] = step % 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    step = np.frombuffer(data, "<u2")
+    return np.cumsum(step, dtype=np.int64)[step != 65535]
+
+
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What training needs of texts, found once: their buckets."""
     for batch in slices(batches, most=SLICE_BYTES):
-        rows = [at for at, _ in _rows(batch.column("text"), batch.column("label").to_pylist())]
-        buckets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
+        buckets = pa.array([packed(at) for at, _ in _rows(batch.column("text"), batch.column("label").to_pylist())], pa.binary())
         yield pa.RecordBatch.from_arrays([buckets, batch.column("label").cast(pa.int32()), batch.column("shard")], ["buckets", "label", "shard"])
 
 
@@ -114,10 +127,10 @@ def _shard(state: Broadcast):
 
         z, n = (x.astype(np.float64) for x in state.value)
         # by what they are, as rows come in any order
-        part = part.iloc[np.lexsort(([xxhash.xxh64_intdigest(x.tobytes()) for x in part["buckets"]], part["label"]))]
+        part = part.iloc[np.lexsort(([xxhash.xxh64_intdigest(x) for x in part["buckets"]], part["label"]))]
         order = np.random.default_rng(len(part) + key[0]).permutation(len(part))
         buckets, labels = part["buckets"].to_numpy()[order], part["label"].to_numpy()[order]
-        ftrl(list(zip(buckets, labels.tolist())), z, n)
+        ftrl(((unpacked(x), y) for x, y in zip(buckets, labels.tolist())), z, n)
         moved = np.stack([z - state.value[0], n - state.value[1]], 1).astype("<f4").reshape(BLOCKS, -1)
         return pd.DataFrame({"block": np.arange(BLOCKS), "moved": [x.tobytes() for x in moved]})
 
@@ -155,7 +168,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
 
 def fit(sample: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
     """The model: bucket, weight of every nonzero weight (at most 2 ** BUCKET_BITS rows)."""
-    sample = written(sample.mapInArrow(_bucketed, "buckets array<int>, label int, shard int").repartition("shard"), "toxicity-sample")
+    sample = written(sample.mapInArrow(_bucketed, "buckets binary, label int, shard int"), "toxicity-sample")
     shards = sample.agg(F.count_distinct("shard")).first()[0]
     z, n = np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(1 << BUCKET_BITS, np.float32)
     for _ in range(rounds if shards else 0):

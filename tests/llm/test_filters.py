@@ -293,6 +293,11 @@ def test_hash_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
+def test_buckets_are_packed_and_unpacked():
+    for at in ([], [0], [5, 65_540, 131_075, 1_048_575], [65_535], [131_070, 131_071], list(range(0, 1 << 20, 777))):
+        assert toxicity.unpacked(toxicity.packed(np.array(at, np.int32))).tolist() == at
+
+
 def test_ftrl_training_against_a_plain_version(spark, monkeypatch):
     """Shards, rounds and the mean over the shards that met a coordinate, one coordinate at a time in plain floats."""
     import math
@@ -314,7 +319,7 @@ def test_ftrl_training_against_a_plain_version(spark, monkeypatch):
 
     shards = {}
     for r in sample.collect():
-        shards.setdefault(r.shard, []).append((r.label, xxhash.xxh64_intdigest(buckets(r.text).tobytes()), buckets(r.text).tolist()))
+        shards.setdefault(r.shard, []).append((r.label, xxhash.xxh64_intdigest(toxicity.packed(buckets(r.text))), buckets(r.text).tolist()))
     z, n = Counter(), Counter()
     weight = lambda zi, ni: 0.0 if abs(zi) <= toxicity.L1 else -(zi - math.copysign(toxicity.L1, zi)) / ((toxicity.BETA + math.sqrt(ni)) / toxicity.ALPHA + toxicity.L2)
     for _ in range(3):
