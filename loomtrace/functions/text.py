@@ -10,10 +10,36 @@ def title(text):
     return F.substring(F.split(F.trim(text), "\n")[0], 1, 100)
 
 
+def json_string(text):
+    """A JSON string of ASCII characters alone: quotes and control characters escaped, others by their UTF-16 units; null is null."""
+    plain = F.to_json(F.array(text.cast("string")))
+    plain = F.substring(plain, 2, F.length(plain) - 2)
+    # units of four hex digits, as they lie in big-endian UTF-16
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(plain, "UTF-16BE"))), F.lit("(.{4})"), 1)
+    escaped = F.array_join(F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), u))), "")
+    return F.when(text.isNull(), "null").when(plain.rlike("^[\\x00-\\x7F]*$"), plain).otherwise(escaped)
+
+
 def stable_id(*parts):
-    """First 32 hex digits of SHA-256 over the parts as a JSON array of strings; parts are simple text."""
-    inner = F.concat_ws('", "', *[p.cast("string") for p in parts])
-    return F.substring(F.sha2(F.concat(F.lit('["'), inner, F.lit('"]')), 256), 1, 32)
+    """First 32 hex digits of SHA-256 over the parts as a JSON array of strings in ASCII."""
+    inner = F.concat_ws(", ", *[json_string(p) for p in parts])
+    return F.substring(F.sha2(F.concat(F.lit("["), inner, F.lit("]")), 256), 1, 32)
+
+
+#: The form of times (a fixed value): date, time, fraction and zone.
+_RFC_3339 = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?([Zz]|[+-]\d{2}:\d{2})$"
+
+
+def strict_nanos(text):
+    """Nanoseconds since 1970 of an RFC 3339 time with a known zone and up to nine digits of a second, not before 1970, else null."""
+    part = lambda n: F.regexp_extract(text, _RFC_3339, n)
+    zone = F.upper(part(4))
+    known = (zone == "Z") | (zone != "-00:00") & (F.substring(zone, 2, 2) <= "23") & (F.substring(zone, 5, 2) <= "59")
+    # offsets are taken off here, as zones reach no further than 18 hours
+    minutes = F.when(zone == "Z", 0).otherwise(F.concat(F.substring(zone, 1, 1), F.substring(zone, 2, 2)).try_cast("int") * 60 + F.concat(F.substring(zone, 1, 1), F.substring(zone, 5, 2)).try_cast("int"))
+    at = F.unix_seconds(F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.lit("Z")))) - minutes * 60
+    nanos = at * 1_000_000_000 + F.rpad(part(3), 9, "0").try_cast("long")
+    return F.when(text.rlike(_RFC_3339) & known & (nanos >= 0), nanos)
 
 
 def nanos_string(micros):

@@ -95,14 +95,6 @@ def merged_findings(findings: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "start", "end", "category", state.alias("state"))
 
 
-def strict_nanos(text: Column) -> Column:
-    """Nanoseconds since 1970 of an RFC 3339 time with a zone and up to nine digits of a second, else null."""
-    shape = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?([Zz]|[+-]\d{2}:\d{2})$"
-    part = lambda n: F.regexp_extract(text, shape, n)
-    at = F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.upper(part(4))))
-    return F.when(text.rlike(shape), F.unix_seconds(at) * 1_000_000_000 + F.rpad(part(3), 9, "0").try_cast("long"))
-
-
 def wall_ms(text: Column) -> Column:
     """Milliseconds of a reported wall time in seconds, else null (a fixed form of tool output)."""
     seconds = F.regexp_extract(text, r"(?i)Wall time:\s*([\d.]+)\s*seconds", 1)

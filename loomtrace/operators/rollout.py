@@ -5,7 +5,9 @@ session, the turn, whether a task is active, how many calls are open and since
 when the model has had the word. Tool calls pair with outputs by the next record
 of the same call id.
 
-A file's windows sort its records once; all share one partitioning and order.
+A file's windows sort its records once; all share one partitioning and order. The
+same windows keep the line that each part of the state is from, so that ``evidence``
+can say of every field of an event which values of which lines it came from.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ def marked(records: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("file").orderBy("line_number")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = records.withColumns({"what": what, "session_id": F.first(F.when(F.col("type") == "session_meta", F.col("payload.id")), ignorenulls=True).over(upto)})
-    sets_turn = (F.col("type") == "turn_context") | (F.col("what") == "started")
-    rows = rows.withColumn("turn_id", _last(F.when(sets_turn, F.col("payload.turn_id")), upto))
+    header = F.when((F.col("type") == "session_meta") & F.col("payload.id").isNotNull(), F.struct("payload.id", "line_number"))
+    rows = records.withColumns({"what": what, "header": F.first(header, ignorenulls=True).over(upto)})
+    sets_turn = ((F.col("type") == "turn_context") | (F.col("what") == "started")) & F.col("payload.turn_id").isNotNull()
+    rows = rows.withColumn("turn", _last(F.when(sets_turn, F.struct("payload.turn_id", "line_number")), upto))
+    rows = rows.withColumns({"session_id": F.col("header.id"), "session_line": F.col("header.line_number"), "turn_id": F.col("turn.turn_id"), "turn_line": F.col("turn.line_number")}).drop("header", "turn")
     # the next and the former record of the same call
     same = Window.partitionBy("file", "payload.call_id").orderBy("line_number")
     paired = F.col("what").isin("call", "output")
@@ -45,8 +49,8 @@ def marked(records: DataFrame) -> DataFrame:
     active = F.when(F.col("what").isin("asked", "started"), True).when((F.col("what") == "ended") | (F.col("what") == "said") & F.coalesce(final, F.lit(False)), False)
     opened = F.when((F.col("what") == "call") & (F.coalesce(F.col("next.what"), F.lit("")) != "call"), 1).when((F.col("what") == "output") & (F.col("former") == "call"), -1).otherwise(0)
     rows = rows.withColumns({"active": F.coalesce(_last(active, upto), F.lit(False)), "open_calls": F.sum(opened).over(upto)})
-    here = F.struct(F.col("at_us").alias("t"))
-    gone = F.struct(F.lit(None).cast("long").alias("t"))
+    here = F.struct(F.col("at_us").alias("t"), F.col("line_number").alias("line"))
+    gone = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast(records.schema["line_number"].dataType).alias("line"))
     anchor = (
         F.when(F.col("what").isin("asked", "started"), here)
         .when(F.col("what").isin("call", "ended"), gone)
@@ -54,7 +58,7 @@ def marked(records: DataFrame) -> DataFrame:
         .when(F.col("what") == "said", F.when(F.col("active"), here).otherwise(gone))
     )
     waiting = F.when((F.col("what") == "said") & F.coalesce(final, F.lit(False)) | (F.col("what") == "ended") & (F.col("payload.type") == "task_complete"), here).when(F.col("what").isin("asked", "call", "said", "ended"), gone)
-    return rows.withColumns({"anchor": _last(anchor, before)["t"], "was_active": F.coalesce(F.lag("active").over(w), F.lit(False)), "were_open": F.coalesce(F.lag("open_calls").over(w), F.lit(0)), "waiting": _last(waiting, before)["t"]})
+    return rows.withColumns({"anchor_from": _last(anchor, before), "waiting_from": _last(waiting, before), "was_active": F.coalesce(F.lag("active").over(w), F.lit(False)), "were_open": F.coalesce(F.lag("open_calls").over(w), F.lit(0))})
 
 
 def events(records: DataFrame) -> DataFrame:
@@ -64,7 +68,16 @@ def events(records: DataFrame) -> DataFrame:
     (a blocking request, and from a task's end to the next prompt), llm (estimated: from
     when the model has the word to its next record) and event.
     """
+    return _made(records).select("session_id", "line_number", "turn_id", *_EVENT)
+
+
+_EVENT = ("kind", "name", "start_us", "end_us", "timing", "status")
+
+
+def _made(records: DataFrame) -> DataFrame:
+    """Events with the lines that what they show is from."""
     rows = marked(records).where("what IS NOT NULL AND session_id IS NOT NULL")
+    rows = rows.withColumns({"anchor": F.col("anchor_from.t"), "anchor_line": F.col("anchor_from.line"), "waiting": F.col("waiting_from.t"), "waiting_line": F.col("waiting_from.line")})
     none = F.lit(None).cast("long")
 
     def made(cond, kind, name, start, end, timing, status):
@@ -86,7 +99,51 @@ def events(records: DataFrame) -> DataFrame:
         made((what == "output") & (F.coalesce(F.col("former"), lit("")) != "call"), lit("event"), lit("Unmatched tool output"), at, none, lit("unknown"), lit("incomplete")),
         made(what == "ended", lit("event"), F.col("payload.type"), at, none, lit("unknown"), F.when(F.col("payload.type") == "task_complete", "ok").otherwise("interrupted")),
     ))
-    return rows.select("session_id", "line_number", "turn_id", F.explode(out).alias("e")).select("session_id", "line_number", "turn_id", "e.*")
+    begun = F.when(F.col("e.kind") == "llm", F.col("anchor_line")).when((F.col("e.kind") == "user_wait") & (F.col("what") == "asked"), F.col("waiting_line"))
+    result = F.when((F.col("what") == "call") & closed, F.col("next.line_number"))
+    rows = rows.select("*", F.explode(out).alias("e")).withColumns({"begun_line": begun, "result_line": result})
+    return rows.select("file", "session_id", "line_number", "turn_id", "what", "session_line", "turn_line", "begun_line", "result_line", "e.*")
+
+
+#: How a field came about: taken over, worked out from values, or a rule's reading of them (fixed values).
+NORMALIZED, CALCULATED, INFERRED = "normalized", "calculated", "inferred"
+
+
+def evidence(records: DataFrame) -> DataFrame:
+    """file, session_id, line_number, kind, pointer, origin, sources: of each event's fields, the lines and the places in them that it is from.
+
+    A source is (line, pointer, use). Intervals that a rule infers have the lines they
+    begin and end at, a closed call those of its result, a turn and a session the line
+    that set them; a field without sources is the default of no record.
+    """
+    at = F.col("line_number")
+
+    def source(line, pointer, use):
+        return F.when(line.isNotNull(), F.struct(line.cast("long").alias("line"), F.lit(pointer).alias("pointer"), F.lit(use).alias("use")))
+
+    def field(pointer, origin, *sources):
+        origin = F.lit(origin) if isinstance(origin, str) else origin
+        return F.struct(F.lit(pointer).alias("pointer"), origin.alias("origin"), F.array_compact(F.array(*sources)).alias("sources"))
+
+    call, inferred = F.col("what") == "call", F.col("begun_line").isNotNull()
+    closed = call & ~inferred & F.col("result_line").isNotNull()
+    tool = call & ~inferred
+    only = lambda cond, x: F.when(cond, x)
+    begun, result = F.col("begun_line"), F.when(closed, F.col("result_line"))
+    rule = (source(at, "/type", "classification"), source(at, "/payload/type", "classification"))
+    bounds = (source(begun, "/timestamp", "interval_start"), only(inferred, source(at, "/timestamp", "interval_end")))
+    fields = F.array(
+        field("/session_id", NORMALIZED, source(F.col("session_line"), "/payload/id", "value")),
+        field("/line_number", CALCULATED, source(at, "", "physical_line")),
+        field("/turn_id", F.when(F.col("turn_line").isNull(), INFERRED).otherwise(NORMALIZED), source(F.col("turn_line"), "/payload/turn_id", "context")),
+        field("/kind", INFERRED, *rule, only(tool, source(at, "/payload/name", "classification")), only(F.col("what").isin("asked", "said"), source(at, "/payload/role", "classification")), *bounds),
+        field("/name", F.when(tool, NORMALIZED).otherwise(INFERRED), only(tool, source(at, "/payload/name", "value")), *[only(~tool, x) for x in rule]),
+        field("/start_us", NORMALIZED, only(inferred, source(begun, "/timestamp", "interval_start")), only(~inferred, source(at, "/timestamp", "value"))),
+        field("/end_us", F.when(closed, CALCULATED).when(inferred, NORMALIZED).otherwise(INFERRED), only(inferred, source(at, "/timestamp", "interval_end")), only(closed, source(at, "/timestamp", "value")), source(result, "/timestamp", "result")),
+        field("/timing", INFERRED, *bounds, only(closed, source(at, "/payload/call_id", "pairing")), source(result, "/payload/call_id", "pairing")),
+        field("/status", INFERRED, source(result, "/payload/output", "value"), only(tool & ~closed | (F.col("what") == "output"), source(at, "/payload/call_id", "pairing")), only(F.col("what") == "ended", source(at, "/payload/type", "classification"))),
+    )
+    return _made(records).select("file", "session_id", "line_number", "kind", F.inline(fields))
 
 
 def without_mirrors(prompts: DataFrame) -> DataFrame:

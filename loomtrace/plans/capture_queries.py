@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.text import strict_nanos
 from loomtrace.operators import captures as C
 from loomtrace.sources.storage import table
 from loomtrace.sources.views import TRACE_EVENTS, trace_events
@@ -114,7 +115,7 @@ def strict_times(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.when(k % 5 == 0, F.concat(base, F.lit("Z"))).when(k % 5 == 1, F.concat(base, F.lit(".123456789+02:00"))).when(k % 5 == 2, base).when(k % 5 == 3, F.concat(base, F.lit(".5z"))).otherwise(F.concat(base, F.lit(".1234567890Z")))
-    return e.select("event_id", C.strict_nanos(text).alias("ns"))
+    return e.select("event_id", strict_nanos(text).alias("ns"))
 
 
 def wall_times(spark, sf_dir):

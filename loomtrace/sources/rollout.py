@@ -1,8 +1,9 @@
 """Rollouts: session transcripts as JSON Lines, read into one row a record.
 
 ``lines_of`` numbers physical lines from 1 and keeps blank ones; ``records``
-decodes them under a declared schema. A file with a record that isn't an object
-with a timestamp is left out whole, by an anti join on its bad lines.
+decodes them under a declared schema. A file is left out whole, by an anti join on
+its bad lines, if one of its records isn't sound JSON, is no object, has a payload
+that is none, or lacks a strict time. A record may lack its payload.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.text import strict_nanos
+from loomtrace.operators.graph import dealt_anew
 from loomtrace.sources.storage import table
 
 
@@ -33,11 +36,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def records(lines: DataFrame) -> DataFrame:
     """file, line_number, at_us, type, payload of the records of sound files."""
     full = lines.where(F.trim("line") != "")
-    parsed = full.withColumn("r", F.from_json("line", RECORD, {"mode": "PERMISSIVE"}))
-    at = F.try_to_timestamp("r.timestamp")
-    parsed = parsed.withColumn("at_us", F.unix_micros(at)).withColumn("sound", F.col("at_us").isNotNull() & F.col("r.payload").isNotNull())
-    bad = parsed.where("NOT sound").select("file").distinct()
-    return parsed.join(bad, "file", "left_anti").select("file", "line_number", "at_us", F.col("r.type").alias("type"), F.col("r.payload").alias("payload"))
+    # nothing may follow the record: what could close an array can't close an object, and a comma makes a second item
+    in_list, in_object = F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), "line", F.lit("}")))
+    parsed = full.withColumns({"list": in_list, "alone": in_object.isNotNull(), "r": F.from_json("line", RECORD, {"mode": "PERMISSIVE"})})
+    has = lambda path, kind: F.try_variant_get("list", path, kind).isNotNull()
+    one = F.size(F.try_variant_get("list", "$", "array<variant>")) == 1
+    sound = F.col("alone") & one & has("$[0]", "map<string,variant>") & (has("$[0].payload", "map<string,variant>") | ~has("$[0].payload", "variant"))
+    at = F.floor(strict_nanos(F.col("r.timestamp")) / 1000)
+    parsed = parsed.select("file", "line_number", at.alias("at_us"), F.col("r.type").alias("type"), F.coalesce("r.payload", F.from_json(F.lit("{}"), PAYLOAD)).alias("payload"), (sound & at.isNotNull()).alias("sound"))
+    bad = parsed.where("NOT coalesce(sound, false)").select("file").distinct()
+    return parsed.join(dealt_anew(bad, "file"), "file", "left_anti").drop("sound")
 
 
 def archived(lines: DataFrame, block: int = 1000) -> DataFrame:
