@@ -62,55 +62,62 @@ def queues() -> Column:
 ACTIONS = ("verify", "reopen_label", "restore", "keep_both", "remove_left", "remove_right", "reopen_pair")
 
 
-def decided(log: DataFrame) -> DataFrame:
-    """A workspace's decisions in order, each accepted or why not (columns workspace, sequence, revision, action, target, left, right, reviewer, reason).
+TURN_ACTIONS = ACTIONS[:3]
 
-    A decision must name the revision it saw: that of the decisions accepted before it.
-    Each depends on the state the last one left, so a workspace's log, people's work, is
-    folded in one group. What removes a row needs the other of its pair active and
-    nothing removed on the row's account; restoring a row reopens the pair that removed it.
+
+def decided(log: DataFrame, rows: DataFrame, pairs: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """A workspace's decisions in order, each accepted or why not (columns workspace, sequence, revision, action, target, category, reviewer, reason).
+
+    rows: workspace, id of its turns; pairs: workspace, id, left, right. A decision must
+    name the revision it saw: that of the decisions accepted before it. Verifying needs
+    a known category. A turn may be restored at any time; pairs that had removed it or
+    for it are pending again. A pair is decided, anew too, only while both its turns are
+    active, and no turn goes that another was removed for. Each decision depends on the
+    state the last one left, so a workspace's log, people's work, is folded in one group.
     """
+    known = rows.select("workspace", F.col("id").alias("target"), F.lit(True).alias("turn"))
+    of = pairs.select("workspace", F.col("id").alias("target"), "left", "right")
+    turns = F.col("action").isin(*TURN_ACTIONS)
+    met = log.where(turns).join(known, ["workspace", "target"], "left").withColumns({"left": F.lit(None).cast("string"), "right": F.lit(None).cast("string")})
+    met = met.unionByName(log.where(~turns | F.col("action").isNull()).join(of, ["workspace", "target"], "left").withColumn("turn", F.lit(None).cast("boolean")))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        revision, labels, removed, pairs, out = 0, {}, {}, {}, []
+        revision, labels, removed, decisions, sides, out = 0, {}, {}, {}, {}, []
         for r in part.sort_values("sequence").itertuples():
-            why = None
-            if r.revision != revision:
+            why, paired = None, isinstance(r.left, str)
+            if r.action not in ACTIONS:
+                why = "unknown action"
+            elif r.revision != revision:
                 why = "stale revision"
             elif not isinstance(r.reviewer, str) or not 0 < len(r.reviewer.strip()) <= 200 or not isinstance(r.reason, str) or not 0 < len(r.reason.strip()) <= 2000:
                 why = "no reviewer or reason"
-            elif r.action not in ACTIONS:
-                why = "unknown action"
+            elif r.turn is not True if r.action in TURN_ACTIONS else not paired:
+                why = "unknown target"
+            elif r.action == "verify" and r.category not in categories:
+                why = "unknown category"
             elif r.action in ("verify", "reopen_label"):
                 labels[r.target] = r.action == "verify"
             elif r.action == "restore":
-                why = None if r.target in removed else "not removed"
-                if not why:
-                    pairs[removed.pop(r.target)[1]] = "pending"
-            elif r.action in ("remove_left", "remove_right"):
-                gone, kept = (r.left, r.right) if r.action == "remove_left" else (r.right, r.left)
-                if pairs.get(r.target, "pending") != "pending":
-                    why = "pair is decided"
-                elif gone in removed or kept in removed:
-                    why = "pair is not active"
-                elif any(k == gone for k, _ in removed.values()):
-                    why = "others were removed for it"
-                else:
-                    removed[gone], pairs[r.target] = (kept, r.target), r.action
-            elif r.action == "keep_both":
-                why = None if pairs.get(r.target, "pending") == "pending" else "pair is decided"
-                if not why:
-                    pairs[r.target] = "keep_both"
+                removed.pop(r.target, None)
+                decisions.update((p, "pending") for p, d in decisions.items() if d.startswith("remove_") and r.target in sides[p])
+            elif r.left in removed or r.right in removed:
+                why = "pair is not active"
             else:
-                for row in [k for k, (_, pair) in removed.items() if pair == r.target]:
-                    del removed[row]
-                pairs[r.target] = "pending"
+                gone, kept = (r.left, r.right) if r.action == "remove_left" else (r.right, r.left)
+                if r.action in ("remove_left", "remove_right"):
+                    if gone in removed.values():
+                        why = "others were removed for it"
+                    else:
+                        removed[gone] = kept
+                if why is None:
+                    decisions[r.target], sides[r.target] = "pending" if r.action == "reopen_pair" else r.action, (r.left, r.right)
             revision += why is None
-            out.append((r.workspace, r.sequence, why is None, why, revision, len(removed), sum(labels.values())))
-        return pd.DataFrame(out, columns=["workspace", "sequence", "accepted", "why", "after", "removed", "verified"])
+            undecided = sum(d == "pending" for d in decisions.values())
+            out.append((r.workspace, r.sequence, why is None, why, revision, len(removed), sum(labels.values()), undecided))
+        return pd.DataFrame(out, columns=["workspace", "sequence", "accepted", "why", "after", "removed", "verified", "reopened"])
 
     kind = log.schema["workspace"].dataType.simpleString()
-    return log.groupBy("workspace").applyInPandas(fold, f"workspace {kind}, sequence long, accepted boolean, why string, after long, removed long, verified long")
+    return met.groupBy("workspace").applyInPandas(fold, f"workspace {kind}, sequence long, accepted boolean, why string, after long, removed long, verified long, reopened long")
 
 
 def history_of(turns: DataFrame, pairs: DataFrame, history: DataFrame) -> DataFrame:

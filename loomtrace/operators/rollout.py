@@ -47,7 +47,8 @@ def marked(records: DataFrame) -> DataFrame:
     rows = rows.join(by_call, ["file", "line_number"], "left")
     final = F.col("payload.phase") == "final_answer"
     active = F.when(F.col("what").isin("asked", "started"), True).when((F.col("what") == "ended") | (F.col("what") == "said") & F.coalesce(final, F.lit(False)), False)
-    opened = F.when((F.col("what") == "call") & (F.coalesce(F.col("next.what"), F.lit("")) != "call"), 1).when((F.col("what") == "output") & (F.col("former") == "call"), -1).otherwise(0)
+    # a call id used again takes the place of the call before
+    opened = F.when((F.col("what") == "call") & (F.coalesce("former", F.lit("")) != "call"), 1).when((F.col("what") == "output") & (F.col("former") == "call"), -1).otherwise(0)
     rows = rows.withColumns({"active": F.coalesce(_last(active, upto), F.lit(False)), "open_calls": F.sum(opened).over(upto)})
     here = F.struct(F.col("at_us").alias("t"), F.col("line_number").alias("line"))
     gone = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast(records.schema["line_number"].dataType).alias("line"))

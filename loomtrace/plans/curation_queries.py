@@ -79,16 +79,19 @@ def curation_queues(spark, sf_dir):
 
 
 def curation_decisions(spark, sf_dir):
-    """Events as decisions of a user's workspace on pairs and turns; some saw an older revision, some have no reviewer."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    """Events as decisions of a user's workspace on pairs and turns; some saw an older revision, have no reviewer, or name what isn't there."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     action = F.element_at(F.array(*map(F.lit, C.ACTIONS)), F.pmod("k", F.lit(len(C.ACTIONS))).cast("int") + 1)
-    turn, pair = F.concat(F.lit("t"), F.col("k") % 5), F.concat(F.lit("p"), F.col("k") % 3)
+    turn, pair = F.concat(F.lit("t"), F.col("event_id") % 5), F.concat(F.lit("p"), F.col("event_id") % 4)
     log = e.select(
-        F.col("user_id").alias("workspace"), F.col("event_id").alias("sequence"), (place - F.floor(place / 4)).cast("long").alias("revision"), action.alias("action"), F.when(action.isin("verify", "reopen_label", "restore"), turn).otherwise(pair).alias("target"),
-        F.concat(F.lit("t"), F.col("k") % 3).alias("left"), F.concat(F.lit("t"), F.col("k") % 3 + 1).alias("right"), F.when(F.col("k") % 10 != 0, "r").otherwise("").alias("reviewer"), F.lit("because").alias("reason"),
+        F.col("user_id").alias("workspace"), F.col("event_id").alias("sequence"), (place - F.floor(place / 4)).cast("long").alias("revision"), action.alias("action"), F.when(action.isin(*C.TURN_ACTIONS), turn).otherwise(pair).alias("target"),
+        F.when(F.col("k") % 3 != 0, "good").otherwise("odd").alias("category"), F.when(F.col("k") % 10 != 0, "r").otherwise(" ").alias("reviewer"), F.lit("because").alias("reason"),
     )
-    return C.decided(log).groupBy("workspace").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.max("after").alias("revision"), F.count_if(F.col("why") == "stale revision").alias("stale"))
+    users = e.select(F.col("user_id").alias("workspace")).distinct()
+    rows = users.select("workspace", F.explode(F.array(*[F.lit(f"t{i}") for i in range(4)])).alias("id"))
+    pairs = users.select("workspace", F.inline(F.array(*[F.struct(F.lit(f"p{i}").alias("id"), F.lit(f"t{i}").alias("left"), F.lit(f"t{i + 1}").alias("right")) for i in range(3)])))
+    return C.decided(log, rows, pairs, ("good", "bad")).select("workspace", "sequence", "accepted", "why", "after", "removed", "verified")
 
 
 def turn_history(spark, sf_dir):
@@ -179,7 +182,21 @@ workspace AS (SELECT target, string_agg(concat_ws('=', configuration, status, ca
 rows AS (SELECT w.*, CASE WHEN n_chars % 11 = 0 THEN 'verified' WHEN category IS NULL THEN 'unlabeled' ELSE 'inferred' END AS label, n_chars < 5000 AS active FROM workspace w JOIN documents ON doc_id = target)"""
 _STATUS = f"{_TURNS}, status AS (SELECT session_id, CASE WHEN NOT coalesce(bool_or(trim(text) <> ''), false) THEN 'empty_target' WHEN NOT coalesce(bool_or(role = 'user' AND trim(text) <> ''), false) THEN 'no_user_input' ELSE 'needs_review' END AS status FROM turns GROUP BY session_id)"
 
+#: A workspace's state as lists, one decision a round.
+_DECISIONS = """WITH RECURSIVE log AS (SELECT user_id AS workspace, event_id AS sequence, (props->>'$.k')::INT AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+l AS (SELECT *, (i - 1) - (i - 1) // 4 AS revision, ['verify', 'reopen_label', 'restore', 'keep_both', 'remove_left', 'remove_right', 'reopen_pair'][k % 7 + 1] AS action, CASE WHEN k % 7 < 3 THEN 't' || (sequence % 5) ELSE 'p' || (sequence % 4) END AS target,
+    CASE WHEN k % 7 >= 3 AND sequence % 4 < 3 THEN 't' || (sequence % 4) END AS l, CASE WHEN k % 7 >= 3 AND sequence % 4 < 3 THEN 't' || (sequence % 4 + 1) END AS r FROM log),
+f AS (SELECT DISTINCT workspace, 0::BIGINT AS i, 0::BIGINT AS after, []::STRUCT(gone VARCHAR, kept VARCHAR)[] AS removed, []::VARCHAR[] AS verified, NULL::BIGINT AS sequence, NULL::VARCHAR AS why FROM l
+  UNION ALL SELECT f.workspace, l.i, f.after + CASE WHEN w IS NULL THEN 1 ELSE 0 END,
+    CASE WHEN w IS NOT NULL THEN f.removed WHEN action = 'restore' THEN list_filter(f.removed, lambda x: x.gone <> target) WHEN action = 'remove_left' THEN list_append(f.removed, {'gone': l.l, 'kept': l.r}) WHEN action = 'remove_right' THEN list_append(f.removed, {'gone': l.r, 'kept': l.l}) ELSE f.removed END,
+    CASE WHEN w IS NOT NULL THEN f.verified WHEN action = 'verify' THEN list_distinct(list_append(f.verified, target)) WHEN action = 'reopen_label' THEN list_filter(f.verified, lambda x: x <> target) ELSE f.verified END, l.sequence, w
+  FROM f JOIN l ON l.workspace = f.workspace AND l.i = f.i + 1, LATERAL (SELECT CASE WHEN l.revision <> f.after THEN 'stale revision' WHEN k % 10 = 0 THEN 'no reviewer or reason'
+    WHEN (k % 7 < 3 AND target = 't4') OR (k % 7 >= 3 AND l.l IS NULL) THEN 'unknown target' WHEN action = 'verify' AND k % 3 = 0 THEN 'unknown category'
+    WHEN k % 7 >= 3 AND len(list_filter(f.removed, lambda x: x.gone IN (l.l, l.r))) > 0 THEN 'pair is not active'
+    WHEN action = 'remove_left' AND len(list_filter(f.removed, lambda x: x.kept = l.l)) > 0 THEN 'others were removed for it' WHEN action = 'remove_right' AND len(list_filter(f.removed, lambda x: x.kept = l.r)) > 0 THEN 'others were removed for it' END AS w))"""
+
 SQL = {
+    "curation_decisions": _DECISIONS + " SELECT workspace, sequence, why IS NULL AS accepted, why, after, len(removed) AS removed, len(verified) AS verified FROM f WHERE i > 0",
     "label_statuses": f"WITH {_RESULTS} SELECT * FROM matrix",
     "label_status_counts": f"WITH {_RESULTS}, e AS (SELECT target, bool_or(status = 'pending') AS p, bool_and(status = 'available') AS a FROM matrix GROUP BY target) SELECT configuration, {', '.join(f'count(*) FILTER (status = {s!r}) AS {s}' for s in ('available', 'changed_input', 'invalid', 'pending'))}, (SELECT count(*) FROM e) AS targets, (SELECT count(*) FROM e WHERE p) AS any_pending, (SELECT count(*) FROM e WHERE a) AS all_available FROM matrix GROUP BY configuration",
     "results_outside": f"WITH {_RESULTS} SELECT target, configuration FROM results WHERE target NOT IN (SELECT target FROM targets)",

@@ -112,7 +112,7 @@ whats AS (SELECT *, CASE WHEN y = 'response_item' AND kind = 'function_call' THE
 calls AS (SELECT file, line_number, lead(what) OVER c AS next_what, lead(line_number) OVER c AS next_line, lead(at_us) OVER c AS next_at, lead(outp) OVER c AS next_output, lag(what) OVER c AS former
   FROM whats WHERE what IN ('call', 'output') WINDOW c AS (PARTITION BY file, call_id ORDER BY line_number)),
 acts AS (SELECT *, CASE WHEN what IN ('asked', 'started') THEN 1 WHEN what = 'ended' OR (what = 'said' AND phase = 'final_answer') THEN 0 END AS act,
-    CASE WHEN what = 'call' AND coalesce(next_what, '') <> 'call' THEN 1 WHEN what = 'output' AND former = 'call' THEN -1 ELSE 0 END AS opened FROM whats LEFT JOIN calls USING (file, line_number)),
+    CASE WHEN what = 'call' AND coalesce(former, '') <> 'call' THEN 1 WHEN what = 'output' AND former = 'call' THEN -1 ELSE 0 END AS opened FROM whats LEFT JOIN calls USING (file, line_number)),
 state AS (SELECT *, max(CASE WHEN y = 'session_meta' THEN id END) OVER f AS session_id, max(CASE WHEN y = 'session_meta' THEN line_number END) OVER f AS session_line,
     last_value(CASE WHEN what = 'started' THEN tid END IGNORE NULLS) OVER upto AS turn_id, last_value(CASE WHEN what = 'started' THEN line_number END IGNORE NULLS) OVER upto AS turn_line,
     coalesce(last_value(act IGNORE NULLS) OVER upto, 0) AS active, sum(opened) OVER upto AS open_calls

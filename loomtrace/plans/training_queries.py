@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.operators import review as R
+from loomtrace.operators.batches import microbatches as batched
 from loomtrace.plans import session_queries as U
 from loomtrace.sources.storage import table
 from loomtrace.sources.views import TRACE_EVENTS, trace_events, turns
@@ -92,11 +93,39 @@ def usage_reports(spark, sf_dir):
     return report.select("session_id", F.to_json(F.struct("records", "tokens", "models"), {"ignoreNullFields": "false"}).alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (attempt_replay, artifact_listing, branch_contexts, surrogate_ids, pseudonym_categories, input_origins, canonical_digests, prediction_rows, taxonomy_support, usage_reports)}
+def _inputs(spark, sf_dir):
+    """Documents as inputs of a fifth as many tokens as they have characters, 4,096 at most."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.least(F.floor(F.col("n_chars") / 5), F.lit(4096)).cast("long").alias("tokens"))
+
+
+def microbatches(spark, sf_dir):
+    """Inputs in order of id, in batches of 16 at most whose longest times their number is 8,192 at most."""
+    return batched(_inputs(spark, sf_dir), "tokens", [F.col("doc_id")], 16, 8192).select("doc_id", "batch", "place")
+
+
+def microbatches_by_length(spark, sf_dir):
+    """The same with the shortest first: batches, their rows and how much of them is padding."""
+    got = batched(_inputs(spark, sf_dir), "tokens", [F.col("tokens"), F.col("doc_id")], 16, 8192)
+    return got.groupBy("batch").agg(F.count("*").alias("n"), F.max("tokens").alias("longest"), (F.max("tokens") * F.count("*") - F.sum("tokens")).alias("padding"))
+
+
+QUERIES = {f.__name__: f for f in (attempt_replay, artifact_listing, branch_contexts, surrogate_ids, pseudonym_categories, input_origins, canonical_digests, prediction_rows, taxonomy_support, usage_reports, microbatches, microbatches_by_length)}
 
 _TURNS = "turns AS (SELECT conv_id AS session_id, turn AS index, role, text FROM conversations)"
 
+
+
+def _batches(order: str) -> str:
+    """Rows one by one: each either joins the batch before it or begins the next."""
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, least(n_chars // 5, 4096) AS tokens, row_number() OVER (ORDER BY {order}) AS i FROM documents),
+b AS (SELECT i, doc_id, tokens, 0 AS batch, 0 AS place, greatest(tokens, 1) AS longest FROM r WHERE i = 1
+  UNION ALL SELECT r.i, r.doc_id, r.tokens, CASE WHEN x THEN b.batch + 1 ELSE b.batch END, CASE WHEN x THEN 0 ELSE b.place + 1 END, CASE WHEN x THEN greatest(r.tokens, 1) ELSE greatest(b.longest, r.tokens, 1) END
+  FROM b JOIN r ON r.i = b.i + 1, LATERAL (SELECT b.place = 15 OR greatest(b.longest, r.tokens, 1) * (b.place + 2) > 8192 AS x))"""
+
+
 SQL = {
+    "microbatches": _batches("doc_id") + " SELECT doc_id, batch::BIGINT AS batch, place::INT AS place FROM b",
+    "microbatches_by_length": _batches("least(n_chars // 5, 4096), doc_id") + " SELECT batch::BIGINT AS batch, count(*) AS n, max(tokens) AS longest, (max(tokens) * count(*) - sum(tokens))::BIGINT AS padding FROM b GROUP BY batch",
     "attempt_replay": "WITH r AS (SELECT l_orderkey AS request, count(*) AS attempts, count(*) FILTER (l_returnflag <> 'R') AS s, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) FILTER (l_returnflag <> 'R') AS answer FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) SELECT o_orderkey AS request, coalesce(attempts, 0) AS attempts, CASE WHEN attempts IS NULL THEN 'open' WHEN s > 1 THEN 'duplicate success' WHEN s = 1 THEN 'done' ELSE 'failed' END AS state, CASE WHEN s = 1 THEN answer END AS answer FROM orders LEFT JOIN r ON request = o_orderkey",
     "artifact_listing": """WITH a AS (SELECT 'dataset' AS kind, s_suppkey::VARCHAR AS id, '{"id":"' || s_suppkey || '","revision":' || s_nationkey || '}' AS d FROM supplier UNION ALL SELECT 'run', p_partkey::VARCHAR, CASE WHEN p_size % 7 = 0 THEN '{not json' ELSE '{"id":"' || p_partkey || '","revision":' || p_size || '}' END FROM part
   UNION ALL SELECT 'staging', n_nationkey::VARCHAR, CASE WHEN n_regionkey = 0 THEN '{}' ELSE '{"id":"' || (n_nationkey + CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END) || '","revision":' || n_regionkey || '}' END FROM nation),

@@ -33,8 +33,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """file, line_number, at_us, type, payload of the records of sound files."""
+def decoded(lines: DataFrame) -> DataFrame:
+    """file, line_number, at_us, type, payload, sound of lines that aren't blank, and what else there is."""
     full = lines.where(F.trim("line") != "")
     # nothing may follow the record: what could close an array can't close an object, and a comma makes a second item
     in_list, in_object = F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), "line", F.lit("}")))
@@ -43,8 +43,15 @@ def records(lines: DataFrame) -> DataFrame:
     one = F.size(F.try_variant_get("list", "$", "array<variant>")) == 1
     sound = F.col("alone") & one & has("$[0]", "map<string,variant>") & (has("$[0].payload", "map<string,variant>") | ~has("$[0].payload", "variant"))
     at = F.floor(strict_nanos(F.col("r.timestamp")) / 1000)
-    parsed = parsed.select("file", "line_number", at.alias("at_us"), F.col("r.type").alias("type"), F.coalesce("r.payload", F.from_json(F.lit("{}"), PAYLOAD)).alias("payload"), (sound & at.isNotNull()).alias("sound"))
-    bad = parsed.where("NOT coalesce(sound, false)").select("file").distinct()
+    payload = F.coalesce("r.payload", F.from_json(F.lit("{}"), PAYLOAD))
+    others = [c for c in lines.columns if c not in ("file", "line_number", "line")]
+    return parsed.select("file", "line_number", *others, at.alias("at_us"), F.col("r.type").alias("type"), payload.alias("payload"), F.coalesce(sound & at.isNotNull(), F.lit(False)).alias("sound"))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """file, line_number, at_us, type, payload of the records of sound files."""
+    parsed = decoded(lines.select("file", "line_number", "line"))
+    bad = parsed.where("NOT sound").select("file").distinct()
     return parsed.join(dealt_anew(bad, "file"), "file", "left_anti").drop("sound")
 
 

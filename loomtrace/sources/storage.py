@@ -66,7 +66,7 @@ class Scratch:
     """What a job puts aside on its way: ``with Scratch(spark) as aside`` removes all of it at the end but what is kept."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.loops = spark, [], []
 
     def __enter__(self) -> "Scratch":
         return self
@@ -78,6 +78,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def rounds(self, name: str) -> Written:
+        """Versions of a loop's table, the last one until the end."""
+        self.loops.append(Written(self.spark, name))
+        return self.loops[-1]
+
     def __exit__(self, *_) -> None:
-        for path in self.paths:
+        for path in [*self.paths, *(x.path for x in self.loops if x.path)]:
             removed(self.spark, path)

@@ -153,8 +153,20 @@ def test_thresholds_out_of_range_are_refused():
 def test_decisions_see_the_revision_they_name(spark):
     from loomtrace.operators import curation
 
-    said = [(0, 0, "remove_left", "p1", "a", "b"), (1, 0, "verify", "a", None, None), (2, 1, "remove_left", "p2", "b", "c"), (3, 1, "remove_left", "p1", "a", "b"), (4, 1, "remove_right", "p3", "x", "a"), (5, 1, "restore", "a", None, None), (6, 2, "what", "a", None, None), (7, 2, "verify", "b", None, None)]
-    rows = [("w", s, r, action, t, a, b, "me" if s != 7 else " ", "so") for s, r, action, t, a, b in said]
-    log = spark.createDataFrame(rows, "workspace string, sequence long, revision long, action string, target string, `left` string, `right` string, reviewer string, reason string")
-    got = {r.sequence: (r.accepted, r.why, r.after) for r in curation.decided(log).collect()}
-    assert got == {0: (True, None, 1), 1: (False, "stale revision", 1), 2: (False, "others were removed for it", 1), 3: (False, "pair is decided", 1), 4: (False, "pair is not active", 1), 5: (True, None, 2), 6: (False, "unknown action", 2), 7: (False, "no reviewer or reason", 2)}
+    said = [
+        (0, 0, "remove_left", "p1", None), (1, 0, "verify", "a", "x"), (2, 1, "remove_left", "p2", None), (3, 1, "keep_both", "p1", None), (4, 1, "restore", "a", None), (5, 2, "keep_both", "p1", None),
+        (6, 3, "remove_left", "p1", None), (7, 4, "reopen_pair", "p1", None), (8, 4, "restore", "a", None), (9, 5, "restore", "a", None), (10, 6, "what", "a", None), (11, 6, "verify", "b", "x"),
+        (12, 6, "verify", "b", "odd"), (13, 6, "verify", "zz", "x"), (14, 6, "keep_both", "p9", None), (15, 6, "verify", "b", "x"), (16, 7, "reopen_label", "b", None), (17, 8, "remove_right", "p2", None),
+    ]
+    log = spark.createDataFrame([("w", *r, "me" if r[0] != 11 else " ", "so") for r in said], "workspace string, sequence long, revision long, action string, target string, category string, reviewer string, reason string")
+    turns = spark.createDataFrame([("w", i) for i in "abc"], "workspace string, id string")
+    pairs = spark.createDataFrame([("w", "p1", "a", "b"), ("w", "p2", "b", "c")], "workspace string, id string, `left` string, `right` string")
+    got = {r.sequence: r for r in curation.decided(log, turns, pairs, ("x", "y")).collect()}
+    assert {i: r.why for i, r in got.items() if r.why} == {
+        1: "stale revision", 2: "others were removed for it", 3: "pair is not active", 7: "pair is not active", 10: "unknown action",
+        11: "no reviewer or reason", 12: "unknown category", 13: "unknown target", 14: "unknown target",
+    }
+    assert [got[i].removed for i in (0, 4, 6, 8, 9, 17)] == [1, 0, 1, 0, 0, 1] and [got[i].verified for i in (15, 16)] == [1, 0]
+    # what removed a turn is pending again once it is restored
+    assert [got[i].reopened for i in (0, 4, 5, 6, 8)] == [0, 1, 0, 0, 1] and got[17].after == 9
+
