@@ -12,10 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.operators.graph import dealt_anew
+from loomtrace.sources.storage import written
+
 FIELDS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 COUNTS = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ">"
-#: Findings that make a session's coverage partial.
+#: Findings that make a session's coverage partial, and those of counters that don't count where responses were recorded (fixed values).
 PARTIAL = ("invalid_usage_records", "missing_response_ids", "conflicting_response_records", "invalid_cumulative_records", "cumulative_resets", "invalid_cumulative_deltas", "tokens_outside_response_records", "usage_summary_mismatches")
+COUNTER_ONLY = ("invalid_cumulative_records", "cumulative_resets", "invalid_cumulative_deltas")
+RESPONSES, DELTAS = "response_usage", "cumulative_delta"
 
 
 def _all(conditions) -> Column:
@@ -118,11 +123,11 @@ def priced_requests(rows: DataFrame, card: DataFrame, contexts: DataFrame | None
     return out.drop("input", "cached", "write", "output", "scope", "threshold", "input_factor", "output_factor", "unknown", "longest")
 
 
-def poisoned(field: str, window) -> Column:
-    """A running sum that is unknown from the first unknown value on, and 0 before any row."""
-    n = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(window)
-    known = F.sum(F.when((F.col("kind") == 0) & F.col(field).isNotNull(), 1).otherwise(0)).over(window)
-    return F.when(n == known, F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col(field))).over(window), F.lit(0)))
+def totals(window) -> Column:
+    """Running sums of the fields of rows (kind 0), each unknown from its first unknown value on, and 0 before any row: one struct."""
+    row = F.col("kind") == 0
+    n = F.count_if(row).over(window)
+    return F.struct(*[F.when(n == F.count_if(row & F.col(f"tokens.{f}").isNotNull()).over(window), F.coalesce(F.sum(F.when(row, F.col(f"tokens.{f}"))).over(window), F.lit(0))).alias(f) for f in FIELDS])
 
 
 def summary_mismatches(rows: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -135,9 +140,8 @@ def summary_mismatches(rows: DataFrame, summaries: DataFrame) -> DataFrame:
     both = both.unionByName(summaries.select("session_id", "line_number", "turn_id", F.lit(1).alias("kind"), "scope", "tokens"))
     frame = lambda *keys: Window.partitionBy(*keys).orderBy("line_number", "kind").rowsBetween(Window.unboundedPreceding, 0)
     thread, turn = frame("session_id"), frame("session_id", "turn_id")
-    fields = {f"{name}.{f}": poisoned(f"tokens.{f}", w) for name, w in (("thread", thread), ("turn", turn)) for f in FIELDS}
-    got = both.withColumns({k.replace(".", "_"): v for k, v in fields.items()}).where("kind = 1")
-    agrees = lambda name: _all([F.coalesce(F.col(f"{name}_{f}") == F.col(f"tokens.{f}"), F.lit(True)) for f in FIELDS])
+    got = both.withColumn("turn", totals(turn)).withColumn("thread", totals(thread)).where("kind = 1")
+    agrees = lambda name: _all([F.coalesce(F.col(f"{name}.{f}") == F.col(f"tokens.{f}"), F.lit(True)) for f in FIELDS])
     by_thread = F.col("scope").isin("thread", "thread_or_turn")
     by_turn = F.col("scope").isin("turn", "thread_or_turn") & F.col("turn_id").isNotNull()
     wrong = (by_thread | by_turn) & ~((by_thread & agrees("thread")) | (by_turn & agrees("turn")))
@@ -156,3 +160,44 @@ def findings(kept: DataFrame, records: DataFrame, reported: DataFrame, mismatche
     outside = most.join(total, "session_id", "left").select("session_id", F.lit("tokens_outside_response_records").alias("finding"), (F.col("total") - F.coalesce("own", F.lit(0))).alias("n"))
     differing = mismatches.groupBy("session_id").agg(F.count("*").alias("n")).select("session_id", F.lit("usage_summary_mismatches").alias("finding"), "n")
     return counts.unionByName(outside).unionByName(differing).where("n > 0")
+
+
+def session_accounts(responses: DataFrame, counters: DataFrame, empty: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, findings and reports of sessions that were recorded by responses, by counters, or both.
+
+    responses and counters: records as ``response_rows`` and ``counter_rows`` take them;
+    empty: session_id of notifications without counts; summaries: what responses say of
+    their thread's and turn's totals. A session with any response record is counted by
+    those: counters are another account of the same usage, whose readings are summaries
+    then, and whose faults don't count. Else it is counted by what its counters add.
+
+    Rows: session_id, line_number, turn_id, model, tokens, request_known, method.
+    Findings: session_id, finding, n. Reports: session_id, method, records,
+    total_tokens, coverage: partial where a finding says so, unavailable without rows.
+    """
+    said = response_rows(responses)
+    steps = counter_rows(counters)
+    modes = said.select("session_id", F.lit(True).alias("direct")).unionByName(counters.select("session_id", F.lit(False).alias("direct"))).unionByName(empty.select("session_id", F.lit(False).alias("direct")))
+    modes = modes.groupBy("session_id").agg(F.max("direct").alias("direct"))
+    direct = modes.where("direct").select("session_id")
+    own = said.where("finding IS NULL").select("session_id", "line_number", "turn_id", "model", "tokens", F.lit(True).alias("request_known"), F.lit(RESPONSES).alias("method"))
+    other = steps.where("finding IS NULL").join(dealt_anew(direct, "session_id"), "session_id", "left_anti")
+    rows = own.unionByName(other.select("session_id", "line_number", "turn_id", "model", "tokens", "request_known", F.lit(DELTAS).alias("method")))
+    rows = written(rows, "usage-rows")
+
+    readings = counters.select("session_id", "line_number", "turn_id", F.lit("thread_or_turn").alias("scope"), counted("usage").alias("tokens")).where("tokens IS NOT NULL")
+    all_said = summaries.select("session_id", "line_number", "turn_id", "scope", "tokens").unionByName(readings)
+    all_said = written(all_said.join(dealt_anew(direct, "session_id"), "session_id", "left_semi"), "usage-summaries")
+    kept = rows.where(F.col("method") == RESPONSES)
+    found = said.where("finding IS NOT NULL").select("session_id", "finding").unionByName(empty.select("session_id", F.lit("empty_token_notifications").alias("finding")))
+    wrong = steps.where("finding IS NOT NULL AND finding != 'nothing_added'").select("session_id", "finding")
+    wrong = wrong.where(~F.col("finding").isin(*COUNTER_ONLY)).unionByName(wrong.where(F.col("finding").isin(*COUNTER_ONLY)).join(dealt_anew(direct, "session_id"), "session_id", "left_anti"))
+    counts = findings(kept, found.unionByName(wrong), all_said.select("session_id", F.col("tokens.total_tokens").alias("total")), summary_mismatches(kept, all_said))
+    counts = written(counts, "usage-findings")
+
+    total = rows.groupBy("session_id").agg(F.count("*").alias("records"), F.sum("tokens.total_tokens").alias("total_tokens"))
+    partial = counts.where(F.col("finding").isin(*PARTIAL)).select("session_id").distinct().withColumn("partial", F.lit(True))
+    j = modes.join(dealt_anew(total, "session_id"), "session_id", "left").join(partial, "session_id", "left")
+    coverage = F.when(F.col("records").isNull(), "unavailable").when(F.col("partial"), "partial").otherwise("recorded")
+    reports = j.select("session_id", F.when(F.col("direct"), RESPONSES).otherwise(DELTAS).alias("method"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"), coverage.alias("coverage"))
+    return rows, counts, reports

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtrace.operators import session_usage as S
-from loomtrace.sources.storage import table
+from loomtrace.sources.storage import table, written
 from loomtrace.sources.views import numbered_lines, NUMBERED
 
 #: model, prices of a million tokens (input, cached, cache write, output), scope and threshold of long context, its factors (fixed values). RF has none.
@@ -126,11 +126,30 @@ def usage_summary_scopes(spark, sf_dir):
 
 def usage_findings(spark, sf_dir):
     """Positive counts of everything found wrong in a session."""
-    rows, said = _responses(spark, sf_dir), _summaries(spark, sf_dir)
+    # read by every finding, and each would sort all records again
+    rows, said = written(_responses(spark, sf_dir).select("session_id", "line_number", "turn_id", "tokens", "finding"), "responses"), written(_summaries(spark, sf_dir), "summaries")
     kept = rows.where("finding IS NULL")
     return S.findings(kept, rows, said.select("session_id", F.col("tokens.total_tokens").alias("total")), S.summary_mismatches(kept, said))
 
 
+def _accounts(spark, sf_dir):
+    """Sessions by the remainder of their id by three: responses alone, counters alone, or both; every fifth notification of even ones says nothing."""
+    by = lambda df, k: df.where(F.pmod("session_id", F.lit(3)) != k)
+    c = by(counter_records(spark, sf_dir), 0)
+    silent = (F.col("line_number") % 5 == 0) & (F.col("session_id") % 2 == 0)
+    return S.session_accounts(by(records(spark, sf_dir), 1), c.where(~silent), c.where(silent).select("session_id"), by(_summaries(spark, sf_dir), 1))
+
+
+def session_usage(spark, sf_dir):
+    """How each session is counted, its records and tokens, and whether that is all of it."""
+    return _accounts(spark, sf_dir)[2]
+
+
+def session_usage_findings(spark, sf_dir):
+    """Findings of sessions, of the account that counts."""
+    return _accounts(spark, sf_dir)[1]
+
+
 def usage_breakdown(spark, sf_dir):
     """Uncached input, and reasoning's share of all tokens, of each session; unknown where a part is."""
     kept = _responses(spark, sf_dir).where("finding IS NULL")
@@ -148,7 +167,7 @@ def dashboard_grains(spark, sf_dir):
     return cube.agg(F.grouping_id().cast("long").alias("grain"), F.count("*").alias("records"), F.sum("total_tokens").alias("total_tokens"), F.count("cost").alias("priced"), F.sum("cost").cast("decimal(38,14)").cast("string").alias("cost"))
 
 
-QUERIES = {f.__name__: f for f in (usage_response_records, usage_counter_fields, usage_priced_requests, usage_priced_counters, usage_summary_scopes, usage_findings, usage_breakdown, dashboard_grains)}
+QUERIES = {f.__name__: f for f in (usage_response_records, usage_counter_fields, usage_priced_requests, usage_priced_counters, usage_summary_scopes, usage_findings, usage_breakdown, dashboard_grains, session_usage, session_usage_findings)}
 
 _CARD = "card(model, ip, cp, wp, op, scope, threshold, fi, fo) AS (SELECT m, a::DECIMAL(12,6), b::DECIMAL(12,6), c::DECIMAL(12,6), d::DECIMAL(12,6), s, t::BIGINT, x::DECIMAL(4,2), y::DECIMAL(4,2) FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in CARD) + ") v(m, a, b, c, d, s, t, x, y))"
 
@@ -170,7 +189,28 @@ held AS (SELECT s.*, (SELECT coalesce(sum(i), 0) FROM kept k WHERE k.session_id
   (SELECT coalesce(sum(i), 0) FROM kept k WHERE k.session_id = s.session_id AND k.turn_id = s.turn_id AND k.line_number <= s.line_number) AS ti, (SELECT coalesce(sum(o), 0) FROM kept k WHERE k.session_id = s.session_id AND k.turn_id = s.turn_id AND k.line_number <= s.line_number) AS tout FROM said s),
 mismatches AS (SELECT session_id, line_number, scope, turn_id FROM held WHERE NOT (scope <> 'turn' AND si = hi AND so = ho OR scope <> 'thread' AND si = ti AND so = tout))"""
 
+_ACCOUNTS = f"""{_SAID.replace('mismatches AS', 'all_mismatches AS')}, {COUNTERS[COUNTERS.index('counters AS'):].replace('FROM c1)', "FROM (SELECT * FROM c1 WHERE session_id % 3 <> 0 AND NOT (line_number % 5 = 0 AND session_id % 2 = 0)))")},
+silent AS (SELECT session_id FROM counters WHERE session_id % 3 <> 0 AND line_number % 5 = 0 AND session_id % 2 = 0),
+own AS (SELECT * FROM responses WHERE session_id % 3 <> 1), direct AS (SELECT DISTINCT session_id FROM own), added AS (SELECT * FROM counter_rows WHERE session_id NOT IN (FROM direct)),
+rows_of AS (SELECT session_id, i + o AS total FROM own WHERE finding IS NULL UNION ALL SELECT session_id, xi + xo FROM added WHERE finding IS NULL),
+readings AS (SELECT c.session_id, c.line_number, c.turn_id, c.i, c.c, c.w, c.o, c.r FROM c2 c WHERE sound AND session_id IN (FROM direct)),
+own_kept AS (SELECT * FROM own WHERE finding IS NULL),
+sums AS (SELECT s.session_id, s.line_number, s.turn_id, {', '.join(f"s.{f}" for f in 'icwor')},
+  {', '.join(f"CASE WHEN count(k.session_id) = count(k.{f}) THEN coalesce(sum(k.{f}), 0) END AS h{f}" for f in 'icwor')},
+  {', '.join(f"CASE WHEN count(k.session_id) FILTER (k.turn_id = s.turn_id) = count(k.{f}) FILTER (k.turn_id = s.turn_id) THEN coalesce(sum(k.{f}) FILTER (k.turn_id = s.turn_id), 0) END AS t{f if f != 'o' else 'out'}" for f in 'icwor')}
+  FROM readings s LEFT JOIN own_kept k ON k.session_id = s.session_id AND k.line_number <= s.line_number GROUP BY ALL),
+wrong AS (SELECT session_id FROM all_mismatches WHERE session_id % 3 <> 1 UNION ALL SELECT session_id FROM sums
+  WHERE NOT (({' AND '.join(f"coalesce(h{f} = {f}, true)" for f in 'icwor')} AND coalesce(hi + ho = i + o, true)) OR (turn_id IS NOT NULL AND {' AND '.join(f"coalesce(t{f if f != 'o' else 'out'} = {f}, true)" for f in 'icwor')} AND coalesce(ti + tout = i + o, true)))),
+most AS (SELECT session_id, max(m) AS most FROM (SELECT session_id, si + so AS m FROM said WHERE session_id % 3 <> 1 UNION ALL SELECT session_id, i + o FROM readings) GROUP BY 1),
+counts AS (SELECT session_id, finding, count(*) AS n FROM (SELECT session_id, finding FROM own WHERE finding IS NOT NULL UNION ALL SELECT session_id, 'empty_token_notifications' FROM silent UNION ALL SELECT session_id, 'usage_summary_mismatches' FROM wrong
+    UNION ALL SELECT session_id, finding FROM counter_rows WHERE finding IS NOT NULL AND finding <> 'nothing_added' AND (finding = 'duplicate_cumulative_records' OR session_id NOT IN (FROM direct))) GROUP BY ALL
+  UNION ALL SELECT session_id, 'tokens_outside_response_records', (most - coalesce(own, 0))::BIGINT FROM most LEFT JOIN (SELECT session_id, sum(total) AS own FROM rows_of GROUP BY 1) USING (session_id) WHERE most > coalesce(own, 0))"""
+
 SQL = {
+    "session_usage_findings": f"WITH {_ACCOUNTS} SELECT session_id, finding, n FROM counts",
+    "session_usage": f"""WITH {_ACCOUNTS}, sessions AS (SELECT session_id FROM own UNION SELECT session_id FROM counters WHERE session_id % 3 <> 0), t AS (SELECT session_id, count(*) AS records, sum(total)::BIGINT AS total_tokens FROM rows_of GROUP BY 1)
+SELECT session_id, CASE WHEN session_id IN (FROM direct) THEN 'response_usage' ELSE 'cumulative_delta' END AS method, coalesce(records, 0) AS records, coalesce(total_tokens, 0) AS total_tokens, CASE WHEN records IS NULL THEN 'unavailable'
+  WHEN session_id IN (SELECT session_id FROM counts WHERE finding NOT IN ('empty_token_notifications', 'duplicate_response_records', 'duplicate_cumulative_records')) THEN 'partial' ELSE 'recorded' END AS coverage FROM sessions LEFT JOIN t USING (session_id)""",
     "usage_response_records": f"WITH {RESPONSES} SELECT session_id, line_number, CASE WHEN sound THEN i + o END AS total_tokens, finding FROM responses",
     "usage_counter_fields": f"""WITH {COUNTERS} SELECT session_id, line_number, finding, CASE WHEN finding IS NULL THEN xi END AS input_tokens, CASE WHEN finding IS NULL THEN xc END AS cached_input_tokens, CASE WHEN finding IS NULL THEN xw END AS cache_write_input_tokens, CASE WHEN finding IS NULL THEN xo END AS output_tokens,
   CASE WHEN finding IS NULL THEN xr END AS reasoning_output_tokens, CASE WHEN finding IS NULL THEN xi + xo END AS total_tokens, CASE WHEN finding IS NULL THEN request_known END AS request_known, CASE WHEN finding IS NULL AND request_known THEN model END AS model FROM counter_rows""",
