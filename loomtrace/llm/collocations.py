@@ -46,6 +46,8 @@ FILTER_BITS = 26
 #: Keys of a task's trie before subtrees are spilled; half of them stay.
 TRIE_KEYS = 2_000_000
 DEALS = 8
+#: Languages' first places are sent to all tasks up to so many, a few MB; beyond, they are joined by a shuffle.
+BROADCAST_LANGS = 100_000
 SLICE_BYTES = 4 << 20
 
 _BLANK, _BREAK = 32, 10
@@ -289,8 +291,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
         rows = without_contained(candidates)
         # places in the order of all languages, ranged over tasks, less those of the languages before
         rows = aside.written(row_numbers(rows, [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "place"), "placed")
-        first = dealt_anew(rows.groupBy("lang").agg(F.min("place").alias("first")), "lang")
-        rows = rows.join(first, "lang").withColumn("rank", F.col("place") - F.col("first") + 1).where(F.col("rank") <= top)
+        first = aside.written(rows.groupBy("lang").agg(F.min("place").alias("first")), "languages")
+        few = first.count() <= BROADCAST_LANGS
+        rows = rows.join(F.broadcast(first) if few else dealt_anew(first, "lang"), "lang").withColumn("rank", F.col("place") - F.col("first") + 1).where(F.col("rank") <= top)
         return written(rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
 
 
