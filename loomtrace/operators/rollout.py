@@ -35,11 +35,11 @@ def marked(records: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("file").orderBy("line_number")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    header = F.when((F.col("type") == "session_meta") & F.col("payload.id").isNotNull(), F.struct("payload.id", "line_number"))
-    rows = records.withColumns({"what": what, "header": F.first(header, ignorenulls=True).over(upto)})
+    header = (F.col("type") == "session_meta") & F.col("payload.id").isNotNull()
+    first = lambda c: F.first(F.when(header, F.col(c)), ignorenulls=True).over(upto)
+    rows = records.withColumns({"what": what, "session_id": first("payload.id"), "session_line": first("line_number")})
     sets_turn = ((F.col("type") == "turn_context") | (F.col("what") == "started")) & F.col("payload.turn_id").isNotNull()
-    rows = rows.withColumn("turn", _last(F.when(sets_turn, F.struct("payload.turn_id", "line_number")), upto))
-    rows = rows.withColumns({"session_id": F.col("header.id"), "session_line": F.col("header.line_number"), "turn_id": F.col("turn.turn_id"), "turn_line": F.col("turn.line_number")}).drop("header", "turn")
+    rows = rows.withColumns({"turn_id": _last(F.when(sets_turn, F.col("payload.turn_id")), upto), "turn_line": _last(F.when(sets_turn, F.col("line_number")), upto)})
     # the next and the former record of the same call
     same = Window.partitionBy("file", "payload.call_id").orderBy("line_number")
     paired = F.col("what").isin("call", "output")
@@ -62,14 +62,14 @@ def marked(records: DataFrame) -> DataFrame:
     return rows.withColumns({"anchor_from": _last(anchor, before), "waiting_from": _last(waiting, before), "was_active": F.coalesce(F.lag("active").over(w), F.lit(False)), "were_open": F.coalesce(F.lag("open_calls").over(w), F.lit(0))})
 
 
-def events(records: DataFrame) -> DataFrame:
+def events(records: DataFrame, with_file: bool = False) -> DataFrame:
     """session_id, line_number, kind, name, start_us, end_us, timing, status, turn_id.
 
     Kinds: user, assistant, tool (a call until its output; open without one), user_wait
     (a blocking request, and from a task's end to the next prompt), llm (estimated: from
     when the model has the word to its next record) and event.
     """
-    return _made(records).select("session_id", "line_number", "turn_id", *_EVENT)
+    return _made(records).select(*["file"][: int(with_file)], "session_id", "line_number", "turn_id", *_EVENT)
 
 
 _EVENT = ("kind", "name", "start_us", "end_us", "timing", "status")
@@ -79,6 +79,9 @@ def _made(records: DataFrame) -> DataFrame:
     """Events with the lines that what they show is from."""
     rows = marked(records).where("what IS NOT NULL AND session_id IS NOT NULL")
     rows = rows.withColumns({"anchor": F.col("anchor_from.t"), "anchor_line": F.col("anchor_from.line"), "waiting": F.col("waiting_from.t"), "waiting_line": F.col("waiting_from.line")})
+    # fields of structs are taken out first: Catalyst loses columns where a generator reads them and its rows are filtered
+    inner = {"tool": "payload.name", "said_type": "payload.type", "next_what": "next.what", "next_line": "next.line_number", "next_at": "next.at_us", "next_output": "next.output"}
+    rows = rows.withColumns({k: F.col(v) for k, v in inner.items()}).withColumn("alone", F.col("next").isNull()).drop("payload", "next", "anchor_from", "waiting_from")
     none = F.lit(None).cast("long")
 
     def made(cond, kind, name, start, end, timing, status):
@@ -86,24 +89,24 @@ def _made(records: DataFrame) -> DataFrame:
 
     at, what, ok = F.col("at_us"), F.col("what"), F.lit("ok")
     lit = F.lit
-    closed = F.col("next.what") == "output"
-    failed = F.col("next.output").rlike(r"(?i)(?:exit(?:ed with)? code|Process exited with code)\s*[:=]?\s*[1-9]")
-    call_kind = F.when(F.element_at(F.split("payload.name", "\\."), -1) == "request_user_input", "user_wait").otherwise("tool")
+    closed = F.col("next_what") == "output"
+    failed = F.col("next_output").rlike(r"(?i)(?:exit(?:ed with)? code|Process exited with code)\s*[:=]?\s*[1-9]")
+    call_kind = F.when(F.element_at(F.split("tool", "\\."), -1) == "request_user_input", "user_wait").otherwise("tool")
     gap = what.isin("call", "said") & F.col("was_active") & (F.col("were_open") == 0) & F.col("anchor").isNotNull() & (at > F.col("anchor"))
     out = F.array_compact(F.array(
         made(gap, lit("llm"), lit("LLM response (estimated)"), F.col("anchor"), at, lit("estimated"), ok),
         made((what == "asked") & F.col("waiting").isNotNull() & (at > F.col("waiting")), lit("user_wait"), lit("Between turns (inferred user wait)"), F.col("waiting"), at, lit("estimated"), ok),
         made(what == "asked", lit("user"), lit("User input"), at, none, lit("unknown"), ok),
         made(what == "said", lit("assistant"), lit("Assistant"), at, none, lit("unknown"), ok),
-        made((what == "call") & closed, call_kind, F.col("payload.name"), at, F.greatest(at, F.col("next.at_us")), lit("estimated"), F.when(failed, "error").otherwise("ok")),
-        made((what == "call") & F.col("next").isNull(), call_kind, F.col("payload.name"), at, none, lit("unknown"), lit("incomplete")),
+        made((what == "call") & closed, call_kind, F.col("tool"), at, F.greatest(at, F.col("next_at")), lit("estimated"), F.when(failed, "error").otherwise("ok")),
+        made((what == "call") & F.col("alone"), call_kind, F.col("tool"), at, none, lit("unknown"), lit("incomplete")),
         made((what == "output") & (F.coalesce(F.col("former"), lit("")) != "call"), lit("event"), lit("Unmatched tool output"), at, none, lit("unknown"), lit("incomplete")),
-        made(what == "ended", lit("event"), F.col("payload.type"), at, none, lit("unknown"), F.when(F.col("payload.type") == "task_complete", "ok").otherwise("interrupted")),
+        made(what == "ended", lit("event"), F.col("said_type"), at, none, lit("unknown"), F.when(F.col("said_type") == "task_complete", "ok").otherwise("interrupted")),
     ))
-    begun = F.when(F.col("e.kind") == "llm", F.col("anchor_line")).when((F.col("e.kind") == "user_wait") & (F.col("what") == "asked"), F.col("waiting_line"))
-    result = F.when((F.col("what") == "call") & closed, F.col("next.line_number"))
-    rows = rows.select("*", F.explode(out).alias("e")).withColumns({"begun_line": begun, "result_line": result})
-    return rows.select("file", "session_id", "line_number", "turn_id", "what", "session_line", "turn_line", "begun_line", "result_line", "e.*")
+    begun = F.when(F.col("kind") == "llm", F.col("anchor_line")).when((F.col("kind") == "user_wait") & (F.col("what") == "asked"), F.col("waiting_line"))
+    result = F.when((F.col("what") == "call") & closed, F.col("next_line"))
+    rows = rows.select("*", F.inline(out)).withColumns({"begun_line": begun, "result_line": result})
+    return rows.select("file", "session_id", "line_number", "turn_id", "what", "session_line", "turn_line", "begun_line", "result_line", *_EVENT)
 
 
 #: How a field came about: taken over, worked out from values, or a rule's reading of them (fixed values).

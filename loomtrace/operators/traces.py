@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators.graph import dealt_anew
 from loomtrace.operators.turns import nearest_identity
+from loomtrace.sources.storage import written
 
 #: Keys that name a conversation, in order, and those that do if they hold a UUID (fixed values).
 IDENTITY_KEYS, UUID_KEYS = ("session.id", "conversation.id", "gen_ai.conversation.id"), ("thread.id", "thread_id")
 _UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+#: What an identity rests on is named by fixed values, here and in ``attributed``.
 #: Operations of a language model (fixed values).
 LLM_OPERATIONS = ("chat", "text_completion", "generate_content")
 
 
 def any_values(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, name, type, value (text) of the attributes in JSON: a list of name and typed value; lists stay JSON, key-value lists are opened a level."""
+    """key, name, type, value (text) of the attributes in JSON: a list of name and typed value; lists stay JSON, key-value lists are opened, however deep, under dotted names."""
     item = "STRUCT<key: STRING, value: STRUCT<stringValue: STRING, intValue: STRING, doubleValue: DOUBLE, boolValue: BOOLEAN, arrayValue: STRING, kvlistValue: STRING>>"
-    one = rows.select(key, F.explode(F.from_json(column, f"ARRAY<{item}>")).alias("a"))
-    inner = one.where("a.value.kvlistValue IS NOT NULL").select(key, F.col("a.key").alias("outer"), F.explode(F.from_json(F.get_json_object("a.value.kvlistValue", "$.values"), f"ARRAY<{item}>")).alias("a"))
-    flat = one.where("a.value.kvlistValue IS NULL").select(key, F.col("a.key").alias("name"), "a.value").unionByName(inner.select(key, F.concat("outer", F.lit("."), "a.key").alias("name"), "a.value"))
+    opened = lambda json: F.explode(F.from_json(json, f"ARRAY<{item}>")).alias("a")
+    level = rows.select(key, opened(column)).select(key, F.col("a.key").alias("name"), "a.value")
+    flat = None
+    while True:
+        level = written(level, "attributes")
+        done = level.where("value.kvlistValue IS NULL")
+        flat = done if flat is None else flat.unionByName(done)
+        rest = level.where("value.kvlistValue IS NOT NULL")
+        if rest.isEmpty():
+            break
+        inner = rest.select(key, F.col("name").alias("outer"), opened(F.get_json_object("value.kvlistValue", "$.values")))
+        level = inner.select(key, F.concat("outer", F.lit("."), "a.key").alias("name"), "a.value")
     v = {k: F.col(f"value.{k}") for k in ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue")}
     kind = F.when(v["stringValue"].isNotNull(), "string").when(v["intValue"].isNotNull(), "int").when(v["doubleValue"].isNotNull(), "double").when(v["boolValue"].isNotNull(), "bool").when(v["arrayValue"].isNotNull(), "array").otherwise("null")
     # integers of 64 bits come as text

@@ -102,10 +102,10 @@ def _archive(lines: str) -> str:
   SELECT file, (line_number - 1) // 1000 AS block, count(*) AS n, sum(strlen(line)) AS size, sha256(string_agg(sha256(line), '' ORDER BY line_number)) AS h FROM {lines} GROUP BY ALL) GROUP BY file"""
 
 
-_RECORDS = _LINES + r""",
+RECORDS = _LINES + r""",
 recs AS (SELECT file, line_number, line, epoch_us(replace(replace(line->>'$.timestamp', 'Z', ''), 'T', ' ')::TIMESTAMP) AS at_us, line->>'$.type' AS y, line->>'$.payload.type' AS kind, line->>'$.payload.role' AS role,
     line->>'$.payload.phase' AS phase, line->>'$.payload.id' AS id, line->>'$.payload.turn_id' AS tid, line->>'$.payload.call_id' AS call_id, line->>'$.payload.name' AS nm, line->>'$.payload.output' AS outp
-  FROM lines WHERE trim(line) <> ''),
+  FROM (SELECT file, line_number, CASE WHEN trim(line) = '' THEN '{}' ELSE line END AS line FROM lines WHERE trim(line) <> '')),
 whats AS (SELECT *, CASE WHEN y = 'response_item' AND kind = 'function_call' THEN 'call' WHEN y = 'response_item' AND kind = 'function_call_output' THEN 'output'
     WHEN y = 'response_item' AND kind = 'message' AND role = 'user' THEN 'asked' WHEN y = 'response_item' AND kind = 'message' AND coalesce(role, '') NOT IN ('developer', 'system') THEN 'said'
     WHEN y = 'event_msg' AND kind = 'task_started' THEN 'started' WHEN y = 'event_msg' AND kind IN ('task_complete', 'turn_aborted') THEN 'ended' END AS what FROM recs),
@@ -135,7 +135,7 @@ made AS (SELECT *, unnest(list_filter([
   ], lambda x: x IS NOT NULL)) AS e FROM marked),
 events AS (SELECT file, session_id, line_number, turn_id, what, session_line, turn_line, e.begun AS begun, CASE WHEN what = 'call' AND next_what = 'output' AND e.begun IS NULL THEN next_line END AS result, what = 'call' AND e.begun IS NULL AS tool,
     e.kind AS kind, e.name AS name, e.a AS start_us, e.b AS end_us, e.timing AS timing, e.status AS status FROM made)"""
-_EVIDENCE = _RECORDS + r""",
+_EVIDENCE = RECORDS + r""",
 uses AS (SELECT file, session_id, line_number, kind, unnest([
     {'f': '/session_id', 'o': 'normalized', 's': [{'l': session_line, 'p': '/payload/id', 'u': 'value'}]},
     {'f': '/line_number', 'o': 'calculated', 's': [{'l': line_number, 'p': '', 'u': 'physical_line'}]},
@@ -157,8 +157,8 @@ both_lines AS (SELECT s.*, l.line AS was, d.now FROM sources s LEFT JOIN sound l
 valued AS (SELECT *, CASE WHEN s.p = '' THEN sha256(was) ELSE was->>s.p END AS seen, CASE WHEN s.p = '' THEN sha256(now) ELSE now->>s.p END AS found FROM both_lines)"""
 
 SQL = {
-    "rollout_events": f"WITH {_RECORDS} SELECT session_id, line_number, turn_id, kind, name, start_us, end_us, timing, status FROM events",
-    "rollout_stats": f"""WITH {_RECORDS}, closed AS (SELECT session_id, kind, timing, start_us AS a, end_us AS b FROM events WHERE end_us > start_us),
+    "rollout_events": f"WITH {RECORDS} SELECT session_id, line_number, turn_id, kind, name, start_us, end_us, timing, status FROM events",
+    "rollout_stats": f"""WITH {RECORDS}, closed AS (SELECT session_id, kind, timing, start_us AS a, end_us AS b FROM events WHERE end_us > start_us),
 o AS (SELECT *, max(b) OVER (PARTITION BY session_id, kind, timing ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM closed),
 g AS (SELECT kind, timing, sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS active FROM o GROUP BY ALL), n AS (SELECT kind, timing, count(*) AS n, sum(end_us - start_us) AS total FROM events GROUP BY ALL)
 SELECT kind, timing, n, total / 1000.0 AS sum_ms, active / 1000.0 AS active_ms FROM n LEFT JOIN g USING (kind, timing)""",
