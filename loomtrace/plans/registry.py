@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("interval_queries", "usage_queries", "text_queries", "label_queries", "rollout_queries", "reprocess_queries", "scan_queries", "review_queries", "merge_queries", "document_queries", "session_queries", "curation_queries", "trace_queries", "capture_queries", "training_queries")
+MODULES: tuple[str, ...] = ("interval_queries", "usage_queries", "text_queries", "label_queries", "rollout_queries", "reprocess_queries", "scan_queries", "bundle_queries", "review_queries", "merge_queries", "document_queries", "session_queries", "curation_queries", "trace_queries", "capture_queries", "training_queries")
 
 
 def queries() -> dict:
