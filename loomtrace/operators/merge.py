@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.functions.variants import json_set
 from loomtrace.operators.graph import dealt_anew
 
 
@@ -78,3 +79,27 @@ def write_classes(sessions: DataFrame, results: DataFrame) -> DataFrame:
     taken = F.col("label").isNotNull() & ~F.coalesce("forced", F.lit(False))
     outcome = F.when(F.col("category").isNull(), "none").when(own, "excluded").when(taken, "labelled").otherwise("written")
     return j.select("session_id", F.when(outcome == "written", F.col("category")).otherwise(F.col("label")).alias("label"), outcome.alias("outcome"))
+
+
+#: Readers whose events say what a tool's input is for.
+SCOPED_SOURCES = ("codex_jsonl", "codex_item")
+
+
+def correct_scopes(stored: DataFrame, incoming: DataFrame, sources: tuple[str, ...] = SCOPED_SOURCES) -> DataFrame:
+    """Stored events with kinds and input scopes corrected by a delivery of the same events (columns session_id, id, source, name, text, start_us, kind, attributes; incoming also input_scope).
+
+    Only an event that is the same in all but kind and attributes is corrected, only one
+    that is a tool, a wait for the user or an input request, and only where kind or
+    scope differ. The scope goes to ``input_scope`` of its attributes (JSON); others stay.
+    ``corrected`` says which.
+    """
+    same = ["session_id", "id", "source", "name", "text", "start_us"]
+    scopes = incoming.where(F.col("input_scope").isNotNull() & F.col("source").isin(*sources))
+    scopes = scopes.groupBy(*same).agg(F.max(F.struct(F.col("kind").alias("new_kind"), F.col("input_scope").alias("new_scope"))).alias("new"))
+    j = stored.join(dealt_anew(scopes, "session_id", "id"), same, "left")
+    asks = F.col("kind").isin("tool", "user_wait") | F.coalesce(F.get_json_object("attributes", "$.wait_type") == "input_request", F.lit(False))
+    differs = (F.col("kind") != F.col("new.new_kind")) | ~F.get_json_object("attributes", "$.input_scope").eqNullSafe(F.col("new.new_scope"))
+    corrected = F.coalesce(F.col("new").isNotNull() & asks & differs, F.lit(False))
+    j = j.withColumn("corrected", corrected)
+    put = json_set(F.coalesce("attributes", F.lit("{}")), ["input_scope"], F.regexp_extract(F.to_json(F.array("new.new_scope")), r"^\[(.*)\]$", 1))
+    return j.select(*same, F.when(F.col("corrected"), F.col("new.new_kind")).otherwise(F.col("kind")).alias("kind"), F.when(F.col("corrected"), put).otherwise(F.col("attributes")).alias("attributes"), "corrected")
