@@ -56,9 +56,9 @@ def set_difference(spark, sf_dir):
 
 
 def not_exists_chain(spark, sf_dir):
-    """Customers without an order whose nation has no supplier in debt."""
+    """Customers without a pending order whose nation has no supplier in debt."""
     c, o, s = (table(spark, sf_dir, x) for x in ("customer", "orders", "supplier"))
-    rest = c.join(o, c.c_custkey == o.o_custkey, "left_anti")
+    rest = c.join(o.where("o_orderstatus = 'P'"), c.c_custkey == o.o_custkey, "left_anti")
     return rest.join(s.where("s_acctbal < -500"), rest.c_nationkey == s.s_nationkey, "left_anti").select("c_custkey")
 
 
@@ -162,7 +162,7 @@ SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS rec
     "paired_subset": "SELECT count(*) AS n, count(*) FILTER ((n_chars >= 500)::INT = quality) AS first_right, count(*) FILTER ((lang = 'en')::INT = quality) AS second_right, count(*) FILTER ((n_chars >= 500) = (lang = 'en')) AS agree FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND lang IS NOT NULL AND quality IN (0, 1)",
     "alignment": "SELECT CASE WHEN NOT (quality IN (0, 1) AND toxic IN (0, 1)) OR quality IS NULL OR toxic IS NULL THEN 'insufficient' WHEN quality = toxic THEN 'agreement' ELSE 'disagreement' END AS state, count(*) AS n FROM labels GROUP BY 1",
     "set_difference": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-    "not_exists_chain": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < -500)",
+    "not_exists_chain": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < -500)",
     "snapshot_conflict_semi": "SELECT o_orderkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate::DATE = a.o_orderdate::DATE AND b.o_totalprice <> a.o_totalprice)",
     "session_list_page": "WITH r AS (SELECT * FROM customer WHERE lower(c_name) LIKE '%customer#%' AND c_mktsegment IS DISTINCT FROM 'MACHINERY') SELECT c_custkey, c_name, c_acctbal, (SELECT count(*) FROM r) AS total FROM r ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20",
     "unified_compose": f"WITH {TRACE_EVENTS}, e AS (SELECT *, json_extract_string(attributes, '$.k')::INT AS k FROM trace_events), l AS (SELECT id, session_id, k, count(*) OVER (PARTITION BY session_id, k) AS ln FROM e WHERE kind = 'click'), r AS (SELECT session_id, k, count(*) AS rn, min(id) AS rid FROM e WHERE kind = 'view' GROUP BY ALL) SELECT id, l.session_id, l.k, CASE WHEN rn IS NULL THEN 'unmatched' WHEN ln = 1 AND rn = 1 THEN 'matched' ELSE 'ambiguous' END AS match, CASE WHEN ln = 1 AND rn = 1 THEN rid END AS right_id FROM l LEFT JOIN r ON r.session_id = l.session_id AND r.k = l.k",

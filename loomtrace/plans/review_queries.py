@@ -46,8 +46,8 @@ def split_support(spark, sf_dir):
 
 
 def leakage_check(spark, sf_dir):
-    """Texts that stand in more than one split."""
-    t = turns(spark, sf_dir).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), _split().alias("split"))
+    """Texts of documents that stand in more than one split."""
+    t = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "session_id").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), _split().alias("split"))
     return t.groupBy("sha256").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
@@ -147,7 +147,7 @@ _HASHED = f"{_TURNS}, hashed AS (SELECT *, ('0x' || substr(md5(session_id::VARCH
 SQL = {
     "curation_state": f"WITH {TRACE_EVENTS} SELECT session_id, json_extract_string(attributes, '$.k')::INT AS target, arg_max(CASE WHEN kind = 'purchase' THEN 'verified' WHEN kind = 'error' THEN 'removed' ELSE 'pending' END, (start_us, id)) AS state, count(*) AS revision, bool_or(kind = 'view') AS reopened FROM trace_events GROUP BY ALL",
     "split_support": f"WITH {_HASHED}, s AS (SELECT role, {_SPLIT} AS split FROM hashed), t AS (SELECT role, count(*) AS total FROM s GROUP BY role), e AS (SELECT role, split, total FROM t, (VALUES ('train'), ('validation'), ('test')) v(split)), n AS (SELECT role, split, count(*) AS n FROM s GROUP BY ALL) SELECT e.split, e.role, coalesce(n, 0) AS n, round(coalesce(n, 0) / total::DOUBLE, 6) AS share, n IS NULL AS unsupported FROM e LEFT JOIN n ON n.role = e.role AND n.split = e.split",
-    "leakage_check": f"WITH {_HASHED} SELECT sha256(coalesce(text, '')) AS sha256, count(DISTINCT {_SPLIT}) AS splits FROM hashed GROUP BY 1 HAVING count(DISTINCT {_SPLIT}) > 1",
+    "leakage_check": f"WITH hashed AS (SELECT text, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM documents) SELECT sha256(coalesce(text, '')) AS sha256, count(DISTINCT {_SPLIT}) AS splits FROM hashed GROUP BY 1 HAVING count(DISTINCT {_SPLIT}) > 1",
     "capture_attempts": "WITH p AS (SELECT text, min(doc_id) AS payload_id FROM documents GROUP BY text) SELECT doc_id, payload_id, doc_id = payload_id AS stored FROM documents JOIN p USING (text)",
     "preferred_source": f"WITH {TRACE_EVENTS}, b AS (SELECT session_id, arg_min(source, (CASE WHEN source = 's2' THEN 0 WHEN source = 's0' THEN 1 ELSE 2 END, source)) AS source FROM trace_events GROUP BY 1) SELECT session_id, source, count(*) AS n FROM trace_events JOIN b USING (session_id, source) GROUP BY ALL",
     "message_selection": f"WITH {_TURNS} SELECT session_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM turns WHERE role IN ('user', 'assistant') AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND upper(trim(text)) NOT IN ('[REDACTED]', 'REDACTED') GROUP BY session_id",

@@ -83,9 +83,9 @@ def predecessor_join(spark, sf_dir):
 
 
 def previous_turn_check(spark, sf_dir):
-    """Turns that don't follow their session's turn before by one."""
+    """Turns of users that don't follow their session's one before by one."""
     w = Window.partitionBy("session_id").orderBy("index")
-    t = turns(spark, sf_dir).select("session_id", "index").distinct().withColumn("prior", F.lag("index").over(w))
+    t = turns(spark, sf_dir).where("role = 'user'").select("session_id", "index").distinct().withColumn("prior", F.lag("index").over(w))
     return t.where("prior IS NOT NULL AND index != prior + 1")
 
 
@@ -95,9 +95,14 @@ def role_transitions(spark, sf_dir):
     return t.where("next IS NOT NULL").groupBy("role", "next").agg(F.count("*").alias("n"))
 
 
+def _single_turns(spark, sf_dir):
+    """Documents as sessions of one turn: some say what others do."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
+
+
 def _edges(spark, sf_dir):
     """Sessions that share a turn's text, each with the smallest of them: as many edges as sharers, whatever their number."""
-    t = turns(spark, sf_dir).select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).distinct()
+    t = _single_turns(spark, sf_dir).select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).distinct()
     first = t.groupBy("sha256").agg(F.min("session_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     return t.join(dealt_anew(first, "sha256"), "sha256").where("session_id != first").select(F.col("session_id").alias("u"), F.col("first").alias("v"))
 
@@ -109,7 +114,7 @@ def duplicate_edges(spark, sf_dir):
 def connected_groups(spark, sf_dir):
     """Every session with the smallest session that shared texts connect it to."""
     of = components(_edges(spark, sf_dir))
-    s = turns(spark, sf_dir).select("session_id").distinct()
+    s = _single_turns(spark, sf_dir).select("session_id").distinct()
     return s.join(of, s.session_id == of.node, "left").select("session_id", F.coalesce("component", "session_id").alias("group_id"))
 
 
@@ -169,7 +174,7 @@ def dependency_closure(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (keyword_purpose, regex_extracts, input_attribution, canonical_timestamps, stable_ids, line_fingerprints, chunk_windows, span_replace, pseudonym_numbers, transcript_budget, first_prompt_title, turn_serialization, predecessor_join, previous_turn_check, role_transitions, duplicate_edges, connected_groups, chronological_split, split_time_overlap, endless_chains, nearest_rank_percentiles, capture_dedupe, ancestor_identity, dependency_closure)}
 
 _TURNS = "turns AS (SELECT conv_id AS session_id, turn AS index, role, text FROM conversations)"
-_EDGES = f"{_TURNS}, t AS (SELECT DISTINCT session_id, sha256(coalesce(text, '')) AS h FROM turns), f AS (SELECT h, min(session_id) AS first FROM t GROUP BY h HAVING count(*) > 1), edges AS (SELECT DISTINCT session_id AS u, first AS v FROM t JOIN f USING (h) WHERE session_id <> first)"
+_EDGES = "turns AS (SELECT doc_id AS session_id, text FROM documents), t AS (SELECT DISTINCT session_id, sha256(coalesce(text, '')) AS h FROM turns), f AS (SELECT h, min(session_id) AS first FROM t GROUP BY h HAVING count(*) > 1), edges AS (SELECT DISTINCT session_id AS u, first AS v FROM t JOIN f USING (h) WHERE session_id <> first)"
 _CASE = " ".join(rf"WHEN regexp_matches(lower(text), '(^|[^\p{{L}}])({w})($|[^\p{{L}}])') THEN '{n}'" for n, w in X.PURPOSES)
 
 SQL = {
@@ -186,7 +191,7 @@ SQL = {
     "first_prompt_title": f"WITH {_TURNS} SELECT session_id, substr(string_split(trim(min((index, text))[2]), chr(10))[1], 1, 100) AS title FROM turns WHERE role = 'user' AND trim(text) <> '' GROUP BY session_id",
     "turn_serialization": f"WITH {_TURNS}, s AS (SELECT a.session_id, a.index, '[TARGET TURN]' || chr(10) || a.text || chr(10) || '[PRECEDING TURN CONTEXT]' || chr(10) || coalesce(b.text, '[EMPTY]') AS t FROM turns a LEFT JOIN turns b ON b.session_id = a.session_id AND b.index = a.index - 1 WHERE a.role = 'assistant') SELECT session_id, index, sha256(t) AS sha256, length(t)::INT AS size FROM s",
     "predecessor_join": f"WITH {_TURNS} SELECT a.session_id, a.index, a.role, b.role AS previous_role FROM turns a LEFT JOIN turns b ON b.session_id = a.session_id AND b.index = a.index - 1",
-    "previous_turn_check": f"WITH {_TURNS}, d AS (SELECT DISTINCT session_id, index FROM turns), l AS (SELECT *, lag(index) OVER (PARTITION BY session_id ORDER BY index) AS prior FROM d) SELECT * FROM l WHERE prior IS NOT NULL AND index <> prior + 1",
+    "previous_turn_check": f"WITH {_TURNS}, d AS (SELECT DISTINCT session_id, index FROM turns WHERE role = 'user'), l AS (SELECT *, lag(index) OVER (PARTITION BY session_id ORDER BY index) AS prior FROM d) SELECT * FROM l WHERE prior IS NOT NULL AND index <> prior + 1",
     "role_transitions": f"WITH {_TURNS}, l AS (SELECT role, lead(role) OVER (PARTITION BY session_id ORDER BY index, role) AS next FROM turns) SELECT role, next, count(*) AS n FROM l WHERE next IS NOT NULL GROUP BY ALL",
     "duplicate_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "connected_groups": f"WITH RECURSIVE {_EDGES}, e AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r AS (SELECT DISTINCT session_id AS a, session_id AS b FROM turns UNION SELECT a, v FROM r JOIN e ON u = b) SELECT a AS session_id, min(b) AS group_id FROM r GROUP BY a",
