@@ -75,7 +75,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def replaced(rows: DataFrame, path: str) -> None:
-    """Write JSON aside and put it in the place of what is there by renaming, so that a reader finds the old or the new whole."""
+    """Write JSON aside and put it in the place of what is there by renaming.
+
+    A reader finds the old or the new whole, or, between the two renames, nothing; where
+    that matters, publish a draft (``sources.drafts``).
+    """
     spark, aside, before = rows.sparkSession, f"{path}.new", f"{path}.old"
     rows.write.mode("overwrite").json(aside)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

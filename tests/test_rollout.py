@@ -2,7 +2,9 @@
 
 import json
 
-from loomtrace.operators import rollout
+from pyspark.sql import functions as F
+
+from loomtrace.operators import lineage, rollout
 from loomtrace.sources import rollout as source
 
 
@@ -39,3 +41,37 @@ def test_mirrored_prompts(spark):
     rows = [(1, 1, "event_msg", "a"), (1, 2, "response_item", "a"), (1, 3, "event_msg", "a"), (1, 4, "event_msg", "b"), (1, 5, "response_item", "c"), (2, 6, "event_msg", "a"), (2, 7, "event_msg", "d"), (2, 8, "response_item", "d")]
     df = spark.createDataFrame([("s", *r) for r in rows], "session_id string, task int, line_number int, source string, text string")
     assert sorted(r.line_number for r in rollout.without_mirrors(df).collect()) == [2, 4, 5, 6, 8]
+
+
+def test_what_is_no_sound_record_rejects_its_file(spark):
+    head = line(0, "session_meta", id="s")
+    tails = [
+        "{", '{"type":"response_item"}', "null", "[]", '{"payload":null}', head + "{", head + "," + head, head + "} {}", '{"timestamp":"2026-01-01T00:00:00","type":"x","payload":{}}', '{"timestamp":"2026-01-01T00:00:00-00:00","type":"x"}',
+        '{"timestamp":"1969-12-31T23:59:59Z","type":"x"}', '{"timestamp":5,"type":"x"}', '{"timestamp":"2026-01-01T00:00:00Z","type":"x","payload":[]}',
+    ]
+    good = ['{"timestamp":"2026-01-01T00:00:00Z","type":"x"}', head + "  ", '{"timestamp":"2026-01-01t00:00:00.5+01:00","type":"x","payload":{}}']
+    rows = [(f"bad{k}", head + "\n" + t) for k, t in enumerate(tails)] + [(f"good{k}", head + "\n" + t) for k, t in enumerate(good)]
+    got = source.records(source.lines_of(spark.createDataFrame(rows, "file string, value string"))).collect()
+    assert {r.file for r in got} == {f"good{k}" for k in range(len(good))} and len(got) == 2 * len(good)
+
+
+def test_an_edited_line_breaks_the_evidence_that_rests_on_it(spark):
+    lines = [
+        line(0, "session_meta", id="s"), line(1, "event_msg", type="task_started", turn_id="t1"), line(2, "response_item", type="function_call", call_id="a", name="shell"), line(4, "response_item", type="function_call_output", call_id="a", output="ok"),
+        line(6, "response_item", type="message", role="assistant", phase="final_answer", text="x"),
+    ]
+    held = source.lines_of(spark.createDataFrame([("f", "\n".join(lines))], "file string, value string"))
+    saved = lineage.saved(rollout.evidence(source.records(held)), held)
+    archives = held.select("file").distinct()
+    assert {r.state for r in lineage.checked(saved, held, archives).collect()} == {"ok", "no source"}
+
+    def broken(lines_now, archives=archives):
+        return {(r.kind, r.field, r.line, r.state) for r in lineage.checked(saved, lines_now, archives).collect() if r.state not in ("ok", "no source")}
+
+    later = held.withColumn("line", F.when(F.col("line_number") == 4, F.lit(line(5, "response_item", type="function_call_output", call_id="a", output="ok"))).otherwise(F.col("line")))
+    assert broken(later) == {("tool", "/end_us", 4, "changed"), ("llm", "/start_us", 4, "changed"), ("llm", "/kind", 4, "changed"), ("llm", "/timing", 4, "changed")} | {x for x in broken(later) if x[1] == "/line_number"}
+    gone = held.where("line_number != 2")
+    assert {x[1:] for x in broken(gone)} >= {("/turn_id", 2, "no line")} and all(x[3] == "no line" for x in broken(gone))
+    less = held.withColumn("line", F.when(F.col("line_number") == 2, F.lit(line(1, "event_msg", type="task_started"))).otherwise(F.col("line")))
+    assert ("tool", "/turn_id", 2, "unresolved") in broken(less)
+    assert {x[3] for x in broken(held, archives.where("false"))} == {"no archive"}
