@@ -153,9 +153,9 @@ def classification_candidates(spark, sf_dir):
 def row_preview(spark, sf_dir):
     """The first 240 characters of a conversation's user messages, in order."""
     t = turns(spark, sf_dir).where("role = 'user' AND trim(text) != ''")
-    # messages that begin within the 240 characters, so a long conversation isn't gathered
+    # messages of which the space before them is within the 240 characters, so a long conversation isn't gathered
     before = Window.partitionBy("session_id").orderBy("index", "text").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where("before < 240")
+    t = t.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where("before <= 240")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", F.substring("text", 1, 240).alias("text")))), lambda x: x["text"]), " ")
     return t.groupBy("session_id").agg(F.substring(joined, 1, 240).alias("preview"))
 
