@@ -30,16 +30,27 @@ def stable_id(*parts):
 _RFC_3339 = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?([Zz]|[+-]\d{2}:\d{2})$"
 
 
-def strict_nanos(text):
-    """Nanoseconds since 1970 of an RFC 3339 time with a known zone and up to nine digits of a second, not before 1970, else null."""
+def _strict(text):
+    """Whole seconds since 1970 and the nine digits of a second of an RFC 3339 time, and whether it is one."""
     part = lambda n: F.regexp_extract(text, _RFC_3339, n)
     zone = F.upper(part(4))
     known = (zone == "Z") | (zone != "-00:00") & (F.substring(zone, 2, 2) <= "23") & (F.substring(zone, 5, 2) <= "59")
     # offsets are taken off here, as zones reach no further than 18 hours
     minutes = F.when(zone == "Z", 0).otherwise(F.concat(F.substring(zone, 1, 1), F.substring(zone, 2, 2)).try_cast("int") * 60 + F.concat(F.substring(zone, 1, 1), F.substring(zone, 5, 2)).try_cast("int"))
     at = F.unix_seconds(F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.lit("Z")))) - minutes * 60
-    nanos = at * 1_000_000_000 + F.rpad(part(3), 9, "0").try_cast("long")
-    return F.when(text.rlike(_RFC_3339) & known & (nanos >= 0), nanos)
+    return at, F.rpad(part(3), 9, "0"), text.rlike(_RFC_3339) & known & (at >= 0)
+
+
+def strict_nanos(text):
+    """Nanoseconds since 1970 of an RFC 3339 time with a known zone and up to nine digits of a second, from 1970 to where 64 bits end (2262), else null."""
+    at, digits, sound = _strict(text)
+    return F.when(sound, F.try_add(F.try_multiply(at, F.lit(1_000_000_000)), digits.try_cast("long")))
+
+
+def strict_micros(text):
+    """As ``strict_nanos``, whole microseconds, of any year."""
+    at, digits, sound = _strict(text)
+    return F.when(sound, at * 1_000_000 + F.substring(digits, 1, 6).try_cast("long"))
 
 
 def nanos_string(micros):

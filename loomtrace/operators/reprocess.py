@@ -46,7 +46,7 @@ def reprocessed(captures: DataFrame, before: DataFrame, limit: int, events=rollo
     bodies = written(bodies.select("capture_id", "source", "content_type", "content"), "bodies")
     texts = bodies.where((F.col("source") == ROLLOUT) & F.col("content").isNotNull()).select(F.col("capture_id").alias("file"), F.col("content").cast("string").alias("value"))
     lines = source.lines_of(texts.select("file", "value"))
-    records = source.records(lines)
+    records = written(source.records(lines), "records")
     made = digests(events(records, with_file=True), "file", EVENT).withColumnRenamed("file", "capture_id")
     sound = records.select(F.col("file").alias("capture_id")).distinct()
     rolls = sound.join(made, "capture_id", "left").withColumn("error", F.lit(None).cast("string"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtrace.functions.text import strict_nanos
+from loomtrace.functions.text import strict_micros
 from loomtrace.operators.graph import dealt_anew
 from loomtrace.sources.storage import table
 
@@ -22,9 +22,10 @@ RECORD = f"STRUCT<timestamp: STRING, type: STRING, payload: {PAYLOAD}>"
 
 def lines_of(files: DataFrame) -> DataFrame:
     """file, line_number, line of whole files (columns file, value)."""
-    lines = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "line"), F.size(F.split("value", "\r\n|\n|\r")).alias("n"))
-    # what follows the last line end is no line if it is empty
-    return lines.where("pos < n - 1 OR line != ''").select("file", (F.col("pos") + 1).alias("line_number"), "line")
+    parts = F.split("value", "\r\n|\n|\r")
+    # what follows the last line end is no line if it is empty; taken off before, as behind the generator every line would split the file again
+    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return files.select("file", F.posexplode(parts).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_number"), "line")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +43,7 @@ def decoded(lines: DataFrame) -> DataFrame:
     has = lambda path, kind: F.try_variant_get("list", path, kind).isNotNull()
     one = F.size(F.try_variant_get("list", "$", "array<variant>")) == 1
     sound = F.col("alone") & one & has("$[0]", "map<string,variant>") & (has("$[0].payload", "map<string,variant>") | ~has("$[0].payload", "variant"))
-    at = F.floor(strict_nanos(F.col("r.timestamp")) / 1000)
+    at = strict_micros(F.col("r.timestamp"))
     payload = F.coalesce("r.payload", F.from_json(F.lit("{}"), PAYLOAD))
     others = [c for c in lines.columns if c not in ("file", "line_number", "line")]
     return parsed.select("file", "line_number", *others, at.alias("at_us"), F.col("r.type").alias("type"), payload.alias("payload"), F.coalesce(sound & at.isNotNull(), F.lit(False)).alias("sound"))
@@ -82,7 +83,7 @@ def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = table(spark, sf_dir, "conversations").withColumn("role", F.coalesce("role", F.lit("user"))).withColumn("text", F.coalesce("text", F.lit("")))
     t = t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    base = 1_700_000_000_000_000 + F.col("conv_id") * 86_400_000_000 + F.col("n") * 60_000_000
+    base = 1_700_000_000_000_000 + F.col("conv_id") * 86_400_000_000 + F.col("n").cast("long") * 60_000_000
     stamp = lambda s: F.date_format(F.timestamp_micros(base + s * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     turn = F.concat(F.lit("t"), F.ceil(F.col("n") / 2).cast("string"))
     call = F.concat(F.lit("c"), F.col("n").cast("string"))

@@ -27,3 +27,21 @@ def test_a_preview_ends_with_the_space_before_a_message_that_begins_after_it(spa
     rows = [(size, n, "user", text) for size in (238, 239, 240, 241) for n, text in enumerate(("a" * size, "second"))]
     conversations(spark, tmp_path, rows)
     assert dict(against_sql(spark, tmp_path, "row_preview"))[239] == "a" * 239 + " "
+
+
+def reprocessed(spark, sf_dir):
+    for name in ("events", "supplier"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", sf_dir / f"{name}.parquet")
+    return {r[0]: r[2] for r in against_sql(spark, sf_dir, "reprocessed_captures")}
+
+
+def test_times_past_what_doubles_tell_apart_in_nanoseconds(spark, tmp_path):
+    conversations(spark, tmp_path, [(c, n, "user" if n % 2 == 0 else "assistant", f"text {n}") for c in (40_001, 60_002) for n in range(8)])
+    assert reprocessed(spark, tmp_path)["conv-40001"] == "normalized"
+
+
+def test_rollouts_of_many_turns_and_late_years(spark, tmp_path):
+    conversations(spark, tmp_path, [(c, n, "user" if n % 2 == 0 else "assistant", f"text {n}") for c in (3, 7, 400_000) for n in range(80)])
+    assert len({r[0] for r in against_sql(spark, tmp_path, "rollout_events")}) == 3
+    got = reprocessed(spark, tmp_path)
+    assert [got[f"conv-{c}"] for c in (3, 7, 400_000)] == ["failed", "normalized", "normalized"]
