@@ -100,21 +100,28 @@ def _single_turns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
 
 
-def _edges(spark, sf_dir):
+def _edges(texts):
     """Sessions that share a turn's text, each with the smallest of them: as many edges as sharers, whatever their number."""
-    t = _single_turns(spark, sf_dir).select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).distinct()
+    t = texts.select("session_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).distinct()
     first = t.groupBy("sha256").agg(F.min("session_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     return t.join(dealt_anew(first, "sha256"), "sha256").where("session_id != first").select(F.col("session_id").alias("u"), F.col("first").alias("v"))
 
 
 def duplicate_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).distinct()
+    return _edges(_single_turns(spark, sf_dir)).distinct()
+
+
+def _texts(spark, sf_dir):
+    """What sessions say: conversations by all of their turns, and documents as sessions of one turn, numbered down from -1."""
+    d = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("session_id"), "text")
+    return turns(spark, sf_dir).select("session_id", "text").unionByName(d)
 
 
 def connected_groups(spark, sf_dir):
-    """Every session with the smallest session that shared texts connect it to."""
-    of = components(_edges(spark, sf_dir))
-    s = _single_turns(spark, sf_dir).select("session_id").distinct()
+    """Every session with the smallest session that shared texts connect it to, over however many others."""
+    t = _texts(spark, sf_dir)
+    of = components(_edges(t))
+    s = t.select("session_id").distinct()
     return s.join(of, s.session_id == of.node, "left").select("session_id", F.coalesce("component", "session_id").alias("group_id"))
 
 
@@ -174,7 +181,9 @@ def dependency_closure(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (keyword_purpose, regex_extracts, input_attribution, canonical_timestamps, stable_ids, line_fingerprints, chunk_windows, span_replace, pseudonym_numbers, transcript_budget, first_prompt_title, turn_serialization, predecessor_join, previous_turn_check, role_transitions, duplicate_edges, connected_groups, chronological_split, split_time_overlap, endless_chains, nearest_rank_percentiles, capture_dedupe, ancestor_identity, dependency_closure)}
 
 _TURNS = "turns AS (SELECT conv_id AS session_id, turn AS index, role, text FROM conversations)"
-_EDGES = "turns AS (SELECT doc_id AS session_id, text FROM documents), t AS (SELECT DISTINCT session_id, sha256(coalesce(text, '')) AS h FROM turns), f AS (SELECT h, min(session_id) AS first FROM t GROUP BY h HAVING count(*) > 1), edges AS (SELECT DISTINCT session_id AS u, first AS v FROM t JOIN f USING (h) WHERE session_id <> first)"
+_SINGLE = "turns AS (SELECT doc_id AS session_id, text FROM documents)"
+_BOTH = "turns AS (SELECT conv_id AS session_id, text FROM conversations UNION ALL SELECT -1 - doc_id, text FROM documents)"
+_EDGES = "t AS (SELECT DISTINCT session_id, sha256(coalesce(text, '')) AS h FROM turns), f AS (SELECT h, min(session_id) AS first FROM t GROUP BY h HAVING count(*) > 1), edges AS (SELECT DISTINCT session_id AS u, first AS v FROM t JOIN f USING (h) WHERE session_id <> first)"
 _CASE = " ".join(rf"WHEN regexp_matches(lower(text), '(^|[^\p{{L}}])({w})($|[^\p{{L}}])') THEN '{n}'" for n, w in X.PURPOSES)
 
 SQL = {
@@ -193,8 +202,8 @@ SQL = {
     "predecessor_join": f"WITH {_TURNS} SELECT a.session_id, a.index, a.role, b.role AS previous_role FROM turns a LEFT JOIN turns b ON b.session_id = a.session_id AND b.index = a.index - 1",
     "previous_turn_check": f"WITH {_TURNS}, d AS (SELECT DISTINCT session_id, index FROM turns WHERE role = 'user'), l AS (SELECT *, lag(index) OVER (PARTITION BY session_id ORDER BY index) AS prior FROM d) SELECT * FROM l WHERE prior IS NOT NULL AND index <> prior + 1",
     "role_transitions": f"WITH {_TURNS}, l AS (SELECT role, lead(role) OVER (PARTITION BY session_id ORDER BY index, role) AS next FROM turns) SELECT role, next, count(*) AS n FROM l WHERE next IS NOT NULL GROUP BY ALL",
-    "duplicate_edges": f"WITH {_EDGES} SELECT * FROM edges",
-    "connected_groups": f"WITH RECURSIVE {_EDGES}, e AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r AS (SELECT DISTINCT session_id AS a, session_id AS b FROM turns UNION SELECT a, v FROM r JOIN e ON u = b) SELECT a AS session_id, min(b) AS group_id FROM r GROUP BY a",
+    "duplicate_edges": f"WITH {_SINGLE}, {_EDGES} SELECT * FROM edges",
+    "connected_groups": f"WITH RECURSIVE {_BOTH}, {_EDGES}, e AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r AS (SELECT DISTINCT session_id AS a, session_id AS b FROM turns UNION SELECT a, v FROM r JOIN e ON u = b) SELECT a AS session_id, min(b) AS group_id FROM r GROUP BY a",
     "chronological_split": "WITH g AS (SELECT o_custkey AS group_id, max(o_orderdate::DATE) AS latest FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY latest, group_id) AS at, count(*) OVER () AS total FROM g), h AS (SELECT *, greatest(1, round_even(total * 0.15, 0)::BIGINT) AS hold FROM r) SELECT group_id, latest::VARCHAR AS latest, CASE WHEN at > total - hold THEN 'test' WHEN at > total - 2 * hold THEN 'validation' ELSE 'train' END AS split FROM h".replace(" AS at,", " AS place,").replace("WHEN at >", "WHEN place >"),
     "nearest_rank_percentiles": "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL) SELECT p AS percent, n_chars AS value FROM r, (VALUES (0), (50), (90), (95), (100)) v(p) WHERE k = round_even((n - 1) * p / 100.0, 0)::BIGINT + 1",
     "endless_chains": "WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey + CASE WHEN p_size % 2 = 0 THEN p_size ELSE -p_size END AS t FROM part), e AS (SELECT id, t FROM p WHERE t BETWEEN 1 AND (SELECT max(id) FROM p)), s(id) AS (SELECT id FROM p WHERE id NOT IN (SELECT id FROM e) UNION SELECT e.id FROM e JOIN s ON e.t = s.id) SELECT id FROM p WHERE id NOT IN (SELECT id FROM s)",

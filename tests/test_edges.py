@@ -45,3 +45,11 @@ def test_rollouts_of_many_turns_and_late_years(spark, tmp_path):
     assert len({r[0] for r in against_sql(spark, tmp_path, "rollout_events")}) == 3
     got = reprocessed(spark, tmp_path)
     assert [got[f"conv-{c}"] for c in (3, 7, 400_000)] == ["failed", "normalized", "normalized"]
+
+
+def test_groups_reach_over_sessions_that_share_different_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "b"), (3, 1, "assistant", "c"), (4, 0, "user", "c"), (4, 1, "assistant", "d"), (9, 0, "user", "e")]
+    conversations(spark, tmp_path, rows)
+    spark.createDataFrame([(5, "d"), (6, "f"), (7, "f"), (8, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(against_sql(spark, tmp_path, "connected_groups"))
+    assert found == {1: -6, 2: -6, 3: -6, 4: -6, -6: -6, 9: 9, -7: -8, -8: -8, -9: -9}
