@@ -55,7 +55,7 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (5-word shingles, similarity of 0.8 at least): that of the smallest doc_id."""
+    """One row of each group of near copies (SimHash and MinHash find them, 5-word shingles decide: similarity of 0.8 at least): that of the smallest doc_id."""
     docs, names = _aside(docs)
     return _back(near_copies.one_of_each(docs), names)
 

@@ -1,18 +1,22 @@
-"""Near copies by the similarity of word shingles: MinHash bands find candidates, exact Jaccard decides.
+"""Near copies by the similarity of word shingles: SimHash and MinHash bands find candidates, exact Jaccard decides.
 
 A text is the set of its distinct 5-word shingles, as 64-bit hashes. Two texts are
-linked if their sets' Jaccard similarity is 0.8 at least. SimHash covering can't
-search so far: near copies of 0.8 differ in ten fingerprint bits and more, which
-takes thousands of tables. Of 80 minima in 20 bands of four, a pair at 0.8 shares
-no band with probability (1 - 0.8^4)^20 < 0.00003.
+linked if their sets' Jaccard similarity is 0.8 at least. Each set has a SimHash
+fingerprint, and covering LSH finds those within two bits (``simhash.links``): sets of
+one fingerprint are compared with the least of them, and the least ones of linked
+fingerprints with each other. Covering can't search so far as 0.8: such copies differ
+in ten bits and more, which takes thousands of tables. So bands of minima find what
+is left: of 80 minima in 20 bands of four, a pair at 0.8 shares no band with
+probability (1 - 0.8^4)^20 < 0.00003.
 
 Equal sets are one row from the start. In each bucket every set is compared with
 the least one; then, where a bucket still holds several components, all pairs of
 different components in it. Buckets of over 32 sets do the second in random blocks
 of about four, anew in each band, so pairs grow with a bucket and not with its
 square. What is still in several components there is joined exactly, by prefixes:
-shingles are ordered by how many of these sets have them, rarest first, and of two
-sets similar enough the larger has one of the smaller's first ninth among its own
+shingles are ordered by how many of these sets have them, rarest first (any order
+that is the same for all sets is right, so those of one of PLACES places count
+together), and of two sets similar enough the larger has one of the smaller's first ninth among its own
 first fifth. Sizes and the places of the shingle that two sets meet at leave out
 pairs that can't be similar, a hot shingle is split by the join, and pairs within a
 component aren't formed. So only what no band puts together is missed. Very many
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.line_dedup import keyed
 from loomtrace.llm.shared import written
-from loomtrace.llm.simhash import SLICE_BYTES
+from loomtrace.llm.simhash import SLICE_BYTES, _bit_counts, links
 from loomtrace.llm.text import LOWER, Words, slices
 from loomtrace.operators.graph import components, dealt_anew
 
@@ -47,6 +51,8 @@ BANDS, EACH = 20, 4
 SIMILAR = (4, 5)
 #: Sets of a bucket of which all pairs are compared; larger buckets are dealt in blocks of about BLOCK.
 WHOLE, BLOCK = 32, 4
+#: Counts of shingles that the order of prefixes goes by; 2 MB sent to all tasks.
+PLACES = 1 << 18
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +98,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ends = shingle_sets(batch.column("text"))
         full = np.flatnonzero(np.diff(ends))
         keys = band_keys(hashes, np.concatenate([ends[:-1][full], ends[-1:]])) if len(full) else np.zeros((0, BANDS), np.uint64)
+        fps = np.zeros(len(ends) - 1, np.uint64)
+        if len(full):
+            bits = 2 * _bit_counts(hashes, ends[1:][full]) > np.diff(ends)[full][:, None]
+            fps[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
         offsets = np.concatenate([[0], np.cumsum((np.diff(ends) > 0) * BANDS)]).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "id", "text_key")), pa.array(_set_ids(hashes, ends).view(np.int64)), keys], ["doc_id", "id", "text_key", "set_id", "keys"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "id", "text_key")), pa.array(_set_ids(hashes, ends).view(np.int64)), pa.array(fps.view(np.int64)), keys], ["doc_id", "id", "text_key", "set_id", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,18 +123,44 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(of * F.col("both") >= share * (F.size("u_hashes") + F.size("v_hashes") - F.col("both"))).select("u", "v")
 
 
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """u > v of sets (set_id, fp): each with the least of its fingerprint, and the least ones of fingerprints within two bits."""
+    marks = written(marks.distinct(), "marks")
+    least = written(marks.groupBy("fp").agg(F.min("set_id").alias("hub")), "fingerprints")
+    same = marks.join(dealt_anew(least, "fp"), "fp").where("set_id != hub").select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
+    near = links(least.select("fp")).toDF("a", "b").join(least.toDF("a", "u"), "a").join(least.toDF("b", "v"), "b")
+    return same.unionByName(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
+
+
+def _prefixes(often: np.ndarray):
+    """Shingles of sets (set_id, root, hashes) that come first by how often they are, less those of one set alone."""
+    share, of = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, rows = batch.column("hashes"), []
+            for k in range(len(batch)):
+                h = hashes[k].values.to_numpy()
+                n, size = often[h % PLACES], len(h)
+                first = np.lexsort((h, n))[: size - -(-share * size // of) + 1]
+                at = np.flatnonzero(n[first] > 1)
+                rows.append((np.full(len(at), k), np.full(len(at), size), at, h[first[at]]))
+            k, size, at, h = (np.concatenate(x) for x in zip(*rows)) if rows else np.zeros((4, 0), np.int64)
+            index = size - -(-2 * share * size // (share + of)) + 1
+            own = (batch.column(c).take(pa.array(k)) for c in ("set_id", "root"))
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in (size, index, at, h))], ["set_id", "root", "size", "index", "at", "h"])
+
+    return run
+
+
 def prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v: every pair of sets of ``crowd`` (set_id, root) of different roots that may be similar. ``sets``: set_id, hashes."""
     share, of = SIMILAR
-    each = crowd.join(sets, "set_id").select("set_id", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
-    many = each.groupBy("h").agg(F.count("*").alias("n"))
-    each = each.join(dealt_anew(many, "h"), "h")
-    # a set's shingles, as many as its text has
-    ordered = each.groupBy("set_id", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))
-    probe = F.col("size") - F.ceil(F.lit(share) * F.col("size") / of) + 1
-    index = F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") / (share + of)) + 1
-    rows = ordered.select("set_id", "root", "size", index.alias("index"), F.posexplode(F.slice("order", F.lit(1), probe.cast("int"))).alias("at", "x"))
-    rows = written(rows.where("x.n > 1").select("set_id", "root", "size", "index", "at", "x.h"), "prefixes")
+    own = crowd.join(sets, "set_id").select("set_id", "root", "hashes")
+    counts = own.select(F.explode("hashes").alias("h")).groupBy(F.pmod("h", F.lit(PLACES)).alias("place")).agg(F.count("*").alias("n")).toPandas()
+    often = np.zeros(PLACES, np.int64)
+    often[counts["place"].to_numpy()] = counts["n"].to_numpy()
+    rows = written(own.mapInArrow(_prefixes(often), "set_id long, root long, size long, index long, at long, h long"), "prefixes")
     x = rows.select("h", F.col("set_id").alias("u"), F.col("root").alias("u_root"), F.col("size").alias("u_size"), F.col("at").alias("u_at"))
     y = rows.where(F.col("at") < F.col("index")).select("h", F.col("set_id").alias("v"), F.col("root").alias("v_root"), F.col("size").alias("v_size"), F.col("at").alias("v_at"))
     smaller = "u_root != v_root AND (v_size < u_size OR (v_size = u_size AND v < u))"
@@ -144,7 +180,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, id, text_key, set_id), sets (set_id, root), and the least document (unknown, id, text_key) of each root."""
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = written(texts.select("doc_id", "id", "text_key", "text").mapInArrow(_bands, "doc_id long, id long, text_key long, set_id long, keys array<long>"), "bands")
+    rows = written(texts.select("doc_id", "id", "text_key", "text").mapInArrow(_bands, "doc_id long, id long, text_key long, set_id long, fp long, keys array<long>"), "bands")
     document = F.struct(F.col("doc_id").isNull().alias("unknown"), "id", "text_key")
     groups = written(rows.groupBy("set_id").agg(F.min(document).alias("least")), "set-groups")
     # equal sets have equal keys: distinct combines them before the shuffle
@@ -152,14 +188,16 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("hub")).where("n > 1")
     met = written(buckets.join(dealt_anew(shared, "key"), "key").select("key", "n", "hub", "set_id"), "met")
 
-    of = groups.join(met.select("set_id").distinct(), "set_id", "left_semi").select("least.id", "least.text_key").distinct()
+    prints = written(fingerprint_pairs(rows.where("size(keys) > 0").select("set_id", "fp")), "fingerprint-pairs")
+    wanted = met.select("set_id").unionByName(prints.select(F.inline(F.array(F.struct(F.col("u").alias("set_id")), F.struct(F.col("v").alias("set_id"))))))
+
+    of = groups.join(wanted.distinct(), "set_id", "left_semi").select("least.id", "least.text_key").distinct()
     # hashed, not sorted: the texts only pass by
     texts = texts.join(of.hint("shuffle_hash"), ["id", "text_key"], "left_semi").select("text")
     sets = written(texts.mapInArrow(_sets, "set_id long, hashes array<long>").dropDuplicates(["set_id"]), "sets")
 
-    first = written(met.where("set_id != hub").select(F.col("set_id").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
-    links = written(_similar(first, sets), "links")
-    roots = components(links).withColumnRenamed("node", "set_id")
+    first = written(met.where("set_id != hub").select(F.col("set_id").alias("u"), F.col("hub").alias("v")).unionByName(prints).distinct(), "pairs")
+    roots = components(written(_similar(first, sets), "links")).withColumnRenamed("node", "set_id")
     wide = written(met.where("n > 2").join(roots, "set_id", "left").select("key", "n", "set_id", F.coalesce("component", "set_id").alias("root")), "wide")
     open_keys = wide.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     block = F.when(F.col("n") <= WHOLE, F.lit(0)).otherwise(F.pmod(F.xxhash64("set_id", "key"), F.ceil(F.col("n") / BLOCK)))
