@@ -3,6 +3,7 @@
 import pytest
 
 from loomtrace.operators import session_usage as S
+from loomtrace.operators import similarity
 from loomtrace.plans import session_queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +28,8 @@ def test_accounts_of_four_tables_are_those_of_their_entries(spark):
     whole = Q._accounts(spark, DATA)
     for one, other in zip(parts[1:], whole[1:]):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_a_vector_is_sent_as_often_however_many_there_are():
+    assert similarity.blocks(20_000) == similarity.blocks(500_000) == similarity.BLOCKS
+    assert similarity.blocks(10) == 1 and similarity.blocks(10, 3) == 4 and similarity.blocks(1 << 20) == 16
