@@ -81,10 +81,8 @@ def pooled_vectors(spark, sf_dir):
 def pair_queue(spark, sf_dir):
     """Near vectors of which both sides are active (their label is known and not 0), each pair once, with both labels."""
     v = table(spark, sf_dir, "embeddings").where("label != 0")
-    pairs = S.cosine_pairs(v.select(F.col("vec_id").alias("id"), S.unit("embedding").alias("vector")), 0.35)
-    label = v.select("vec_id", "label")
-    left, right = label.toDF("left_id", "left_label"), label.toDF("right_id", "right_label")
-    return pairs.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", "left_label", "right_label")
+    rows = v.select(F.col("vec_id").alias("id"), S.unit("embedding").alias("vector"), "label")
+    return S.cosine_pairs(rows, 0.35, carried=("label",)).select("left_id", "right_id", "left_label", "right_label")
 
 
 def majority_baseline(spark, sf_dir):

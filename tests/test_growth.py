@@ -4,6 +4,7 @@ import pytest
 
 from loomtrace.operators import session_usage as S
 from loomtrace.operators import similarity
+from loomtrace.plans import review_queries as R
 from loomtrace.plans import session_queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +34,11 @@ def test_accounts_of_four_tables_are_those_of_their_entries(spark):
 def test_a_vector_is_sent_as_often_however_many_there_are():
     assert similarity.blocks(20_000) == similarity.blocks(500_000) == similarity.BLOCKS
     assert similarity.blocks(10) == 1 and similarity.blocks(10, 3) == 4 and similarity.blocks(1 << 20) == 16
+
+
+def test_labels_come_along_with_vectors(spark):
+    df = R.pair_queue(spark, DATA)
+    assert plan(df, "Join") == 0 and df.count()
+    vectors = spark.createDataFrame([(3, [1.0, 0.0], 7), (1, [1.0, 0.0], 8), (2, [0.0, 1.0], None)], "id long, vector array<double>, label int")
+    for rows in (1, 2, None):
+        assert list(map(tuple, similarity.cosine_pairs(vectors, 0.5, rows, ("label",)).collect())) == [(1, 3, 8, 7, 1.0)]
