@@ -62,7 +62,7 @@ def identified(records: DataFrame) -> DataFrame:
 
 def attributed(spans: DataFrame) -> DataFrame:
     """session_id and basis of each span (trace_id, span_id, parent_span_id, direct, basis, candidates): its own identity, its nearest ancestor's, the only one in the trace, or the trace."""
-    name = lambda c: F.to_json(F.struct("trace_id", F.col(c).alias("span")))
+    name = lambda c: F.struct("trace_id", F.col(c).alias("span"))
     nodes = spans.select(name("span_id").alias("id"), F.when(F.col("parent_span_id").isNotNull(), name("parent_span_id")).alias("parent"), F.col("direct").alias("identity"))
     # of repeated spans one stands for all
     nodes = nodes.groupBy("id").agg(F.min(F.struct("identity", "parent")).alias("n")).select("id", "n.parent", "n.identity")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtrace.operators.ordering import row_numbers, with_exclusive_sum
-from loomtrace.sources.storage import Written
+from loomtrace.sources.storage import Written, new_path
 
 
 def within_budget(turns: DataFrame, budget: int) -> DataFrame:
@@ -59,17 +60,22 @@ def nearest_identity(nodes: DataFrame) -> DataFrame:
 
     Pointer jumping: each round doubles the distance looked over, until one finds no
     identity more: distances along a chain have no gaps, so none is further up.
-    Cycles without an identity give null.
+    A round looks only for nodes that are open, without an identity but with a parent;
+    settled ones are written once. Cycles without an identity give null.
     """
-    rounds = Written(nodes.sparkSession, "ancestors")
-    at = rounds.put(nodes.select("id", "parent", "identity"))
-    found = at.where("identity IS NOT NULL").count()
+    spark, path, last = nodes.sparkSession, new_path(nodes.sparkSession, "ancestors"), 0
+    step = nodes.select("id", "parent", "identity")
+    schema = T.StructType([*step.schema.fields, T.StructField("round", T.IntegerType())])
+    is_open = "identity IS NULL AND parent IS NOT NULL"
     while True:
-        up = at.select(F.col("id").alias("parent"), F.col("parent").alias("grand"), F.col("identity").alias("above"))
-        at = rounds.put(at.join(up, "parent", "left").select("id", F.when(F.col("identity").isNull(), F.col("grand")).alias("parent"), F.coalesce("identity", "above").alias("identity")))
-        before, found = found, at.where("identity IS NOT NULL").count()
-        if found == before:
+        step.write.parquet(f"{path}/round={last}")
+        own = spark.read.schema(step.schema).parquet(f"{path}/round={last}")
+        at = spark.read.schema(schema).parquet(path).where(f"NOT ({is_open}) OR round = {last}")
+        if last and own.where("identity IS NOT NULL").isEmpty():
             return at.select("id", "identity")
+        up = at.select(F.col("id").alias("parent"), F.col("parent").alias("grand"), F.col("identity").alias("above"))
+        step = own.where(is_open).join(up, "parent", "left").select("id", F.when(F.col("above").isNull(), F.col("grand")).alias("parent"), F.col("above").alias("identity"))
+        last += 1
 
 
 def without_end(nodes: DataFrame) -> DataFrame:

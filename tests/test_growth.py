@@ -3,7 +3,7 @@
 import pytest
 
 from loomtrace.operators import session_usage as S
-from loomtrace.operators import similarity
+from loomtrace.operators import similarity, turns
 from loomtrace.plans import review_queries as R
 from loomtrace.plans import session_queries as Q
 
@@ -42,3 +42,13 @@ def test_labels_come_along_with_vectors(spark):
     vectors = spark.createDataFrame([(3, [1.0, 0.0], 7), (1, [1.0, 0.0], 8), (2, [0.0, 1.0], None)], "id long, vector array<double>, label int")
     for rows in (1, 2, None):
         assert list(map(tuple, similarity.cosine_pairs(vectors, 0.5, rows, ("label",)).collect())) == [(1, 3, 8, 7, 1.0)]
+
+
+def test_settled_nodes_are_written_once(spark):
+    rows = [(k, k - 1 if k else None, "top" if not k else None) for k in range(9)] + [(20, 21, None), (21, 20, None), (30, 99, None)]
+    df = turns.nearest_identity(spark.createDataFrame(rows, "id int, parent int, identity string"))
+    got = dict(map(tuple, df.collect()))
+    assert got == {k: "top" if k < 9 else None for k, _, _ in rows}
+    folder = df.inputFiles()[0].rpartition("/round=")[0]
+    counts = {r["round"]: r["count"] for r in spark.read.parquet(folder).groupBy("round").count().collect()}
+    assert counts[0] == 12 and counts[1] == 11 and counts[2] < 11
