@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import text as X
 from loomtrace.operators import scans
-from loomtrace.sources.storage import table
+from loomtrace.sources.storage import table, written
 
 SIZE, OVERLAP = 400, 100
 
@@ -45,7 +45,9 @@ def scan_results(spark, sf_dir):
 def scan_messages(spark, sf_dir):
     """Messages whose results all hold and agree, with their findings, or why they are refused."""
     chunks = _chunks(spark, sf_dir)
-    messages, found = scans.merged(scans.validated(_results(chunks), chunks, ("name", "place")), chunks)
+    # read four times, and each would check all results again
+    checked = written(scans.validated(_results(chunks), chunks, ("name", "place")), "checked")
+    messages, found = scans.merged(checked, chunks)
     n = found.groupBy("message").agg(F.count("*").alias("n"), F.sum("start").alias("places"))
     return messages.join(n, "message", "left").select("message", "state", "reason", "review", "n", "places")
 
