@@ -41,7 +41,8 @@ def _edited(lines):
 
 def evidence_states(spark, sf_dir):
     """Evidence saved at import against lines that were edited since: what of it still holds, by field and state."""
-    lines = source.derived_lines(spark, sf_dir)
+    # read several times, and each would write the rollouts anew
+    lines = written(source.derived_lines(spark, sf_dir), "lines")
     saved = lineage.saved(rollout.evidence(source.records(lines)), lines)
     archives = lines.where("NOT endswith(file, '7')").select("file").distinct()
     return lineage.checked(saved, _edited(lines), archives).groupBy("field", "state").agg(F.count("*").alias("n"))
@@ -49,8 +50,9 @@ def evidence_states(spark, sf_dir):
 
 def event_support(spark, sf_dir):
     """Leaves of events with the evidence of their fields, by field: how many have any, and how many rest on a line that no longer holds."""
-    lines = source.derived_lines(spark, sf_dir)
-    records = source.records(lines)
+    # read several times, and each would write and decode the rollouts anew
+    lines = written(source.derived_lines(spark, sf_dir), "lines")
+    records = written(source.records(lines), "records")
     key = F.concat_ws("|", "session_id", "line_number", "kind").alias("event")
     events = rollout.events(records).select(key, F.to_json(F.struct("session_id", "line_number", "turn_id", "kind", "name", "start_us", "end_us", "timing", "status"), {"ignoreNullFields": "false"}).alias("doc"))
     events = written(events, "events")
