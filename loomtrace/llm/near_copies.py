@@ -51,8 +51,8 @@ BANDS, EACH = 20, 4
 SIMILAR = (4, 5)
 #: Sets of a bucket of which all pairs are compared; larger buckets are dealt in blocks of about BLOCK.
 WHOLE, BLOCK = 32, 4
-#: Counts of shingles that the order of prefixes goes by; 2 MB sent to all tasks.
-PLACES = 1 << 18
+#: Counts of shingles that the order of prefixes goes by; 2 MB sent to all tasks. They are added up in shelves.
+PLACES, SHELF = 1 << 18, 1 << 10
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +153,37 @@ def _prefixes(often: np.ndarray):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's sets hold, by place: a row for each shelf that they meet."""
+    counts = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column("hashes").flatten().to_numpy() % PLACES, minlength=PLACES)
+    at = np.flatnonzero(counts)
+    shelves, first = np.unique(at // SHELF, return_index=True)
+    ends = pa.array(np.append(first, len(at)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(shelves), pa.ListArray.from_arrays(ends, pa.array(at % SHELF)), pa.ListArray.from_arrays(ends, pa.array(counts[at]))], ["shelf", "at", "n"])
+
+
+def _added(found: pa.Table) -> pa.Table:
+    counts = np.zeros(SHELF, np.int64)
+    for at, n in zip(found.column("at").chunks, found.column("n").chunks):
+        np.add.at(counts, at.flatten().to_numpy(), n.flatten().to_numpy())
+    return pa.table({"shelf": found.column("shelf")[:1], "n": pa.array([counts], pa.list_(pa.int64()))})
+
+
+def shelf_counts(own: DataFrame) -> DataFrame:
+    """shelf, n (array): how many shingles of all sets (hashes) have each of a shelf's places. Tasks count their own sets, so no row is made for a shingle."""
+    return own.select("hashes").mapInArrow(_counted, "shelf long, at array<long>, n array<long>").groupBy("shelf").applyInArrow(_added, "shelf long, n array<long>")
+
+
 def prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v: every pair of sets of ``crowd`` (set_id, root) of different roots that may be similar. ``sets``: set_id, hashes."""
     share, of = SIMILAR
     own = crowd.join(sets, "set_id").select("set_id", "root", "hashes")
-    counts = own.select(F.explode("hashes").alias("h")).groupBy(F.pmod("h", F.lit(PLACES)).alias("place")).agg(F.count("*").alias("n")).toPandas()
-    often = np.zeros(PLACES, np.int64)
-    often[counts["place"].to_numpy()] = counts["n"].to_numpy()
+    often = np.zeros((PLACES // SHELF, SHELF), np.int64)
+    for row in shelf_counts(own).collect():
+        often[row["shelf"]] = row["n"]
+    often = often.ravel()
     rows = written(own.mapInArrow(_prefixes(often), "set_id long, root long, size long, index long, at long, h long"), "prefixes")
     x = rows.select("h", F.col("set_id").alias("u"), F.col("root").alias("u_root"), F.col("size").alias("u_size"), F.col("at").alias("u_at"))
     y = rows.where(F.col("at") < F.col("index")).select("h", F.col("set_id").alias("v"), F.col("root").alias("v_root"), F.col("size").alias("v_size"), F.col("at").alias("v_at"))

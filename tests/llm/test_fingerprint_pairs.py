@@ -1,6 +1,7 @@
 """SimHash candidates of the near-copy stage, and prefixes without a join by shingle."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,14 @@ def test_prefixes_join_only_what_may_be_similar(spark):
     of = spark.createDataFrame(sets, "set_id long, hashes array<long>")
     got = near_copies.prefix_pairs(of.select("set_id", F.col("set_id").alias("root")), of)
     assert {(2 * k, 2 * k + 1) for k in range(60)} <= {tuple(sorted(r)) for r in got.collect()}
+
+
+def test_shingles_are_counted_without_a_row_for_each(spark):
+    rng = random.Random(7)
+    sets = [(k, [rng.getrandbits(63) - (1 << 62) for _ in range(rng.randrange(400))]) for k in range(60)] + [(60 + k, [5, -5, 1 << 40]) for k in range(3000)]
+    df = near_copies.shelf_counts(spark.createDataFrame(sets, "set_id long, hashes array<long>").repartition(3))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    wanted = Counter(h % near_copies.PLACES for _, own in sets for h in own)
+    got = {r.shelf * near_copies.SHELF + k: n for r in df.collect() for k, n in enumerate(r.n) if n}
+    assert got == wanted
+    assert near_copies.shelf_counts(spark.createDataFrame([(1, [])], "set_id long, hashes array<long>")).count() == 0
