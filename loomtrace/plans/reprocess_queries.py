@@ -19,14 +19,15 @@ def _exports(spark, sf_dir):
     e = trace_events(spark, sf_dir)
     pair = lambda k, **v: F.struct(F.lit(k).alias("key"), F.struct(*[x.alias(n) for n, x in v.items()]).alias("value"))
     hexed = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    span = F.to_json(F.struct(
-        hexed(F.col("session_id"), 32).alias("traceId"), hexed(F.col("id"), 16).alias("spanId"), F.when(F.col("id") % 3 == 0, hexed(F.col("id") + 1, 16)).alias("parentSpanId"), F.col("kind").alias("name"),
-        (F.col("start_us") * 1000).cast("string").alias("startTimeUnixNano"), (F.col("end_us") * 1000).cast("string").alias("endTimeUnixNano"),
-        F.array(pair("source", stringValue=F.col("source"))).alias("attributes"), F.when(F.col("kind") == "error", F.struct(F.lit(2).alias("code"))).alias("status"),
+    span = lambda x: F.to_json(F.struct(
+        hexed(F.col("session_id"), 32).alias("traceId"), hexed(x["id"], 16).alias("spanId"), F.when(x["id"] % 3 == 0, hexed(x["id"] + 1, 16)).alias("parentSpanId"), x["kind"].alias("name"),
+        (x["start_us"] * 1000).cast("string").alias("startTimeUnixNano"), (x["end_us"] * 1000).cast("string").alias("endTimeUnixNano"),
+        F.array(pair("source", stringValue=x["source"])).alias("attributes"), F.when(x["kind"] == "error", F.struct(F.lit(2).alias("code"))).alias("status"),
     ))
-    parts = e.select("session_id", "id", span.alias("span"), F.floor(F.col("id") / EXPORT).alias("part")).groupBy("session_id", "part").agg(F.sort_array(F.collect_list(F.struct("id", "span"))).alias("s"))
+    # events are dealt as they are: their JSON is several times longer
+    parts = e.withColumn("part", F.floor(F.col("id") / EXPORT)).groupBy("session_id", "part").agg(F.sort_array(F.collect_list(F.struct("id", "kind", "source", "start_us", "end_us"))).alias("s"))
     resource = F.concat(F.lit('{"attributes": [{"key": "user.id", "value": {"intValue": "'), F.col("session_id").cast("string"), F.lit('"}}]}'))
-    spans = F.array_join(F.transform("s", lambda x: x["span"]), ",")
+    spans = F.array_join(F.transform("s", span), ",")
     body = F.concat(F.lit('{"resourceSpans": [{"resource": '), resource, F.lit(', "scopeSpans": [{"scope": {"name": "made"}, "spans": ['), spans, F.lit("]}]}]}"))
     return parts.select(F.concat(F.lit("u"), F.col("session_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("capture_id"), "session_id", "part", body.alias("body"))
 
@@ -34,12 +35,13 @@ def _exports(spark, sf_dir):
 def _captured(spark, sf_dir):
     """Exports as captures: every second in the binary form, and of those every fifth part cut off at its last byte."""
     made = _exports(spark, sf_dir)
-    wire = otlp.encoded(made).withColumn("content_type", F.lit(otlp.BINARY))
-    odd = F.pmod(F.regexp_extract("capture_id", "^u([0-9]+)", 1).cast("long"), F.lit(2)) == 1
+    odd = F.pmod("session_id", F.lit(2)) == 1
+    # known before the bodies are made: each form is made of its own events alone
+    wire = otlp.encoded(made.where(odd)).withColumn("content_type", F.lit(otlp.BINARY))
     part = F.regexp_extract("capture_id", "([0-9]+)$", 1).cast("long")
     cut = F.when(part % 5 == 4, F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(F.col("content"))
     plain = made.where(~odd).select("capture_id", F.lit("application/json").alias("content_type"), F.col("body").cast("binary").alias("content"))
-    return wire.where(odd).select("capture_id", "content_type", cut.alias("content")).unionByName(plain)
+    return wire.select("capture_id", "content_type", cut.alias("content")).unionByName(plain)
 
 
 def otlp_binary(spark, sf_dir):

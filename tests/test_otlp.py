@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomtrace.operators import otlp, reprocess, rollout, traces
+from loomtrace.plans import reprocess_queries
 from loomtrace.sources import rollout as source
 
 VALUE = st.recursive(
@@ -76,3 +77,17 @@ def test_stored_payloads_read_again(spark):
         "bad": "refused by its reader", "bomb": "not decoded within the limit", "odd": "no reader for the source", "null": "not decoded within the limit", "broken": "JSONDecodeError: refused", "plain": "refused by its reader",
     }
     assert got["same"].digest == got["fresh"].digest and (got["same"].n, got["span"].n) == (2, 0)
+
+
+def test_spans_are_opened_without_a_shuffle(spark):
+    """Places run on over an export's resources and scopes, whatever is missing there; each form is made of its own events."""
+    span = lambda n: {"spanId": f"{n:016x}", "attributes": [{"key": "n", "value": {"intValue": str(n)}}]}
+    at = {"attributes": [{"key": "r", "value": {"stringValue": "x"}}]}
+    body = {"resourceSpans": [{"scopeSpans": [{"spans": [span(0), span(1)]}, {"scope": {"name": "s"}}, {"scope": {"name": "t"}, "spans": [span(2)]}]}, {"resource": at}, {"resource": at, "scopeSpans": [{"spans": []}, {"spans": [span(3)]}]}]}
+    rows = [("a", json.dumps(body)), ("b", json.dumps({"resourceSpans": None})), ("c", "{}"), ("d", None), ("e", json.dumps(body | {"other": 1}))]
+    df = otlp.spans(spark.createDataFrame(rows, "capture_id string, body string"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.capture_id, r.sequence, int(r.span_id, 16), r.scope_name, r.resource, r.record["n"]) for r in df.collect())
+    assert got == [(i, n, n, "t" if n == 2 else None, {"r": "x"} if n == 3 else {}, str(n)) for i in "ae" for n in range(4)]
+    plan = reprocess_queries.otlp_binary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
