@@ -6,43 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.operators.graph import dealt_anew
-from loomtrace.sources.storage import Written, written
+from loomtrace.sources.storage import written
+
+
+#: Levels that are opened in one pass; what lies deeper is opened in further ones.
+LEVELS = 8
+
+
+def _opened(at: DataFrame) -> DataFrame:
+    """owner, pointer, v, whole (not opened yet): containers one level further; empty ones and plain values as they are."""
+    member = lambda m: F.struct(F.replace(F.replace(m["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")).alias("step"), m["value"].alias("v"))
+    # a container is opened in its text form: numbers below it are as they are written there
+    at = at.withColumn("w", F.when(F.col("whole"), F.parse_json(F.to_json("v"))))
+    members = F.transform(F.map_entries(F.try_variant_get("w", "$", "map<string,variant>")), member)
+    items = F.transform(F.try_variant_get("w", "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("step"), x.alias("v")))
+    inner = at.select("owner", "pointer", "v", F.explode_outer(F.coalesce(members, items)).alias("x"))
+    inside = F.col("x").isNotNull()
+    return inner.select("owner", F.when(inside, F.concat("pointer", F.lit("/"), "x.step")).otherwise(F.col("pointer")).alias("pointer"), F.when(inside, F.col("x.v")).otherwise(F.col("v")).alias("v"), inside.alias("whole"))
 
 
 def leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
     """key, pointer, type, value (JSON text) of every leaf, however deep; empty containers and nulls are leaves.
 
-    One pass a level: containers are opened, the rest is kept, until none is left.
+    LEVELS at a time are opened and written once; passes go on until no container is left.
     """
-    spark = rows.sparkSession
     at = rows.select(F.col(key).alias("owner"), F.lit("").alias("pointer"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
-    out, opened = None, Written(spark, "open-containers")
+    out = None
     while True:
-        kind = F.schema_of_variant("v")
-        opens = (kind.startswith("OBJECT<") & (F.to_json("v") != "{}")) | (kind.startswith("ARRAY<") & (F.to_json("v") != "[]"))
-        level = written(at.select("owner", "pointer", kind.alias("type"), F.to_json("v").alias("value"), opens.alias("opens")), "leaves")
-        done = level.where("NOT opens").select("owner", "pointer", F.lower(F.regexp_extract("type", "^[A-Z]+", 0)).alias("type"), "value")
+        at = at.withColumn("whole", F.lit(True))
+        for _ in range(LEVELS):
+            at = _opened(at)
+        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        level = at.select("owner", "pointer", F.lower(kind).alias("type"), F.to_json("v").alias("value"))
+        opens = ((F.col("type") == "object") & (F.col("value") != "{}")) | ((F.col("type") == "array") & (F.col("value") != "[]"))
+        level = written(level.withColumn("opens", opens), "leaves")
+        done = level.where("NOT opens").select("owner", "pointer", "type", "value")
         out = done if out is None else out.unionByName(done)
         rest = level.where("opens")
         if rest.isEmpty():
             return out.withColumnRenamed("owner", key)
-        rest = opened.put(rest.select("owner", "pointer", "value")).withColumn("v", F.parse_json("value"))
-        inner = rest.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "x"))
-        step = F.coalesce(F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
-        at = inner.select("owner", F.concat("pointer", F.lit("/"), step).alias("pointer"), F.col("x").alias("v"))
+        at = rest.select("owner", "pointer", F.parse_json("value").alias("v"))
 
 
 def described(found: DataFrame, key: str, descriptions: DataFrame) -> DataFrame:
-    """Leaves with the origin of the longest described pointer that is theirs or a parent's.
+    """Leaves, each once, with the origin of the longest described pointer that is theirs or a parent's.
 
-    descriptions: pointer, origin. Each leaf looks up its own prefixes, so the join is by equality.
+    descriptions: pointer, origin; a fixed vocabulary of fields, so it goes along as one map in which each leaf looks up
+    its own prefixes. Leaves are dealt before they are compared: hardly any repeat, so combining before would only spill.
     """
+    names = descriptions.where("pointer IS NOT NULL AND origin IS NOT NULL").groupBy("pointer").agg(F.max("origin").alias("origin"))
+    names = names.agg(F.map_from_entries(F.collect_list(F.struct("pointer", "origin"))).alias("names"))
+    rows = found.select(key, "pointer", "value").repartition(key, "pointer", "value").distinct().crossJoin(F.broadcast(names))
     parts = F.split("pointer", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    rows = found.select(key, "pointer", "value", F.explode(prefixes).alias("prefix"))
-    named = rows.join(F.broadcast(descriptions.withColumnRenamed("pointer", "prefix")), "prefix", "left")  # a fixed vocabulary of fields
-    best = F.max(F.when(F.col("origin").isNotNull(), F.struct(F.length("prefix").alias("n"), "origin")))
-    return named.groupBy(key, "pointer", "value").agg(best["origin"].alias("origin"))
+    said = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.try_element_at("names", F.array_join(F.slice(parts, 1, n), "/")))
+    return rows.select(key, "pointer", "value", F.get(F.filter(said, lambda o: o.isNotNull()), F.lit(0)).alias("origin"))
 
 
 def json_path(pointer):

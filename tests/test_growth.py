@@ -3,7 +3,7 @@
 import pytest
 
 from loomtrace.operators import session_usage as S
-from loomtrace.operators import similarity, turns
+from loomtrace.operators import lineage, similarity, turns
 from loomtrace.plans import review_queries as R
 from loomtrace.plans import session_queries as Q
 
@@ -52,3 +52,29 @@ def test_settled_nodes_are_written_once(spark):
     folder = df.inputFiles()[0].rpartition("/round=")[0]
     counts = {r["round"]: r["count"] for r in spark.read.parquet(folder).groupBy("round").count().collect()}
     assert counts[0] == 12 and counts[1] == 11 and counts[2] < 11
+
+
+def test_leaves_are_written_once_and_dealt_once(spark, monkeypatch):
+    kept, put = [], lineage.written
+    monkeypatch.setattr(lineage, "written", lambda df, name: kept.append(name) or put(df, name))
+    deep = lambda n: '{"a/b":[' * n + "7" + ',{}]}' * n
+    docs = spark.createDataFrame([(1, deep(4)), (1, deep(4)), (1, '{"c":null}'), (2, deep(11)), (3, "[]")], "id int, doc string")
+    rows = lineage.leaves(docs.where("id != 2"), "id", "doc")
+    assert len(kept) == 1 and rows.count() == 2 * 5 + 2
+    said = spark.createDataFrame([("", "top"), ("/a~1b/0", "mid"), ("/a~1b/0", "low"), ("/a~1b/0/a~1b", None), ("/x", "other")], "pointer string, origin string")
+    found = lineage.described(lineage.leaves(docs, "id", "doc"), "id", said)
+    plan_text = found._jdf.queryExecution().executedPlan().toString()
+    # nothing is combined, and so kept in memory or spilled, before it is dealt
+    assert "Generate" not in plan_text and plan_text.count("Exchange hashpartitioning(id") == 1 and "HashAggregate" not in plan_text.partition("Exchange hashpartitioning(id")[2].partition("BroadcastExchange")[0]
+    step, wanted = "/a~1b/", {(1, "/c", "null", "top"), (3, "", "[]", "top")}
+    for owner, n in ((1, 4), (2, 11)):
+        at = (step + "0") * (n - 1)
+        wanted |= {(owner, at + step + "0", "7", "mid")} | {(owner, (step + "0") * k + step + "1", "{}", "mid" if k else "top") for k in range(n)}
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert {r.origin for r in lineage.described(rows, "id", said.where("false")).collect()} == {None}
+
+
+def test_numbers_of_leaves_are_as_before(spark):
+    doc = '{"a":1.0,"b":1e2,"c":{"b":1e2,"e":{"a":1.50,"d":1.5e300,"f":"1.0"}}}'
+    got = {r.pointer: (r.type, r.value) for r in lineage.leaves(spark.createDataFrame([(1, doc)], "id int, doc string"), "id", "doc").collect()}
+    assert got == {"/a": ("bigint", "1"), "/b": ("decimal", "100"), "/c/b": ("bigint", "100"), "/c/e/a": ("decimal", "1.5"), "/c/e/d": ("double", "1.5E300"), "/c/e/f": ("string", '"1.0"')}
