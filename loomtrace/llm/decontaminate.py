@@ -48,25 +48,34 @@ _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, one bit of a symbol a level."""
+    """Ranks of symbols in a sequence, one bit of a symbol a level: 64 bits a word, and how many are set before each word."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
-        self.bits, self.ones, self.zeros = bits, [], []
+        self.bits, self.words, self.ones, self.zeros = bits, [], [], []
         level = symbols
         for b in reversed(range(bits)):
-            bit = (level >> b) & 1
-            ones = np.zeros(len(level) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
+            up = (level >> b) & 1 == 1
+            words = np.zeros(len(level) // 64 + 1, "<u8")
+            words.view(np.uint8)[: -(-len(level) // 8)] = np.packbits(up, bitorder="little")
+            ones = np.zeros(len(words) + 1, np.int32)
+            np.cumsum(np.bitwise_count(words), dtype=np.int32, out=ones[1:])
+            self.words.append(words)
             self.ones.append(ones)
             self.zeros.append(len(level) - int(ones[-1]))
-            level = np.concatenate([level[bit == 0], level[bit == 1]])
+            level = np.concatenate([level[~up], level[up]])
+
+    def _set_before(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Bits of a level that are set before ``at``."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[k][word] + np.bitwise_count(self.words[k][word] & below)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of each symbol, how many come before ``at``."""
         begin = np.zeros_like(at)
-        for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros)):
+        for k, zeros in enumerate(self.zeros):
             up = (symbol >> (self.bits - 1 - k)) & 1 == 1
-            a, b = ones[at], ones[begin]
+            a, b = self._set_before(k, at), self._set_before(k, begin)
             at, begin = np.where(up, zeros + a, at - a), np.where(up, zeros + b, begin - b)
         return at - begin
 
@@ -79,19 +88,21 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     ends = text == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum()))
-    order = np.argsort(rank, kind="stable")
-    keys, slots, step = rank[order], np.arange(n), 1
-    rank = np.empty(n, np.int64)
+    rank = np.where(ends, np.cumsum(ends) - 1, text + ends.sum())
+    # a text has less than 2 GB, so places fit 32 bits; pairs of ranks don't
+    order = np.argsort(rank, kind="stable").astype(np.int32)
+    keys, slots, step = rank[order], np.arange(n, dtype=np.int32), 1
+    rank = np.empty(n, np.int32)
     at = order
     while True:
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at), dtype=np.int32), 0))]
         slots = slots[~(new & np.append(new[1:], True))]
         if not len(slots):
             return order
         at = order[slots]
-        keys = rank[at] * (n + 1) + np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        keys = at.astype(np.int64) + step
+        keys = np.where(keys < n, rank[np.minimum(keys, n - 1)] + 1, 0) + rank[at] * np.int64(n + 1)
         by = np.argsort(keys)
         at, keys = at[by], keys[by]
         order[slots] = at
@@ -107,8 +118,8 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols + 1))])
         self.matrix = WaveletMatrix(self.before, max(1, int(n_symbols).bit_length()))
         sampled = (order % SAMPLE == 0) | (self.before == 0)
-        self.sampled, self.kept = sampled, np.where(sampled, order, -1)[sampled]
-        self.kept_at = np.cumsum(sampled) - 1
+        self.sampled, self.kept = sampled, order[sampled]
+        self.kept_at = np.cumsum(sampled, dtype=np.int32) - 1
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of the suffixes that begin with each phrase (one a row of symbols)."""
@@ -170,8 +181,8 @@ class Shard:
         n = len(words.counts)
         # every document's words, then its end
         ends = words.bounds[1:] + np.arange(n)
-        text = np.zeros(len(words.codes) + n, np.int64)
-        self.doc = np.repeat(np.arange(n), words.counts + 1)
+        text = np.zeros(len(words.codes) + n, np.int32)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), words.counts + 1)
         inside = np.ones(len(text), bool)
         inside[ends] = False
         text[inside] = words.codes + 1
@@ -207,45 +218,50 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _searched(batch: pa.RecordBatch, blocks: list[Broadcast], names: list[str], clean: bool) -> pa.RecordBatch:
+    """One shard's rows; its index goes on return, before the next one is made."""
+    words = Words(batch.column("text"), ALNUM)
+    shard = Shard(words)
+    edge = np.zeros(len(words.codes) + 1, np.int64)
+    items: dict[int, set[int]] = {}
+    for block in blocks:
+        at, size, docs, owners = shard.occurrences(block.value)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size, -1)
+        for d, item in zip(docs.tolist(), owners.tolist()):
+            items.setdefault(d, set()).add(item)
+    begins = words.bounds.tolist()
+    if "spans" in batch.schema.names:
+        for d, (spans, before) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
+            for x in spans:
+                edge[begins[d] + x["begin"]] += 1
+                edge[begins[d] + x["end"]] -= 1
+            if before:
+                items.setdefault(d, set()).update(before)
+    hit = np.cumsum(edge[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = total[words.bounds[1:]] - total[words.bounds[:-1]]
+    spans = [[] for _ in range(batch.num_rows)]
+    for d in np.flatnonzero(n_hit).tolist():
+        x = np.concatenate([[0], hit[begins[d] : begins[d + 1]].astype(np.int8), [0]])
+        turns = np.flatnonzero(np.diff(x)).tolist()
+        spans[d] = list(zip(turns[::2], turns[1::2]))
+    columns = {n: batch.column(n) for n in names}
+    if clean:
+        texts = batch.column("text").to_pylist()
+        columns["clean_text"] = pa.array([_without(t, s) if s else t for t, s in zip(texts, spans)], pa.string())
+    columns |= {
+        "n_words": pa.array(words.counts), "n_hit": pa.array(n_hit),
+        "spans": pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+        "items": pa.array([sorted(items.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.int64())),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def _search(blocks: list[Broadcast], names: list[str], clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SHARD_BYTES):
-            words = Words(batch.column("text"), ALNUM)
-            shard = Shard(words)
-            edge = np.zeros(len(words.codes) + 1, np.int64)
-            items: dict[int, set[int]] = {}
-            for block in blocks:
-                at, size, docs, owners = shard.occurrences(block.value)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
-                for d, item in zip(docs.tolist(), owners.tolist()):
-                    items.setdefault(d, set()).add(item)
-            begins = words.bounds.tolist()
-            if "spans" in batch.schema.names:
-                for d, (spans, before) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
-                    for x in spans:
-                        edge[begins[d] + x["begin"]] += 1
-                        edge[begins[d] + x["end"]] -= 1
-                    if before:
-                        items.setdefault(d, set()).update(before)
-            hit = np.cumsum(edge[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[words.bounds[1:]] - total[words.bounds[:-1]]
-            spans = [[] for _ in range(batch.num_rows)]
-            for d in np.flatnonzero(n_hit).tolist():
-                x = np.concatenate([[0], hit[begins[d] : begins[d + 1]].astype(np.int8), [0]])
-                turns = np.flatnonzero(np.diff(x)).tolist()
-                spans[d] = list(zip(turns[::2], turns[1::2]))
-            columns = {n: batch.column(n) for n in names}
-            if clean:
-                texts = batch.column("text").to_pylist()
-                columns["clean_text"] = pa.array([_without(t, s) if s else t for t, s in zip(texts, spans)], pa.string())
-            columns |= {
-                "n_words": pa.array(words.counts), "n_hit": pa.array(n_hit),
-                "spans": pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-                "items": pa.array([sorted(items.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield _searched(batch, blocks, names, clean)
 
     return run
 

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,24 @@ def test_fm_index_locates_every_occurrence():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_one_shard_is_held_at_a_time(monkeypatch):
+    """Three shards in turn take at most 16 bytes a byte of one shard's text: narrow ranks, and no index kept beside the next."""
+    random.seed(7)
+    texts = [" ".join(f"w{random.randrange(5000)}" for _ in range(300)) for _ in range(600)]
+    most = len("".join(texts)) // 3 + 2000
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", most)
+    block = SimpleNamespace(value=decontaminate.Phrases([(1, texts[0][:200])], 10))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        rows = [out.num_rows for out in decontaminate._search([block], [], False)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rows) == 3 and sum(rows) == 600
+    assert peak < 16 * most
+
+
 def base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     times = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
